@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flintglass.llm import bpe, containment, sharding, tokencounts
+from flintglass.llm import bpe, containment, minhash, sharding, tokencounts
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -19,6 +19,10 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -35,12 +39,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), *_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_sharding, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
 
 #: The documents' words in DuckDB: A-Z lower-cased, runs of bytes other than white space.
 _WORDS = r"""
 doc_words AS (
-    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM documents
 )"""
 
@@ -48,7 +52,7 @@ ORACLE: dict[str, str] = {
     "op9_benchmark_decontamination": rf"""
 WITH {_WORDS},
 item_words AS (
-    SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM benchmark
 ),
 item_shingles AS (
