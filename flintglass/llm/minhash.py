@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from flintglass.llm.components import components
 from flintglass.llm.store import Scratch
+from flintglass.llm.streams import runs
 from flintglass.llm.words import mix, shingles, words
 
 CHUNKS, WIDTH = 13, 5
@@ -88,25 +89,6 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(p.column("rep")), SYMBOLS))], names=["key", "rep"])
 
 
-def _runs(batches, columns: list[str]):
-    """Rows sorted by key, as arrays of the columns for each key."""
-    held: list = []
-    key = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.asarray(b.column("key"))
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and keys[lo] != key:
-                yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
-                held = []
-            key = keys[lo]
-            held.append([b.column(c).slice(lo, hi - lo) for c in columns])
-    if held:
-        yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
-
-
 def _shared(batches):
     """Rows, sorted by key, whose key isn't theirs alone; the last row waits for the next one's key."""
     last, known = None, False
@@ -135,7 +117,7 @@ def _dealt(rows: DataFrame, item: str, group: str) -> DataFrame:
 
 def _bucket_edges(batches):
     """Within each bucket, or pair of blocks of one, a spanning forest of its candidate pairs."""
-    for reps, sigs in _runs(batches, ["rep", "sig"]):
+    for reps, sigs in runs(batches, ["rep", "sig"]):
         reps = np.asarray(reps)
         sig = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
         a, b = [], []
@@ -236,7 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     dealt = _dealt(sets, "id", "grp").select("key", "grp", "id", "hashes")
 
     def verified(batches):
-        for grp, ids, hashes in _runs(batches, ["grp", "id", "hashes"]):
+        for grp, ids, hashes in runs(batches, ["grp", "id", "hashes"]):
             grp, ids = np.asarray(grp), np.asarray(ids)
             a, b = [], []
             for g in np.unique(grp):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flintglass.llm import bpe, containment, minhash, sharding, tokencounts
+from flintglass.llm import bpe, chaining, containment, minhash, sharding, tokencounts
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -27,6 +27,10 @@ def op2_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"), *_vocabulary())
 
@@ -39,7 +43,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), *_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op5_substring_dedup, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
 
 #: The documents' words in DuckDB: A-Z lower-cased, runs of bytes other than white space.
 _WORDS = r"""
