@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flintglass.llm import bpe, chaining, containment, minhash, sharding, tokencounts
+from flintglass.llm import bpe, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
+from flintglass.llm.labelled import crc_mod, sample
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -27,6 +29,26 @@ def op2_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def _judged(scored: DataFrame, modulus: int, rest: int) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", modulus) == rest, F.lit(False))
+    return scored.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> crf.Model:
+    return crf.fit(sample(docs, labels, "toxic", crc_mod("doc_id", 4) != 2, crf.ROWS, crf.MAX_CHARS))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _judged(crf.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels"))), 4, 2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = bytecnn.fit(sample(docs, _table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 5) != 0, bytecnn.ROWS, bytecnn.MAX_CHARS))
+    return _judged(bytecnn.score(docs, model), 5, 0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), *_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op5_substring_dedup, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op5_substring_dedup, op6_quality, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
 
 #: The documents' words in DuckDB: A-Z lower-cased, runs of bytes other than white space.
 _WORDS = r"""
