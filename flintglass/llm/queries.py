@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintglass.llm import bpe, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
+from flintglass.llm import bpe, brown, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
 from flintglass.llm.labelled import crc_mod, sample
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -49,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(bytecnn.score(docs, model), 5, 0)
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), *_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op5_substring_dedup, op6_quality, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op4_brown_lm, op5_substring_dedup, op6_quality, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
 
 #: The documents' words in DuckDB: A-Z lower-cased, runs of bytes other than white space.
 _WORDS = r"""
