@@ -215,6 +215,37 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
+def judge(model: Model, texts: pa.Array, spans: bool = False, threshold: float = 0.5) -> tuple[np.ndarray, list]:
+    """Scores of texts, their strengths, and with spans the stretches at or over the threshold."""
+    total, found, held = [np.zeros(0)], [], []
+
+    def weigh():
+        """Marginals of several slices at once."""
+        odds = np.concatenate([model.odds(features(w)) for w in held])
+        shift = np.append(0, np.cumsum([len(w.hash) for w in held]))
+        ptr = np.concatenate([*(w.ptr[:-1] + s for w, s in zip(held, shift[:-1], strict=True)), shift[-1:]])
+        p = marginals(odds, ptr, model.step)
+        total.append(strength(p, ptr))
+        for w, s in zip(held, shift, strict=False) if spans else ():
+            for i in range(len(w)):
+                lo, hi = int(w.ptr[i]), int(w.ptr[i + 1])
+                edge = lo + np.flatnonzero(np.diff(np.concatenate([[False], p[s + lo : s + hi] >= threshold, [False]]).astype(np.int8)))
+                found.append([{"start": int(w.start[x]), "end": int(w.end[y - 1]), "p": float(p[s + x : s + y].max())} for x, y in zip(edge[::2], edge[1::2], strict=True)])
+        held.clear()
+
+    for _, w in words(texts, AFFIXES):
+        if model.weights is None:
+            total.append(np.zeros(len(w)))
+            found += [[] for _ in range(len(w))]
+            continue
+        held.append(w)
+        if sum(len(w.hash) for w in held) >= CHAIN_WORDS:
+            weigh()
+    if held:
+        weigh()
+    return np.concatenate(total), found
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = False, threshold: float = 0.5) -> DataFrame:
     """key, score and strength; with spans also a list of the stretches of words whose marginals reach the threshold: byte offsets start and end in the UTF-8 text, and their greatest marginal p."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -224,36 +255,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches):
         m = shared.value
         for b in batches:
-            total, found, held = [], [], []
-
-            def judge(held, total=total, found=found):
-                """Marginals of several slices at once."""
-                odds = np.concatenate([m.odds(features(w)) for w in held])
-                shift = np.append(0, np.cumsum([len(w.hash) for w in held]))
-                ptr = np.concatenate([*(w.ptr[:-1] + s for w, s in zip(held, shift[:-1], strict=True)), shift[-1:]])
-                p = marginals(odds, ptr, m.step)
-                total.append(strength(p, ptr))
-                for w, s in zip(held, shift, strict=False) if spans else ():
-                    for i in range(len(w)):
-                        lo, hi = int(w.ptr[i]), int(w.ptr[i + 1])
-                        edge = lo + np.flatnonzero(np.diff(np.concatenate([[False], p[s + lo : s + hi] >= threshold, [False]]).astype(np.int8)))
-                        found.append([{"start": int(w.start[x]), "end": int(w.end[y - 1]), "p": float(p[s + x : s + y].max())} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-
-            for _, w in words(b.column(text), AFFIXES):
-                if m.weights is None:
-                    total.append(np.zeros(len(w)))
-                    found += [[] for _ in range(len(w))]
-                    continue
-                held.append(w)
-                if sum(len(w.hash) for w in held) >= CHAIN_WORDS:
-                    judge(held)
-                    held = []
-            if held:
-                judge(held)
-            whole = np.concatenate(total) if total else np.zeros(0)
+            whole, found = judge(m, b.column(text), spans, threshold)
             cols = [b.column(key), pa.array(m.score(whole)), pa.array(whole)]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[key, "score", "strength", "spans"][: len(cols)])
 
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array(m.score(judge(m, b.column(text))[0]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

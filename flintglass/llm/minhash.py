@@ -238,4 +238,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     ids = member.join(classed, ["n", "hi", "lo"]).select("id", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = digests.select("id", "n").join(ids, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(
+        F.col("id").alias(key),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )

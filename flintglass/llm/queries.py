@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintglass.llm import bpe, brown, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
+from flintglass.llm import bm25, bpe, brown, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
 from flintglass.llm.labelled import crc_mod, sample
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -15,14 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op2_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.filter("doc_id % 100 = 0"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.token_counts(_table(spark, sf_dir, "documents"), *_vocabulary())
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +71,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), *_vocabulary())
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op4_brown_lm, op5_substring_dedup, op6_quality, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op4_brown_lm, op5_substring_dedup, op6_quality, op7_bm25_top_k, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
 
 #: The documents' words in DuckDB: A-Z lower-cased, runs of bytes other than white space.
 _WORDS = r"""
@@ -78,7 +83,51 @@ doc_words AS (
     FROM documents
 )"""
 
+_SHINGLES = r"""
+shingles AS (
+    SELECT DISTINCT doc_id, list_aggregate(w[i : i + least(5, len(w)) - 1], 'string_agg', ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM doc_words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)"""
+
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": rf"""
+WITH RECURSIVE {_WORDS}, {_SHINGLES},
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b USING (s) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    WHERE a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM doc_words
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+),
+least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least_of LEFT JOIN sizes USING (doc_id)
+""",
+    "op7_bm25_top_k": rf"""
+WITH {_WORDS},
+tf AS (SELECT doc_id, word, count(*) AS f FROM (SELECT doc_id, unnest(w) AS word FROM doc_words) GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM doc_words),
+df AS (SELECT word, count(*) AS d FROM tf GROUP BY word),
+impacts AS (
+    SELECT tf.doc_id, word, floor(ln(1 + (n - d + 0.5) / (d + 0.5)) * (f * 2.2::DOUBLE) / (f + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len(w) / mean)) * 1000000 + 0.5) AS impact
+    FROM tf JOIN df USING (word) JOIN doc_words USING (doc_id), stats
+),
+scored AS (
+    SELECT q.doc_id AS query_id, i.doc_id, sum(impact) AS score
+    FROM tf q JOIN impacts i USING (word)
+    WHERE q.doc_id % 100 = 0
+    GROUP BY ALL
+)
+SELECT query_id, rank, doc_id, score / 1000000 AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+""",
     "op9_benchmark_decontamination": rf"""
 WITH {_WORDS},
 item_words AS (
