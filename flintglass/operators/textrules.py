@@ -255,11 +255,16 @@ def extension_mismatch(suffix: Column, hexed: Column) -> Column:
     )
 
 
+def _place(hexed: Column, magic: Column, start: int) -> Column:
+    """Byte position of a signature from byte start on; null if it isn't there."""
+    upto = F.regexp_substr(hexed, F.concat(F.lit(f"^(?:..){{{start},}}?"), magic))
+    return ((F.length(upto) - F.length(magic)) / 2).cast("bigint")
+
+
 def _first_of(hexed: Column, start: int, kinds: dict[str, str]) -> Column:
     """Name n and position p of the first of the kinds, in their order, that is there; null without any."""
     table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in kinds.items()])
-    pattern = lambda magic: F.concat(F.lit(f"^(?:..){{{start},}}?(?="), magic, F.lit(")"))
-    places = F.transform(table, lambda k: F.struct(k["n"].alias("n"), (F.length(F.regexp_substr(hexed, pattern(k["m"]))) / 2).cast("bigint").alias("p")))
+    places = F.transform(table, lambda k: F.struct(k["n"].alias("n"), _place(hexed, k["m"], start).alias("p")))
     return F.try_element_at(F.filter(places, lambda k: k["p"].isNotNull()), F.lit(1))
 
 
@@ -274,8 +279,7 @@ def embedded_archive(hexed: Column) -> Column:
 
 def embedded_pickle(hexed: Column, start: int, where: str, technique: str, shift: Column | None = None) -> Column:
     """The first protocol, in order, whose first marker from byte start on is a plausible pickle."""
-    pattern = lambda magic: F.concat(F.lit(f"^(?:..){{{start},}}?(?="), magic, F.lit(")"))
-    places = F.transform(F.array(*map(F.lit, S.PICKLE_MAGIC)), lambda magic: (F.length(F.regexp_substr(hexed, pattern(magic))) / 2).cast("bigint"))
+    places = F.transform(F.array(*map(F.lit, S.PICKLE_MAGIC)), lambda magic: _place(hexed, magic, start))
     at = F.try_element_at(F.filter(places, lambda p: p.isNotNull() & pickle_at(hexed, p)), F.lit(1))
     at = at if shift is None else at + shift
     return F.when(at.isNotNull(), finding(f"polyglot.{technique}", S.C, F.concat(F.lit(f"{where} at offset "), at), at, technique))

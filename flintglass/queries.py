@@ -566,7 +566,8 @@ def compressed_regions(spark, sf_dir):
 
 
 def _find_sql(magic: str, start: int, hexed: str = "hexed") -> str:
-    return f"list_min(list_filter(range({start}, length({hexed}) // 2), lambda i: substr({hexed}, (2 * i + 1)::INTEGER, {len(magic)}) = {q(magic)}))"
+    """The first whole byte from start on where the signature stands."""
+    return f"CASE WHEN regexp_matches({hexed}, '^(..){{{start},}}?{magic}') THEN length(regexp_extract({hexed}, '^((?:..){{{start},}}?){magic}', 1)) // 2 END"
 
 
 _PICKLE_SQL = "(substr(h, 3, 4) IN ('0495', '0595') AND length(h) >= 24 AND substr(h, 23, 2) IN ('63', '7D', '5D', '29', '28', '8C', '89', '81') AND ('0x' || array_to_string([substr(h, 7 + 2 * k, 2) FOR k IN range(7, -1, -1)], ''))::UBIGINT BETWEEN 1 AND 100000000) OR (substr(h, 3, 4) IN ('0263', '0363') AND regexp_matches(h, '^80(02|03)63(2[EF]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9A])*0A') AND length(h) > 20)"
