@@ -6,7 +6,7 @@ an id are one document, of which the row with the longest text stays. Rows witho
 substring_dedup: cuts passages out of documents that an earlier document has too, and drops documents
 of which nothing is left.
 decontamination: drops documents that hold a benchmark item.
-byte_bpe: adds token_ids and n_tokens, and gives the text as decoded from the ids.
+byte_bpe: adds token_ids and n_tokens, and gives the text as decoded from the ids; null texts stay null.
 """
 
 from __future__ import annotations
@@ -46,8 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs, *vocabulary())
-    return bpe.decode(encoded, *vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    return bpe.encode_decode(docs, *vocabulary())
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MAX_STATES = 200_000
-MAX_MEMO = 500_000
+MAX_STATES = 120_000
+MAX_MEMO = 300_000
 MAX_MEMO_CHARS = 48
 DONE = b""
 
@@ -108,7 +108,7 @@ class Transducer:
                 if before >= 0:
                     ok = self.valid.get((before, token))
                     if ok is None:
-                        if len(self.valid) > 4 * self.max_states:
+                        if len(self.valid) > 2 * self.max_states:
                             self.valid.clear()
                         ok = self.valid[before, token] = self.follows(before, token)
                 if before < 0 or ok:
@@ -315,6 +315,24 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text:
     return df.mapInArrow(run, schema)
 
 
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", size: str = "n_tokens") -> DataFrame:
+    """df with the ids of each text, their number, and the text as decoded from them; one pass, so one vocabulary a worker."""
+    schema = _replaced(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(size, T.LongType())])
+    kept = schema.names[:-2]
+
+    def run(batches):
+        c = codec(path, pattern)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                p = b.slice(k, 256)
+                made = [c(x) for x in p.column(text).to_pylist()]
+                back = pa.array([None if p.column(text)[i].as_py() is None else "".join(c.decode(x)) for i, x in enumerate(made)], pa.string())
+                cols = [back if n == text else p.column(n) for n in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.list_(pa.int32())), pa.array([len(x) for x in made], pa.int64())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each text: key, n_tokens, SHA-256 of the ids joined by spaces, and of the bytes decoded from them."""
     kind = df.schema[key].dataType
