@@ -5,7 +5,9 @@ their commonest word and length, so that blocks of BLOCK neighbours are alike. A
 its BM25 contribution from global statistics, in whole millionths: sums don't depend on their order,
 so results of shards merge exactly. For a query, the sum of its terms' greatest impacts in a block
 bounds every score there. Blocks are evaluated from the highest bound down, and as soon as k scores
-are known, blocks whose bound is below the k-th are skipped. Shards give their top k to the merge.
+are known, blocks whose bound is below the k-th are skipped. An eighth of the
+shards is searched first; the k-th score found there for a query is where the other shards start from.
+Tasks merge their shards and give their top k to the final merge.
 
 A query is the set of the distinct words of its text. Queries come in groups of a bounded number of
 terms, each group being broadcast and searched in one pass over the index.
@@ -31,6 +33,7 @@ UNIT = 1_000_000
 SHARD_DOCS, SHARD_WORDS = 8192, 6_000_000
 BLOCK = 64
 GROUP_TERMS = 1_000_000
+FIRST_SHARDS = 8
 FIRST_BLOCKS = (4, 16)
 _PARTS = (("ids", np.int64), ("sizes", np.int64), ("terms", np.uint64), ("counts", np.int32), ("docs", np.uint16), ("freqs", np.int32))
 
@@ -116,8 +119,8 @@ class Shard:
         owner = term[edge]
         self.lo, self.hi = (np.searchsorted(owner, np.arange(len(terms)), side=s) for s in ("left", "right"))
 
-    def search(self, terms: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """Scores and document numbers of the top k for the query's terms (by number)."""
+    def search(self, terms: np.ndarray, k: int, least: float = 1.0) -> list[tuple[int, int]]:
+        """Scores and document numbers of the top k, of those that reach least, for the query's terms (by number)."""
         entries = _expand(self.lo[terms], self.hi[terms] - self.lo[terms])
         if not len(entries):
             return []
@@ -125,7 +128,7 @@ class Shard:
         bound = np.bincount(block, weights=self.entry_max[entries], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         scores = np.zeros(len(self.ids))
-        done, floor = 0, 1.0
+        done, floor = 0, max(1.0, least)
         for stop in (*FIRST_BLOCKS, self.blocks):
             stop = min(stop, int(np.searchsorted(-bound[order], -floor, side="right")))
             if stop <= done:
@@ -137,7 +140,7 @@ class Shard:
             scores += np.bincount(self.docs[post], weights=self.impacts[post], minlength=len(scores))
             done = stop
             if len(scores) > k:
-                floor = max(1.0, float(np.partition(scores, -k)[-k]))
+                floor = max(floor, float(np.partition(scores, -k)[-k]))
         found = np.flatnonzero(scores >= floor)
         found = found[np.lexsort((self.ids[found], -scores[found]))[:k]]
         return [(int(scores[d]), int(d)) for d in found]
@@ -167,7 +170,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, sizes))], pa.int64()), pa.array([sum(int(s.sum()) for s in sizes)], pa.int64())], names=["docs", "words"])
 
     known = docs.select(key, text).filter(F.col(key).isNotNull())
-    index = scratch.keep(known.mapInArrow(lambda batches: _index(batches, key, text), ", ".join(f"{n} binary" for n, _ in _PARTS)))
+    index = known.mapInArrow(lambda batches: _index(batches, key, text), ", ".join(f"{n} binary" for n, _ in _PARTS))
+    index = scratch.keep(index.withColumn("shard", F.monotonically_increasing_id()))
+    lead = F.pmod(F.xxhash64("shard"), F.lit(FIRST_SHARDS)) == 0
     n, total = index.select("sizes").mapInArrow(totals, "docs long, words long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = total / n if n else 0.0
 
@@ -187,18 +192,37 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
         idf = np.log(1 + (n - often + 0.5) / (often + 0.5))
         order = np.lexsort((at, cols[0]))
         ids, start = np.unique(cols[0][order], return_index=True)
-        shared = spark.sparkContext.broadcast((terms, idf, ids, np.append(start, len(order)), at[order]))
-
-        def run(batches):
-            terms, idf, ids, ptr, use = shared.value
-            for b in batches:
-                for r in range(b.num_rows):
-                    shard = Shard({name: b.column(name)[r].as_py() for name, _ in _PARTS}, terms, idf, mean)
-                    out = [(ids[q], shard.ids[d], s) for q in range(len(ids)) for s, d in shard.search(use[ptr[q] : ptr[q + 1]], k)]
-                    cols = np.array(out, np.int64).reshape(-1, 3).T
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
-
-        return scratch.keep(index.mapInArrow(run, "query_id long, doc_id long, score long"))
+        ptr, use = np.append(start, len(order)), at[order]
+
+        def over(shards: DataFrame, least: np.ndarray) -> DataFrame:
+            shared = spark.sparkContext.broadcast((terms, idf, ids, ptr, use, least))
+
+            def run(batches):
+                terms, idf, ids, ptr, use, least = shared.value
+                best: list[list[tuple[int, int]]] = [[] for _ in ids]
+                floor = least.copy()
+                for b in batches:
+                    for r in range(b.num_rows):
+                        shard = Shard({name: b.column(name)[r].as_py() for name, _ in _PARTS}, terms, idf, mean)
+                        for q in range(len(ids)):
+                            got = shard.search(use[ptr[q] : ptr[q + 1]], k, floor[q])
+                            if got:
+                                best[q] = sorted(best[q] + [(-s, int(shard.ids[d])) for s, d in got])[:k]
+                                if len(best[q]) == k:
+                                    floor[q] = max(floor[q], -best[q][-1][0])
+                out = [(ids[q], d, -s) for q, rows in enumerate(best) for s, d in rows]
+                cols = np.array(out, np.int64).reshape(-1, 3).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
+
+            return scratch.keep(shards.drop("shard").mapInArrow(run, "query_id long, doc_id long, score long"))
+
+        first = over(index.filter(lead), np.ones(len(ids)))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", "score").toArrow()
+        least = np.ones(len(ids))
+        if kth.num_rows:
+            least[np.searchsorted(ids, np.asarray(kth.column("query_id").combine_chunks()))] = np.asarray(kth.column("score").combine_chunks())
+        return first.union(over(index.filter(~lead), least))
 
     found = pass_over(0)
     for group in range(1, groups):
