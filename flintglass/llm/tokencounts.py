@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flintglass.llm import bpe
+from flintglass.llm.store import Scratch
 
 RANGE = 512
 
@@ -70,4 +71,5 @@ def quantiles(limits: DataFrame, probabilities: list[float]) -> DataFrame:
 
 
 def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    return context_limits(histogram(bpe.lengths(df, path, pattern, text)))
+    """The limits of a table of texts; the histogram is written once, as both levels of the sums read it."""
+    return context_limits(Scratch(df.sparkSession).keep(histogram(bpe.lengths(df, path, pattern, text))))
