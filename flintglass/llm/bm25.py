@@ -179,7 +179,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     wanted = scratch.keep(queries.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(asked, "query_id long, term long").distinct())
     n_terms = wanted.count()
     groups = max(1, -(-n_terms // GROUP_TERMS))
-    df = index.select("terms", "counts").mapInArrow(frequencies, "term long, n long").join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    df = index.select("terms", "counts").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     weighted = wanted.join(df, "term").select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("grp"), "query_id", "term", "n")
     weighted = scratch.keep(weighted)
 
