@@ -41,7 +41,12 @@ class ScanFrames:
 
 def with_format(artifacts: DataFrame) -> DataFrame:
     head = F.hex(F.substring("head", 1, 512))
-    return artifacts.withColumns({"suffix": suffix_of(F.col("path")), "format": detected(F.col("path"), head)})
+    return _fixed(artifacts, suffix=suffix_of(F.col("path")), format=detected(F.col("path"), head))
+
+
+def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: projections are merged into what reads them, a generator isn't."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _or_none(found: Column) -> Column:
@@ -55,29 +60,27 @@ def _some(*found: Column) -> Column:
 def media_rules(df: DataFrame) -> Column:
     """The detectors for files that are two things at once."""
     fmt, suffix = F.col("format"), F.col("suffix")
-    hexed, tail = F.hex("content"), F.hex("tail")
-    head = F.hex(F.substring("head", 1, 32))
+    hexed, tail = F.col("hexed"), F.col("hexed_tail")
+    head = F.substring("hexed_head", 1, 64)
     image = suffix.isin(*S.IMAGE_EXTENSIONS) & (suffix != ".svg")
     video = suffix.isin(*S.VIDEO_EXTENSIONS)
     every = _some(textrules.double_extension(F.col("path")), textrules.extension_mismatch(suffix, head))
     pictures = _some(textrules.embedded_archive(hexed), textrules.embedded_pickle(hexed, 8, "Pickle data embedded in image", "pickle_in_image"), textrules.trailing_data(suffix, hexed))
-    meta = _some(textrules.embedded_pickle(F.hex(F.substring("head", 1, 1 << 16)), 20, "Pickle signature in image metadata", "metadata_pickle"))
+    meta = _some(textrules.embedded_pickle(F.substring("hexed_head", 1, 1 << 17), 20, "Pickle signature in image metadata", "metadata_pickle"))
     video_tail = _some(textrules.archive_in_video(tail, F.col("length")), textrules.embedded_pickle(tail, 0, "Pickle data appended to video", "pickle_in_video", F.col("length") - F.octet_length("tail")))
     return F.concat(
         every,
-        _or_none(F.when(image & (fmt == "image"), F.concat(pictures, meta, textrules.image_metadata(latin1(F.col("head")))))),
-        _or_none(F.when(suffix == ".svg", textrules.svg(F.decode("head", "UTF-8")))),
+        _or_none(F.when(image & (fmt == "image"), F.concat(pictures, meta, textrules.image_metadata(F.col("raw_head"))))),
+        _or_none(F.when(suffix == ".svg", textrules.svg(F.replace(F.make_valid_utf8(F.col("head").cast("string")), F.lit("\ufffd"), F.lit(""))))),
         _or_none(F.when(suffix == ".pdf", _some(textrules.trailing_data(suffix, hexed)))),
-        _or_none(F.when(video, F.concat(video_tail, F.when(F.col("length") >= 100, textrules.video_metadata(latin1(F.col("head")), suffix)).otherwise(F.array().cast(_NONE))))),
+        _or_none(F.when(video, F.concat(video_tail, F.when(F.col("length") >= 100, textrules.video_metadata(F.col("raw_head"), suffix)).otherwise(F.array().cast(_NONE))))),
     )
 
 
 def column_findings(df: DataFrame) -> DataFrame:
     """path and finding, for the detectors that are expressions."""
     fmt = F.col("format")
-    text = F.decode(F.col("content"), "UTF-8")
-    raw = latin1(F.col("content"))
-    first = latin1(F.substring("content", 1, 1 << 20))
+    text, raw, first = F.col("body"), F.col("raw"), F.substring("raw", 1, 1 << 20)
     error = F.when(F.col("read_error").isNotNull(), F.array(finding("file.error", S.M, F.col("read_error"))))
     unknown = F.when((fmt == "unknown") & F.col("read_error").isNull(), F.array(finding("file.unknown", S.I, F.concat(F.lit("Unknown format: "), fmt))))
     by_format = (
@@ -87,9 +90,20 @@ def column_findings(df: DataFrame) -> DataFrame:
         .when(fmt == "keras", F.concat(_some(F.when(~F.hex(F.substring("head", 1, 8)).startswith(S.HDF5_MAGIC), finding("keras.no_magic", S.M, "File does not have HDF5 magic number", F.lit(0)))), textrules.keras_config(raw)))
     )
     coded = F.when(fmt.isin(*OBFUSCATED), obf.rollup(first, F.col("bits")))
-    scored = df.withColumn("bits", F.when(fmt.isin(*OBFUSCATED), obf.entropy(F.substring("content", 1, 1 << 20))))
+    media = F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
+    textual = fmt.isin("yaml", "json")
+    ready = df.withColumn("bits", F.when(fmt.isin(*OBFUSCATED), obf.entropy(F.substring("content", 1, 1 << 20))))
+    ready = _fixed(
+        ready,
+        body=F.when(textual, F.make_valid_utf8(F.col("content").cast("string"))),
+        raw=F.when(fmt.isin("onnx", "keras", *OBFUSCATED), latin1(F.col("content"))),
+        raw_head=F.when(media, latin1(F.col("head"))),
+        hexed=F.when(media, F.hex("content")),
+        hexed_head=F.when(media, F.hex("head")).otherwise(F.hex(F.substring("head", 1, 32))),
+        hexed_tail=F.when(media, F.hex("tail")),
+    )
     found = F.concat(*map(_or_none, (error, by_format, unknown)), media_rules(df), _or_none(coded))
-    return scored.select("path", F.posexplode(found).alias("ordinal", "f")).select("path", "ordinal", "f.*")
+    return ready.select("path", F.posexplode(found).alias("ordinal", "f")).select("path", "ordinal", "f.*")
 
 
 def walk(path: str, fmt: str, data: bytes, strict: bool = False) -> list[dict]:
