@@ -20,6 +20,7 @@ from flintglass.operators import obfuscation as obf
 from flintglass.operators import textrules as T
 from flintglass.operators.formats import by_extension, by_magic, media_kind, suffix_of
 from flintglass.plans import reports
+from flintglass.sources.tables import spread
 from flintglass.streaming.incremental import next_run, scan_table_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +82,7 @@ def sql_pick(values: list[str], number: str) -> str:
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, suffix, body."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     i = F.col("doc_id")
     path = F.concat(pick(FOLDERS, i), F.lit("/"), F.col("source"), F.lit("/f"), i.cast("string"), pick(SUFFIXES, i))
     return d.select("doc_id", path.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(PAYLOADS, F.floor(i / 3))).alias("body")).withColumn("suffix", suffix_of(F.col("path")))
@@ -103,7 +104,7 @@ TAILS = ["", "49454E44AE426082", "49454E44AE426082000000000000000000000000000000
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, suffix and content in upper-case hexadecimal, made of magic numbers around the text's bytes."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     i = F.col("doc_id")
     body = F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     return d.select("doc_id", F.lower(F.when(i % 3 > 0, pick(OWN_SUFFIXES, i)).otherwise(pick(SUFFIXES, F.floor(i / 7)))).alias("name"), F.concat(pick(HEADS, i), body, pick(MIDDLES, F.floor(i / 2)), F.lit("00112233"), pick(TAILS, F.floor(i / 5))).alias("hexed")).withColumn("suffix", F.regexp_extract("name", r"(\.[^.]+)$", 1)).drop("name")
@@ -214,7 +215,7 @@ def generic_signatures(spark, sf_dir):
 
 @query(regex_sql(S.SVG_PATTERNS, "svg", table="pages", body="html", key="page_id"))
 def markup_script_rules(spark, sf_dir):
-    return found(spark.read.parquet(f"{sf_dir}/pages.parquet"), T.svg(F.col("html")), "page_id")
+    return found(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")), T.svg(F.col("html")), "page_id")
 
 
 @query(f"WITH {ART}, head AS (SELECT doc_id, substr(body, 1, 1048576) AS body FROM art)" + regex_sql(S.SVG_PATTERNS, "svg", table="head"))
@@ -487,7 +488,7 @@ def byte_walks(spark: SparkSession, sf_dir: str, make: Callable[[str, int], byte
     """Rows that walk gives for bytes made from each document."""
     import pyarrow as pa
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
     def run(batches):
         for b in batches:
