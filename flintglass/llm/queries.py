@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from flintglass.llm import bm25, bpe, brown, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
 from flintglass.llm.labelled import crc_mod, sample
+from flintglass.sources.tables import spread
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def vocabulary() -> tuple[str, str]:
