@@ -7,7 +7,7 @@ on its own; both sides share the values to look for.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,7 @@ from flintglass.operators import obfuscation as obf
 from flintglass.operators import textrules as T
 from flintglass.operators.formats import by_extension, by_magic, media_kind, suffix_of
 from flintglass.plans import reports
+from flintglass.sources.shared import shared_dir
 from flintglass.sources.tables import spread
 from flintglass.streaming.incremental import next_run, scan_table_stream
 
@@ -890,8 +891,7 @@ def next_scheduled_run(spark, sf_dir):
 @query(regex_sql(S.SVG_PATTERNS, "svg", table="pages", body="html", key="page_id"))
 def incremental_scan(spark, sf_dir):
     """The markup rules as a stream over the table's files, each read once; the sink is read back."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="incremental-")
-    base = f"{where.rstrip('/')}/incremental-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{id(object())}"
+    base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
     source = f"{sf_dir}/pages.parquet"
     scan_table_stream(spark, f"{sf_dir}/pages[.]parquet", spark.read.parquet(source).schema, lambda df: found(df, T.svg(F.col("html")), "page_id"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
