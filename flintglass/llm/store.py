@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder; without one, as in tests, a temporary folder that becomes the session's."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+from flintglass.sources.shared import shared_dir
 
 
 class Scratch:
     """Written tables of one call; those no longer needed can be dropped early."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
 
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
