@@ -147,6 +147,28 @@ def test_alignment_is_longest():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_every_stretch_that_qualifies_is_found():
+    rnd = random.Random(5)
+    fresh = lambda n: [rnd.randrange(1 << 60) for _ in range(n)]
+    same = [fresh(50) for _ in range(6)]
+    a, b = ([w for p in same for w in [*fresh(16), *p]] for _ in range(2))
+    found = chaining.stretches(a, b, 50, 0.8)
+    covered = {k for lo, hi, *_ in found for k in range(lo, hi)}
+    assert all(k in covered for n in range(6) for k in range(16 + 66 * n, 66 + 66 * n))
+    # an exact passage within text of which three words in four agree
+    loose = [fresh(120), fresh(120)]
+    exact = fresh(60)
+    edit = lambda p: [w if k % 4 else fresh(1)[0] for k, w in enumerate(p)]
+    found = chaining.stretches(loose[0] + exact + loose[1], edit(loose[0]) + exact + edit(loose[1]), 50, 0.8)
+    assert any(lo <= 120 and hi >= 180 for lo, hi, *_ in found)
+    # every fifth word differs: no strict stretch is long, the longest of all is
+    text = fresh(101)
+    assert chaining.stretches(text, [w if k % 5 else fresh(1)[0] for k, w in enumerate(text)], 50, 0.8)
+    for lo, hi, x, y, n in found:
+        assert min(hi - lo, y - x) >= 50 and n >= 0.8 * max(hi - lo, y - x)
+    assert chaining.stretches(text[:49], text[:49], 50, 0.8) == [] == chaining.stretches([], [], 50, 0.8)
+
+
 def test_chains_rise_and_take_the_best():
     pos, src = np.array([0, 5, 6, 9, 14, 20]), np.array([100, 3, 105, 110, 115, 4])
     best = chaining.best_chains(pos, src)[0]
