@@ -155,3 +155,11 @@ def word_hash(word: str) -> int:
     """The hash that words() gives to one word."""
     (_, w), = words(pa.array([word]))
     return int(w.hash[0])
+
+
+def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of values from each start to its end (excluded); equal stretches have equal ones."""
+    up, down = _Powers.upto(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])

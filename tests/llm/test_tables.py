@@ -107,6 +107,32 @@ def test_passages(docs, none):
     assert 152 not in left
 
 
+def test_passages_of_split_sources(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(n) for n in (36, 38, 40, 42, 44, 45, 46, 47, 48, 49)]
+    ten, sixty, fifty, halves = sum(lines, []), fresh(60), fresh(50), [fresh(44), fresh(44)]
+    texts = {i + 1: fresh(20) + line + fresh(30) for i, line in enumerate(lines)}
+    texts |= {100: fresh(15) + ten + fresh(9), 101: ten + fresh(40)}
+    texts |= {20: fresh(9) + sixty[:49] + fresh(9), 21: fresh(9) + sixty + fresh(9), 22: fresh(80) + sixty}
+    texts |= {30: fifty[:49] + fresh(9), 31: fresh(9) + fifty[1:], 32: fresh(9) + fifty + fresh(9), 33: fresh(30) + fifty + fresh(9)}
+    texts |= {40: halves[0], 41: halves[1], 42: fresh(3) + halves[0][-25:] + halves[1][:25], 43: halves[0][-25:] + halves[1][:25] + fresh(3)}
+    texts |= {50: fresh(49), 51: fresh(70)}
+    texts |= {52: fresh(9) + texts[50], 53: texts[51] * 2}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(33, "one other row")], "doc_id long, text string")
+    found = [r for r in chaining.passages(table).collect()]
+    for r in found:
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.src_doc_id][r.src_start_word : r.src_end_word]
+        assert r.src_doc_id < r.doc_id and min(len(a), len(b)) >= 50 and (r.identity < 1 or a == b)
+    earlier = set()
+    for i in sorted(texts):
+        covered = {k for r in found if r.doc_id == i for k in range(r.start_word, r.end_word)}
+        own = [tuple(texts[i][k : k + 50]) for k in range(len(texts[i]) - 49)]
+        assert all(covered >= set(range(k, k + 50)) for k, run in enumerate(own) if run in earlier), i
+        earlier |= set(own)
+    assert {r.doc_id for r in found} == {101, 22, 33, 43, 53}
+
+
 def test_containment(spark, docs, none):
     passage = make()[1]
     ws = passage.split(" ")
