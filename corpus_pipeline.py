@@ -1,7 +1,7 @@
 """The corpus pipeline: stages that each take the documents kept so far and return those to keep.
 
 toxicity: drops documents scored as toxic; fitted on the labelled documents it is given.
-near_dedup: keeps of each group of near-duplicates the document with the least id; rows that repeat
+near_dedup: keeps of each group of near-duplicates (similarity of 0.8 or more) the document with the least id; rows that repeat
 an id are one document, of which the row with the longest text stays. Rows without an id stay.
 substring_dedup: cuts passages out of documents that an earlier document has too, and drops documents
 of which nothing is left.
@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = minhash.near_duplicates(docs)
+    verdicts = minhash.near_duplicates(docs, percent=80)
     copies = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
     repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1").select("doc_id")

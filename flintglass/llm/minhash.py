@@ -7,6 +7,10 @@ similarity of 0.85 differs in 9.7 on average, and in more than 25 once in over a
 so it shares one of the keys made by leaving out one symbol of one chunk: the join on these 65 keys
 finds every pair under the signature distance.
 
+That is for 0.85 or more. Similarities from 0.80 up take another scheme: 64 symbols of 16 bits, a distance of
+31 (a pair at 0.80 differs in 12.8 on average, and in more than 31 less than once in ten million) and 16
+chunks of 4 symbols, of which again one has at most one error.
+
 1. Documents with equal sets form a class, represented by its least id.
 2. Keys held by several classes become buckets. Within each, a search over the signatures finds the
    parts connected by candidate pairs and gives one edge for each further member, never all pairs.
@@ -23,6 +27,8 @@ kept. An empty table gives an empty table. Columns other than the two named ones
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +39,26 @@ from flintglass.llm.store import Scratch
 from flintglass.llm.streams import runs
 from flintglass.llm.words import mix, shingles, words
 
-CHUNKS, WIDTH = 13, 5
-SYMBOLS = CHUNKS * WIDTH
-DISTANCE = 25
+
+class Scheme(NamedTuple):
+    """Chunks of a signature, symbols of a chunk, bytes of a symbol, and the greatest distance of candidates: at most 2 * chunks - 1."""
+
+    chunks: int
+    width: int
+    size: int
+    distance: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(f"<u{self.size}")
+
+
+AT_85, AT_80 = Scheme(13, 5, 1, 25), Scheme(16, 4, 2, 31)
+SYMBOLS, DISTANCE = AT_85.symbols, AT_85.distance
 BLOCK_BYTES = 8 << 20
 BUCKET_ROWS = 50_000
 _U = np.uint64
@@ -43,28 +66,29 @@ _MUL = np.random.Generator(np.random.PCG64(650)).integers(1, 1 << 63, SYMBOLS, d
 _SALT = _U(0xA0761D6478BD642F)
 
 
-def signature(shingle_set: np.ndarray) -> np.ndarray:
-    """8 bits of each minimum over the set."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingle_set: np.ndarray, scheme: Scheme = AT_85) -> np.ndarray:
+    """The first bits of each minimum over the set."""
+    least = np.full(scheme.symbols, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingle_set), 256):
-        np.minimum(least, (shingle_set[None, at : at + 256] * _MUL[:, None]).min(axis=1), out=least)
-    return (mix(least) >> _U(56)).astype(np.uint8)
+        np.minimum(least, (shingle_set[None, at : at + 256] * _MUL[: scheme.symbols, None]).min(axis=1), out=least)
+    return (mix(least) >> _U(64 - 8 * scheme.size)).astype(scheme.kind)
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+def chunk_keys(signatures: np.ndarray, scheme: Scheme = AT_85) -> np.ndarray:
     """For signatures in rows, the keys in columns: which chunk and symbol left out, then the other symbols."""
-    chunks = signatures.reshape(len(signatures), CHUNKS, WIDTH).astype(np.int64)
-    out = np.empty((len(signatures), CHUNKS, WIDTH), np.int64)
-    for left in range(WIDTH):
-        key = np.zeros((len(signatures), CHUNKS), np.int64)
-        for j in range(WIDTH):
+    bits = 8 * scheme.size
+    chunks = signatures.reshape(len(signatures), scheme.chunks, scheme.width).astype(np.int64)
+    out = np.empty((len(signatures), scheme.chunks, scheme.width), np.int64)
+    for left in range(scheme.width):
+        key = np.zeros((len(signatures), scheme.chunks), np.int64)
+        for j in range(scheme.width):
             if j != left:
-                key = (key << 8) | chunks[:, :, j]
-        out[:, :, left] = key | ((np.arange(CHUNKS) * WIDTH + left + 1) << 32)
+                key = (key << bits) | chunks[:, :, j]
+        out[:, :, left] = key | ((np.arange(scheme.chunks) * scheme.width + left + 1) << bits * (scheme.width - 1))
     return out.reshape(len(signatures), -1)
 
 
-def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _digests(docs: DataFrame, key: str, text: str, scheme: Scheme) -> DataFrame:
     def run(batches):
         for b in batches:
             n, hi, lo, sig = [], [], [], []
@@ -74,19 +98,22 @@ def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
                     n.append(len(s))
                     hi.append(np.sum(mix(s), dtype=np.uint64))
                     lo.append(np.sum(mix(s ^ _SALT), dtype=np.uint64))
-                    sig.append(signature(s).tobytes() if len(s) else None)
+                    sig.append(signature(s, scheme).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(key).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hi, lo)), pa.array(sig, pa.binary())], names=["id", "n", "hi", "lo", "sig"])
 
     return docs.select(key, text).mapInArrow(run, "id long, n long, hi long, lo long, sig binary")
 
 
-def _keys(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            p = b.slice(at, 4096)
-            sig = np.frombuffer(b"".join(p.column("sig").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-            keys = chunk_keys(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(p.column("rep")), SYMBOLS))], names=["key", "rep"])
+def _keys(scheme: Scheme):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                p = b.slice(at, 4096)
+                sig = np.frombuffer(b"".join(p.column("sig").to_pylist()), scheme.kind).reshape(-1, scheme.symbols)
+                keys = chunk_keys(sig, scheme)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(p.column("rep")), scheme.symbols))], names=["key", "rep"])
+
+    return run
 
 
 def _shared(batches):
@@ -115,24 +142,28 @@ def _dealt(rows: DataFrame, item: str, group: str) -> DataFrame:
     return rows.withColumn("key", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "blocks")
 
 
-def _bucket_edges(batches):
+def _bucket_edges(scheme: Scheme):
     """Within each bucket, or pair of blocks of one, a spanning forest of its candidate pairs."""
-    for reps, sigs in runs(batches, ["rep", "sig"]):
-        reps = np.asarray(reps)
-        sig = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-        a, b = [], []
-        left = np.arange(len(reps))
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                near = (sig[left] != sig[x]).sum(axis=1) <= DISTANCE
-                found = left[near]
-                queue += found.tolist()
-                a += [reps[x]] * len(found)
-                b += reps[found].tolist()
-                left = left[~near]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        for reps, sigs in runs(batches, ["rep", "sig"]):
+            reps = np.asarray(reps)
+            sig = np.frombuffer(b"".join(sigs.to_pylist()), scheme.kind).reshape(-1, scheme.symbols)
+            a, b = [], []
+            left = np.arange(len(reps))
+            while len(left):
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    near = (sig[left] != sig[x]).sum(axis=1) <= scheme.distance
+                    found = left[near]
+                    queue += found.tolist()
+                    a += [reps[x]] * len(found)
+                    b += reps[found].tolist()
+                    left = left[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -175,20 +206,21 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, scratch: Scratch | None = None) -> DataFrame:
     """For each row: key, n_shingles, component_id and kept, and n_links: the verified links that its class has in the forest."""
-    if not 85 <= percent <= 100:
-        raise ValueError("signatures are made for a similarity of 0.85 or more")
+    if not 80 <= percent <= 100:
+        raise ValueError("signatures are made for a similarity of 0.80 or more")
+    scheme = AT_85 if percent >= 85 else AT_80
     scratch = scratch or Scratch(docs.sparkSession)
-    digests = scratch.keep(_digests(docs, key, text))
+    digests = scratch.keep(_digests(docs, key, text, scheme))
     largest = digests.filter("id is not null and n > 0").groupBy("id").agg(F.max(F.struct("n", "hi", "lo", "sig")).alias("s")).select("id", "s.*")
     member = scratch.keep(largest.select("id", "n", "hi", "lo", "sig"))
     classes = scratch.keep(member.groupBy("n", "hi", "lo").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
 
-    keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
+    keys = classes.select("rep", "sig").mapInArrow(_keys(scheme), "key long, rep long")
     shared = scratch.keep(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, rep long"))
     hot = shared.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET_ROWS)
     buckets = shared.join(hot, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / BUCKET_ROWS).cast("int"), F.lit(1)))
     buckets = _dealt(buckets.drop("rows").withColumnRenamed("key", "bucket"), "rep", "bucket").select("key", "rep").join(classes.select("rep", "sig"), "rep")
-    candidates = scratch.keep(buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_edges, "a long, b long").distinct())
+    candidates = scratch.keep(buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_edges(scheme), "a long, b long").distinct())
     scratch.drop(shared)
     found = components(candidates, scratch)
     groups = found.select(F.col("node").alias("rep"), F.col("component").alias("grp"))

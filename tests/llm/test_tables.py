@@ -79,6 +79,25 @@ def test_near_duplicates(docs, none):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
 
 
+def test_near_duplicates_from_080(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(1000)]
+    changed = lambda k: " ".join(w if j % (1000 // k) or j == 0 else f"x{j}" for j, w in enumerate(base))
+    table = spark.createDataFrame([(0, " ".join(base)), (1, changed(20)), (2, changed(25))], "doc_id long, text string")
+    # 19 and 24 single words replaced: similarities of about 0.83 and 0.785 to the first
+    assert {r.doc_id: r.kept for r in minhash.near_duplicates(table.filter("doc_id < 2")).collect()} == {0: True, 1: True}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, str(tmp_path)).collect()} == {0, 2}
+    bits = minhash.np.random.default_rng(4)
+    for _ in range(300):
+        a = bits.integers(0, 1 << 16, 64, dtype=minhash.np.uint16)
+        b = a.copy()
+        b[bits.choice(64, minhash.AT_80.distance, replace=False)] ^= 1
+        keys = minhash.chunk_keys(minhash.np.stack([a, b]), minhash.AT_80)
+        assert (keys[0] == keys[1]).any()
+
+
 def test_hot_buckets_in_blocks(docs, monkeypatch):
     want = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
     monkeypatch.setattr(minhash, "BUCKET_ROWS", 4)
