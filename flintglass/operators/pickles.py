@@ -54,7 +54,7 @@ def opcodes(data: bytes) -> Iterator[tuple[str, str | None, int]]:
         elif op.name in _LINES:
             parts = []
             for _ in range(_LINES[op.name]):
-                end = data.find(b"\n", at, at + 4096)
+                end = data.find(b"\n", at)
                 if end < 0:
                     return
                 parts.append(data[at:end].decode("utf-8", "replace"))

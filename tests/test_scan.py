@@ -182,3 +182,10 @@ def test_entropy_and_regions():
     packed = zlib.compress(b"a" * (8 << 20))
     assert containers.compressed_regions(b"__" + packed)[0][:2] == ("zlib_default2", 2)
     assert containers.pickle_starts(CALL, 0) and not containers.pickle_starts(b"\x80\x04\x95" + bytes(20), 0)
+
+
+def test_long_lines_of_large_streams_are_read():
+    for line in (b"V" + b"x" * 5000 + b"\n", b"L" + b"1" * 5000 + b"L\n"):
+        data = line + b"0cos\nsystem\n" + b"B" + (1 << 20).to_bytes(4, "little") + bytes(1 << 20) + b"."
+        assert len(data) > pickles.LARGE
+        assert any(f["rule"] == "pickle.known_call" and f["message"].endswith("os.system") for f in pickles.inspect(data))
