@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import mmap
 import struct
 import zipfile
 import zlib
@@ -18,6 +19,39 @@ SEVEN_ZIP = bytes.fromhex(S.ARCHIVE_MAGIC["7z"])
 FIRST_OPCODES = frozenset(b"c}])(\x8c\x89\x81")
 
 
+class Mapped:
+    """A file's bytes, read from where they lie when they are asked for; in the place of bytes in the walks."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, "rb") as f:
+            self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        self.find, self.rfind = self.data.find, self.data.rfind
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, at):
+        return self.data[at]
+
+    def startswith(self, marks: bytes | tuple[bytes, ...]) -> bool:
+        return self.data[:64].startswith(marks)
+
+
+def opened(data: bytes | Mapped):
+    return open(data.path, "rb") if isinstance(data, Mapped) else io.BytesIO(data)  # noqa: SIM115 - the caller's archive reads it
+
+
+def content_of(path: str, length: int, content: bytes | None) -> bytes | Mapped:
+    """The content or, for files that were too large to be a column, the file itself."""
+    if content is not None or not length:
+        return content or b""
+    if length > 1 << 20:
+        return Mapped(path)
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def pickle_starts(data: bytes, at: int) -> bool:
     """Whether a stream of protocol 2 to 5 plausibly starts there."""
     if at + 2 >= len(data):
@@ -51,7 +85,7 @@ def local_headers(data: bytes):
 def directory(data: bytes) -> tuple[list[tuple[str, int]], str | None]:
     """Names and sizes of the members by the central directory, or why there is none."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(opened(data)) as z:
             return [(i.filename, i.file_size) for i in z.infolist()], None
     except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError) as e:
         return [], str(e)
@@ -60,7 +94,7 @@ def directory(data: bytes) -> tuple[list[tuple[str, int]], str | None]:
 def members(data: bytes, most: int = MEMBER_BYTES):
     """Name and content of each member that may hold a stream; unreadable members and those over most bytes are passed over."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(opened(data)) as z:
             for i in z.infolist():
                 if holds_pickle(i.filename) and i.file_size <= most:
                     try:

@@ -83,6 +83,9 @@ def column_findings(df: DataFrame) -> DataFrame:
     text, raw, first = F.col("body"), F.col("raw"), F.substring("raw", 1, 1 << 20)
     error = F.when(F.col("read_error").isNotNull(), F.array(finding("file.error", S.M, F.col("read_error"))))
     unknown = F.when((fmt == "unknown") & F.col("read_error").isNull(), F.array(finding("file.unknown", S.I, F.concat(F.lit("Unknown format: "), fmt))))
+    # rules over the whole content that no walk makes good for a file too large to be a column
+    columned = fmt.isin("yaml", "json", "onnx", "keras") | F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
+    left_out = F.when(columned & F.col("content").isNull() & F.col("read_error").isNull(), F.array(finding("file.unscanned", S.H, F.lit("File too large: rules over its whole content were not applied"))))
     by_format = (
         F.when(fmt == "yaml", textrules.yaml(F.col("path"), text))
         .when(fmt == "json", textrules.workflow(text))
@@ -92,17 +95,17 @@ def column_findings(df: DataFrame) -> DataFrame:
     coded = F.when(fmt.isin(*OBFUSCATED), obf.rollup(first, F.col("bits")))
     media = F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
     textual = fmt.isin("yaml", "json")
-    ready = df.withColumn("bits", F.when(fmt.isin(*OBFUSCATED), obf.entropy(F.substring("content", 1, 1 << 20))))
+    ready = df.withColumn("bits", F.when(fmt.isin(*OBFUSCATED), obf.entropy(F.substring(F.coalesce("content", "head"), 1, 1 << 20))))
     ready = _fixed(
         ready,
         body=F.when(textual, F.make_valid_utf8(F.col("content").cast("string"))),
-        raw=F.when(fmt.isin("onnx", "keras", *OBFUSCATED), latin1(F.col("content"))),
+        raw=F.when(fmt.isin("onnx", "keras", *OBFUSCATED), latin1(F.coalesce("content", "head"))),
         raw_head=F.when(media, latin1(F.col("head"))),
         hexed=F.when(media, F.hex("content")),
         hexed_head=F.when(media, F.hex("head")).otherwise(F.hex(F.substring("head", 1, 32))),
         hexed_tail=F.when(media, F.hex("tail")),
     )
-    found = F.concat(*map(_or_none, (error, by_format, unknown)), media_rules(df), _or_none(coded))
+    found = F.concat(*map(_or_none, (error, by_format, unknown, left_out)), media_rules(df), _or_none(coded))
     return ready.select("path", F.posexplode(found).alias("ordinal", "f")).select("path", "ordinal", "f.*")
 
 
@@ -130,11 +133,10 @@ def walk(path: str, fmt: str, data: bytes, strict: bool = False) -> list[dict]:
             add("archive.7z_pickle", S.C, f"Pickle data found inside 7z archive at {len(places)} location(s)", places[0], cve=["CVE-2025-1716"], hits=len(places))
             stream(data[places[0] :], places[0], "7z")
     elif data.startswith((b"PK\x03\x04", b"PK\x05\x06")):
-        raw = list(containers.local_headers(data))
-        zeroed = [n for n, crc, size, _, _ in raw if crc == 0 and size > 0]
+        zeroed = [n for n, crc, size, _, _ in containers.local_headers(data) if crc == 0 and size > 0]
         if zeroed:
             add("archive.zero_crc", S.H, f"ZIP archive has zeroed CRC values (CVE-2025-10156 bypass): {', '.join(zeroed[:3])}", None, cve=["CVE-2025-10156"], hits=len(zeroed))
-        for name, _, _, start, content in raw:
+        for name, _, _, start, content in containers.local_headers(data):
             if content[:1] == b"\x80" and len(content) > 1 and content[1] <= 5:
                 stream(content, start, name)
         listed, why = containers.directory(data)
@@ -210,9 +212,11 @@ def walked_findings(df: DataFrame, strict: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                path, fmt, data = (b.column(i)[k].as_py() for i in range(3))
+                path, fmt, length, data = (b.column(i)[k].as_py() for i in range(4))
                 try:
-                    found = walk(path, fmt, data or b"", strict)
+                    found = walk(path, fmt, containers.content_of(path, length, data), strict)
+                except (OSError, MemoryError) as e:
+                    found = [{"rule": "file.unscanned", "severity": S.H, "message": f"File not scanned: {type(e).__name__}: {e}"}]
                 except Exception as e:  # noqa: BLE001 - isolation of hostile inputs
                     found = [{"rule": "scan.error", "severity": S.M, "message": f"Scan error: {type(e).__name__}: {e}"}]
                 yield pa.RecordBatch.from_pylist([{"path": path, "ordinal": 1000 + i, **{n: f.get(n) for n in _ROW.names[2:]}} for i, f in enumerate(found)], schema=_ROW)
@@ -222,7 +226,7 @@ def walked_findings(df: DataFrame, strict: bool) -> DataFrame:
     if strict:
         wanted = wanted & ~((F.col("format").isin("pytorch", "7z_archive")))
     fields = "path string, ordinal int, rule string, severity string, message string, location bigint, technique string, cve array<string>, hits bigint"
-    return df.filter(wanted | magic.startswith("504B0304")).select("path", "format", "content").mapInArrow(run, fields)
+    return df.filter(wanted | magic.startswith("504B0304")).select("path", "format", "length", "content").mapInArrow(run, fields)
 
 
 def gguf_findings(df: DataFrame) -> DataFrame:
@@ -232,7 +236,11 @@ def gguf_findings(df: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for k in range(b.num_rows):
-                path, fmt, data = (b.column(i)[k].as_py() for i in range(3))
+                path, fmt, length, data = (b.column(i)[k].as_py() for i in range(4))
+                try:
+                    data = containers.content_of(path, length, data)
+                except OSError:  # the walk has a finding for it
+                    data = b""
                 if fmt == "gguf":
                     meta = containers.gguf(data or b"")["metadata"]
                     template = containers.chat_template(meta)
@@ -245,7 +253,7 @@ def gguf_findings(df: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "kind", "key", "value"])
 
-    pairs = df.filter(F.col("format").isin("gguf", "safetensors")).select("path", "format", "content").mapInArrow(run, "path string, kind string, key string, value string")
+    pairs = df.filter(F.col("format").isin("gguf", "safetensors")).select("path", "format", "length", "content").mapInArrow(run, "path string, kind string, key string, value string")
     key, value = F.col("key"), F.col("value")
     found = (
         F.when(F.col("kind") == "template", textrules.gguf_template(value))
