@@ -42,7 +42,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> crf.Model:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return _judged(crf.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels"))), 4, 2)
+    return _judged(crf.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")), spans=True), 4, 2)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,11 @@ def test_scores(spark, docs, none):
     assert crf.clean(docs, crf.fit([])).columns == docs.columns
 
 
+def test_toxicity_query_gives_spans(spark):
+    out = queries.op3_toxicity(spark, "/root/testdata/sf0.001")
+    assert "spans" in out.columns and out.filter("size(spans) > 0 and spans[0].end > spans[0].start").count() > 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
