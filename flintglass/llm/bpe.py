@@ -3,12 +3,19 @@
 After every byte of a piece there is exactly one last token that the merge order gives to the prefix
 read so far, and a token t may follow a last token s iff encoding their joined bytes gives [s, t].
 So the transducer keeps, for every position from which some token could still be in progress, the
-bytes read since then, the last token before it and the tokens not yet emitted. Tokens that all these
-positions share are certain and are emitted: the lookahead never exceeds the longest token. Such sets
-of positions are the states; they and their transitions are made when first met and dropped together
-when there are too many, so memory is bounded however varied the texts are.
-
-Inputs: null and empty texts have no tokens; texts of any length work, as pieces are streamed; rows
+place in the vocabulary's trie that the bytes read since then lead to, and which of the tokens below it
+the last token before the position rules out. Such sets are the states; each has the last token of the
+prefixes that lead to it, and they and their transitions are made when first met. Where few tokens are
+below a place, those ruled out are listed, so all contexts that rule out the same ones share a state;
+elsewhere the last token itself stands for them. States are dropped together when there are too many,
+so memory is bounded however varied the texts are.
+
+Tokens are read back from the last tokens of prefixes. All positions in progress have such a way back, and
+where these ways meet, everything before is certain and is emitted: the lookahead is bounded by the
+vocabulary, not by the piece.
+
+Inputs: null and empty texts have no tokens. Pieces of a text beyond STREAM characters are encoded, hashed and
+decoded in runs of RUN, so round_trip and lengths hold no more of it than the text itself. Rows
 are independent, so ties and repeated rows need no rule; an empty table gives an empty table. Columns
 of the input other than the named ones are kept, and an output column replaces one of its name.
 """
@@ -28,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MAX_STATES = 120_000
-MAX_MEMO = 300_000
-MAX_MEMO_CHARS = 48
-DONE = b""
+LISTED = 16
+SETTLE = 4096
+#: Pieces in each of a memo's two generations: about 100 MB together, or 25 MB beside other work.
+MEMO, SMALL_MEMO = 300_000, 60_000
+MEMO_CHARS = 48
+STREAM, RUN = 1 << 20, 1 << 16
 
 
 class Transducer:
@@ -42,16 +52,46 @@ class Transducer:
             raise ValueError(f"not a byte-level vocabulary: no token for byte {missing[0]}")
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
+        self.lefts: dict[int, list[tuple[int, int]]] = {}
+        self.rights: dict[int, list[tuple[dict[int, int], int]]] = {}
+        self.joins: dict[int, dict[int, int]] = {}
+        self._grow()
+        self.moves: dict[int, int] = {}
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.last: list[int] = []
+        self.ruled: list[frozenset[int]] = []
+        self.ruled_ids: dict[frozenset[int], int] = {}
+        self.contexts: dict[tuple[int, int], int] = {}
         self.reset()
 
+    def _grow(self) -> None:
+        """The trie: (node << 8 | byte) -> node; a node's token or -1, its depth, and its tokens' range in order of bytes."""
+        self.order = [self.ranks[b] for b in sorted(self.ranks)]
+        self.kids: dict[int, int] = {}
+        self.token, self.depth, self.low, self.high = [-1], [0], [0], [len(self.order)]
+        path, before = [0], b""
+        for k, t in enumerate(self.order):
+            text = self.bytes_of[t]
+            same = next((n for n, (x, y) in enumerate(zip(text, before, strict=False)) if x != y), min(len(text), len(before)))
+            for node in path[same + 1 :]:
+                self.high[node] = k
+            del path[same + 1 :]
+            for byte in text[same:]:
+                self.kids[path[-1] << 8 | byte] = len(self.token)
+                path.append(len(self.token))
+                for column, value in ((self.token, -1), (self.depth, len(path) - 1), (self.low, k), (self.high, len(self.order))):
+                    column.append(value)
+            self.token[path[-1]] = t
+            before = text
+        self.inner = {x >> 8 for x in self.kids}
+
     def reset(self) -> None:
-        self.start = ((DONE, -1, ()),)
-        self.ids = {self.start: 0}
-        self.states = [self.start]
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.valid: dict[tuple[int, int], bool] = {}
+        for kept in (self.moves, self.ids, self.states, self.last, self.ruled, self.ruled_ids, self.contexts):
+            kept.clear()
+        self._state(((0, self._listed(frozenset())),), -1)
 
     def merged(self, text: bytes, until: int = 1) -> list[int]:
         """By applying the lowest-ranked merge again and again, stopping at that many parts; the definition of the encoding."""
@@ -76,6 +116,29 @@ class Transducer:
                 self.parts[token] = (made[0], made[1])
         return self.parts[token]
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens on the left (0) or right (1) edge of a token's merge tree, each with the rank of the merge that takes it away."""
+        out, gone = [], 1 << 60
+        while True:
+            out.append((token, gone))
+            if (p := self.split(token)) is None:
+                return out
+            token, gone = p[side], token
+
+    def _after(self, token: int) -> dict[int, int]:
+        """The tokens that this one merges with when they come next, and the rank of the merge."""
+        made = self.joins.get(token)
+        if made is None:
+            node, n, made = 0, self.size[token], {}
+            for byte in self.bytes_of[token]:
+                node = self.kids[node << 8 | byte]
+            for k in range(self.low[node], self.high[node]):
+                rest = self.ranks.get(self.bytes_of[self.order[k]][n:])
+                if rest is not None:
+                    made[rest] = self.order[k]
+            self.joins[token] = made
+        return made
+
     def follows(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their joined bytes are encoded.
 
@@ -83,68 +146,104 @@ class Transducer:
         merge tree and the left edge of the other; the seam closes if two of them merge before the
         merges that take them away.
         """
-        a, a_gone = left, 1 << 60
-        while True:
-            b, b_gone = right, 1 << 60
-            while True:
-                rank = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-                if rank is not None and rank < a_gone and rank <= b_gone:
+        edge = self.lefts.get(right)
+        if edge is None:
+            edge = self.lefts[right] = self._edge(right, 0)
+        seam = self.rights.get(left)
+        if seam is None:
+            seam = self.rights[left] = [(after, gone) for token, gone in self._edge(left, 1) if (after := self._after(token))]
+        for after, a_gone in seam:
+            for b, b_gone in edge:
+                if b in after and after[b] < a_gone and after[b] <= b_gone:
                     return False
-                if (p := self.split(b)) is None:
-                    break
-                b, b_gone = p[0], b
-            if (p := self.split(a)) is None:
-                return True
-            a, a_gone = p[1], a
-
-    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple]:
-        """The next state, and what it makes certain."""
-        live, last, prefixes, get, char = [], None, self.prefixes, self.ranks.get, bytes((byte,))
-        for seen, before, pending in state:
-            seen += char
-            if seen in prefixes:
-                live.append((seen, before, pending))
-            if last is None and (token := get(seen)) is not None:
-                if before >= 0:
-                    ok = self.valid.get((before, token))
-                    if ok is None:
-                        if len(self.valid) > 2 * self.max_states:
-                            self.valid.clear()
-                        ok = self.valid[before, token] = self.follows(before, token)
-                if before < 0 or ok:
-                    last = (DONE, token, (*pending, token))
-        live.append(last)
-        sure = 0
-        for token in live[0][2]:
-            if any(len(p) <= sure or p[sure] != token for _, _, p in live):
-                break
-            sure += 1
-        if not sure:
-            return tuple(live), ()
-        return tuple([(s, b, p[sure:]) for s, b, p in live]), last[2][:sure]
+        return True
+
+    def _listed(self, ruled: frozenset[int]) -> int:
+        """The context, a negative number, that rules out these tokens, given by their places in order."""
+        number = self.ruled_ids.get(ruled)
+        if number is None:
+            number = self.ruled_ids[ruled] = len(self.ruled)
+            self.ruled.append(ruled)
+        return ~number
+
+    def _context(self, node: int, before: int) -> int:
+        """What a context of the node's parent comes to at the node."""
+        if before == -1:
+            return before
+        known = self.contexts.get((node, before))
+        if known is None:
+            low, high = self.low[node], self.high[node]
+            if before < 0:
+                known = self._listed(frozenset(k for k in self.ruled[~before] if low <= k < high))
+            elif high - low > LISTED:
+                known = before
+            else:
+                known = self._listed(frozenset(k for k in range(low, high) if not self.follows(before, self.order[k])))
+            self.contexts[node, before] = known
+        return known
+
+    def _allowed(self, node: int, before: int) -> bool:
+        return self.low[node] not in self.ruled[~before] if before < 0 else self.follows(before, self.token[node])
+
+    def _state(self, live: tuple[tuple[int, int], ...], last: int) -> int:
+        number = self.ids.get((live, last))
+        if number is None:
+            number = self.ids[live, last] = len(self.states)
+            self.states.append(live)
+            self.last.append(last)
+        return number
+
+    def _step(self, at: int, byte: int) -> int:
+        """A transition met for the first time."""
+        if len(self.states) >= self.max_states:
+            now = [(node, before, before < 0 and self.ruled[~before]) for node, before in self.states[at]]
+            self.reset()
+            at = self._state(tuple((node, before if ruled is False else self._listed(ruled)) for node, before, ruled in now), -1)
+        live, last = [], -1
+        for node, before in self.states[at]:
+            node = self.kids.get(node << 8 | byte)
+            if node is not None:
+                if last < 0 and self.token[node] >= 0 and self._allowed(node, before):
+                    last = self.token[node]
+                if node in self.inner:
+                    live.append((node, self._context(node, before)))
+        live.append((0, last))
+        to = self.moves[at << 8 | byte] = self._state(tuple(live), last)
+        return to
+
+    def _read_back(self, track: list[int], end: int) -> list[int]:
+        """The tokens of the first bytes, given the last token at each byte."""
+        out, size = [], self.size
+        while end:
+            token = track[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
+
+    def _settled(self, track: list[int], at: int) -> int:
+        """Where the ways back from all positions in progress meet."""
+        ends = {len(track) - self.depth[node] for node, _ in self.states[at]}
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - self.size[track[end - 1]])
+        return ends.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        at = 0
-        for byte in piece:
-            move = self.moves[at].get(byte)
-            if move is None:
-                state, made = self.step(self.states[at], byte)
-                to = self.ids.get(state)
-                if to is None:
-                    if len(self.states) >= self.max_states:
-                        self.reset()
-                        at = -1
-                    to = self.ids[state] = len(self.states)
-                    self.states.append(state)
-                    self.moves.append({})
-                move = (to, made)
-                if at >= 0:
-                    self.moves[at][byte] = move
-            at = move[0]
-            out += move[1]
-        out += self.states[at][-1][2]
-        return out
+        track: list[int] = []
+        at, get, last, add = 0, self.moves.get, self.last, track.append
+        for lo in range(0, len(piece), SETTLE):
+            if lo:
+                end = self._settled(track, at)
+                out += self._read_back(track, end)
+                del track[:end]
+            for byte in piece[lo : lo + SETTLE]:
+                to = get(at << 8 | byte)
+                at = self._step(at, byte) if to is None else to
+                add(last[at])
+        return out + self._read_back(track, len(track))
 
 
 #: Ranges of first bytes: bytes that follow, and the range of the first of these.
@@ -197,7 +296,7 @@ NARROW = 0x250
 
 
 def _narrow(pattern: str):
-    """The pattern's findall for texts below NARROW, its classes spelled out, and the test for other texts; None if it has classes other than these."""
+    """The pattern for texts below NARROW, its classes spelled out, and the test for other texts; None if it has classes other than these."""
     import regex
 
     spelled = {}
@@ -217,20 +316,22 @@ def _narrow(pattern: str):
         both = spelled.get(name.lower() if name == r"\S" else name)
         parts.append(name if both is None else both if inner else f"[^{both}]" if name == r"\S" else f"[{both}]")
         rest = rest[len(name) :]
-    return re.compile("".join(parts)).findall, re.compile(f"[^\0-{chr(NARROW - 1)}]").search
+    return re.compile("".join(parts)), re.compile(f"[^\0-{chr(NARROW - 1)}]").search
 
 
 class Codec:
     """A vocabulary with its splitting pattern."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memo: int = MEMO):
         import regex
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.machine = Transducer(ranks)
-        self.general, self.narrow, self.wide = regex.compile(pattern).findall, *_narrow(pattern)
+        self.general, self.narrow, self.wide = regex.compile(pattern), *_narrow(pattern)
+        self.most = memo
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.table[i] = b
@@ -242,40 +343,52 @@ class Codec:
                 except UnicodeDecodeError:
                     pass
 
-    def pieces(self, text: str) -> list[str]:
-        return self.general(text) if self.narrow is None or self.wide(text) else self.narrow(text)
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, of a long one in runs."""
+        matcher = self.general if self.narrow is None or self.wide(text) else self.narrow
+        if len(text) <= STREAM:
+            yield matcher.findall(text)
+        else:
+            yield from map(list, itertools.batched((m.group() for m in matcher.finditer(text)), RUN))
 
     def piece(self, text: str) -> tuple[int, ...]:
-        out = tuple(self.machine.encode(text.encode()))
-        if len(text) <= MAX_MEMO_CHARS:
-            if len(self.memo) >= MAX_MEMO:
-                self.memo.clear()
+        """The ids of a piece that isn't in the memo, which keeps what was asked for since it was last full or the time before."""
+        out = self.older.get(text)
+        if out is None:
+            out = tuple(self.machine.encode(text.encode()))
+        if len(text) <= MEMO_CHARS:
+            if len(self.memo) >= self.most:
+                self.memo, self.older = {}, self.memo
             self.memo[text] = out
         return out
 
+    def runs(self, text: str | None) -> Iterator[list[tuple[int, ...]]]:
+        """The ids of each piece, of a long text in runs."""
+        for pieces in self.pieces(text or ""):
+            get, piece = self.memo.get, self.piece
+            yield [get(x) or piece(x) for x in pieces]
+
     def __call__(self, text: str | None) -> list[int]:
-        get, piece = self.memo.get, self.piece
-        return list(itertools.chain.from_iterable([get(x) or piece(x) for x in self.pieces(text or "")]))
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as the ids come; tokens that hold whole characters pass while the decoder holds nothing."""
-        stream, whole = Utf8Decoder(), self.whole
-        for i in ids:
-            text = whole[i]
-            if text is None or stream.due:
-                text = stream.feed(self.table[i])
-            yield text
-        yield stream.finish()
+        return [i for run in self.runs(text) for ids in run for i in ids]
+
+    def count(self, text: str | None) -> int:
+        return sum(sum(map(len, run)) for run in self.runs(text))
+
+    def decode(self, ids: Iterable[int], stream: Utf8Decoder) -> str:
+        """The text that the ids complete; tokens that hold whole characters pass while the decoder holds nothing."""
+        whole = [self.whole[i] for i in ids]
+        if None not in whole and not stream.due:
+            return "".join(whole)
+        return "".join([stream.feed(self.table[i]) if text is None or stream.due else text for i, text in zip(ids, whole, strict=True)])
 
     def text(self, ids: list[int]) -> str:
-        whole = self.whole
-        parts = [whole[i] for i in ids]
-        return "".join(self.decode(ids) if None in parts else parts)
+        stream = Utf8Decoder()
+        return self.decode(ids, stream) + stream.finish()
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, memo: int = MEMO) -> Codec:
+    return Codec(path, pattern, memo)
 
 
 def _replaced(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
@@ -309,7 +422,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 p = b.slice(k, 256)
-                made = pa.array(["".join(c.decode(x or [])) for x in p.column(ids).to_pylist()], pa.string())
+                made = pa.array([c.text(x or []) for x in p.column(ids).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(p.column(n) for n in kept), made], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -321,12 +434,12 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", id
     kept = schema.names[:-2]
 
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, pattern, SMALL_MEMO)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 p = b.slice(k, 256)
                 made = [c(x) for x in p.column(text).to_pylist()]
-                back = pa.array([None if p.column(text)[i].as_py() is None else "".join(c.decode(x)) for i, x in enumerate(made)], pa.string())
+                back = pa.array([c.text(x) if known else None for x, known in zip(made, p.column(text).is_valid().to_pylist(), strict=True)], pa.string())
                 cols = [back if n == text else p.column(n) for n in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.list_(pa.int32())), pa.array([len(x) for x in made], pa.int64())], names=schema.names)
 
@@ -344,10 +457,16 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
             for x in b.column(text):
-                ids = c(x.as_py())
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(c.text(ids).encode()).hexdigest())
+                n, of_ids, of_text, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Decoder()
+                for run in c.runs(x.as_py()):
+                    ids = list(itertools.chain.from_iterable(run))
+                    of_ids.update((" " * (n > 0) + " ".join([names[i] for i in ids])).encode())
+                    of_text.update(c.decode(ids, stream).encode())
+                    n += len(ids)
+                of_text.update(stream.finish().encode())
+                counts.append(n)
+                ids_sha.append(of_ids.hexdigest())
+                text_sha.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -359,7 +478,7 @@ def lengths(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            made = np.fromiter((len(c(x.as_py())) for x in b.column(text)), np.int64, b.num_rows)
+            made = np.fromiter((c.count(x.as_py()) for x in b.column(text)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(made)], names=["n_tokens"])
 
     return df.select(text).mapInArrow(run, "n_tokens long")

@@ -51,14 +51,32 @@ def test_bpe_equals_library(codec):
     for t in texts:
         ids = codec(t)
         assert ids == library.encode_ordinary(t)
-        assert codec.text(ids) == t == "".join(codec.decode(ids))
-        assert codec.general(t) == codec.pieces(t)
+        stream = bpe.Utf8Decoder()
+        assert codec.text(ids) == t == "".join([codec.decode([i], stream) for i in ids]) + stream.finish()
+        assert [codec.general.findall(t)] == list(codec.pieces(t))
+        assert codec.count(t) == len(ids)
     codec.machine.max_states, kept = 50, codec.machine.max_states
-    codec.memo.clear()
+    codec.memo, codec.older = {}, {}
     assert all(codec(t) == library.encode_ordinary(t) for t in texts[-200:])
     codec.machine.max_states = kept
 
 
+def test_bpe_in_runs_equals_library(monkeypatch):
+    """Texts beyond STREAM, pieces beyond SETTLE bytes and a memo that is full again and again."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}  # noqa: SIM115
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(8)
+    for name, value in (("STREAM", 40), ("RUN", 7), ("SETTLE", 16)):
+        monkeypatch.setattr(bpe, name, value)
+    codec = bpe.Codec(PATH, public_tokenizers.PATTERN, memo=20)
+    for n in [*range(1, 200, 7), 3000]:
+        for letters in ("abcdefgh thion \n\t'sllé漢😀0123 AB!!%", "ab", "etaoin", "é漢", "0123456789"):
+            t = "".join(rnd.choice(letters) for _ in range(n))
+            assert codec(t) == library.encode_ordinary(t)
+            assert "".join(x for run in codec.pieces(t) for x in run) == t
+            assert codec.count(t) == len(codec(t))
+
+
 def test_utf8_decoder():
     rnd = random.Random(3)
     for _ in range(5000):
