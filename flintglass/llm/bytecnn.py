@@ -5,7 +5,7 @@ chunks of two CHUNK-byte halves that overlap by one half; a document is then des
 and the maximum of its chunks' values, which one logistic unit combines into a probability. Filters
 are kept as tables of byte pairs, so a response is a sum of WIDTH / 2 table rows.
 
-Fitting uses a bounded sample (rows, max_chars) with Adam; gradients reach a filter through the
+Fitting uses a bounded sample (ROWS, CHARS) with Adam; gradients reach a filter through the
 positions where it was greatest. Scoring covers every byte of every text, in blocks. Null and empty
 texts are one chunk of zero bytes. Repeated rows score alike. An empty table gives an empty table.
 Without labels of both kinds the score is the smoothed share of label 1. Only the two named columns
@@ -24,7 +24,7 @@ from flintglass.llm.words import slices, utf8
 
 FILTERS, WIDTH, CHUNK = 16, 6, 256
 BLOCK = 64
-ROWS, MAX_CHARS = 5000, 30_000
+ROWS, CHARS = 5000, 20_000_000
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 6
 
 

@@ -8,7 +8,7 @@ the conditional likelihood, whose gradient the forward-backward marginals give.
 a logistic function, fitted to the same documents, of the logarithm of its strength, the sum of the squared marginals of T: squaring keeps the many faint
 marginals of a long clean text from adding up.
 
-Fitting uses a bounded sample (rows, max_chars); scoring covers every word of every text. Chains are
+Fitting uses a bounded sample (ROWS, CHARS), of which a part (CHAIN_WORDS) is held in full at a time; scoring covers every word of every text. Chains are
 cut into segments whose 2x2 transfer matrices are computed side by side and then combined, which is
 exact for any length. Null or empty texts have no tokens and score as a text without T tokens.
 Repeated rows score alike. An empty table gives an empty table. Without labels of both kinds the
@@ -29,10 +29,10 @@ from flintglass.llm.words import words
 AFFIXES = (4, 5, 6)
 BITS = 21
 SEGMENT = 128
-ROWS, MAX_CHARS = 5000, 30_000
+ROWS, CHARS = 5000, 20_000_000
 MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.015, 3, 25.0
 STEPS, RATE, DECAY = 30, 0.3, 1e-4
-CHAIN_WORDS = 400_000
+CHAIN_WORDS = 200_000
 _U = np.uint64
 
 
@@ -130,6 +130,24 @@ def strength(p: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.append(p * p, 0.0), np.minimum(ptr[:-1], len(p))) * (np.diff(ptr) > 0)
 
 
+def _odds(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """exp of each token's score for T, one kind of feature after the other."""
+    total = np.full(slots.shape[1], float(weights[-1]))
+    for s in slots:
+        total += weights[s]
+    return np.exp(np.clip(total, -30, 30, out=total), out=total)
+
+
+def _parts(ptr: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of chains of about CHAIN_WORDS tokens together."""
+    out, lo = [], 0
+    while lo < len(ptr) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ptr, ptr[lo] + CHAIN_WORDS, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray | None
@@ -137,7 +155,7 @@ class Model:
     scale: tuple[float, float]
 
     def odds(self, slots: np.ndarray) -> np.ndarray:
-        return np.exp(np.clip(self.weights[slots].sum(axis=0, dtype=np.float64) + self.weights[-1], -30, 30))
+        return _odds(self.weights, slots)
 
     def score(self, strengths: np.ndarray) -> np.ndarray:
         a, b = self.scale
@@ -197,12 +215,18 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     w, trans = np.zeros(size), np.zeros((2, 2))
     w[-1] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4))
     sums = [np.zeros(size), np.zeros((2, 2))]
+    parts = _parts(ptr)
+    rest = np.empty(len(y))
     for _ in range(STEPS):
-        odds = np.exp(np.clip(w[slots].sum(axis=0) + w[-1], -30, 30))
-        p, expected = marginals(odds, ptr, np.exp(trans), True)
-        rest = y - p
+        expected = np.zeros((2, 2))
+        for lo, hi in parts:
+            a, b = ptr[lo], ptr[hi]
+            p, some = marginals(_odds(w, slots[:, a:b]), ptr[lo : hi + 1] - a, np.exp(trans), True)
+            rest[a:b] = y[a:b] - p
+            expected += some
         grad = -DECAY * len(y) * w / 100
-        grad[:-1] += sum(np.bincount(s, weights=rest, minlength=1 << BITS) for s in slots)
+        for s in slots:
+            grad[:-1] += np.bincount(s, weights=rest, minlength=1 << BITS)
         grad[-1] += rest.sum()
         g2 = seen - expected - DECAY * len(y) * trans / 100
         for k, (value, g) in enumerate(((w, grad), (trans, g2))):
@@ -210,8 +234,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             value += RATE * g / np.sqrt(sums[k] + 1e-6)
         trans -= trans[0, 0]
     model = Model(w.astype(np.float32), np.exp(trans), (1.0, 0.0))
-    p = marginals(model.odds(slots), ptr, model.step)
-    model.scale = logistic(np.log(strength(p, ptr) + 0.01), toxic.astype(float))
+    strengths = [strength(marginals(model.odds(slots[:, ptr[lo] : ptr[hi]]), ptr[lo : hi + 1] - ptr[lo], model.step), ptr[lo : hi + 1] - ptr[lo]) for lo, hi in parts]
+    model.scale = logistic(np.log(np.concatenate(strengths) + 0.01), toxic.astype(float))
     return model
 
 

@@ -37,7 +37,7 @@ def _judged(scored: DataFrame, modulus: int, rest: int) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> crf.Model:
-    return crf.fit(sample(docs, labels, "toxic", crc_mod("doc_id", 4) != 2, crf.ROWS, crf.MAX_CHARS))
+    return crf.fit(sample(docs, labels, "toxic", crc_mod("doc_id", 4) != 2, crf.ROWS, crf.CHARS))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = bytecnn.fit(sample(docs, _table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 5) != 0, bytecnn.ROWS, bytecnn.MAX_CHARS))
+    model = bytecnn.fit(sample(docs, _table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 5) != 0, bytecnn.ROWS, bytecnn.CHARS))
     return _judged(bytecnn.score(docs, model), 5, 0)
 
 

@@ -9,12 +9,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from flintglass.llm import bm25, bpe, brown, bytecnn, chaining, containment, crf, minhash, queries, sharding, tokencounts
 from flintglass.llm.labelled import crc_mod, sample
+from flintglass.llm.words import words as words_of
 
 VOCABULARY = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, key string, id string, n string"
@@ -280,6 +282,68 @@ def test_scores(spark, docs, none):
     assert crf.clean(docs, crf.fit([])).columns == docs.columns
 
 
+def test_sample_is_bounded(spark):
+    """A key with many rows, or one long text, brings no more to the driver than rows and chars allow."""
+    docs = spark.createDataFrame([(i % 3, "x" * (i % 50 + 1), "k") for i in range(3000)] + [(7, "y" * 5000, "k"), (8, "", "k"), (9, None, "k"), (None, "z", "k")], "doc_id long, text string, k string")
+    labels = spark.createDataFrame([(i, i % 2, "h") for i in range(10)] * 2 + [(0, 1, "h")], "doc_id long, toxic int, h string")
+    got = sample(docs, labels, "toxic", F.lit(True), 20, 10**6)
+    assert Counter(got) == Counter([("x" * 50, 1), ("x" * 50, 1), ("x" * 50, 0), ("y" * 5000, 1)])
+    assert sum(len(t) for t, _ in sample(docs, labels, "toxic", F.lit(True), 20, 200)) <= 200
+    assert len(sample(docs, labels, "toxic", F.lit(True), 2, 10**6)) <= 2 and sample(docs.limit(0), labels, "toxic", F.lit(True), 20, 100) == []
+
+
+@pytest.mark.parametrize(("name", "label", "modulus", "rest"), [("op3_toxicity", "toxic", 4, 2), ("op6_quality", "quality", 5, 0)])
+def test_classifier_contract(spark, tmp_path, name, label, modulus, rest):
+    """held_out, predicted and the range of scores; labels of held-out rows, and other columns, change nothing."""
+    rnd = random.Random(4)
+    mean = lambda i: i % 3 == 0
+    words = [f"w{k}" for k in range(300)]
+    text = lambda i: " ".join(rnd.choices(words, k=60) + (["vile", "horrid", "vilest"] if mean(i) else []))
+    rows = [(i, text(i)) for i in range(240)] + [(300, None), (301, ""), (302, "vile " * 3000)]
+    held = lambda i: zlib.crc32(str(i).encode()) % modulus == rest
+    seen = []
+    for flip in (False, True):
+        folder = f"{tmp_path}/{flip}"
+        spark.createDataFrame([(i, t, "en" if flip else "de", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, int(mean(i) != (flip and held(i)))) for i, _ in rows], f"doc_id long, {label} int").write.parquet(f"{folder}/labels.parquet")
+        got = queries.QUERIES[name](spark, folder).collect()
+        assert len(got) == len(rows) and all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+        seen.append({r.doc_id: r.score for r in got})
+    assert seen[0] == seen[1]
+    if label == "toxic":
+        right = [(seen[0][i] >= 0.3) == mean(i) for i, t in rows[:240] if held(i)]
+        assert sum(right) >= 0.95 * len(right)
+
+
+def test_toxicity_score_equals_recursion(spark):
+    """Scores and spans of op3's operator against a plain forward-backward recursion over each text."""
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(50)]
+    rows = [(" ".join(rnd.choices(words, k=rnd.randrange(1, 300)) + (["vile", "horrid"] * 3 if k % 2 else [])), k % 2) for k in range(60)]
+    model = crf.fit(rows)
+    texts = [t for t, _ in rows] + ["", " ".join(rnd.choices([*words, "vile"], k=700))]
+    got = {r.doc_id: r for r in crf.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spans=True).collect()}
+    for i, t in enumerate(texts):
+        hashed = [w for _, w in words_of(pa.array([t]), crf.AFFIXES)]
+        odds = model.odds(crf.features(hashed[0])) if hashed and len(hashed[0].hash) else []
+        forward, state = [], (1.0, 0.0)
+        for e in odds:
+            state = tuple(sum(state[a] * model.step[a][b] for a in (0, 1)) * (e if b else 1.0) for b in (0, 1))
+            state = tuple(x / sum(state) for x in state)
+            forward.append(state)
+        back, p = (1.0, 1.0), []
+        for k in range(len(odds) - 1, -1, -1):
+            both = [forward[k][b] * back[b] for b in (0, 1)]
+            p.append(both[1] / sum(both))
+            back = tuple(sum(model.step[a][b] * (odds[k] if b else 1.0) * back[b] for b in (0, 1)) for a in (0, 1))
+            back = tuple(x / sum(back) for x in back)
+        strength = sum(x * x for x in p)
+        a, b = model.scale
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-(a * math.log(strength + 0.01) + b))), rel_tol=1e-6)
+        marked = "".join("t" if x >= 0.5 else "o" for x in p[::-1])
+        assert len(got[i].spans) == len(re.findall("t+", marked))
+
+
 def test_toxicity_query_gives_spans(spark):
     out = queries.op3_toxicity(spark, "/root/testdata/sf0.001")
     assert "spans" in out.columns and out.filter("size(spans) > 0 and spans[0].end > spans[0].start").count() > 0
