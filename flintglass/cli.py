@@ -1,4 +1,4 @@
-"""Command line: scan, info, config. The exit code of scan is 1 if any file is unsafe."""
+"""Command line: scan, info, config, version. The exit code of scan is 1 if any file is unsafe."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from flintglass import config
+from flintglass import __version__, config
 from flintglass.operators import verdicts
 from flintglass.plans import reports
 from flintglass.plans.scan import Options, scan_directory
@@ -25,6 +25,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     s.add_argument("--no-context", action="store_true")
     s.add_argument("--strict", action="store_true")
     s.add_argument("--confidence-threshold", type=float)
+    s.add_argument("--entropy-threshold", type=float, help="bits a byte from which content counts as encrypted")
+    s.add_argument("--retain-days", type=int, help="age at which reports are removed")
     s.add_argument("--json", action="store_true", help="summary as JSON")
     s.add_argument("--verbose", action="store_true", help="also informational findings")
     s.add_argument("--report-dir")
@@ -32,7 +34,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     s.add_argument("--config")
     for name in ("info", "config"):
         sub.add_parser(name).add_argument("--config")
+    sub.add_parser("version")
     a = p.parse_args(args)
+    if a.command == "version":
+        print(__version__)
+        return 0
     settings = config.load(a.config)
     if a.command == "config":
         print(json.dumps(settings, indent=2))
@@ -45,8 +51,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("flintglass").getOrCreate()
     threshold = a.confidence_threshold if a.confidence_threshold is not None else settings["scan"]["confidence_threshold"]
     source = {"recursive": not a.no_recursive, "hash": not a.no_hash} | ({"extensions": a.extensions} if a.extensions else {})
-    frames = scan_directory(spark, a.path, Options(a.strict, threshold, not a.no_context), **source)
-    files, findings = frames.files.persist(), frames.findings.persist()
+    entropy = a.entropy_threshold if a.entropy_threshold is not None else settings["scan"]["entropy_threshold"]
+    frames = scan_directory(spark, a.path, Options(a.strict, threshold, not a.no_context, entropy), **source)
+    frames.rows.persist()
+    files, findings = frames.files, frames.findings
     totals = reports.summary(files, findings)
     if a.json:
         print(json.dumps(totals, default=str))
@@ -57,7 +65,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.report_dir:
         wanted = [f for f in a.report_formats.split(",") if f] or settings["reports"]["formats"]
         print("\n".join(reports.write(files, findings, a.report_dir, wanted, a.path)))
-        reports.prune(a.report_dir, settings["reports"]["retention_days"])
+        reports.prune(a.report_dir, settings["reports"]["retention_days"] if a.retain_days is None else a.retain_days)
     return 1 if totals["unsafe"] else 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tomllib
 from pathlib import Path
 
-DEFAULTS = {"reports": {"folder": "reports", "formats": ["txt", "json", "html", "csv"], "retention_days": 30}, "scan": {"recursive": True, "hash": True, "context": True, "confidence_threshold": 0.0, "strict": False}, "schedule": {"hour": 2, "minute": 0}}
+DEFAULTS = {"reports": {"folder": "reports", "formats": ["txt", "json", "html", "csv"], "retention_days": 30}, "scan": {"recursive": True, "hash": True, "context": True, "confidence_threshold": 0.0, "entropy_threshold": 7.5, "strict": False}, "schedule": {"hour": 2, "minute": 0}}
 
 
 def load(path: str | None = None) -> dict:

@@ -7,12 +7,14 @@ each once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flintglass.functions.signatures import DEFAULT_ADVICE, RECOMMENDATIONS, SEVERITIES
 
-FINDING = "struct<rule:string,severity:string,message:string,location:bigint,technique:string,cve:array<string>,hits:bigint>"
+FINDING = "struct<rule:string,severity:string,message:string,location:bigint,technique:string,cve:array<string>,hits:bigint,member:string,lines:array<int>>"
 Rule = tuple[str, str, str]
 
 
@@ -21,6 +23,11 @@ def latin1(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once however often it is used: expressions that name it repeat it otherwise."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def finding(rule: str | Column, severity: str | Column, message: str | Column, location: Column | None = None, technique: str | Column | None = None, cve: list[str] | Column | None = None, hits: Column | None = None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     cves = cve if isinstance(cve, Column) else F.array(*map(F.lit, cve)).cast("array<string>") if cve else F.lit(None)
@@ -32,14 +39,11 @@ def finding(rule: str | Column, severity: str | Column, message: str | Column, l
         lit(technique).cast("string").alias("technique"),
         cves.cast("array<string>").alias("cve"),
         (F.lit(None) if hits is None else hits).cast("bigint").alias("hits"),
+        F.lit(None).cast("string").alias("member"),
+        F.lit(None).cast("array<int>").alias("lines"),
     )
 
 
-def first_at(text: Column, pattern: str) -> Column:
-    """Position of the first match from 0, in characters; null without one."""
-    return F.when(text.rlike(pattern), F.regexp_instr(text, F.lit(pattern)) - 1)
-
-
 def matches(text: Column, rules: list[Rule], prefix: str, message: str, technique: str = "", only: Column | None = None, cves: dict[str, list[str]] | None = None) -> list[Column]:
     """One finding for each (name, severity, pattern) that matches, with its first position and number of matches."""
     out = []
@@ -62,11 +66,6 @@ def collected(*rules: Column) -> Column:
     return F.array_compact(F.array(*rules)) if rules else F.array().cast(f"array<{FINDING}>")
 
 
-def exploded(df: DataFrame, keys: list[str], findings: Column) -> DataFrame:
-    """One row for each finding, with its number in the row."""
-    return df.select(*keys, F.posexplode(findings).alias("ordinal", "f")).select(*keys, "ordinal", "f.*")
-
-
 def rank(severity: Column) -> Column:
     """0 for critical to 4 for info."""
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity).cast("int") - 1
@@ -84,12 +83,6 @@ def advice(message: Column, severity: Column) -> Column:
     return chain.otherwise("Verify model source.")
 
 
-def little_endian(data: Column, start: int, size: int) -> Column:
-    """Unsigned integer from bytes start.. (from 0), as decimal(20, 0); null if there are too few."""
-    part = F.substring(data, start + 1, size)
-    return F.when(F.octet_length(part) == size, F.conv(F.hex(F.reverse(part)), 16, 10).cast("decimal(20,0)"))
-
-
 def find(hexed: Column, magic: str, start: int = 0) -> Column:
     """Byte position of a signature in upper-case hexadecimal text, from byte start on; null if it isn't there.
 

@@ -46,6 +46,7 @@ def content_of(path: str, length: int, content: bytes | None) -> bytes | Mapped:
     """The content or, for files that were too large to be a column, the file itself."""
     if content is not None or not length:
         return content or b""
+    path = path.removeprefix("file:")
     if length > 1 << 20:
         return Mapped(path)
     with open(path, "rb") as f:
@@ -92,11 +93,13 @@ def directory(data: bytes) -> tuple[list[tuple[str, int]], str | None]:
 
 
 def members(data: bytes, most: int = MEMBER_BYTES):
-    """Name and content of each member that may hold a stream; unreadable members and those over most bytes are passed over."""
+    """Name and content of each member that may hold a stream; None for one over most bytes; unreadable members are passed over."""
     try:
         with zipfile.ZipFile(opened(data)) as z:
             for i in z.infolist():
-                if holds_pickle(i.filename) and i.file_size <= most:
+                if holds_pickle(i.filename) and i.file_size > most:
+                    yield i.filename, None
+                elif holds_pickle(i.filename):
                     try:
                         with z.open(i) as f:
                             yield i.filename, f.read(most)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
-from flintglass.functions.rules import contains_any, latin1
+from flintglass.functions.rules import contains_any, latin1, let
 
 ENTROPY, DENSITY = 7.0, 0.65
 
@@ -51,34 +51,48 @@ def ai_metadata(text: Column) -> Column:
 
 
 def valid_archive(data: Column, at: Column) -> Column:
-    """Whether an archive header stands there; a ZIP's local header must be sane."""
+    """Whether an archive header stands there: a sane and complete local header of a ZIP, a RAR or 7z signature, or a whole gzip header."""
     here = F.hex(window(data, at, 0, 30))
+    left = F.octet_length(data) - at
     number = lambda pos: F.conv(F.concat(F.substring(here, pos * 2 + 3, 2), F.substring(here, pos * 2 + 1, 2)), 16, 10).cast("int")
-    sane = (F.length(here) >= 60) & (number(4) <= 100) & (number(8) <= 99) & (number(26) <= 1024)
-    rest = [S.ARCHIVE_MAGIC[k] for k in ("7z", "rar")]
-    return F.coalesce(F.when(here.startswith(S.ARCHIVE_MAGIC["zip"]), sane).otherwise(here.rlike(f"^({'|'.join(rest)})")), F.lit(False))
+    sane = (F.length(here) >= 60) & (number(4) <= 100) & (number(8) <= 99) & (number(26) <= 1024) & (left >= 30 + number(26) + number(28))
+    other = here.rlike(f"^({S.ARCHIVE_MAGIC['7z']}|{S.ARCHIVE_MAGIC['rar']}00|{S.ARCHIVE_MAGIC['rar5']})") | (here.startswith("1F8B") & (left >= 10))
+    return F.coalesce(F.when(here.startswith(S.ARCHIVE_MAGIC["zip"]), sane).otherwise(other), F.lit(False))
+
+
+def window_entropy(data: Column) -> Column:
+    """Bits a byte of a small binary, to 9 digits; 0 for nothing."""
+
+    def of(text: Column) -> Column:
+        n = F.length(text)
+        counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: n - F.length(F.replace(text, F.chr(b), F.lit(""))))
+        return F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda total, c: total - c / n * F.log2(c / n))
+
+    return F.round(F.coalesce(let(latin1(data), of), F.lit(0.0)), 9)
 
 
 def factor(data: Column, at: Column, name: Column) -> Column:
     """The modifier by the finding's name."""
     low = F.lower(name)
-    around = F.lower(latin1(window(data, at, 50, 200)))
-    asp = sum((F.contains(around, F.lit(w)).cast("int") for w in S.ASP_WORDS), F.lit(0))
+    asp = let(F.lower(latin1(window(data, at, 50, 200))), lambda around: sum((F.contains(around, F.lit(w)).cast("int") for w in S.ASP_WORDS), F.lit(0)))
     call = F.when(latin1(window(data, at, 100, 100)).rlike(S.REAL_CALL), 2.5).otherwise(0.2)
     by_call = F.when(contains_any(low, S.CALL_WORDS), call).otherwise(F.lit(1.0))
-    return F.when(F.contains(low, F.lit("asp")) & (asp >= 2), 2.0).when(F.contains(low, F.lit("asp")) & (asp == 0), 0.3).otherwise(by_call)
+    return F.when(F.contains(low, F.lit("asp")), let(asp, lambda asp: F.when(asp >= 2, 2.0).when(asp == 0, 0.3).otherwise(by_call))).otherwise(by_call)
 
 
 def score(data: Column, at: Column, name: Column, kind: Column, bits: Column, generated: Column) -> Column:
     """0 to 1. bits: entropy of the 1 KiB around; kind: image, video or unknown; generated: of ai_metadata()."""
     high = bits > ENTROPY
-    around = latin1(window(data, at, 1024, 1024))
-    c = F.when(high, F.lit(0.5) * 0.2).otherwise(F.lit(0.5))
     archive = contains_any(F.lower(name), S.ARCHIVE_WORDS)
-    c = F.when(archive, F.when(valid_archive(data, at), F.greatest(c, F.lit(0.9))).otherwise(c * 0.1)).otherwise(c)
-    c = F.when(code_structure(around), F.greatest(c, F.lit(0.9))).when(isolated_keyword(around) & high, c * 0.1).otherwise(c)
-    c = F.when((ascii_density(window(data, at, 256, 256)) < DENSITY) & high, c * 0.5).otherwise(c)
-    c = F.when(kind.isin("image", "video") & generated, c * 0.15).otherwise(c)
+
+    def of(around: Column) -> Column:
+        c = F.when(high, F.lit(0.5) * 0.2).otherwise(F.lit(0.5))
+        c = let(c, lambda c: F.when(archive, F.when(valid_archive(data, at), F.greatest(c, F.lit(0.9))).otherwise(c * 0.1)).otherwise(c))
+        c = let(c, lambda c: F.when(code_structure(around), F.greatest(c, F.lit(0.9))).when(isolated_keyword(around) & high, c * 0.1).otherwise(c))
+        c = let(c, lambda c: F.when(high & (ascii_density(window(data, at, 256, 256)) < DENSITY), c * 0.5).otherwise(c))
+        return let(c, lambda c: F.when(kind.isin("image", "video") & generated, c * 0.15).otherwise(c))
+
+    c = let(latin1(window(data, at, 1024, 1024)), of)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c * factor(data, at, name))), 9)
 
 
@@ -90,16 +104,6 @@ def action(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "QUARANTINE").when(confidence >= 0.5, "INVESTIGATE").otherwise("REVIEW")
 
 
-def context(confidence: Column, severity: Column) -> Column:
-    return F.struct(
-        F.round(confidence, 3).alias("score"),
-        level(confidence).alias("level"),
-        F.concat(F.floor(confidence * 100), F.lit("%")).alias("percent"),
-        F.concat(severity, F.lit("-"), level(confidence)).alias("adjusted_severity"),
-        action(confidence).alias("action"),
-    )
-
-
 def tool_of(name: Column) -> Column:
     """Which external tool can confirm a finding of the name; the first whose words it has."""
     low = F.lower(name)

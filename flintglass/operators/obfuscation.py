@@ -13,6 +13,10 @@ from flintglass.functions.rules import collected, contains_any, finding, latin1
 from flintglass.operators.textrules import strict_base64
 
 
+#: Bits a byte from which content counts as encrypted.
+HIGH_ENTROPY = 7.5
+
+
 def entropy_of(data: bytes) -> float:
     """Bits a byte, to 9 digits."""
     if not data:
@@ -52,7 +56,7 @@ def escape_regions(text: Column) -> Column:
     return F.struct(*[F.regexp_count(text, F.lit(p)).cast("bigint").alias(n) for n, p in S.ESCAPES])
 
 
-def rollup(text: Column, entropy_bits: Column | None = None) -> Column:
+def rollup(text: Column, entropy_bits: Column | None = None, threshold: float = HIGH_ENTROPY) -> Column:
     """The findings on encoded content of Latin-1 text; compressed regions come from the byte walks."""
     b64 = F.size(F.filter(base64_regions(text), suspicious_base64))
     hexes = F.filter(hex_regions(text), suspicious_hex)
@@ -65,7 +69,7 @@ def rollup(text: Column, entropy_bits: Column | None = None) -> Column:
     ]
     if entropy_bits is not None:
         high = finding("obfuscation.entropy", S.M, F.concat(F.lit("Very high entropy ("), F.format_number(entropy_bits, 2), F.lit(") - possible encryption")))
-        rules.insert(0, F.when(entropy_bits > 7.5, high))
+        rules.insert(0, F.when(entropy_bits > threshold, high))
     return collected(*rules)
 
 

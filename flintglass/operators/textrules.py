@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
-from flintglass.functions.rules import collected, contains_any, find, finding, matches, pickle_at
+from flintglass.functions.rules import collected, contains_any, find, finding, let, matches, pickle_at
 from flintglass.operators.formats import name_of
 
 
@@ -61,29 +61,45 @@ def shell_expected(path: Column) -> Column:
     return contains_any(low, S.GITHUB_PATHS) | contains_any(low, S.CI_PATHS) | contains_any(low, S.DATASET_PATHS)
 
 
-def yaml(path: Column, text: Column) -> Column:
-    body = F.regexp_replace(text, "\r\n?", "\n")
-    cves = {n: ["CVE-2025-50460"] for n, _, p in S.YAML_TAGS if "python/object" in p}
-    tags = matches(body, S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}", cves=cves)
-    free = ~shell_expected(path)
-    blocks = matches(body, multiline(S.YAML_BLOCKS), "yaml_block", "Code execution pattern: {}", only=free)
-    shell = matches(body, multiline(S.YAML_SHELL), "yaml_shell", "Shell command pattern: {}", only=free)
-    found = collected(*tags, *blocks, *shell)
-    quiet = collected(F.when(F.size(ml_words(body)) >= 2, finding("yaml.ml_config", S.I, "ML configuration file detected - no unsafe patterns found")))
-    return F.when(yaml_like(body), F.when(F.size(found) > 0, found).otherwise(quiet)).otherwise(F.array(finding("yaml.not_yaml", S.I, "File does not appear to be valid YAML")))
-
-
-def line_numbers(text: Column, pattern: str, most: int = 10) -> Column:
+def line_numbers(text: Column, pattern: str | Column, most: int = 10) -> Column:
     """Lines, from 1, of the first matches.
 
     Matches are cut out one after the other: the text is split at them, and newlines are counted in the
     pieces before each and in the matches between.
     """
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
     pieces = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    before = F.transform(F.sequence(F.lit(1), F.least(F.size(found), F.lit(most))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(1), lambda a, x: a + lines(x)) + F.aggregate(F.slice(found, 1, i - 1), F.lit(0), lambda a, x: a + lines(x)))
-    return F.when(F.size(found) > 0, before).otherwise(F.array().cast("array<int>"))
+
+    def of(both: Column) -> Column:
+        pieces, found = both["pieces"], both["found"]
+        before = F.transform(F.sequence(F.lit(1), F.least(F.size(found), F.lit(most))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(1), lambda a, x: a + lines(x)) + F.aggregate(F.slice(found, 1, i - 1), F.lit(0), lambda a, x: a + lines(x)))
+        return F.when(F.size(found) > 0, before).otherwise(F.array().cast("array<int>"))
+
+    return let(F.struct(pieces.alias("pieces"), found.alias("found")), of)
+
+
+_YAML = [*[("yaml_tag", n, s, p) for n, s, p in S.YAML_TAGS], *[("yaml_block", n, s, p) for n, s, p in multiline(S.YAML_BLOCKS)], *[("yaml_shell", n, s, p) for n, s, p in multiline(S.YAML_SHELL)]]
+
+
+def one_newline(text: Column) -> Column:
+    """The text with the newline as its only line end."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def yaml(path: Column, body: Column) -> Column:
+    """Tags, code and commands in a text of one_newline(), with the lines of the first matches of each."""
+    cves = {n: ["CVE-2025-50460"] for n, _, p in S.YAML_TAGS if "python/object" in p}
+    tags = matches(body, S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}", cves=cves)
+    free = ~shell_expected(path)
+    blocks = matches(body, multiline(S.YAML_BLOCKS), "yaml_block", "Code execution pattern: {}", only=free)
+    shell = matches(body, multiline(S.YAML_SHELL), "yaml_shell", "Shell command pattern: {}", only=free)
+    patterns = F.create_map(*[F.lit(x) for kind, n, _, p in _YAML for x in (f"{kind}.{n}", p)])
+    found = F.transform(collected(*tags, *blocks, *shell), lambda f: f.withField("lines", line_numbers(body, F.element_at(patterns, f["rule"]))))
+    quiet = collected(F.when(F.size(ml_words(body)) >= 2, finding("yaml.ml_config", S.I, "ML configuration file detected - no unsafe patterns found")))
+    judged = let(found, lambda found: F.when(F.size(found) > 0, found).otherwise(quiet))
+    return F.when(yaml_like(body), judged).otherwise(F.array(finding("yaml.not_yaml", S.I, "File does not appear to be valid YAML")))
 
 
 def gguf_template(template: Column) -> Column:
@@ -138,6 +154,11 @@ def tensor_offsets(start: Column, end: Column, size: Column) -> Column:
     )
 
 
+def very_large(length: Column) -> Column:
+    """Of a model configuration: files over 10 GiB."""
+    return collected(F.when(length > 10 << 30, finding("keras.large", S.M, "Very large file - scanning may be incomplete")))
+
+
 def keras_config(text: Column) -> Column:
     lambda_layer = F.when(F.contains(text, F.lit("Lambda")) & F.contains(text, F.lit("function")), finding("keras.lambda_layer", S.H, "Keras Lambda layer detected (executes arbitrary code)", F.locate("Lambda", text) - 1))
     return collected(lambda_layer, *matches(text, S.KERAS_PATTERNS, "keras", "Suspicious pattern: {}"))
@@ -162,15 +183,26 @@ def traversal(refs: Column) -> Column:
 
 
 def onnx(text: Column) -> Column:
-    refs = external_refs(printable_strings(text))
-    bad = traversal(refs)
     word = lambda s: F.coalesce(*[F.when(F.contains(F.lower(s), F.lit(p)), F.lit(n)) for n, p in S.ONNX_PATH_WORDS])
-    named = F.filter(refs, lambda s: word(s).isNotNull())
-    suspects = F.transform(named, lambda s: finding("onnx.path", S.H, F.concat(F.lit("Suspicious external data path: "), word(s))))
-    rest = F.filter(refs, lambda s: ~F.array_contains(bad, s))
-    first = collected(F.when(F.size(bad) > 0, finding("onnx.traversal", S.C, "Path traversal in external data reference (CVE-2024-27318)", cve=["CVE-2024-27318"])))
-    last = collected(F.when(F.size(rest) > 0, finding("onnx.external", S.I, F.concat(F.lit("Model uses "), F.size(rest).cast("string"), F.lit(" external data file(s)")))))
-    return F.concat(first, suspects, last)
+
+    def of(refs: Column) -> Column:
+        named = F.filter(F.transform(refs, word), lambda w: w.isNotNull())
+        suspects = F.transform(named, lambda w: finding("onnx.path", S.H, F.concat(F.lit("Suspicious external data path: "), w)))
+        rest = F.size(refs) - F.size(traversal(refs))
+        first = collected(F.when(F.size(traversal(refs)) > 0, finding("onnx.traversal", S.C, "Path traversal in external data reference (CVE-2024-27318)", cve=["CVE-2024-27318"])))
+        last = collected(F.when(rest > 0, finding("onnx.external", S.I, F.concat(F.lit("Model uses "), rest.cast("string"), F.lit(" external data file(s)")))))
+        return F.concat(first, suspects, last)
+
+    return F.concat(let(external_refs(printable_strings(text)), of), version_of(text))
+
+
+def ir_version(text: Column) -> Column:
+    """The first field, a small number, of a graph's Latin-1 text; null without one."""
+    return F.when(text.rlike(r"^\x08[\x01-\x7f]"), F.ascii(F.substring(text, 2, 1)))
+
+
+def version_of(text: Column) -> Column:
+    return collected(F.when(ir_version(text).isNotNull(), finding("onnx.ir_version", S.I, F.concat(F.lit("ONNX IR version: "), ir_version(text).cast("string")))))
 
 
 def producer(strings: Column) -> Column:
@@ -222,12 +254,15 @@ def widget_finding(value: Column) -> Column:
 
 
 def workflow(text: Column) -> Column:
-    nodes = F.coalesce(workflow_parts(text)["nodes"], F.array().cast("array<string>"))
-    advisories = F.array_compact(F.transform(nodes, node_advisory))
-    widgets = F.array_compact(F.transform(F.flatten(F.transform(nodes, widget_texts)), widget_finding))
-    deep = collected(*matches(text, S.INPUT_PATTERNS, "workflow.deep", "Suspicious pattern in workflow: {}"))
-    plain = F.array(F.when(workflow_parts(text)["is_object"], finding("workflow.other", S.I, "File does not appear to be a ComfyUI workflow")).otherwise(finding("workflow.invalid", S.I, "Invalid JSON")))
-    return F.when(is_workflow(text), F.concat(advisories, widgets, deep)).otherwise(plain)
+    def of(parts: Column) -> Column:
+        nodes = F.coalesce(parts["nodes"], F.array().cast("array<string>"))
+        advisories = F.array_compact(F.transform(nodes, node_advisory))
+        widgets = F.array_compact(F.transform(F.flatten(F.transform(nodes, widget_texts)), widget_finding))
+        deep = collected(*matches(text, S.INPUT_PATTERNS, "workflow.deep", "Suspicious pattern in workflow: {}"))
+        plain = F.array(F.when(parts["is_object"], finding("workflow.other", S.I, "File does not appear to be a ComfyUI workflow")).otherwise(finding("workflow.invalid", S.I, "Invalid JSON")))
+        return F.when(F.coalesce(parts["nodes"].isNotNull() & (parts["keys"] >= 2), F.lit(False)), F.concat(advisories, widgets, deep)).otherwise(plain)
+
+    return let(workflow_parts(text), of)
 
 
 def double_extension(path: Column) -> Column:
@@ -246,7 +281,10 @@ def actual_format(hexed: Column) -> Column:
 
 
 def extension_mismatch(suffix: Column, hexed: Column) -> Column:
-    real = actual_format(hexed)
+    return let(actual_format(hexed), lambda real: _mismatch(suffix, real))
+
+
+def _mismatch(suffix: Column, real: Column) -> Column:
     media = suffix.isin(*S.MEDIA_EXTENSIONS)
     return (
         F.when(media & (real == "pickle"), finding("polyglot.pickle_as_media", S.C, F.concat(F.lit("Disguised pickle file: extension is "), suffix, F.lit(" but file is pickle format")), F.lit(0), "extension_mismatch", ["CVE-2025-1889"]))
@@ -270,11 +308,14 @@ def _first_of(hexed: Column, start: int, kinds: dict[str, str]) -> Column:
 
 def embedded_archive(hexed: Column) -> Column:
     """An archive after the first 8 bytes of an image; xz isn't looked for."""
-    first = _first_of(hexed, 8, {k: v for k, v in S.ARCHIVE_MAGIC.items() if k != "xz"})
-    name, at = first["n"], first["p"]
-    text = F.when(name == "7z", F.concat(F.lit("7z archive embedded in image at offset "), at, F.lit(" (CVE-2025-1716)"))).when(name == "rar", F.concat(F.lit("RAR archive embedded in image at offset "), at))
-    text = F.coalesce(text, F.concat(F.lit("Archive embedded in image: "), F.upper(name), F.lit(" at offset "), at))
-    return F.when(name.isNotNull(), finding("polyglot.archive_in_image", S.C, text, at, "archive_in_image", F.when(name == "7z", F.array(F.lit("CVE-2025-1716")))))
+
+    def of(first: Column) -> Column:
+        name, at = first["n"], first["p"]
+        text = F.when(name == "7z", F.concat(F.lit("7z archive embedded in image at offset "), at, F.lit(" (CVE-2025-1716)"))).when(name == "rar", F.concat(F.lit("RAR archive embedded in image at offset "), at))
+        text = F.coalesce(text, F.concat(F.lit("Archive embedded in image: "), F.upper(name), F.lit(" at offset "), at))
+        return F.when(name.isNotNull(), finding("polyglot.archive_in_image", S.C, text, at, "archive_in_image", F.when(name == "7z", F.array(F.lit("CVE-2025-1716")))))
+
+    return let(_first_of(hexed, 8, {k: v for k, v in S.ARCHIVE_MAGIC.items() if k != "xz"}), of)
 
 
 def embedded_pickle(hexed: Column, start: int, where: str, technique: str, shift: Column | None = None) -> Column:
@@ -282,7 +323,7 @@ def embedded_pickle(hexed: Column, start: int, where: str, technique: str, shift
     places = F.transform(F.array(*map(F.lit, S.PICKLE_MAGIC)), lambda magic: _place(hexed, magic, start))
     at = F.try_element_at(F.filter(places, lambda p: p.isNotNull() & pickle_at(hexed, p)), F.lit(1))
     at = at if shift is None else at + shift
-    return F.when(at.isNotNull(), finding(f"polyglot.{technique}", S.C, F.concat(F.lit(f"{where} at offset "), at), at, technique))
+    return let(at, lambda at: F.when(at.isNotNull(), finding(f"polyglot.{technique}", S.C, F.concat(F.lit(f"{where} at offset "), at), at, technique)))
 
 
 def trailing_start(suffix: Column, hexed: Column) -> Column:
@@ -300,16 +341,21 @@ def trailing_start(suffix: Column, hexed: Column) -> Column:
 
 
 def trailing_data(suffix: Column, hexed: Column) -> Column:
-    at = trailing_start(suffix, hexed)
-    left = (F.length(hexed) / 2).cast("bigint") - at
-    rest = F.substring(hexed, F.coalesce(at, F.lit(0)).cast("int") * 2 + 1, F.lit(32))
-    bad = rest.rlike(f"^({'|'.join(S.ARCHIVE_MAGIC.values())})") | (rest.rlike("^800[2-5]") & pickle_at(hexed, F.coalesce(at, F.lit(0))))
-    return F.when(left > 16, finding("polyglot.trailing_data", F.when(bad, S.C).otherwise(S.M), F.concat(F.lit("Trailing data after image end: "), left, F.lit(" bytes")), at, "trailing_data"))
+    def of(at: Column) -> Column:
+        left = (F.length(hexed) / 2).cast("bigint") - at
+        rest = F.substring(hexed, F.coalesce(at, F.lit(0)).cast("int") * 2 + 1, F.lit(32))
+        bad = rest.rlike(f"^({'|'.join(S.ARCHIVE_MAGIC.values())})") | (rest.rlike("^800[2-5]") & pickle_at(hexed, F.coalesce(at, F.lit(0))))
+        return F.when(left > 16, finding("polyglot.trailing_data", F.when(bad, S.C).otherwise(S.M), F.concat(F.lit("Trailing data after image end: "), left, F.lit(" bytes")), at, "trailing_data"))
+
+    return let(trailing_start(suffix, hexed), of)
 
 
 def archive_in_video(hexed_tail: Column, size: Column) -> Column:
     """An archive in the last 64 KiB of a video of at least 100 bytes."""
-    first = _first_of(hexed_tail, 0, S.ARCHIVE_MAGIC)
-    name, at = first["n"], first["p"]
-    place = size - (F.length(hexed_tail) / 2).cast("bigint") + at
-    return F.when((size >= 100) & name.isNotNull(), finding("polyglot.archive_in_video", S.C, F.concat(F.lit("Archive appended to video: "), F.upper(name), F.lit(" at offset "), place), place, "archive_in_video"))
+
+    def of(first: Column) -> Column:
+        name, at = first["n"], first["p"]
+        place = size - (F.length(hexed_tail) / 2).cast("bigint") + at
+        return F.when((size >= 100) & name.isNotNull(), finding("polyglot.archive_in_video", S.C, F.concat(F.lit("Archive appended to video: "), F.upper(name), F.lit(" at offset "), place), place, "archive_in_video"))
+
+    return let(_first_of(hexed_tail, 0, S.ARCHIVE_MAGIC), of)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
@@ -16,6 +18,17 @@ def file_verdicts(files: DataFrame, findings: DataFrame, key: str = "path") -> D
     return files.join(per, key, "left").withColumns({"is_safe": F.coalesce(F.col("worst") > 1, F.lit(True)), "max_severity": worst, "n_findings": F.coalesce("n_findings", F.lit(0)), "max_confidence": F.coalesce("max_confidence", F.lit(0.0))}).drop("worst")
 
 
+def of_findings(findings: Column) -> dict[str, Column]:
+    """The columns of file_verdicts() from a row's own array of findings."""
+    worst = F.array_min(F.transform(findings, lambda f: rank(f["severity"])))
+    return {
+        "is_safe": F.coalesce(worst > 1, F.lit(True)),
+        "max_severity": F.try_element_at(F.array(*map(F.lit, S.SEVERITIES)), worst + 1),
+        "n_findings": F.size(findings).cast("bigint"),
+        "max_confidence": F.coalesce(F.array_max(F.transform(findings, lambda f: f["confidence"])), F.lit(0.0)),
+    }
+
+
 def by_severity(findings: DataFrame, dense: bool = True) -> DataFrame:
     """n of each severity; dense: also of those that don't occur."""
     counts = findings.groupBy("severity").agg(F.count("*").alias("n"))
@@ -34,18 +47,23 @@ def by_confidence(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.coalesce("level", F.lit("UNANALYZED")).alias("level")).agg(F.count("*").alias("n"))
 
 
-def report_order(verdicts: DataFrame) -> DataFrame:
+def report_order(verdicts: DataFrame, pieces: int = 256) -> DataFrame:
     """Unsafe files first: by severity, then confidence, then path; safe files by path.
 
-    A position is needed only for files that are reported, so the window runs over each part of the
-    sort order with the part's offset added, never over all rows in one task.
+    The order is cut into ranges at the quantiles of a bounded sample (16 rows a piece), so that no task numbers
+    all files; positions are exact whatever the sample is, as a range starts after the counted rows of those before it.
     """
-    part = F.when(F.col("is_safe"), 9).otherwise(rank(F.col("max_severity")))
-    marked = verdicts.withColumn("part", part).withColumn("conf", F.when(F.col("is_safe"), F.lit(0.0)).otherwise(F.col("max_confidence")))
-    sizes = marked.groupBy("part", "conf").agg(F.count("*").alias("size"))
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part", F.desc("conf")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    within = Window.partitionBy("part", "conf").orderBy("path")
-    return marked.join(F.broadcast(offsets), ["part", "conf"]).withColumn("position", F.row_number().over(within) + F.col("before")).drop("part", "conf", "before")
+    safe = F.col("is_safe")
+    place = F.struct(F.when(safe, 9).otherwise(rank(F.col("max_severity"))).alias("part"), F.when(safe, F.lit(0.0)).otherwise(-F.col("max_confidence")).alias("conf"), F.col("path"))
+    marked = verdicts.withColumn("place", place)
+    sample = sorted(tuple(r["place"]) for r in marked.select("place", F.xxhash64("path").alias("h")).orderBy("h", "place").limit(16 * pieces).select("place").collect())
+    cuts = [dict(zip(("part", "conf", "path"), sample[len(sample) * k // pieces], strict=True)) for k in range(1, pieces)] if sample else []
+    bounds = F.from_json(F.lit(json.dumps(cuts)), f"array<{marked.schema['place'].dataType.simpleString()}>")  # one constant
+    ranged = marked.withColumn("piece", F.size(F.filter(bounds, lambda b: b <= F.col("place"))))
+    sizes = ranged.groupBy("piece").agg(F.count("*").alias("size"))
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    within = Window.partitionBy("piece").orderBy("place")
+    return ranged.join(F.broadcast(offsets), "piece").withColumn("position", F.row_number().over(within) + F.col("before")).drop("piece", "place", "before")
 
 
 def ranked(findings: DataFrame, key: str = "path") -> DataFrame:

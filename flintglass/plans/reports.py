@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flintglass import __version__
+from flintglass.functions.rules import contains_any
 from flintglass.operators import verdicts
 
 NAME = r"^(.+)_report_(\d{8}_\d{6})\.(txt|json|html|csv)$"
@@ -27,8 +29,8 @@ def csv_rows(files: DataFrame, findings: DataFrame) -> DataFrame:
     """One row for each finding, and one for each file without any."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     percent = F.coalesce(F.concat(F.floor(F.col("confidence") * 100), F.lit("%")), F.lit(""))
-    joined = files.select("path", "format", "length", "sha256", "is_safe").join(findings.select("path", "severity", "adjusted_severity", "confidence", "level", "message", "recommendation"), "path", "left")
-    cols = [F.col("path"), F.col("format"), status(F.col("is_safe")), F.col("length"), text("sha256"), F.lit(""), text("severity"), text("adjusted_severity"), percent, text("level"), text("message"), text("recommendation")]
+    joined = files.select("path", "format", "length", "sha256", "is_safe", *(["scan_ms"] if "scan_ms" in files.columns else [])).join(findings.select("path", "severity", "adjusted_severity", "confidence", "level", "message", "recommendation"), "path", "left")
+    cols = [F.col("path"), F.col("format"), status(F.col("is_safe")), F.col("length"), text("sha256"), text("scan_ms") if "scan_ms" in files.columns else F.lit(""), text("severity"), text("adjusted_severity"), percent, text("level"), text("message"), text("recommendation")]
     return joined.select(*[c.alias(n) for c, n in zip(cols, CSV_COLUMNS, strict=True)])
 
 
@@ -41,7 +43,8 @@ def json_rows(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 def summary(files: DataFrame, findings: DataFrame) -> dict:
     """Totals for a report's head: a few numbers."""
-    f = files.agg(F.count("*").alias("total"), F.count_if("is_safe").alias("safe"), F.count_if(~F.col("is_safe")).alias("unsafe"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    timed = [F.round(F.sum("scan_ms"), 3).alias("scan_ms")] if "scan_ms" in files.columns else []
+    f = files.agg(*timed, F.count("*").alias("total"), F.count_if("is_safe").alias("safe"), F.count_if(~F.col("is_safe")).alias("unsafe"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
     levels = {"HIGH": 0, "MEDIUM": 0, "LOW": 0, "UNANALYZED": 0} | {r["level"]: r["n"] for r in verdicts.by_confidence(findings).collect()}
     return f.asDict() | {"by_severity": {r["severity"]: r["n"] for r in verdicts.by_severity(findings).collect()}, "by_confidence": levels}
 
@@ -55,14 +58,33 @@ def size_text(n: int) -> str:
     return f"{size:.1f} TB"
 
 
-def check_recipe(message: str, path: str, at: int | None) -> str:
-    """How a reader can look at a finding without loading the file."""
-    low = message.lower()
-    if "archive" in low or "zip" in low:
-        return f"binwalk '{path}'"
-    if "pickle" in low or "dangerous import" in low:
-        return f"python -m pickletools '{path}'"
-    return f"xxd -s {at or 0} -l 256 '{path}'"
+#: Words of a message, in the order they are looked for, and the recipe they call for.
+RECIPE_WORDS = [("eval", ["eval"]), ("exec", ["exec", "system", "passthru"]), ("asp", ["asp"]), ("php", ["php"]), ("archive", ["archive", "zip", "rar"]), ("pickle", ["pickle", "dangerous import"])]
+#: What to run, and what its output tells; {path} and {at} are put in.
+RECIPES = {
+    "eval": ("strings -t d '{path}' | grep -i 'eval *('", "A call with a readable argument is code; a lone word among random bytes is chance."),
+    "exec": ("strings -t d '{path}' | grep -iE '(exec|system|passthru) *('", "A call with a readable argument is code; a lone word among random bytes is chance."),
+    "asp": ("strings -t d '{path}' | grep -iE '<%|response[.]'", "Server pages have closing marks and statements between them."),
+    "php": ("strings -t d '{path}' | grep -iE '<[?]php|[$]_'", "Scripts have an opening mark with statements after it."),
+    "archive": ("binwalk '{path}'; xxd -s {at} -l 64 '{path}'", "A real archive has a sane version and sizes and lists its members."),
+    "pickle": ("python -m pickletools '{path}' | grep -E 'GLOBAL|REDUCE'", "Imports of system modules run code on loading; ask for a tensor-only format."),
+    "default": ("file '{path}'; xxd -s {at} -l 256 '{path}'", "Look for readable code around the place."),
+}
+
+
+def recipe_kind(message: Column) -> Column:
+    """Which recipe a finding's message calls for."""
+    low, chain = F.lower(message), None
+    for kind, words in RECIPE_WORDS:
+        hit = contains_any(low, words)
+        chain = F.when(hit, kind) if chain is None else chain.when(hit, kind)
+    return chain.otherwise("default")
+
+
+def check_recipe(kind: str, path: str, at: int | None) -> tuple[str, str]:
+    """How a reader can look at a finding without loading the file, and what to make of it."""
+    command, meaning = RECIPES[kind]
+    return command.format(path=path.replace("'", "'\\''"), at=at or 0), meaning
 
 
 def write(files: DataFrame, findings: DataFrame, folder: str, formats: list[str], source: str, limit: int = 10_000, now: datetime | None = None) -> list[str]:
@@ -76,12 +98,12 @@ def write(files: DataFrame, findings: DataFrame, folder: str, formats: list[str]
             csv_rows(files, findings).write.option("header", True).csv(path)
         elif kind == "json":
             json_rows(files, findings).select(F.col("json").alias("value")).write.text(path)
-            Path(f"{base}.summary.json").write_text(json.dumps({"report_type": "security_scan", "source": source, "summary": summary(files, findings)}, default=str))
+            Path(f"{base}.summary.json").write_text(json.dumps({"report_type": "security_scan", "version": __version__, "source": source, "date": (now or datetime.now()).isoformat(), "summary": summary(files, findings)}, default=str))
         else:
             worst = verdicts.report_order(files).filter(F.col("position") <= limit).orderBy("position").collect()
             shown = findings.join(F.broadcast(files.sparkSession.createDataFrame([(r["path"],) for r in worst], "path string")), "path") if worst else findings.limit(0)
             by: dict[str, list] = {}
-            for r in verdicts.ranked(shown).orderBy("path", "position").limit(10 * limit).collect():
+            for r in verdicts.ranked(shown).withColumn("recipe", recipe_kind(F.col("message"))).orderBy("path", "position").limit(10 * limit).collect():
                 by.setdefault(r["path"], []).append(r)
             Path(path).write_text((page_html if kind == "html" else page_text)(source, summary(files, findings), worst, by))
         out.append(path)
@@ -89,24 +111,59 @@ def write(files: DataFrame, findings: DataFrame, folder: str, formats: list[str]
 
 
 def page_text(source: str, totals: dict, files: list, findings: dict) -> str:
-    lines = ["SECURITY SCAN REPORT", f"Scanned: {source}", f"Files: {totals['total']} ({size_text(totals['bytes'])}), safe {totals['safe']}, unsafe {totals['unsafe']}", ""]
+    lines = ["SECURITY SCAN REPORT", f"Scanned: {source}", f"Files: {totals['total']} ({size_text(totals['bytes'])}), safe {totals['safe']}, unsafe {totals['unsafe']}"]
+    lines += [f"Shown: the worst {len(files)} files; the CSV and JSON reports have all"] * (len(files) < totals["total"]) + [""]
     for f in files:
         lines.append(f"[{'SAFE' if f['is_safe'] else 'THREATS DETECTED'}] {f['path']} ({f['format']})")
         for x in findings.get(f["path"], []):
-            lines += [f"  {x['severity'].upper()}: {x['message']}", f"    {x['recommendation']}", f"    check: {check_recipe(x['message'], f['path'], x['location'])}"]
+            command, meaning = check_recipe(x["recipe"], f["path"], x["location"])
+            lines += [f"  {x['severity'].upper()}: {x['message']}", f"    {x['recommendation']}", f"    check: {command}", f"           {meaning}"]
     return "\n".join(lines) + "\n"
 
 
+#: The page's rows can be limited to a severity, a level of confidence and a word.
+_FILTER = """<script>
+const f = () => { const s = sev.value, l = lev.value, w = word.value.toLowerCase();
+document.querySelectorAll('tbody tr').forEach(r => r.hidden = (s && r.dataset.s !== s) || (l && r.dataset.l !== l) || (w && !r.textContent.toLowerCase().includes(w))); };
+for (const x of [sev, lev, word]) x.oninput = f;
+</script>"""
+
+
 def page_html(source: str, totals: dict, files: list, findings: dict) -> str:
+    """A row for each finding, with its check, and one for each file without any."""
     e = html.escape
-    rows = "".join(f"<tr class='{'safe' if f['is_safe'] else 'unsafe'}'><td>{e(f['path'])}</td><td>{e(f['format'])}</td><td>{'<br>'.join(e(x['severity'] + ': ' + x['message']) for x in findings.get(f['path'], []))}</td></tr>" for f in files)
-    return f"<!doctype html><meta charset='utf-8'><title>Scan report</title><h1>Scan of {e(source)}</h1><p>{totals['total']} files, {totals['unsafe']} unsafe</p><table><tr><th>File<th>Format<th>Findings</tr>{rows}</table>"
+    rows = []
+    for f in files:
+        label = "SAFE" if f["is_safe"] else "THREATS DETECTED"
+        for x in findings.get(f["path"], [None]):
+            what = check = ""
+            if x is not None:
+                command, meaning = check_recipe(x["recipe"], f["path"], x["location"])
+                what = f"{e(x['severity'])}: {e(x['message'])}<br>{e(x['recommendation'])}"
+                check = f"<details><summary>check</summary><code>{e(command)}</code><br>{e(meaning)}</details>"
+            severity, level = (x["severity"], x["level"] or "UNANALYZED") if x is not None else ("", "")
+            rows.append(f"<tr data-s='{e(severity)}' data-l='{e(level)}'><td>{label}<td>{e(f['path'])}<td>{e(f['format'])}<td>{what}<td>{check}</tr>")
+    choice = lambda name, values: f"<select id='{name}'><option value=''>all</option>{''.join(f'<option>{v}</option>' for v in values)}</select>"
+    head = f"<!doctype html><meta charset='utf-8'><title>Scan report</title><h1>Scan of {e(source)}</h1><p>{totals['total']} files ({size_text(totals['bytes'])}), {totals['unsafe']} unsafe"
+    head += f"; shown are the worst {len(files)}, the CSV and JSON reports have all</p>" if len(files) < totals["total"] else "</p>"
+    return f"{head}<p>severity {choice('sev', totals['by_severity'])} confidence {choice('lev', totals['by_confidence'])} <input id='word' placeholder='word'></p><table><thead><tr><th>Verdict<th>File<th>Format<th>Finding<th>Check</tr></thead><tbody>{''.join(rows)}</tbody></table>{_FILTER}"
+
+
+def catalogue(names: DataFrame, name: str = "name", summaries: DataFrame | None = None) -> DataFrame:
+    """Reports of each time, newest first: formats there are and their number, and the summary's columns where there is one; names that aren't reports are left out.
+
+    summaries: a column stamp, one row for each at most, and others.
+    """
+    got = names.select(F.regexp_extract(name, NAME, 2).alias("stamp"), F.regexp_extract(name, NAME, 3).alias("format")).filter("stamp <> ''")
+    out = got.groupBy("stamp").agg(F.array_join(F.array_sort(F.collect_set("format")), ",").alias("formats"), F.count("*").alias("n"))
+    return out if summaries is None else out.join(summaries, "stamp", "left")
 
 
-def catalogue(names: DataFrame, name: str = "name") -> DataFrame:
-    """Reports of each time, newest first: formats there are and their number; names that aren't reports are left out."""
-    got = names.select(F.regexp_extract(name, NAME, 2).alias("stamp"), F.regexp_extract(name, NAME, 3).alias("format")).filter("stamp <> ''")
-    return got.groupBy("stamp").agg(F.array_join(F.array_sort(F.collect_set("format")), ",").alias("formats"), F.count("*").alias("n"))
+def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """stamp, total and unsafe of the JSON summaries in a folder of reports."""
+    kind = "summary struct<total:bigint,unsafe:bigint>"
+    rows = spark.read.schema(kind).option("wholetext", "true").option("multiLine", "true").json(f"{folder}/*_report_*.summary.json")
+    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"_report_(\d{8}_\d{6})[.]summary[.]json$", 1).alias("stamp"), "summary.total", "summary.unsafe")
 
 
 def expired(names: DataFrame, now: Column, days: int, mtime: str = "mtime") -> DataFrame:
@@ -121,7 +178,3 @@ def prune(folder: str, days: int, now: datetime | None = None) -> list[str]:
     for p in gone:
         p.unlink()
     return sorted(map(str, gone))
-
-
-def report_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(p.name, datetime.fromtimestamp(p.stat().st_mtime)) for p in Path(folder).iterdir()], "name string, mtime timestamp")

@@ -1,11 +1,17 @@
 """One pass over artifacts: format, detectors, context, advice, verdicts.
 
-Detectors that are Column expressions are one array per row; the byte walks run in one Arrow pass
-over the formats that need them. Both give the same finding rows.
+1. Formats come from the path and the first bytes.
+2. One Arrow pass makes the byte walks of the formats that need them, and passes on only those bytes that
+   expressions read afterwards: streams and tensors don't come back.
+3. One projection gives each artifact its findings as an array, with their context and advice, and the verdict.
+
+Files and findings are views of these rows. Nothing is joined, grouped or shuffled, and a view scans the
+source once; persist rows to use both.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,6 +27,10 @@ from flintglass.sources.artifacts import from_directory
 
 WALKED = ("pickle", "archive", "gguf", "safetensors", "keras", "pytorch", "7z_archive")
 OBFUSCATED = ("pickle", "onnx", "keras", "unknown")
+#: Formats whose whole content is read by expressions; that of media files is, too.
+COLUMNED = ("yaml", "json", "onnx", "keras")
+FIRST = 1 << 20
+BATCH_BYTES = 8 << 20
 _NONE = f"array<{FINDING}>"
 
 
@@ -31,12 +41,22 @@ class Options:
     strict: bool = False
     confidence_threshold: float = 0.0
     context: bool = True
+    entropy_threshold: float = obf.HIGH_ENTROPY
 
 
 @dataclass
 class ScanFrames:
-    files: DataFrame
-    findings: DataFrame
+    """rows: an artifact each, findings an array; files: its verdict; findings: a finding each."""
+
+    rows: DataFrame
+
+    @property
+    def files(self) -> DataFrame:
+        return self.rows.select("path", "format", "length", "sha256", "scan_ms", *[c.alias(n) for n, c in verdicts.of_findings(F.col("findings")).items()])
+
+    @property
+    def findings(self) -> DataFrame:
+        return self.rows.select("path", F.inline("findings"))
 
 
 def with_format(artifacts: DataFrame) -> DataFrame:
@@ -57,7 +77,7 @@ def _some(*found: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def media_rules(df: DataFrame) -> Column:
+def media_rules() -> Column:
     """The detectors for files that are two things at once."""
     fmt, suffix = F.col("format"), F.col("suffix")
     hexed, tail = F.col("hexed"), F.col("hexed_tail")
@@ -71,46 +91,51 @@ def media_rules(df: DataFrame) -> Column:
     return F.concat(
         every,
         _or_none(F.when(image & (fmt == "image"), F.concat(pictures, meta, textrules.image_metadata(F.col("raw_head"))))),
-        _or_none(F.when(suffix == ".svg", textrules.svg(F.replace(F.make_valid_utf8(F.col("head").cast("string")), F.lit("\ufffd"), F.lit(""))))),
+        _or_none(F.when(suffix == ".svg", textrules.svg(F.replace(F.make_valid_utf8(F.col("head").cast("string")), F.lit("�"), F.lit(""))))),
         _or_none(F.when(suffix == ".pdf", _some(textrules.trailing_data(suffix, hexed)))),
         _or_none(F.when(video, F.concat(video_tail, F.when(F.col("length") >= 100, textrules.video_metadata(F.col("raw_head"), suffix)).otherwise(F.array().cast(_NONE))))),
     )
 
 
-def column_findings(df: DataFrame) -> DataFrame:
-    """path and finding, for the detectors that are expressions."""
-    fmt = F.col("format")
-    text, raw, first = F.col("body"), F.col("raw"), F.substring("raw", 1, 1 << 20)
+def content_rules(entropy_threshold: float) -> Column:
+    """The detectors for texts and graphs, and what can be said of files that can't be looked into."""
+    fmt, text, raw = F.col("format"), F.col("body"), F.col("raw")
     error = F.when(F.col("read_error").isNotNull(), F.array(finding("file.error", S.M, F.col("read_error"))))
     unknown = F.when((fmt == "unknown") & F.col("read_error").isNull(), F.array(finding("file.unknown", S.I, F.concat(F.lit("Unknown format: "), fmt))))
     # rules over the whole content that no walk makes good for a file too large to be a column
-    columned = fmt.isin("yaml", "json", "onnx", "keras") | F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
-    left_out = F.when(columned & F.col("content").isNull() & F.col("read_error").isNull(), F.array(finding("file.unscanned", S.H, F.lit("File too large: rules over its whole content were not applied"))))
+    columned = fmt.isin(*COLUMNED) | F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
+    left_out = F.when(columned & ~F.col("whole") & F.col("read_error").isNull(), F.array(finding("file.unscanned", S.H, F.lit("File too large: rules over its whole content were not applied"))))
+    no_magic = _some(F.when(~F.col("hexed_head").startswith(S.HDF5_MAGIC), finding("keras.no_magic", S.M, "File does not have HDF5 magic number", F.lit(0))))
     by_format = (
         F.when(fmt == "yaml", textrules.yaml(F.col("path"), text))
         .when(fmt == "json", textrules.workflow(text))
         .when(fmt == "onnx", textrules.onnx(raw))
-        .when(fmt == "keras", F.concat(_some(F.when(~F.hex(F.substring("head", 1, 8)).startswith(S.HDF5_MAGIC), finding("keras.no_magic", S.M, "File does not have HDF5 magic number", F.lit(0)))), textrules.keras_config(raw)))
-    )
-    coded = F.when(fmt.isin(*OBFUSCATED), obf.rollup(first, F.col("bits")))
-    media = F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
-    textual = fmt.isin("yaml", "json")
-    ready = df.withColumn("bits", F.when(fmt.isin(*OBFUSCATED), obf.entropy(F.substring(F.coalesce("content", "head"), 1, 1 << 20))))
-    ready = _fixed(
-        ready,
-        body=F.when(textual, F.make_valid_utf8(F.col("content").cast("string"))),
-        raw=F.when(fmt.isin("onnx", "keras", *OBFUSCATED), latin1(F.coalesce("content", "head"))),
-        raw_head=F.when(media, latin1(F.col("head"))),
-        hexed=F.when(media, F.hex("content")),
-        hexed_head=F.when(media, F.hex("head")).otherwise(F.hex(F.substring("head", 1, 32))),
-        hexed_tail=F.when(media, F.hex("tail")),
+        .when(fmt == "keras", F.concat(no_magic, textrules.very_large(F.col("length")), textrules.keras_config(raw)))
     )
-    found = F.concat(*map(_or_none, (error, by_format, unknown, left_out)), media_rules(df), _or_none(coded))
-    return ready.select("path", F.posexplode(found).alias("ordinal", "f")).select("path", "ordinal", "f.*")
+    coded = F.when(fmt.isin(*OBFUSCATED), obf.rollup(F.substring("raw", 1, FIRST), F.col("bits"), entropy_threshold))
+    return F.concat(*map(_or_none, (error, by_format, unknown, left_out, coded)))
 
 
-def walk(path: str, fmt: str, data: bytes, strict: bool = False) -> list[dict]:
-    """Findings of the byte walks for one artifact."""
+def pair_rules() -> Column:
+    """The detectors for the keys, values and headers that the walks of tensor files give."""
+
+    def rules(p: Column) -> Column:
+        key, value = p["key"], p["value"]
+        return (
+            F.when(p["kind"] == "template", textrules.gguf_template(value))
+            .when(p["kind"] == "gguf", textrules.gguf_metadata(key, value))
+            .when(p["kind"] == "safetensors", textrules.tensor_metadata(key, value))
+            .otherwise(textrules.header(value))
+        )
+
+    return F.flatten(F.transform("pairs", rules))
+
+
+def walk(path: str, fmt: str, data: bytes | containers.Mapped, strict: bool = False) -> list[dict]:
+    """Findings of the byte walks for one artifact. Locations count from the start of the artifact or, in a member that is packed, of the member.
+
+    Unless strict, a member met twice is inspected once, and findings that agree in all but their number are one.
+    """
     out: list[dict] = []
 
     def add(rule: str, severity: str, message: str, location: int | None = None, **more) -> None:
@@ -118,13 +143,12 @@ def walk(path: str, fmt: str, data: bytes, strict: bool = False) -> list[dict]:
 
     seen: set = set()
 
-    def stream(part: bytes, base: int, member: str) -> None:
-        if not strict:
-            digest = hash(part)
-            if digest in seen:
-                return
-            seen.add(digest)
-        out.extend(f | {"member": member, "base": base} for f in pickles.inspect(part))
+    def stream(part: bytes | containers.Mapped, base: int, member: str | None) -> None:
+        key = (member, hash(part))
+        if key in seen and not strict:
+            return
+        seen.add(key)
+        out.extend(f | {"member": member, "location": None if f["location"] is None else base + f["location"]} for f in pickles.inspect(part))
 
     if data.startswith(containers.SEVEN_ZIP):
         add("archive.7z", S.H, "7z archive detected - potential nullifAI bypass (CVE-2025-1716)", 0, cve=["CVE-2025-1716"])
@@ -142,23 +166,25 @@ def walk(path: str, fmt: str, data: bytes, strict: bool = False) -> list[dict]:
         listed, why = containers.directory(data)
         if why is not None:
             add("archive.invalid", S.M, f"Invalid ZIP archive: {why}")
-            return out
-        if any(".." in n or n.startswith("/") for n, _ in listed):
-            add("archive.zipslip", S.C, "Path traversal detected in ZIP archive (ZipSlip)")
-        end = containers.end_of_zip(data)
-        if end is not None and end < len(data):
-            rest = [p for p in containers.embedded_pickles(data, end)]
-            if rest:
-                add("archive.trailing_pickle", S.C, f"Pickle data appended after ZIP archive at offset {rest[0]} (CVE-2025-1889 bypass)", rest[0], cve=["CVE-2025-1889"])
-                stream(data[rest[0] :], rest[0], "trailing")
-            else:
-                add("archive.trailing", S.M, f"Suspicious trailing data after ZIP archive: {len(data) - end} bytes", end)
-        n = sum(containers.holds_pickle(name) for name, _ in listed)
-        add("archive.summary", S.I, f"PyTorch ZIP archive with {n} pickle file(s)", hits=n)
-        for name, content in containers.members(data):
-            stream(content, 0, name)
+        else:
+            if any(".." in n or n.startswith("/") for n, _ in listed):
+                add("archive.zipslip", S.C, "Path traversal detected in ZIP archive (ZipSlip)")
+            end = containers.end_of_zip(data)
+            if end is not None and end < len(data):
+                if rest := containers.embedded_pickles(data, end):
+                    add("archive.trailing_pickle", S.C, f"Pickle data appended after ZIP archive at offset {rest[0]} (CVE-2025-1889 bypass)", rest[0], cve=["CVE-2025-1889"])
+                    stream(data[rest[0] :], rest[0], "trailing")
+                else:
+                    add("archive.trailing", S.M, f"Suspicious trailing data after ZIP archive: {len(data) - end} bytes", end)
+            n = sum(containers.holds_pickle(name) for name, _ in listed)
+            add("archive.summary", S.I, f"PyTorch ZIP archive with {n} pickle file(s)", hits=n)
+            for name, content in containers.members(data):
+                if content is None:
+                    add("archive.unscanned", S.H, f"Archive member too large to be scanned: {name}", member=name)
+                else:
+                    stream(content, 0, name)
     elif fmt == "pickle":
-        stream(data, 0, "")
+        stream(data, 0, None)
     elif fmt == "gguf":
         g = containers.gguf(data)
         if g["error"]:
@@ -190,12 +216,12 @@ def walk(path: str, fmt: str, data: bytes, strict: bool = False) -> list[dict]:
             for p in places[:5]:
                 end = data.find(b".", p, p + 10_000_000)
                 stream(data[p : end + 1 if end >= 0 else p + 65536], p, f"offset {p}")
-    if fmt in OBFUSCATED and (regions := containers.compressed_regions(data[: 1 << 20])):
+    if fmt in OBFUSCATED and (regions := containers.compressed_regions(data[:FIRST])):
         add("obfuscation.compressed", S.M, f"Embedded compressed data detected ({len(regions)} region(s))", regions[0][1], hits=len(regions))
-    return out
+    return out if strict else list({(f["rule"], f["location"], f["message"], f.get("member")): f for f in reversed(out)}.values())[::-1]
 
 
-def _all(data: bytes, mark: bytes) -> list[int]:
+def _all(data: bytes | containers.Mapped, mark: bytes) -> list[int]:
     out, at = [], data.find(mark)
     while at >= 0:
         out.append(at)
@@ -203,92 +229,145 @@ def _all(data: bytes, mark: bytes) -> list[int]:
     return out
 
 
-_ROW = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("rule", pa.string()), ("severity", pa.string()), ("message", pa.string()), ("location", pa.int64()), ("technique", pa.string()), ("cve", pa.list_(pa.string())), ("hits", pa.int64())])
-
-
-def walked_findings(df: DataFrame, strict: bool) -> DataFrame:
-    """path and finding, for the byte walks; an artifact that fails gives a finding, never ends the scan."""
+def pairs_of(fmt: str, data: bytes | containers.Mapped) -> list[dict]:
+    """kind, key and value of what expressions look at in GGUF and safetensors files: the template, the pairs, the header."""
+    if fmt == "gguf":
+        meta = containers.gguf(data)["metadata"]
+        template = containers.chat_template(meta)
+        rows = [] if template is None else [("template", "", template)]
+        rows += [("gguf", key, v if isinstance(v, str) else "") for key, v in meta.items()]
+    else:
+        header = containers.safetensors(data)["header"] or {}
+        metadata = header.get("__metadata__")
+        rows = [("safetensors", str(key), v) for key, v in (metadata.items() if isinstance(metadata, dict) else ()) if isinstance(v, str)]
+        rows.append(("header", "", data[8 : 8 + int.from_bytes(data[:8], "little")].decode("latin-1")))
+    return [dict(zip(("kind", "key", "value"), r, strict=True)) for r in rows]
+
+
+_FOUND = pa.struct([("rule", pa.string()), ("severity", pa.string()), ("message", pa.string()), ("location", pa.int64()), ("technique", pa.string()), ("cve", pa.list_(pa.string())), ("hits", pa.int64()), ("member", pa.string()), ("lines", pa.list_(pa.int32()))])
+_PAIR = pa.struct([("kind", pa.string()), ("key", pa.string()), ("value", pa.string())])
+_WALKED = pa.schema([
+    ("path", pa.string()), ("suffix", pa.string()), ("format", pa.string()), ("length", pa.int64()), ("sha256", pa.string()), ("read_error", pa.string()),
+    ("head", pa.binary()), ("tail", pa.binary()), ("content", pa.binary()), ("whole", pa.bool_()), ("bits", pa.float64()), ("scan_ms", pa.float64()),
+    ("walked", pa.list_(_FOUND)), ("pairs", pa.list_(_PAIR)),
+])
+_WALKED_DDL = f"path string, suffix string, format string, length bigint, sha256 string, read_error string, head binary, tail binary, content binary, whole boolean, bits double, scan_ms double, walked {_NONE}, pairs array<struct<kind:string,key:string,value:string>>"
+
+
+def _one(row: dict, strict: bool) -> dict:
+    """An artifact after its walk, with the bytes that expressions read; one that fails gives a finding, never ends the scan."""
+    fmt, content, head = row["format"], row["content"], row["head"] or b""
+    began = time.perf_counter()
+    found, pairs = [], []
+    ziplike = head[:4] == b"PK\x03\x04"
+    left_alone = strict and fmt in ("pytorch", "7z_archive") and not ziplike
+    if row["read_error"] is None and not left_alone and (ziplike or fmt in WALKED or fmt in OBFUSCATED):
+        try:
+            data = containers.content_of(row["path"], row["length"] or 0, content)
+            found = walk(row["path"], fmt, data, strict)
+            if fmt in ("gguf", "safetensors"):
+                pairs = pairs_of(fmt, data)
+        except (OSError, MemoryError) as e:
+            found = [{"rule": "file.unscanned", "severity": S.H, "message": f"File not scanned: {type(e).__name__}: {e}"}]
+        except Exception as e:  # noqa: BLE001 - isolation of hostile inputs
+            found = [{"rule": "scan.error", "severity": S.M, "message": f"Scan error: {type(e).__name__}: {e}"}]
+    media, coded = row["suffix"] in S.MEDIA_EXTENSIONS, fmt in OBFUSCATED
+    first = (content if content is not None else head)[:FIRST] if coded else None
+    return row | {
+        "head": head if media else head[:64],
+        "tail": row["tail"] if media else None,
+        "content": content if media or fmt in COLUMNED else first,
+        "whole": content is not None,
+        "bits": obf.entropy_of(first) if coded else None,
+        "scan_ms": round((time.perf_counter() - began) * 1000, 3),
+        "walked": found,
+        "pairs": pairs,
+    }
+
+
+def walked(df: DataFrame, strict: bool) -> DataFrame:
+    """The Arrow pass, with the columns of _WALKED."""
 
     def run(batches):
         for b in batches:
+            held, size = [], 0
             for k in range(b.num_rows):
-                path, fmt, length, data = (b.column(i)[k].as_py() for i in range(4))
-                try:
-                    found = walk(path, fmt, containers.content_of(path, length, data), strict)
-                except (OSError, MemoryError) as e:
-                    found = [{"rule": "file.unscanned", "severity": S.H, "message": f"File not scanned: {type(e).__name__}: {e}"}]
-                except Exception as e:  # noqa: BLE001 - isolation of hostile inputs
-                    found = [{"rule": "scan.error", "severity": S.M, "message": f"Scan error: {type(e).__name__}: {e}"}]
-                yield pa.RecordBatch.from_pylist([{"path": path, "ordinal": 1000 + i, **{n: f.get(n) for n in _ROW.names[2:]}} for i, f in enumerate(found)], schema=_ROW)
-
-    magic = F.hex(F.substring("head", 1, 6))
-    wanted = F.col("format").isin(*WALKED, *OBFUSCATED) & F.col("read_error").isNull()
-    if strict:
-        wanted = wanted & ~((F.col("format").isin("pytorch", "7z_archive")))
-    fields = "path string, ordinal int, rule string, severity string, message string, location bigint, technique string, cve array<string>, hits bigint"
-    return df.filter(wanted | magic.startswith("504B0304")).select("path", "format", "length", "content").mapInArrow(run, fields)
-
-
-def gguf_findings(df: DataFrame) -> DataFrame:
-    """Key and value pairs of GGUF and safetensors files, and what is wrong with them."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for k in range(b.num_rows):
-                path, fmt, length, data = (b.column(i)[k].as_py() for i in range(4))
-                try:
-                    data = containers.content_of(path, length, data)
-                except OSError:  # the walk has a finding for it
-                    data = b""
-                if fmt == "gguf":
-                    meta = containers.gguf(data or b"")["metadata"]
-                    template = containers.chat_template(meta)
-                    rows += [(path, "template", "", template)] if template is not None else []
-                    rows += [(path, "gguf", key, v if isinstance(v, str) else "") for key, v in meta.items()]
-                else:
-                    header = containers.safetensors(data or b"")["header"] or {}
-                    rows += [(path, "safetensors", str(key), v) for key, v in (header.get("__metadata__") or {}).items() if isinstance(v, str)]
-                    rows.append((path, "header", "", (data or b"")[8 : 8 + int.from_bytes((data or b"")[:8], "little")].decode("latin-1")))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "kind", "key", "value"])
-
-    pairs = df.filter(F.col("format").isin("gguf", "safetensors")).select("path", "format", "length", "content").mapInArrow(run, "path string, kind string, key string, value string")
-    key, value = F.col("key"), F.col("value")
-    found = (
-        F.when(F.col("kind") == "template", textrules.gguf_template(value))
-        .when(F.col("kind") == "gguf", textrules.gguf_metadata(key, value))
-        .when(F.col("kind") == "safetensors", textrules.tensor_metadata(key, value))
-        .otherwise(textrules.header(value))
-    )
-    return pairs.select("path", F.posexplode(found).alias("ordinal", "f")).select("path", (F.col("ordinal") + 2000).alias("ordinal"), "f.*")
-
-
-def with_context(findings: DataFrame, df: DataFrame) -> DataFrame:
-    """Confidence for critical and high findings of the media detectors; null for the others."""
-    media = F.col("rule").rlike("^(polyglot|svg|image_metadata|video_metadata)")
-    wanted = media & F.col("severity").isin(S.C, S.H)
-    data, at, name = F.col("content"), F.coalesce("location", F.lit(0)), F.coalesce("technique", F.substring("message", 1, 50))
-    joined = findings.filter(wanted).join(df.select("path", "suffix", "content", context.ai_metadata(latin1(F.substring("content", 1, 1 << 16))).alias("generated")), "path")
-    bits = joined.withColumn("bits", obf.entropy(context.window(data, at, 512, 512)))
-    scored = bits.withColumn("confidence", context.score(data, at, name, media_kind(F.col("suffix")), F.col("bits"), F.col("generated"))).drop("content", "suffix", "generated", "bits")
-    rest = findings.filter(~wanted).withColumn("confidence", F.lit(None).cast("double"))
-    out = scored.unionByName(rest)
-    return out.withColumns({"level": F.when(F.col("confidence").isNotNull(), context.level(F.col("confidence"))), "action": F.when(F.col("confidence").isNotNull(), context.action(F.col("confidence"))), "adjusted_severity": F.when(F.col("confidence").isNotNull(), F.concat("severity", F.lit("-"), context.level(F.col("confidence"))))})
+                held.append(_one({n: b.column(n)[k].as_py() for n in b.schema.names}, strict))
+                size += sum(len(held[-1][n] or b"") for n in ("head", "tail", "content"))
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=_WALKED)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=_WALKED)
+
+    return df.select("path", "suffix", "format", "length", "sha256", "read_error", "head", "tail", "content").mapInArrow(run, _WALKED_DDL)
+
+
+def judged(found: Column, options: Options) -> Column:
+    """The findings with their number, confidence, level, action, adjusted severity and recommendation.
+
+    Confidence is for critical and high findings of the media detectors; of a file that is no column, the bytes around
+    a finding come from its tail or head.
+    """
+    whole, tail_at = F.col("content").isNotNull(), F.col("length") - F.octet_length("tail")
+    none = F.lit(None)
+
+    def one(f: Column, i: Column) -> Column:
+        at = F.coalesce(f["location"], F.lit(0))
+        late = F.coalesce(~whole & (at >= tail_at), F.lit(False))
+        data = F.when(whole, F.col("content")).when(late, F.col("tail")).otherwise(F.col("head"))
+        at = F.least(F.when(late, at - tail_at).otherwise(at), F.octet_length(data).cast("bigint"))
+        name = F.coalesce(f["technique"], F.substring(f["message"], 1, 50))
+        wanted = f["rule"].rlike("^(polyglot|svg|image_metadata|video_metadata)") & f["severity"].isin(S.C, S.H)
+        bits = context.window_entropy(context.window(data, at, 512, 512))
+        score = F.when(wanted, context.score(data, at, name, media_kind(F.col("suffix")), bits, F.col("generated"))) if options.context else none.cast("double")
+        fields = [f[n].alias(n) for n in ("rule", "severity", "message", "location", "technique", "cve", "hits", "member", "lines")]
+        return F.struct(i.alias("ordinal"), *fields, score.alias("confidence"))
+
+    def more(f: Column) -> Column:
+        c = f["confidence"]
+        if_scored = lambda x: F.when(c.isNotNull(), x)
+        level = context.level(c)
+        out = f.withField("level", if_scored(level)).withField("action", if_scored(context.action(c))).withField("adjusted_severity", if_scored(F.concat(f["severity"], F.lit("-"), level)))
+        return out.withField("recommendation", advice(f["message"], f["severity"]))
+
+    scored = F.transform(found, one)
+    if options.confidence_threshold > 0:
+        scored = F.filter(scored, lambda f: f["confidence"].isNull() | (f["confidence"] >= options.confidence_threshold))
+    return F.transform(scored, more)
 
 
 def scan(artifacts: DataFrame, options: Options | None = None) -> ScanFrames:
+    """Scan of a table with the columns of the source artifacts."""
     options = options or Options()
-    df = with_format(artifacts)
-    found = column_findings(df).unionByName(walked_findings(df, options.strict)).unionByName(gguf_findings(df))
-    if not options.strict:
-        found = found.dropDuplicates(["path", "rule", "location", "message"])
-    found = with_context(found, df) if options.context else found.withColumns({n: F.lit(None).cast(t) for n, t in (("confidence", "double"), ("level", "string"), ("action", "string"), ("adjusted_severity", "string"))})
-    if options.confidence_threshold > 0:
-        found = found.filter(F.col("confidence").isNull() | (F.col("confidence") >= options.confidence_threshold))
-    found = found.withColumn("recommendation", advice(F.col("message"), F.col("severity")))
-    files = verdicts.file_verdicts(df.select("path", "format", "length", "sha256"), found)
-    return ScanFrames(files, found)
+    fmt, suffix = F.col("format"), F.col("suffix")
+    media = suffix.isin(*S.MEDIA_EXTENSIONS)
+    ready = _fixed(
+        walked(with_format(artifacts), options.strict),
+        body=F.when(fmt == "yaml", textrules.one_newline(F.make_valid_utf8(F.col("content").cast("string")))).when(fmt == "json", F.make_valid_utf8(F.col("content").cast("string"))),
+        raw=F.when(fmt.isin("onnx", "keras", *OBFUSCATED), latin1(F.coalesce("content", "head"))),
+        raw_head=F.when(media, latin1(F.col("head"))),
+        hexed=F.when((fmt == "image") | (suffix == ".pdf"), F.hex("content")),
+        hexed_head=F.when(media, F.hex("head")).otherwise(F.hex(F.substring("head", 1, 32))),
+        hexed_tail=F.when(suffix.isin(*S.VIDEO_EXTENSIONS), F.hex("tail")),
+        generated=F.coalesce(F.when(media, context.ai_metadata(latin1(F.substring("content", 1, 1 << 16)))), F.lit(False)),
+    )
+    ready = _fixed(ready, by_content=content_rules(options.entropy_threshold))
+    ready = _fixed(ready, by_media=media_rules())
+    pairs = pair_rules() if options.strict else F.array_distinct(pair_rules())
+    ready = _fixed(ready, found=F.concat("by_content", "by_media", "walked", pairs))
+    return ScanFrames(_fixed(ready, findings=judged(F.col("found"), options)).select("path", "format", "length", "sha256", "scan_ms", "findings"))
+
+
+def with_external(findings: DataFrame, external: DataFrame) -> DataFrame:
+    """findings with the verdicts of external tools: a table of path, rule and status, one row for each.
+
+    Findings of level MEDIUM or HIGH that a tool did not confirm are adjusted to LOW; override says so.
+    """
+    statuses = external.groupBy("path", "rule").agg(F.min("status").alias("external_status"))
+    joined = findings.join(statuses, ["path", "rule"], "left")
+    after = context.with_verdict(F.col("level"), F.col("adjusted_severity"), F.col("external_status"))
+    return joined.withColumns({"override": F.coalesce(~after.eqNullSafe(F.col("adjusted_severity")), F.lit(False)), "adjusted_severity": after})
 
 
 def scan_directory(spark: SparkSession, path: str, options: Options | None = None, **source) -> ScanFrames:

@@ -7,7 +7,10 @@ on its own; both sides share the values to look for.
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,7 @@ from flintglass.operators import obfuscation as obf
 from flintglass.operators import textrules as T
 from flintglass.operators.formats import by_extension, by_magic, media_kind, suffix_of
 from flintglass.plans import reports
+from flintglass.plans.scan import scan
 from flintglass.sources.shared import shared_dir
 from flintglass.sources.tables import spread
 from flintglass.streaming.incremental import next_run, scan_table_stream
@@ -564,6 +568,143 @@ def compressed_regions(spark, sf_dir):
     return byte_walks(spark, sf_dir, make, lambda d: [(k, at, n) for k, at, n in containers.compressed_regions(d)], "doc_id long, kind string, at long, size long")
 
 
+# ---- whole scans
+
+#: Suffixes of the artifacts that scan_artifacts() makes, by kind.
+SCANNED = [".pkl", ".pickle", ".pt", ".zip", ".safetensors", ".safetensors", ".gguf", ".gguf", ".h5", ".png", ".dat", ".pkl", ".7z"]
+
+
+def make_scanned(text: str, i: int) -> bytes:
+    """An artifact of kind i % 13 around a text; what a scan must find in it is stated in SCANNED_SQL."""
+    t = text.encode()
+    n = len(t)
+    head = b"\x80\x02X" + n.to_bytes(4, "little") + t + b"0"
+    call = head + b"cos\nsystem\n(S'ls'\ntR."
+    framed = b"\x80\x04\x95" + (30).to_bytes(8, "little") + b"\x8c\x02os\x94\x8c\x06system\x94\x93\x94\x8c\x02ls\x94\x85\x94R."
+
+    def zipped(members: list[tuple[str, bytes]]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members:
+                z.writestr(zipfile.ZipInfo(name), data)
+        return out.getvalue()
+
+    def tensors(end: int) -> bytes:
+        h = json.dumps({"t": {"dtype": "U8", "shape": [n], "data_offsets": [0, end]}}).encode()
+        return len(h).to_bytes(8, "little") + h + t
+
+    def gguf(version: int, n_tensors: int, value: bytes) -> bytes:
+        k = b"tokenizer.chat_template"
+        return b"GGUF" + version.to_bytes(4, "little") + n_tensors.to_bytes(8, "little") + (1).to_bytes(8, "little") + len(k).to_bytes(8, "little") + k + (8).to_bytes(4, "little") + len(value).to_bytes(8, "little") + value + t
+
+    return [
+        lambda: call,
+        lambda: head + b"ccollections\nOrderedDict\n)R.",
+        lambda: zipped([("a/data.pkl", call), ("b/data.pkl", call)]),
+        lambda: zipped([("../up.txt", t)]),
+        lambda: tensors(n),
+        lambda: tensors(n + 5),
+        lambda: gguf(3, 1, b"{{ x.__class__.__mro__ }}"),
+        lambda: gguf(9, 200_001, b"{{ message }}"),
+        lambda: b"\x89HDF\r\n\x1a\n" + framed + t,
+        lambda: b"\x89PNG\r\n\x1a\n" + t + b"IEND\xaeB`\x82" + framed,
+        lambda: t,
+        lambda: b"\x80\x04X" + (n + 10).to_bytes(4, "little") + t,
+        lambda: bytes.fromhex("377ABCAF271C") + bytes(26) + framed + t,
+    ][i % 13]()
+
+
+def scan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts with the columns of the source, one for each document."""
+    import pyarrow as pa
+
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = part.column("doc_id").to_pylist()
+                data = [make_scanned(t, i) for i, t in zip(ids, part.column("text").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{i}{SCANNED[i % 13]}" for i in ids]), pa.array(data, pa.binary())], names=["path", "content"])
+
+    data = F.col("content")
+    made = d.mapInArrow(run, "path string, content binary")
+    return made.select("path", F.octet_length(data).cast("bigint").alias("length"), F.lit(None).cast("double").alias("mtime"), F.substring(data, 1, 1 << 20).alias("head"), F.substring(data, -(1 << 16), 1 << 16).alias("tail"), "content", F.sha2(data, 256).alias("sha256"), F.lit(None).cast("string").alias("read_error"))
+
+
+SCANNED_SQL = """
+d AS (SELECT doc_id, doc_id % 13 AS k, strlen(coalesce(text, '')) AS n FROM documents),
+expected AS (
+    SELECT doc_id, k, n, unnest(CASE k
+        WHEN 0 THEN [
+            {'rule': 'pickle.known_call', 'severity': 'critical', 'location': n + 8, 'member': NULL, 'hits': NULL, 'message': 'Known malicious call: os.system'},
+            {'rule': 'pickle.reduce', 'severity': 'high', 'location': n + 27, 'member': NULL, 'hits': 1, 'message': 'REDUCE opcode found 1 time(s) (function calls)'}]
+        WHEN 1 THEN [{'rule': 'pickle.reduce', 'severity': 'medium', 'location': n + 34, 'member': NULL, 'hits': 1, 'message': 'REDUCE opcode found 1 time(s) (function calls)'}]
+        WHEN 2 THEN [
+            {'rule': 'pickle.known_call', 'severity': 'critical', 'location': n + 48, 'member': 'a/data.pkl', 'hits': NULL, 'message': 'Known malicious call: os.system'},
+            {'rule': 'pickle.reduce', 'severity': 'high', 'location': n + 67, 'member': 'a/data.pkl', 'hits': 1, 'message': 'REDUCE opcode found 1 time(s) (function calls)'},
+            {'rule': 'pickle.known_call', 'severity': 'critical', 'location': 2 * n + 117, 'member': 'b/data.pkl', 'hits': NULL, 'message': 'Known malicious call: os.system'},
+            {'rule': 'pickle.reduce', 'severity': 'high', 'location': 2 * n + 136, 'member': 'b/data.pkl', 'hits': 1, 'message': 'REDUCE opcode found 1 time(s) (function calls)'},
+            {'rule': 'archive.summary', 'severity': 'info', 'location': NULL, 'member': NULL, 'hits': 2, 'message': 'PyTorch ZIP archive with 2 pickle file(s)'}]
+        WHEN 3 THEN [
+            {'rule': 'archive.zipslip', 'severity': 'critical', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Path traversal detected in ZIP archive (ZipSlip)'},
+            {'rule': 'archive.summary', 'severity': 'info', 'location': NULL, 'member': NULL, 'hits': 0, 'message': 'PyTorch ZIP archive with 0 pickle file(s)'}]
+        WHEN 5 THEN [{'rule': 'safetensors.truncated', 'severity': 'medium', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Truncated file: 1 tensor(s) exceed file size'}]
+        WHEN 6 THEN [
+            {'rule': 'template.present', 'severity': 'info', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Chat template present (review for Jinja injection - CVE-2024-34359)'},
+            {'rule': 'template.Jinja expression', 'severity': 'critical', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Potential Jinja injection in chat template: Jinja expression'},
+            {'rule': 'template.__class__ access', 'severity': 'critical', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Potential Jinja injection in chat template: __class__ access'},
+            {'rule': 'template.__mro__ access', 'severity': 'critical', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Potential Jinja injection in chat template: __mro__ access'}]
+        WHEN 7 THEN [
+            {'rule': 'gguf.version', 'severity': 'medium', 'location': 4, 'member': NULL, 'hits': NULL, 'message': 'Unknown GGUF version: 9'},
+            {'rule': 'gguf.tensors', 'severity': 'high', 'location': 8, 'member': NULL, 'hits': NULL, 'message': 'Unusually high tensor count: 200,001'},
+            {'rule': 'template.present', 'severity': 'info', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Chat template present (review for Jinja injection - CVE-2024-34359)'}]
+        WHEN 8 THEN [
+            {'rule': 'keras.pickle', 'severity': 'high', 'location': 8, 'member': NULL, 'hits': 1, 'message': 'Embedded pickle data detected (1 region(s))'},
+            {'rule': 'pickle.known_call', 'severity': 'critical', 'location': 33, 'member': 'offset 8', 'hits': NULL, 'message': 'Known malicious call: os.system'},
+            {'rule': 'pickle.reduce', 'severity': 'high', 'location': 42, 'member': 'offset 8', 'hits': 1, 'message': 'REDUCE opcode found 1 time(s) (function calls)'}]
+        WHEN 9 THEN [
+            {'rule': 'polyglot.pickle_in_image', 'severity': 'critical', 'location': n + 16, 'member': NULL, 'hits': NULL, 'message': concat('Pickle data embedded in image at offset ', n + 16)},
+            {'rule': 'polyglot.trailing_data', 'severity': 'medium', 'location': n + 20, 'member': NULL, 'hits': NULL, 'message': 'Trailing data after image end: 32 bytes'}]
+        WHEN 10 THEN [{'rule': 'file.unknown', 'severity': 'info', 'location': NULL, 'member': NULL, 'hits': NULL, 'message': 'Unknown format: unknown'}]
+        WHEN 11 THEN [{'rule': 'pickle.invalid', 'severity': 'medium', 'location': 0, 'member': NULL, 'hits': NULL, 'message': NULL}]
+        WHEN 12 THEN [
+            {'rule': 'archive.7z', 'severity': 'high', 'location': 0, 'member': NULL, 'hits': NULL, 'message': '7z archive detected - potential nullifAI bypass (CVE-2025-1716)'},
+            {'rule': 'archive.7z_pickle', 'severity': 'critical', 'location': 32, 'member': NULL, 'hits': 1, 'message': 'Pickle data found inside 7z archive at 1 location(s)'},
+            {'rule': 'pickle.known_call', 'severity': 'critical', 'location': 57, 'member': '7z', 'hits': NULL, 'message': 'Known malicious call: os.system'},
+            {'rule': 'pickle.reduce', 'severity': 'high', 'location': 66, 'member': '7z', 'hits': 1, 'message': 'REDUCE opcode found 1 time(s) (function calls)'}]
+    END) AS f FROM d
+    UNION ALL
+    SELECT doc_id, k, n, {'rule': 'polyglot.metadata_pickle', 'severity': 'critical', 'location': n + 16, 'member': NULL, 'hits': NULL, 'message': concat('Pickle signature in image metadata at offset ', n + 16)}
+    FROM d WHERE k = 9 AND n BETWEEN 4 AND 65500
+)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a scan, without the rules over encoded content, which have queries of their own."""
+    rows = scan(scan_artifacts(spark, sf_dir)).rows
+    return rows.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), "format", F.filter("findings", lambda f: ~f["rule"].startswith("obfuscation.")).alias("findings"))
+
+
+@query(f"WITH {SCANNED_SQL} SELECT doc_id, f.rule AS rule, f.severity AS severity, f.location AS location, f.member AS member, f.hits AS hits, f.message AS message FROM expected")
+def scan_findings(spark, sf_dir):
+    """The whole scan of an artifact for each document: streams, archives, tensor files, models, images, unknown and broken files."""
+    message = F.when(F.col("rule") != "pickle.invalid", F.col("message"))  # that one quotes the parser
+    return _scanned(spark, sf_dir).select("doc_id", F.inline("findings")).select("doc_id", "rule", "severity", "location", "member", "hits", message.alias("message"))
+
+
+@query(f"""
+WITH {SCANNED_SQL}, worst AS (SELECT doc_id, min(list_position(['critical', 'high', 'medium', 'low', 'info'], f.severity)) AS w, count(*) AS c FROM expected GROUP BY doc_id)
+SELECT doc_id, ['pickle', 'pickle', 'pickle', 'archive', 'safetensors', 'safetensors', 'gguf', 'gguf', 'keras', 'image', 'unknown', 'pickle', 'archive'][k + 1] AS format, coalesce(w > 2, true) AS is_safe, ['critical', 'high', 'medium', 'low', 'info'][w] AS max_severity, coalesce(c, 0) AS n_findings
+FROM d LEFT JOIN worst USING (doc_id)
+""")
+def scan_verdicts(spark, sf_dir):
+    """The verdict of the same scan on each artifact."""
+    of = verdicts.of_findings(F.col("findings"))
+    return _scanned(spark, sf_dir).select("doc_id", "format", *[of[n].alias(n) for n in ("is_safe", "max_severity", "n_findings")])
+
+
 # ---- media
 
 
@@ -852,6 +993,29 @@ def report_catalog(spark, sf_dir):
     return reports.catalogue(report_names(spark, sf_dir))
 
 
+@query(f"""
+WITH {NAMES_SQL}, s AS (SELECT strftime(date_trunc('hour', ts), '%Y%m%d_%H%M%S') AS stamp, count(*) AS total, count(*) FILTER (value > 90) AS unsafe FROM events WHERE event_id % 5 = 1 GROUP BY 1)
+SELECT stamp, formats, total, unsafe FROM (SELECT regexp_extract(name, '\\d{{8}}_\\d{{6}}') AS stamp, string_agg(DISTINCT split_part(name, '.', 2), ',' ORDER BY split_part(name, '.', 2)) AS formats FROM names WHERE NOT ends_with(name, '.log') GROUP BY ALL) LEFT JOIN s USING (stamp)
+""")
+def report_catalog_summaries(spark, sf_dir):
+    """The catalogue with the summaries that JSON reports bring."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_id") % 5 == 1)
+    summaries = e.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyyMMdd_HHmmss").alias("stamp")).agg(F.count("*").alias("total"), F.count_if(F.col("value") > 90).alias("unsafe"))
+    return reports.catalogue(report_names(spark, sf_dir), summaries=summaries).select("stamp", "formats", "total", "unsafe")
+
+
+@query("""
+WITH m AS (SELECT doc_id, ['eval() call', 'system() call', 'ASP code', 'PHP code', 'RAR archive embedded', 'Dangerous import: sys', 'Pickle data embedded', 'Very high entropy', 'exec of PHP'][doc_id % 9 + 1] AS message FROM documents)
+SELECT doc_id, CASE WHEN contains(lower(message), 'eval') THEN 'eval' WHEN regexp_matches(lower(message), 'exec|system|passthru') THEN 'exec' WHEN contains(lower(message), 'asp') THEN 'asp' WHEN contains(lower(message), 'php') THEN 'php'
+    WHEN regexp_matches(lower(message), 'archive|zip|rar') THEN 'archive' WHEN regexp_matches(lower(message), 'pickle|dangerous import') THEN 'pickle' ELSE 'default' END AS recipe FROM m
+""")
+def report_recipes(spark, sf_dir):
+    """Which check a report suggests for a finding."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    message = pick(["eval() call", "system() call", "ASP code", "PHP code", "RAR archive embedded", "Dangerous import: sys", "Pickle data embedded", "Very high entropy", "exec of PHP"], F.col("doc_id"))
+    return d.select("doc_id", reports.recipe_kind(message).alias("recipe"))
+
+
 @query(f"WITH {NAMES_SQL} SELECT name, mtime FROM names WHERE mtime < (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def report_retention(spark, sf_dir):
     names = report_names(spark, sf_dir)

@@ -2,8 +2,8 @@
 
 The data source `artifacts` lists a folder that every executor sees, keeps empty, hidden and
 underscore files, and packs files into partitions by size, largest first. It reads only the windows
-that the requested columns need: asking for no content reads none. `from_binary_files` reads stores
-that only Spark reaches.
+that the requested columns need: asking for no content reads none. Paths with a scheme (object stores)
+are read by `from_binary_files`.
 """
 
 from __future__ import annotations
@@ -107,7 +107,9 @@ class ArtifactReader(DataSourceReader):
 
 
 def from_directory(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Artifacts of a folder; one that is missing or no folder gives one row that says so."""
+    """Artifacts of a folder; one that is missing or no folder gives one row that says so. Paths with a scheme are read by from_binary_files()."""
+    if "://" in path:
+        return from_binary_files(spark, path, int(options.get("max_content", MAX_CONTENT)))
     if not os.path.exists(path) or not (os.path.isdir(path) or os.path.isfile(path)):
         why = "Directory not found" if not os.path.exists(path) else "Not a directory"
         return spark.createDataFrame([(path, 0, None, b"", b"", b"", "", f"{why}: {path}")], SCHEMA)
@@ -115,8 +117,14 @@ def from_directory(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("artifacts").options(path=path, **{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).load()
 
 
-def from_binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns by Spark's own reader, which leaves out empty, hidden and underscore files."""
+def from_binary_files(spark: SparkSession, path: str, max_content: int = MAX_CONTENT) -> DataFrame:
+    """The same columns by Spark's own reader, for stores that only it reaches; it leaves out empty, hidden and underscore files.
+
+    Files over max_content come without their bytes: a scan says that it didn't read them.
+    """
     data = F.col("content")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.col("modificationTime").cast("double").alias("mtime"), F.substring(data, 1, HEAD).alias("head"), F.substring(data, -TAIL, TAIL).alias("tail"), "content", F.sha2(data, 256).alias("sha256"), F.lit(None).cast("string").alias("read_error"))
+    known = ["path", "length", F.col("modificationTime").cast("double").alias("mtime")]
+    read = files.filter(F.col("length") <= max_content).select(*known, F.substring(data, 1, HEAD).alias("head"), F.substring(data, -TAIL, TAIL).alias("tail"), "content", F.sha2(data, 256).alias("sha256"), F.lit(None).cast("string").alias("read_error"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("head", "binary"), ("tail", "binary"), ("content", "binary"), ("sha256", "string"), ("read_error", "string"))]
+    return read.union(files.filter(F.col("length") > max_content).select(*known, *none))

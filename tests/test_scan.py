@@ -7,12 +7,13 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from flintglass import cli, config
-from flintglass.operators import containers, pickles
+from flintglass.operators import containers, context, pickles, verdicts
 from flintglass.operators.obfuscation import entropy_of
 from flintglass.plans import reports
-from flintglass.plans.scan import scan_directory, walk
+from flintglass.plans.scan import scan_directory, walk, with_external
 from flintglass.sources.artifacts import from_directory
 
 CALL = b"\x80\x04\x95" + (30).to_bytes(8, "little") + b"\x8c\x02os\x94\x8c\x06system\x94\x93\x94\x8c\x02ls\x94\x85\x94R\x94."
@@ -120,6 +121,59 @@ def test_advice_context_and_duplicates(scanned):
     assert by["call.pkl"][0].recommendation.startswith("DO NOT LOAD")
 
 
+def test_two_members_give_their_own_findings(spark, tmp_path):
+    zipped(tmp_path / "two.pt", {"a.pkl": CALL, "b/data.pkl": CALL, "c.pkl": CALL + b"x"})
+    found = [r for r in scan_directory(spark, str(tmp_path)).findings.collect() if r.rule == "pickle.known_call"]
+    data = (tmp_path / "two.pt").read_bytes()
+    assert {r.member for r in found} == {"a.pkl", "b/data.pkl", "c.pkl"} and all(data[r.location : r.location + 1] == b"\x93" for r in found)
+
+
+def test_a_member_too_large_is_said(monkeypatch, tmp_path):
+    zipped(tmp_path / "m.pt", {"data.pkl": b"N" * 1000 + CALL})
+    monkeypatch.setattr(containers.members, "__defaults__", (100,))
+    found = walk("m.pt", "pickle", (tmp_path / "m.pt").read_bytes())
+    assert [(f["severity"], f["member"]) for f in found if f["rule"] == "archive.unscanned"] == [("high", "data.pkl")]
+
+
+def test_one_pass(spark, folder):
+    """A view scans the source once, without a shuffle; its code compiles."""
+    frames = scan_directory(spark, str(folder), extensions="*")
+    for view in (frames.files, frames.findings):
+        plan = view._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchScan") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+def test_lines_versions_and_external_verdicts(spark, scanned):
+    _, by = scanned
+    assert [r.lines for r in by["evil.yaml"] if r.rule.startswith("yaml_tag")][0] == [1]
+    assert "ONNX IR version: 7" in {r.message for r in by["up.onnx"]}
+    frames = spark.createDataFrame([("p", "svg.x", "critical", "HIGH", "critical-HIGH"), ("q", "svg.x", "critical", "HIGH", "critical-HIGH"), ("r", "pickle.y", "high", None, None)], "path string, rule string, severity string, level string, adjusted_severity string")
+    external = spark.createDataFrame([("p", "svg.x", "not_confirmed"), ("q", "svg.x", "confirmed"), ("r", "pickle.y", "not_confirmed")], "path string, rule string, status string")
+    assert {(r.path, r.adjusted_severity, r.override) for r in with_external(frames, external).collect()} == {("p", "critical-LOW", True), ("q", "critical-HIGH", False), ("r", None, False)}
+
+
+def test_window_entropy(spark):
+    data = [bytes(1000), bytes(range(256)) * 4, b"", os.urandom(700), b"abcabd"]
+    got = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "i int, d binary").select("i", context.window_entropy(F.col("d")).alias("e")).collect()
+    assert all(abs(r.e - entropy_of(data[r.i])) < 1e-8 for r in got)
+
+
+def test_files_behind_a_scheme(spark, tmp_path):
+    (tmp_path / "call.pkl").write_bytes(CALL)
+    (tmp_path / "big.yaml").write_bytes(b"a: 1\n" * 100)
+    got = {os.path.basename(r.path): r.is_safe for r in scan_directory(spark, f"file://{tmp_path}", max_content=200).files.collect()}
+    assert got == {"call.pkl": False, "big.yaml": False}
+
+
+def test_report_order_is_exact(spark):
+    rows = [(f"p{i * 7919 % 500:03d}", i % 5 > 0, "critical" if i % 10 == 0 else "high" if i % 5 == 0 else None, (i % 3) / 2) for i in range(500)]
+    files = spark.createDataFrame(rows, "path string, is_safe boolean, max_severity string, max_confidence double")
+    got = {r.path: r.position for r in verdicts.report_order(files, pieces=7).collect()}
+    want = sorted(rows, key=lambda r: (r[1], {"critical": 0, "high": 1}.get(r[2], 9), 0 if r[1] else -r[3], r[0]))
+    assert [got[r[0]] for r in want] == list(range(1, 501))
+    assert verdicts.report_order(files.limit(0)).count() == 0
+
+
 def test_strict_keeps_repeats(folder):
     data = (folder / "model.pt").read_bytes()
     count = lambda found: sum(f["rule"] == "pickle.known_call" for f in found)
@@ -140,7 +194,12 @@ def test_reports_and_cli(spark, folder, tmp_path, capsys):
     made = sorted(p.name.split(".", 1)[1] for p in tmp_path.iterdir())
     assert made == ["csv", "html", "json", "summary.json", "txt"]
     text = next(tmp_path.glob("*.txt")).read_text()
-    assert "THREATS DETECTED" in text and "os.system" in text
+    assert "THREATS DETECTED" in text and "os.system" in text and "strings -t d" in text
+    page = next(tmp_path.glob("*.html")).read_text()
+    assert "<details>" in page and "data-s='critical'" in page
+    kept = reports.read_summaries(spark, str(tmp_path)).collect()
+    assert [(r.total, r.unsafe) for r in kept] == [(1, 1)] and cli.main(["version"]) == 0
+    assert "Scan Time (ms)" in next(next(tmp_path.glob("*.csv")).glob("*.csv")).read_text()
     old = tmp_path / "scan_report_20200101_000000.txt"
     old.write_text("x")
     os.utime(old, (0, 0))
