@@ -217,11 +217,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     keys = classes.select("rep", "sig").mapInArrow(_keys(scheme), "key long, rep long")
     shared = scratch.keep(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, rep long"))
-    hot = shared.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET_ROWS)
+    hot = scratch.keep(shared.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET_ROWS))
     buckets = shared.join(hot, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / BUCKET_ROWS).cast("int"), F.lit(1)))
     buckets = _dealt(buckets.drop("rows").withColumnRenamed("key", "bucket"), "rep", "bucket").select("key", "rep").join(classes.select("rep", "sig"), "rep")
     candidates = scratch.keep(buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucket_edges(scheme), "a long, b long").distinct())
-    scratch.drop(shared)
+    scratch.drop(shared, hot)
     found = components(candidates, scratch)
     groups = found.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     groups = scratch.keep(groups.union(groups.select(F.col("grp").alias("rep"), "grp").distinct()))
