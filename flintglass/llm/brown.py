@@ -4,7 +4,8 @@ Training counts cover every word of every training text. Words are sorted into c
 each type moves to the class that most raises the likelihood of the class bigrams. The TYPES most
 frequent words are types of their own; all others, unseen ones too, share a type with the words of
 the same last three bytes, so every word has a class and the tables on executors have a fixed size.
-A pass over the training texts counts, for every type, the classes on its left and on its right; the
+The training texts are written once as sequences of types. A pass over these counts, for every type, the classes on
+its left and on its right; the
 exchange then visits the types by frequency and updates the class counts after each move. The first
 pass takes the most frequent words as classes of their own, later passes the classes found so far.
 
@@ -145,36 +146,46 @@ def _summed(batches):
         yield _pack(now, total, salt)
 
 
-def neighbours(docs: DataFrame, text: str, vocabulary, classes) -> np.ndarray:
-    """[side, type, class]: how often the class stands left (0) or right (1) of the type. vocabulary, classes: broadcasts.
+def sequences(docs: DataFrame, text: str, vocabulary) -> DataFrame:
+    """Rows of types, 16 bits each, of the training texts, an end before the first of a row and after each; vocabulary: a broadcast."""
+
+    def run(batches):
+        v = vocabulary.value
+        for b in batches:
+            for w, mine, learn in _training(b, text, (-3,)):
+                if learn.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([_sequence(v.types(w)[0], w, mine, learn).astype(np.uint16).tobytes()], pa.binary())], names=["types"])
+
+    return docs.mapInArrow(run, "types binary")
+
+
+def neighbours(rows: DataFrame, classes) -> np.ndarray:
+    """[side, type, class]: how often the class stands left (0) or right (1) of the type. rows: of sequences(); classes: a broadcast.
 
     The tables of partitions are added up block by block, in two steps, so no task sees many.
     """
 
     def run(batches):
-        v, g = vocabulary.value, classes.value
+        g = classes.value
         total = np.zeros((2, ALL * CLASSES), np.int64)
-        held, size = [], 0
+        codes: list = []
+        size = 0
 
         def count():
-            for seq in held:
-                c = g[seq]
-                codes.append((seq[1:] * CLASSES + c[:-1], seq[:-1] * CLASSES + c[1:]))
             for side in (0, 1):
                 total[side] += np.bincount(np.concatenate([x[side] for x in codes]), minlength=ALL * CLASSES)
             codes.clear()
-            held.clear()
 
-        codes: list = []
         for b in batches:
-            for w, mine, learn in _training(b, text, (-3,)):
-                if learn.any():
-                    held.append(_sequence(v.types(w)[0], w, mine, learn))
-                    size += len(held[-1])
+            for types in b.column("types"):
+                seq = np.frombuffer(types.as_py(), np.uint16).astype(np.int64)
+                c = g[seq]
+                codes.append((seq[1:] * CLASSES + c[:-1], seq[:-1] * CLASSES + c[1:]))
+                size += len(seq)
                 if size > CHUNK:
                     count()
                     size = 0
-        if held:
+        if codes:
             count()
         salt = TaskContext.get().partitionId() % SALTS
         for side in (0, 1):
@@ -184,7 +195,7 @@ def neighbours(docs: DataFrame, text: str, vocabulary, classes) -> np.ndarray:
                     yield _pack(2 * k + side, part, salt)
 
     kinds = "block int, salt int, counts binary"
-    rows = docs.mapInArrow(run, kinds)
+    rows = rows.mapInArrow(run, kinds)
     rows = rows.repartition("block", "salt").sortWithinPartitions("block").mapInArrow(_summed, kinds)
     rows = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, kinds)
     out = np.zeros((2, ALL, CLASSES), np.int64)
@@ -255,7 +266,7 @@ class Model:
         self.seen = np.log10((1 - unseen) / np.maximum(size, 1))
 
 
-def fit(docs: DataFrame, counts: DataFrame, text: str) -> Model:
+def fit(docs: DataFrame, counts: DataFrame, text: str, scratch: Scratch) -> Model:
     """docs: the texts with a column learn; counts: of word_counts()."""
     spark = docs.sparkSession
     top = counts.orderBy(F.desc("n"), "hash").limit(HEAD).select("hash", "ending", "n").toArrow()
@@ -270,9 +281,10 @@ def fit(docs: DataFrame, counts: DataFrame, text: str) -> Model:
     g[: CLASSES - 2] = np.arange(CLASSES - 2)
     g[END] = CLASSES - 1
     shared = spark.sparkContext.broadcast(vocabulary)
+    rows = scratch.keep(sequences(docs, text, shared))
     for k in range(ROUNDS + 1):
         about = spark.sparkContext.broadcast(g)
-        left, right = neighbours(docs, text, shared, about)
+        left, right = neighbours(rows, about)
         about.destroy()
         if k < ROUNDS:
             if k == 0:
@@ -282,6 +294,7 @@ def fit(docs: DataFrame, counts: DataFrame, text: str) -> Model:
                 g = exchange(left, right, start, 2)
             else:
                 g = exchange(left, right, g)
+    scratch.drop(rows)
     pairs = np.zeros((CLASSES, CLASSES))
     np.add.at(pairs.T, g, left)
     singles = np.zeros(CLASSES)
@@ -299,7 +312,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     counts = scratch.keep(word_counts(docs.select("text", "learn"), "text"))
-    model = fit(docs.select("text", "learn"), counts, "text")
+    model = fit(docs.select("text", "learn"), counts, "text", scratch)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["key"].dataType.simpleString()
     n, v = model.n, model.v
