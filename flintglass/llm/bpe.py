@@ -429,7 +429,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", text:
 
 
 def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", size: str = "n_tokens") -> DataFrame:
-    """df with the ids of each text, their number, and the text as decoded from them; one pass, so one vocabulary a worker."""
+    """df with the ids of each text, their number, and the text as decoded from them; one pass, so one vocabulary a worker.
+
+    A null text has no ids, the number 0, and stays null. Columns of df named as ids or size are replaced, all others kept.
+    """
     schema = _replaced(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(size, T.LongType())])
     kept = schema.names[:-2]
 

@@ -289,7 +289,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold."""
+    """The rows of docs, all columns, whose text scores below the threshold.
+
+    A null or empty text scores as one without toxic tokens. A model fitted without labels of both kinds can't tell
+    texts apart, so all rows stay.
+    Repeated rows are judged alike; rows with a null id are judged too, as only the text is read. An empty table
+    gives an empty table.
+    """
+    if model.weights is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

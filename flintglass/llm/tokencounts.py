@@ -64,12 +64,23 @@ def context_limits(hist: DataFrame) -> DataFrame:
     )
 
 
+def with_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """The histogram with rows of no documents for the limits, so that context_limits() answers for each of them whether a document has that length or not."""
+    asked = hist.sparkSession.createDataFrame([(int(x), 0) for x in limits], "n_tokens long, n_docs long")
+    return hist.union(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+
+
 def quantiles(limits: DataFrame, probabilities: list[float]) -> DataFrame:
     """For each probability the least length that at least that part of the documents keeps within."""
     wanted = limits.sparkSession.createDataFrame([(float(p),) for p in probabilities], "probability double")
     return wanted.join(limits, F.col("quantile") >= F.round("probability", 9)).groupBy("probability").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The limits of a table of texts; the histogram is written once, as both levels of the sums read it."""
-    return context_limits(Scratch(df.sparkSession).keep(histogram(bpe.lengths(df, path, pattern, text))))
+#: Usual context limits, which are answered also where no document has the length.
+LIMITS = [1 << k for k in range(7, 21)]
+
+
+def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", limits: list[int] = LIMITS) -> DataFrame:
+    """context_limits() of a table of texts, for each length there is and each of the limits; an empty table has no rows. The histogram is written once, as both levels of the sums read it."""
+    hist = Scratch(df.sparkSession).keep(histogram(bpe.lengths(df, path, pattern, text)))
+    return context_limits(with_limits(hist, limits if limits and not hist.isEmpty() else []))

@@ -259,6 +259,9 @@ def test_token_counts(docs, none):
         assert r.truncated_total == sum(min(x, n) for x in lengths) and r.tokens_within == sum(x for x in lengths if x <= n)
     assert tokencounts.quantiles(limits, [0.5]).first().n_tokens == sorted(lengths)[math.ceil(len(lengths) / 2) - 1]
     assert tokencounts.token_counts(none, *VOCABULARY).count() == 0
+    odd = {r.n_tokens: r for r in tokencounts.token_counts(docs, *VOCABULARY, limits=[0, 3, 777, 10**6]).collect()}
+    for n in (0, 3, 777, 10**6):
+        assert (odd[n].docs_reaching, odd[n].truncated_total, odd[n].tokens_within) == (sum(x >= n for x in lengths), sum(min(x, n) for x in lengths), sum(x for x in lengths if x <= n))
 
 
 def test_placement(docs, none):
@@ -349,6 +352,36 @@ def test_toxicity_query_gives_spans(spark):
     assert "spans" in out.columns and out.filter("size(spans) > 0 and spans[0].end > spans[0].start").count() > 0
 
 
+def test_clashing_names(spark):
+    """Columns named as the operators' own ones are kept as they are."""
+    names = ["passage_id", "passage_cut", "row_rank", "rows", "id", "grp", "key", "n", "sig"]
+    words = [f"w{k}" for k in range(200)]
+    same, own = " ".join(words[:80]), " ".join(words[80:])
+    docs = spark.createDataFrame([(i, f"{same} {own if i == 2 else i}", *"abcdefghi") for i in (1, 2, 3)], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    out = chaining.without_passages(docs, chaining.passages(docs)).collect()
+    assert {r.doc_id: len(r.text.split()) for r in out} == {1: 81, 2: 120, 3: 1} and all(tuple(r)[2:] == tuple("abcdefghi") for r in out)
+    assert minhash.near_duplicates(docs).count() == 3
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, a very long text and columns with names that stages use."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row_rank string, passage_cut string, n string"
+    rnd = random.Random(2)
+    long = " ".join(f"q{rnd.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, None, "en", "s", 0, "r", "c", "n"), (2, "", "en", "s", 0, "r", "c", "n"), (None, "no id", "en", "s", 5, "r", "c", "n"), (3, long, "en", "s", len(long), "r", "c", "n"), (4, "x y z", "en", "s", 5, "r", "c", "n"), (4, "x y", "en", "s", 3, "r", "c", "n")]
+    for name, data in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        want = {(1, None), (2, ""), (None, "no id"), (3, long), (4, "x y z")} if data else set()
+        assert {(r.doc_id, r.text) for r in out} == want and len(out) == len(want)
+        assert all((r.row_rank, r.passage_cut, r.n) == ("r", "c", "n") for r in out)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
