@@ -3,6 +3,7 @@
 toxicity: drops documents scored as toxic; fitted on the labelled documents it is given.
 near_dedup: keeps of each group of near-duplicates (similarity of 0.8 or more) the document with the least id; rows that repeat
 an id are one document, of which the row with the longest text stays. Rows without an id stay.
+Each stage keeps null and empty texts, whatever other columns the table has, and gives an empty table for one.
 substring_dedup: cuts passages out of documents that an earlier document has too, and drops documents
 of which nothing is left.
 decontamination: drops documents that hold a benchmark item.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flintglass.llm import bpe, chaining, containment, crf, minhash
 from flintglass.llm.queries import toxicity_model, vocabulary
-from flintglass.llm.store import Scratch
+from flintglass.llm.store import Scratch, unused
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = minhash.near_duplicates(docs, percent=80)
     copies = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1").select("doc_id")
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
+    rank = unused(docs, "row_rank")
     best = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), *docs.columns)
-    single = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(best)).filter("__n = 1")
+    single = kept.join(repeated, "doc_id", "left_semi").withColumn(rank, F.row_number().over(best)).filter(F.col(rank) == 1)
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(single.select(docs.columns))
 
 
