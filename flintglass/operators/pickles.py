@@ -209,16 +209,15 @@ def inspect(data: bytes) -> list[dict]:
 def import_findings(imports: DataFrame, keys: list[str]) -> DataFrame:
     """The import rules as joins, for a table of imports (keys, module, name, pos): rule, severity and message of each.
 
-    Known calls are looked up by pair; other modules by each of their dotted prefixes; names of
-    functions on their own. The tables are fixed and small, so they are broadcast.
+    Known calls are looked up by pair, in a fixed and small table that is broadcast; other modules by any of their
+    dotted prefixes, and names of functions on their own, in fixed lists.
     """
     spark = imports.sparkSession
     known = F.broadcast(spark.createDataFrame(S.KNOWN_CALLS, "module string, name string").withColumn("known", F.lit(True)))
-    modules = F.broadcast(spark.createDataFrame([(m,) for m in S.DANGEROUS_MODULES], "prefix string"))
     marked = imports.join(known, ["module", "name"], "left")
     parts = F.split("module", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws(".", F.slice(parts, 1, n)))
-    dotted = marked.filter("known is null").withColumn("prefix", F.explode(prefixes)).join(modules, "prefix").select(*keys, "module", "name", "pos").distinct()
+    dotted = marked.filter("known is null").filter(F.exists(prefixes, lambda p: p.isin(*S.DANGEROUS_MODULES)))
     base = F.element_at(parts, 1)
     row = lambda rule, severity, message: [F.lit(rule).alias("rule"), severity.alias("severity"), message.alias("message"), F.col("pos")]
     full = F.concat_ws(".", "module", F.nullif("name", F.lit("")))

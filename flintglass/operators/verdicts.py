@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
 from flintglass.functions.rules import rank
+from flintglass.sources.shared import kept
 
 
 def file_verdicts(files: DataFrame, findings: DataFrame, key: str = "path") -> DataFrame:
@@ -52,10 +53,11 @@ def report_order(verdicts: DataFrame, pieces: int = 256) -> DataFrame:
 
     The order is cut into ranges at the quantiles of a bounded sample (16 rows a piece), so that no task numbers
     all files; positions are exact whatever the sample is, as a range starts after the counted rows of those before it.
+    The verdicts are written once, as the sample, the counts and the rows read them.
     """
     safe = F.col("is_safe")
     place = F.struct(F.when(safe, 9).otherwise(rank(F.col("max_severity"))).alias("part"), F.when(safe, F.lit(0.0)).otherwise(-F.col("max_confidence")).alias("conf"), F.col("path"))
-    marked = verdicts.withColumn("place", place)
+    marked = kept(verdicts.withColumn("place", place))
     sample = sorted(tuple(r["place"]) for r in marked.select("place", F.xxhash64("path").alias("h")).orderBy("h", "place").limit(16 * pieces).select("place").collect())
     cuts = [dict(zip(("part", "conf", "path"), sample[len(sample) * k // pieces], strict=True)) for k in range(1, pieces)] if sample else []
     bounds = F.from_json(F.lit(json.dumps(cuts)), f"array<{marked.schema['place'].dataType.simpleString()}>")  # one constant

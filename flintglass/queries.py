@@ -770,10 +770,11 @@ def archive_in_video(spark, sf_dir):
 
 @query("""
 WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), c AS (SELECT doc_id, x, count(*) AS n FROM b GROUP BY ALL)
-SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id
+SELECT doc_id, coalesce(entropy, 0) AS entropy FROM documents LEFT JOIN (SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id) USING (doc_id)
 """)
 def entropy_by_document(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''")
+    """Null and empty texts have none."""
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", F.round(obf.entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
 
 
@@ -1074,6 +1075,6 @@ def unsafe_artifacts(spark, sf_dir):
 
     a = artifacts(spark, sf_dir)
     rules = matches(F.col("body"), S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}") + matches(F.col("body"), S.IMAGE_PATTERNS, "image_metadata", "{}")
-    hits = a.select("path", F.explode(collected(*rules)).alias("f")).select("path", "f.severity").withColumn("confidence", F.lit(None).cast("double"))
-    return verdicts.report_order(verdicts.file_verdicts(a.select("path"), hits)).select("path", "is_safe", "max_severity", "n_findings", "position")
-
+    found = F.transform(collected(*rules), lambda f: F.struct(f["severity"].alias("severity"), F.lit(None).cast("double").alias("confidence")))
+    judged = a.select("path", found.alias("findings")).select("path", *[c.alias(n) for n, c in verdicts.of_findings(F.col("findings")).items()])
+    return verdicts.report_order(judged).select("path", "is_safe", "max_severity", "n_findings", "position")

@@ -1,11 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder and read again, for what reads it more than once; deleted when the session's JVM ends."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
