@@ -183,7 +183,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     weighted = wanted.join(df, "term").select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("grp"), "query_id", "term", "n")
     weighted = scratch.keep(weighted)
 
-    def pass_over(group: int) -> DataFrame:
+    def pass_over(group: int) -> None:
+        """Searches one group of queries and adds what it finds to the results."""
         rows = weighted.filter(F.col("grp") == group).select("query_id", "term", "n").toArrow()
         cols = [np.asarray(rows.column(c).combine_chunks()) if rows.num_rows else np.zeros(0, np.int64) for c in ("query_id", "term", "n")]
         terms, at = np.unique(cols[1].view(np.uint64), return_inverse=True)
@@ -214,19 +215,21 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
                 cols = np.array(out, np.int64).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
 
-            return scratch.keep(shards.drop("shard").mapInArrow(run, "query_id long, doc_id long, score long"))
+            return shards.drop("shard").mapInArrow(run, kinds)
 
-        first = over(index.filter(lead), np.ones(len(ids)))
+        first = scratch.keep(over(index.filter(lead), np.ones(len(ids))))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", "score").toArrow()
         least = np.ones(len(ids))
         if kth.num_rows:
             least[np.searchsorted(ids, np.asarray(kth.column("query_id").combine_chunks()))] = np.asarray(kth.column("score").combine_chunks())
-        return first.union(over(index.filter(~lead), least))
+        first.union(over(index.filter(~lead), least)).write.mode("append").parquet(results)
+        scratch.drop(first)
 
-    found = pass_over(0)
-    for group in range(1, groups):
-        found = found.union(pass_over(group))
+    kinds, results = "query_id long, doc_id long, score long", f"{scratch.base}/results"
+    for group in range(groups):
+        pass_over(group)
+    found = spark.read.schema(kinds).parquet(results)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("doc_id"), (F.col("score") / F.lit(UNIT)).alias("score"))
