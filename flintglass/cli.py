@@ -48,7 +48,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
 
         print(json.dumps({"formats": EXTENSIONS}, indent=2))
         return 0
-    spark = spark or SparkSession.builder.appName("flintglass").getOrCreate()
+    spark = spark or SparkSession.builder.appName("flintglass").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     threshold = a.confidence_threshold if a.confidence_threshold is not None else settings["scan"]["confidence_threshold"]
     source = {"recursive": not a.no_recursive, "hash": not a.no_hash} | ({"extensions": a.extensions} if a.extensions else {})
     entropy = a.entropy_threshold if a.entropy_threshold is not None else settings["scan"]["entropy_threshold"]

@@ -7,6 +7,7 @@ each once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -44,14 +45,20 @@ def finding(rule: str | Column, severity: str | Column, message: str | Column, l
     )
 
 
-def matches(text: Column, rules: list[Rule], prefix: str, message: str, technique: str = "", only: Column | None = None, cves: dict[str, list[str]] | None = None) -> list[Column]:
-    """One finding for each (name, severity, pattern) that matches, with its first position and number of matches."""
-    out = []
-    for name, severity, pattern in rules:
-        hit = text.rlike(pattern)
-        made = finding(f"{prefix}.{name}", severity, message.format(name), F.regexp_instr(text, F.lit(pattern)) - 1, technique.format(name) if technique else None, (cves or {}).get(name), F.regexp_count(text, F.lit(pattern)))
-        out.append(F.when(hit if only is None else only & hit, made))
-    return out
+def matches(text: Column, rules: list[Rule], prefix: str, message: str, technique: str = "", only: Column | None = None, cves: dict[str, list[str]] | None = None) -> Column:
+    """An array with one finding for each (name, severity, pattern) that matches, with its first position and number of matches.
+
+    What a finding says is looked up in one constant, for the rules that match.
+    """
+    table = [{"rule": f"{prefix}.{n}", "severity": s, "message": message.format(n), "technique": technique.format(n) if technique else None, "cve": (cves or {}).get(n), "pattern": p} for n, s, p in rules]
+    said = F.from_json(F.lit(json.dumps(table)), "array<struct<rule:string,severity:string,message:string,technique:string,cve:array<string>,pattern:string>>")
+    hits = F.array_compact(F.array(*[F.when(text.rlike(p), i) for i, (_, _, p) in enumerate(rules, 1)]))
+
+    def made(r: Column) -> Column:
+        return finding(r["rule"], r["severity"], r["message"], F.regexp_instr(text, r["pattern"]) - 1, r["technique"], r["cve"], F.regexp_count(text, r["pattern"]))
+
+    out = F.transform(hits, lambda i: let(F.element_at(said, i), made)).cast(f"array<{FINDING}>")
+    return out if only is None else F.when(only, out).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def contains_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:

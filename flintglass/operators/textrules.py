@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,19 +19,19 @@ def multiline(rules):
 
 def header(text: Column) -> Column:
     """Suspicious patterns of a safetensors header."""
-    return collected(*matches(text, S.HEADER_PATTERNS, "header", "Suspicious pattern in header: {}"))
+    return matches(text, S.HEADER_PATTERNS, "header", "Suspicious pattern in header: {}")
 
 
 def svg(text: Column) -> Column:
     """Scripts and handlers in the first megabyte of vector graphics."""
     head = F.substring(text, 1, 1 << 20)
     rules = matches(head, S.SVG_PATTERNS, "svg", "SVG contains {}", "svg_{}")
-    return F.transform(collected(*rules), lambda f: f.withField("message", F.concat(f["message"], F.lit(": "), f["hits"], F.lit(" occurrence(s)"))))
+    return F.transform(rules, lambda f: f.withField("message", F.concat(f["message"], F.lit(": "), f["hits"], F.lit(" occurrence(s)"))))
 
 
 def image_metadata(text: Column) -> Column:
     """Code in the first 64 KiB of an image."""
-    return collected(*matches(F.substring(text, 1, 1 << 16), S.IMAGE_PATTERNS, "image_metadata", "Suspicious pattern in image metadata: {}", "metadata_{}"))
+    return matches(F.substring(text, 1, 1 << 16), S.IMAGE_PATTERNS, "image_metadata", "Suspicious pattern in image metadata: {}", "metadata_{}")
 
 
 def video_metadata(text: Column, suffix: Column) -> Column:
@@ -38,8 +40,8 @@ def video_metadata(text: Column, suffix: Column) -> Column:
     rules = matches(head, S.VIDEO_PATTERNS, "video_metadata", "Suspicious pattern in video metadata: {}", "video_metadata_{}", suffix.isin(".mp4", ".m4v", ".mov"))
     attachment = F.lit(bytes.fromhex(S.MKV_ATTACHMENT).decode("latin-1"))
     at = F.locate(bytes.fromhex(S.MKV_ATTACHMENT).decode("latin-1"), head)
-    rules.append(F.when((suffix == ".mkv") & F.contains(head, attachment), finding("video_metadata.mkv_attachments", S.M, "MKV file contains attachments - review manually", at - 1, "mkv_attachments")))
-    return collected(*rules)
+    attached = F.when((suffix == ".mkv") & F.contains(head, attachment), finding("video_metadata.mkv_attachments", S.M, "MKV file contains attachments - review manually", at - 1, "mkv_attachments"))
+    return F.concat(rules, collected(attached))
 
 
 def yaml_like(text: Column) -> Column:
@@ -95,8 +97,8 @@ def yaml(path: Column, body: Column) -> Column:
     free = ~shell_expected(path)
     blocks = matches(body, multiline(S.YAML_BLOCKS), "yaml_block", "Code execution pattern: {}", only=free)
     shell = matches(body, multiline(S.YAML_SHELL), "yaml_shell", "Shell command pattern: {}", only=free)
-    patterns = F.create_map(*[F.lit(x) for kind, n, _, p in _YAML for x in (f"{kind}.{n}", p)])
-    found = F.transform(collected(*tags, *blocks, *shell), lambda f: f.withField("lines", line_numbers(body, F.element_at(patterns, f["rule"]))))
+    patterns = F.from_json(F.lit(json.dumps({f"{kind}.{n}": p for kind, n, _, p in _YAML})), "map<string,string>")
+    found = F.transform(F.concat(tags, blocks, shell), lambda f: f.withField("lines", line_numbers(body, F.element_at(patterns, f["rule"]))))
     quiet = collected(F.when(F.size(ml_words(body)) >= 2, finding("yaml.ml_config", S.I, "ML configuration file detected - no unsafe patterns found")))
     judged = let(found, lambda found: F.when(F.size(found) > 0, found).otherwise(quiet))
     return F.when(yaml_like(body), judged).otherwise(F.array(finding("yaml.not_yaml", S.I, "File does not appear to be valid YAML")))
@@ -161,7 +163,7 @@ def very_large(length: Column) -> Column:
 
 def keras_config(text: Column) -> Column:
     lambda_layer = F.when(F.contains(text, F.lit("Lambda")) & F.contains(text, F.lit("function")), finding("keras.lambda_layer", S.H, "Keras Lambda layer detected (executes arbitrary code)", F.locate("Lambda", text) - 1))
-    return collected(lambda_layer, *matches(text, S.KERAS_PATTERNS, "keras", "Suspicious pattern: {}"))
+    return F.concat(collected(lambda_layer), matches(text, S.KERAS_PATTERNS, "keras", "Suspicious pattern: {}"))
 
 
 def printable_strings(text: Column) -> Column:
@@ -258,7 +260,7 @@ def workflow(text: Column) -> Column:
         nodes = F.coalesce(parts["nodes"], F.array().cast("array<string>"))
         advisories = F.array_compact(F.transform(nodes, node_advisory))
         widgets = F.array_compact(F.transform(F.flatten(F.transform(nodes, widget_texts)), widget_finding))
-        deep = collected(*matches(text, S.INPUT_PATTERNS, "workflow.deep", "Suspicious pattern in workflow: {}"))
+        deep = matches(text, S.INPUT_PATTERNS, "workflow.deep", "Suspicious pattern in workflow: {}")
         plain = F.array(F.when(parts["is_object"], finding("workflow.other", S.I, "File does not appear to be a ComfyUI workflow")).otherwise(finding("workflow.invalid", S.I, "Invalid JSON")))
         return F.when(F.coalesce(parts["nodes"].isNotNull() & (parts["keys"] >= 2), F.lit(False)), F.concat(advisories, widgets, deep)).otherwise(plain)
 

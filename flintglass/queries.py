@@ -240,9 +240,9 @@ def video_metadata_rules(spark, sf_dir):
 
 @query(f"WITH {ART}" + regex_sql(S.YAML_TAGS, "yaml_tag"))
 def yaml_tag_rules(spark, sf_dir):
-    from flintglass.functions.rules import collected, matches
+    from flintglass.functions.rules import matches
 
-    return found(artifacts(spark, sf_dir), collected(*matches(F.col("body"), S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}")))
+    return found(artifacts(spark, sf_dir), matches(F.col("body"), S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}"))
 
 
 EXEMPT = any_of("lower(path)", [*S.GITHUB_PATHS, *S.CI_PATHS, *S.DATASET_PATHS])
@@ -250,12 +250,12 @@ EXEMPT = any_of("lower(path)", [*S.GITHUB_PATHS, *S.CI_PATHS, *S.DATASET_PATHS])
 
 @query(f"WITH {ART}" + regex_sql(S.YAML_BLOCKS, "yaml_block", where=f"NOT {EXEMPT}", line=True) + " UNION ALL " + regex_sql(S.YAML_SHELL, "yaml_shell", where=f"NOT {EXEMPT}", line=True))
 def yaml_block_rules(spark, sf_dir):
-    from flintglass.functions.rules import collected, matches
+    from flintglass.functions.rules import matches
 
     free = ~T.shell_expected(F.col("path"))
     body = F.col("body")
-    rules = matches(body, T.multiline(S.YAML_BLOCKS), "yaml_block", "{}", only=free) + matches(body, T.multiline(S.YAML_SHELL), "yaml_shell", "{}", only=free)
-    return found(artifacts(spark, sf_dir), collected(*rules))
+    rules = F.concat(matches(body, T.multiline(S.YAML_BLOCKS), "yaml_block", "{}", only=free), matches(body, T.multiline(S.YAML_SHELL), "yaml_shell", "{}", only=free))
+    return found(artifacts(spark, sf_dir), rules)
 
 
 @query(f"WITH {ART} SELECT doc_id, path, {EXEMPT} AS exempt, {' OR '.join(f'regexp_matches(body, {q("(?m)" + p)})' for p in S.YAML_SHAPES)} AS yaml_like FROM art")
@@ -426,9 +426,9 @@ def workflow_widgets(spark, sf_dir):
 
 @query(f"WITH {ART}" + regex_sql(S.INPUT_PATTERNS, "workflow.deep"))
 def workflow_deepscan(spark, sf_dir):
-    from flintglass.functions.rules import collected, matches
+    from flintglass.functions.rules import matches
 
-    return found(artifacts(spark, sf_dir), collected(*matches(F.col("body"), S.INPUT_PATTERNS, "workflow.deep", "{}")))
+    return found(artifacts(spark, sf_dir), matches(F.col("body"), S.INPUT_PATTERNS, "workflow.deep", "{}"))
 
 
 # ---- pickles
@@ -1071,10 +1071,10 @@ SELECT path, coalesce(w > 2, true) AS is_safe, {sql_list(list(S.SEVERITIES))}[w:
 """)
 def unsafe_artifacts(spark, sf_dir):
     """Which artifacts are unsafe, and which first."""
-    from flintglass.functions.rules import collected, matches
+    from flintglass.functions.rules import matches
 
     a = artifacts(spark, sf_dir)
-    rules = matches(F.col("body"), S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}") + matches(F.col("body"), S.IMAGE_PATTERNS, "image_metadata", "{}")
-    found = F.transform(collected(*rules), lambda f: F.struct(f["severity"].alias("severity"), F.lit(None).cast("double").alias("confidence")))
+    rules = F.concat(matches(F.col("body"), S.YAML_TAGS, "yaml_tag", "Dangerous YAML pattern: {}"), matches(F.col("body"), S.IMAGE_PATTERNS, "image_metadata", "{}"))
+    found = F.transform(rules, lambda f: F.struct(f["severity"].alias("severity"), F.lit(None).cast("double").alias("confidence")))
     judged = a.select("path", found.alias("findings")).select("path", *[c.alias(n) for n, c in verdicts.of_findings(F.col("findings")).items()])
     return verdicts.report_order(judged).select("path", "is_safe", "max_severity", "n_findings", "position")

@@ -23,6 +23,8 @@ SCHEMA = "path string, length bigint, mtime double, head binary, tail binary, co
 HEAD, TAIL = 1 << 20, 1 << 16
 MAX_CONTENT = 256 << 20
 PARTITION_BYTES = 128 << 20
+#: Formats that only byte walks look into: over LAZY bytes their files are walked where they lie, and content is null.
+LAZY, WALKED_ONLY = 1 << 20, ("pickle", "archive", "gguf", "safetensors")
 
 
 @dataclass
@@ -31,7 +33,7 @@ class Files(InputPartition):
 
 
 class ArtifactSource(DataSource):
-    """Options: path; recursive (true); extensions (comma-separated, default all known; * for any); hash (true); columns (comma-separated, default all); max_content."""
+    """Options: path; recursive (true); extensions (comma-separated, default all known; * for any); hash (true); columns (comma-separated, default all); max_content; lazy (true: no content of large files that are only walked)."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,6 +56,7 @@ class ArtifactReader(DataSourceReader):
         self.extensions = None if kinds == "*" else {e.strip() for e in kinds.split(",")} if kinds else set(FORMAT_OF)
         self.hash = options.get("hash", "true").lower() == "true"
         self.max_content = int(options.get("max_content", MAX_CONTENT))
+        self.lazy = options.get("lazy", "true").lower() == "true"
 
     def listed(self) -> list[tuple[int, str]]:
         if os.path.isfile(self.root):
@@ -87,7 +90,8 @@ class ArtifactReader(DataSourceReader):
                 stat = os.stat(path)
                 row["length"], row["mtime"] = stat.st_size, stat.st_mtime
                 with open(path, "rb") as f:
-                    whole = {"content", "sha256"} & set(self.names) and stat.st_size <= self.max_content
+                    walked = self.lazy and stat.st_size > LAZY and FORMAT_OF.get(os.path.splitext(path)[1].lower()) in WALKED_ONLY
+                    whole = {"content", "sha256"} & set(self.names) and stat.st_size <= self.max_content and not walked
                     data = f.read() if whole else f.read(HEAD) if "head" in self.names else b""
                     row["head"] = data[:HEAD]
                     row["content"] = data if whole else None
