@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flintglass.llm import bm25, bpe, brown, bytecnn, chaining, containment, crf, minhash, sharding, tokencounts
+from flintglass.llm import bm25, bpe, brown, bytecnn, chaining, containment, crf, divergence, minhash, sharding, simhash, tokencounts, whitening
 from flintglass.llm.labelled import crc_mod, sample
 from flintglass.sources.tables import spread
 
@@ -76,7 +76,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op4_brown_lm, op5_substring_dedup, op6_quality, op7_bm25_top_k, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_maglev_sharding, op3_toxicity, op4_brown_lm, op5_substring_dedup, op6_quality, op7_bm25_top_k, op8_token_counts, op9_benchmark_decontamination, op10_byte_bpe,
+        op11_source_divergence, op12_whitening, op13_simhash_near_dedup,
+    )
+}
 
 #: The documents' words in DuckDB: A-Z lower-cased, runs of bytes other than white space.
 _WORDS = r"""
@@ -150,5 +168,35 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, min(pos) AS first_word
 FROM doc_shingles JOIN item_shingles USING (width, s) JOIN item_sizes USING (item_id, width)
 GROUP BY doc_id, item_id, n_shingles, width
 HAVING count(*) >= 0.8 * n_shingles
+""",
+    "op11_source_divergence": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+words AS (SELECT lang, source, d, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.n, 0)::HUGEINT + v) AS p
+    FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+of_lang AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(total)::HUGEINT + any_value(v)) AS q
+    FROM counts JOIN (SELECT lang, sum(n) AS total FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang) GROUP BY lang, term
+),
+pairs AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f, 0) AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+        ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }
