@@ -4,53 +4,35 @@ from __future__ import annotations
 
 import io
 import json
-import mmap
+import lzma
 import struct
 import zipfile
 import zlib
 from decimal import Decimal
 
 from flintglass.functions import signatures as S
+from flintglass.sources.ranged import Forward, Ranged, opened
 
 PICKLE_SUFFIXES = (".pkl", ".pickle", ".pt", ".pth", ".bin")
-MEMBER_BYTES = 256 << 20
+#: Packed members are unpacked up to so many bytes; stored ones of more than PROVED are read without a check of their checksum.
+MEMBER_BYTES, PROVED = 64 << 30, 64 << 20
 MAGICS = [bytes.fromhex(m) for m in S.PICKLE_MAGIC]
 SEVEN_ZIP = bytes.fromhex(S.ARCHIVE_MAGIC["7z"])
 FIRST_OPCODES = frozenset(b"c}])(\x8c\x89\x81")
 
 
-class Mapped:
-    """A file's bytes, read from where they lie when they are asked for; in the place of bytes in the walks."""
-
-    def __init__(self, path: str):
-        self.path = path
-        with open(path, "rb") as f:
-            self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.find, self.rfind = self.data.find, self.data.rfind
-
-    def __len__(self) -> int:
-        return len(self.data)
-
-    def __getitem__(self, at):
-        return self.data[at]
-
-    def startswith(self, marks: bytes | tuple[bytes, ...]) -> bool:
-        return self.data[:64].startswith(marks)
-
-
-def opened(data: bytes | Mapped):
-    return open(data.path, "rb") if isinstance(data, Mapped) else io.BytesIO(data)  # noqa: SIM115 - the caller's archive reads it
-
-
-def content_of(path: str, length: int, content: bytes | None) -> bytes | Mapped:
+def content_of(path: str, length: int, content: bytes | None) -> bytes | Ranged:
     """The content or, for files that were too large to be a column, the file itself."""
     if content is not None or not length:
-        return content or b""
-    path = path.removeprefix("file:")
-    if length > 1 << 20:
-        return Mapped(path)
-    with open(path, "rb") as f:
-        return f.read()
+        return Ranged.of(content) if len(content or b"") > 1 << 20 else content or b""
+    data = opened(path)
+    return data if len(data) > 1 << 20 else data[:]
+
+
+def part(data: bytes | Ranged, start: int, size: int | None = None) -> bytes | Ranged:
+    """size bytes from start on, or all; of a Ranged nothing is copied."""
+    size = len(data) - start if size is None else size
+    return data.part(start, size) if isinstance(data, Ranged) else data[start : start + size]
 
 
 def pickle_starts(data: bytes, at: int) -> bool:
@@ -72,39 +54,72 @@ def holds_pickle(name: str) -> bool:
 
 
 def local_headers(data: bytes):
-    """(name, crc, stored size, content offset, content) of each local file header; stops at one that runs past the end."""
+    """(name, crc, stored size, content offset, first two bytes) of each local file header; stops at one that runs past the end."""
     at = data.find(b"PK\x03\x04")
     while at >= 0 and at + 30 <= len(data):
         crc, stored, _, n, extra = struct.unpack("<IIIHH", data[at + 14 : at + 30])
         start = at + 30 + n + extra
         if start > len(data) or start + stored > len(data):
             return
-        yield data[at + 30 : at + 30 + n].decode("utf-8", "replace").rstrip("\0"), crc, stored, start, data[start : start + stored]
+        yield data[at + 30 : at + 30 + n].decode("utf-8", "replace").rstrip("\0"), crc, stored, start, data[start : start + min(2, stored)]
         at = data.find(b"PK\x03\x04", start + stored)
 
 
-def directory(data: bytes) -> tuple[list[tuple[str, int]], str | None]:
+def _archive(data: bytes | Ranged) -> zipfile.ZipFile:
+    return zipfile.ZipFile(data.file() if isinstance(data, Ranged) else io.BytesIO(data))
+
+
+def directory(data: bytes | Ranged) -> tuple[list[tuple[str, int]], str | None]:
     """Names and sizes of the members by the central directory, or why there is none."""
     try:
-        with zipfile.ZipFile(opened(data)) as z:
+        with _archive(data) as z:
             return [(i.filename, i.file_size) for i in z.infolist()], None
     except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError) as e:
         return [], str(e)
 
 
-def members(data: bytes, most: int = MEMBER_BYTES):
-    """Name and content of each member that may hold a stream; None for one over most bytes; unreadable members are passed over."""
+class TooLarge(Exception):
+    """A member unpacks to more than was to be read."""
+
+
+def _unpacked(file, most: int):
+    """Blocks of a packed member, at most so many bytes of it."""
+    while block := file.read(1 << 20):
+        most -= len(block)
+        if most < 0:
+            raise TooLarge
+        yield block
+
+
+def members(data: bytes | Ranged, read, known=lambda name, start: False, most: int = MEMBER_BYTES):
+    """Name and read(content) of each member that may hold a stream; None for one over most bytes.
+
+    read is given a Forward of a member that is unpacked as it is read, or a Ranged of a stored one. Unreadable members are
+    passed over, as are stored ones that known(name, start) says were read before.
+    """
     try:
-        with zipfile.ZipFile(opened(data)) as z:
+        with _archive(data) as z:
             for i in z.infolist():
-                if holds_pickle(i.filename) and i.file_size > most:
-                    yield i.filename, None
-                elif holds_pickle(i.filename):
-                    try:
-                        with z.open(i) as f:
-                            yield i.filename, f.read(most)
-                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, OSError, EOFError):
+                if not holds_pickle(i.filename):
+                    continue
+                try:
+                    n, extra = struct.unpack("<HH", data[i.header_offset + 26 : i.header_offset + 30])
+                    start = i.header_offset + 30 + n + extra
+                    stored = i.compress_type == zipfile.ZIP_STORED and not i.flag_bits & 1
+                    if stored and known(i.filename, start):
                         continue
+                    if stored and i.compress_size > PROVED and start + i.compress_size <= len(data):
+                        yield i.filename, read(part(data, start, i.compress_size))
+                        continue
+                    with z.open(i) as f:
+                        stream = Forward(_unpacked(f, most))
+                        made = read(stream)
+                        stream.rest()  # the checksum is compared at the end
+                    yield i.filename, made
+                except TooLarge:
+                    yield i.filename, None
+                except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, RuntimeError, NotImplementedError, OSError, EOFError):
+                    continue
     except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
         return
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
+from flintglass.sources.ranged import Forward, Ranged
 
 LARGE = 1 << 20
 STRINGS = {"SHORT_BINUNICODE", "BINUNICODE", "BINUNICODE8", "SHORT_BINSTRING", "BINSTRING", "UNICODE", "STRING"}
@@ -24,47 +25,43 @@ _FIXED = {"PROTO": 1, "FRAME": 8, "BININT": 4, "BININT1": 1, "BININT2": 2, "BINF
 _LINES = {"GLOBAL": 2, "INST": 2, "INT": 1, "LONG": 1, "FLOAT": 1, "STRING": 1, "UNICODE": 1, "GET": 1, "PUT": 1, "PERSID": 1}
 
 
-def opcodes(data: bytes) -> Iterator[tuple[str, str | None, int]]:
+def opcodes(data: bytes | Ranged | Forward) -> Iterator[tuple[str, str | None, int]]:
     """Name, argument and position of each opcode up to STOP or the first error.
 
-    Streams over LARGE are walked without decoding payloads: long strings and blobs are skipped, and
-    a byte that is no opcode is passed over.
+    Streams of LARGE bytes or more, and those read from front to back, are walked without decoding payloads: long strings
+    and blobs are passed over, of lines the first 4096 bytes are kept, and a byte that is no opcode is passed over.
     """
-    if len(data) < LARGE:
+    if not isinstance(data, Forward) and len(data) < LARGE:
         try:
-            for op, arg, pos in pickletools.genops(io.BytesIO(data)):
+            for op, arg, pos in pickletools.genops(io.BytesIO(data[:])):
                 yield op.name, None if arg is None else str(arg), pos or 0
         except Exception:  # noqa: BLE001 - any malformed stream ends the walk
             return
         return
-    at, size = 0, len(data)
-    while at < size:
-        op = _CODES.get(data[at])
-        here, at = at, at + 1
+    stream = data if isinstance(data, Forward) else Forward.over(data)
+    while (code := stream.byte()) is not None:
+        op = _CODES.get(code)
         if op is None:
             continue
-        arg = None
+        here, arg = stream.at - 1, None
         if op.name in _SIZED:
-            width = _SIZED[op.name]
-            length = int.from_bytes(data[at : at + width], "little")
-            at += width
+            length = int.from_bytes(stream.take(_SIZED[op.name]), "little")
             if op.name in STRINGS and length < 1024:
-                arg = data[at : at + length].decode("utf-8", "replace")
-            at += length
+                arg = stream.take(length).decode("utf-8", "replace")
+            else:
+                stream.skip(length)
         elif op.name in _LINES:
             parts = []
             for _ in range(_LINES[op.name]):
-                end = data.find(b"\n", at)
-                if end < 0:
+                line = stream.line()
+                if line is None:
                     return
-                parts.append(data[at:end].decode("utf-8", "replace"))
-                at = end + 1
+                parts.append(line.decode("utf-8", "replace"))
             arg = " ".join(parts)
         else:
-            width = _FIXED.get(op.name, 0)
+            given = stream.take(_FIXED.get(op.name, 0))
             if op.name in ("BINGET", "BINPUT", "LONG_BINGET", "LONG_BINPUT"):
-                arg = str(int.from_bytes(data[at : at + width], "little"))
-            at += width
+                arg = str(int.from_bytes(given, "little"))
         if op.name not in ("PROTO", "FRAME"):
             yield op.name, arg, here
         if op.name == "STOP":
@@ -131,17 +128,27 @@ class Imports:
         return found
 
 
-def defect(data: bytes) -> str | None:
-    """Why the bytes are no complete stream; null if they are one."""
-    if not data:
+def _opening(head: bytes) -> str | None:
+    if not head:
         return "Empty file"
-    if data[0] == 0x80:
-        if len(data) < 2:
+    if head[0] == 0x80:
+        if len(head) < 2:
             return "Truncated pickle header"
-        if data[1] > 5:
-            return f"Unknown pickle protocol: {data[1]}"
+        if head[1] > 5:
+            return f"Unknown pickle protocol: {head[1]}"
+    return None
+
+
+def _closing(tail: bytes) -> str | None:
+    return None if 0x2E in tail else "Missing STOP opcode"
+
+
+def defect(data: bytes) -> str | None:
+    """Why the bytes are no complete stream; null if they are one."""
+    if (why := _opening(data[:2])) is not None:
+        return why
     if len(data) > LARGE:
-        return None if 0x2E in data[-16:] else "Missing STOP opcode"
+        return _closing(data[-16:])
     try:
         last = None
         for op, _, _ in pickletools.genops(io.BytesIO(data)):
@@ -162,14 +169,22 @@ def import_severity(module: str) -> str | None:
 _KNOWN = frozenset(S.KNOWN_CALLS)
 
 
-def inspect(data: bytes) -> list[dict]:
-    """Findings of one stream, in the order: format, imports, opcodes, nesting."""
+def inspect(data: bytes | Ranged | Forward) -> list[dict]:
+    """Findings of one stream, in the order: format, imports, opcodes, nesting.
+
+    A Forward, and what is longer than LARGE, is read once from front to back at constant memory.
+    """
     out: list[dict] = []
+    if not isinstance(data, Forward):
+        data = Forward.over(data) if len(data) > LARGE else data[:]
+    elif len(head := data.peek(LARGE + 1)) <= LARGE:
+        data = head
 
     def add(rule: str, severity: str, message: str, location: int | None = None, **more) -> None:
         out.append({"rule": f"pickle.{rule}", "severity": severity, "message": message, "location": location, **more})
 
-    if (why := defect(data)) is not None:
+    forward = isinstance(data, Forward)
+    if (why := _opening(data.peek(2)) if forward else defect(data)) is not None:
         add("invalid", S.M, f"Invalid pickle format: {why}", 0)
     machine, nested, opened, reduces, escalate = Imports(), None, [], [0, None], False
     for name, arg, pos in opcodes(data):
@@ -203,6 +218,9 @@ def inspect(data: bytes) -> list[dict]:
         add("reduce", S.H if escalate else S.M, f"REDUCE opcode found {reduces[0]} time(s) (function calls)", reduces[1], hits=reduces[0])
     if nested is not None:
         add("nested", S.H, "Nested pickle import detected (potential multi-stage attack)", nested)
+    if forward and why is None and (why := _closing(data.rest())) is not None:
+        add("invalid", S.M, f"Invalid pickle format: {why}", 0)
+        out.insert(0, out.pop())
     return out
 
 

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
 from flintglass.functions.rules import FINDING, advice, finding, latin1
-from flintglass.operators import containers, context, pickles, textrules, verdicts
+from flintglass.operators import containers, context, large, pickles, textrules, verdicts
 from flintglass.operators import obfuscation as obf
 from flintglass.operators.formats import detected, media_kind, suffix_of
 from flintglass.sources.artifacts import from_directory
+from flintglass.sources.ranged import Ranged
 
 WALKED = ("pickle", "archive", "gguf", "safetensors", "keras", "pytorch", "7z_archive")
 OBFUSCATED = ("pickle", "onnx", "keras", "unknown")
@@ -102,18 +103,16 @@ def content_rules(entropy_threshold: float) -> Column:
     fmt, text, raw = F.col("format"), F.col("body"), F.col("raw")
     error = F.when(F.col("read_error").isNotNull(), F.array(finding("file.error", S.M, F.col("read_error"))))
     unknown = F.when((fmt == "unknown") & F.col("read_error").isNull(), F.array(finding("file.unknown", S.I, F.concat(F.lit("Unknown format: "), fmt))))
-    # rules over the whole content that no walk makes good for a file too large to be a column
-    columned = fmt.isin(*COLUMNED) | F.col("suffix").isin(*S.MEDIA_EXTENSIONS)
-    left_out = F.when(columned & ~F.col("whole") & F.col("read_error").isNull(), F.array(finding("file.unscanned", S.H, F.lit("File too large: rules over its whole content were not applied"))))
+    whole = F.col("whole")  # of others, large.py searched the content, or made an excerpt of it
     no_magic = _some(F.when(~F.col("hexed_head").startswith(S.HDF5_MAGIC), finding("keras.no_magic", S.M, "File does not have HDF5 magic number", F.lit(0))))
     by_format = (
-        F.when(fmt == "yaml", textrules.yaml(F.col("path"), text))
-        .when(fmt == "json", textrules.workflow(text))
-        .when(fmt == "onnx", textrules.onnx(raw))
-        .when(fmt == "keras", F.concat(no_magic, textrules.very_large(F.col("length")), textrules.keras_config(raw)))
+        F.when((fmt == "yaml") & whole, textrules.yaml(F.col("path"), text))
+        .when(fmt == "json", F.filter(textrules.workflow(text), lambda f: whole | ~f["rule"].startswith("workflow.deep")))
+        .when(fmt == "onnx", textrules.onnx(F.coalesce(latin1(F.col("excerpt")), raw)))
+        .when(fmt == "keras", F.concat(no_magic, textrules.very_large(F.col("length")), _or_none(F.when(whole, textrules.keras_config(raw)))))
     )
     coded = F.when(fmt.isin(*OBFUSCATED), obf.rollup(F.substring("raw", 1, FIRST), F.col("bits"), entropy_threshold))
-    return F.concat(*map(_or_none, (error, by_format, unknown, left_out, coded)))
+    return F.concat(*map(_or_none, (error, by_format, unknown, coded)))
 
 
 def pair_rules() -> Column:
@@ -131,7 +130,7 @@ def pair_rules() -> Column:
     return F.flatten(F.transform("pairs", rules))
 
 
-def walk(path: str, fmt: str, data: bytes | containers.Mapped, strict: bool = False) -> list[dict]:
+def walk(path: str, fmt: str, data: bytes | Ranged, strict: bool = False) -> list[dict]:
     """Findings of the byte walks for one artifact. Locations count from the start of the artifact or, in a member that is packed, of the member.
 
     Unless strict, a member met twice is inspected once, and findings that agree in all but their number are one.
@@ -143,26 +142,28 @@ def walk(path: str, fmt: str, data: bytes | containers.Mapped, strict: bool = Fa
 
     seen: set = set()
 
-    def stream(part: bytes | containers.Mapped, base: int, member: str | None) -> None:
-        key = (member, hash(part))
-        if key in seen and not strict:
+    def stream(size: int | None, base: int, member: str | None) -> None:
+        if (member, base) in seen and not strict:
             return
-        seen.add(key)
-        out.extend(f | {"member": member, "location": None if f["location"] is None else base + f["location"]} for f in pickles.inspect(part))
+        seen.add((member, base))
+        out.extend(placed(pickles.inspect(containers.part(data, base, size)), base, member))
+
+    def placed(found: list[dict], base: int, member: str | None) -> list[dict]:
+        return [f | {"member": member, "location": None if f["location"] is None else base + f["location"]} for f in found]
 
     if data.startswith(containers.SEVEN_ZIP):
         add("archive.7z", S.H, "7z archive detected - potential nullifAI bypass (CVE-2025-1716)", 0, cve=["CVE-2025-1716"])
         places = containers.embedded_pickles(data, 32)
         if places:
             add("archive.7z_pickle", S.C, f"Pickle data found inside 7z archive at {len(places)} location(s)", places[0], cve=["CVE-2025-1716"], hits=len(places))
-            stream(data[places[0] :], places[0], "7z")
+            stream(None, places[0], "7z")
     elif data.startswith((b"PK\x03\x04", b"PK\x05\x06")):
         zeroed = [n for n, crc, size, _, _ in containers.local_headers(data) if crc == 0 and size > 0]
         if zeroed:
             add("archive.zero_crc", S.H, f"ZIP archive has zeroed CRC values (CVE-2025-10156 bypass): {', '.join(zeroed[:3])}", None, cve=["CVE-2025-10156"], hits=len(zeroed))
-        for name, _, _, start, content in containers.local_headers(data):
+        for name, _, size, start, content in containers.local_headers(data):
             if content[:1] == b"\x80" and len(content) > 1 and content[1] <= 5:
-                stream(content, start, name)
+                stream(size, start, name)
         listed, why = containers.directory(data)
         if why is not None:
             add("archive.invalid", S.M, f"Invalid ZIP archive: {why}")
@@ -173,18 +174,19 @@ def walk(path: str, fmt: str, data: bytes | containers.Mapped, strict: bool = Fa
             if end is not None and end < len(data):
                 if rest := containers.embedded_pickles(data, end):
                     add("archive.trailing_pickle", S.C, f"Pickle data appended after ZIP archive at offset {rest[0]} (CVE-2025-1889 bypass)", rest[0], cve=["CVE-2025-1889"])
-                    stream(data[rest[0] :], rest[0], "trailing")
+                    stream(None, rest[0], "trailing")
                 else:
                     add("archive.trailing", S.M, f"Suspicious trailing data after ZIP archive: {len(data) - end} bytes", end)
             n = sum(containers.holds_pickle(name) for name, _ in listed)
             add("archive.summary", S.I, f"PyTorch ZIP archive with {n} pickle file(s)", hits=n)
-            for name, content in containers.members(data):
-                if content is None:
+            again = (lambda name, start: False) if strict else lambda name, start: (name, start) in seen
+            for name, found in containers.members(data, pickles.inspect, again):
+                if found is None:
                     add("archive.unscanned", S.H, f"Archive member too large to be scanned: {name}", member=name)
                 else:
-                    stream(content, 0, name)
+                    out.extend(placed(found, 0, name))
     elif fmt == "pickle":
-        stream(data, 0, None)
+        stream(None, 0, None)
     elif fmt == "gguf":
         g = containers.gguf(data)
         if g["error"]:
@@ -215,13 +217,13 @@ def walk(path: str, fmt: str, data: bytes | containers.Mapped, strict: bool = Fa
             add("keras.pickle", S.H, f"Embedded pickle data detected ({len(places)} region(s))", places[0], hits=len(places))
             for p in places[:5]:
                 end = data.find(b".", p, p + 10_000_000)
-                stream(data[p : end + 1 if end >= 0 else p + 65536], p, f"offset {p}")
+                stream(end + 1 - p if end >= 0 else 65536, p, f"offset {p}")
     if fmt in OBFUSCATED and (regions := containers.compressed_regions(data[:FIRST])):
         add("obfuscation.compressed", S.M, f"Embedded compressed data detected ({len(regions)} region(s))", regions[0][1], hits=len(regions))
     return out if strict else list({(f["rule"], f["location"], f["message"], f.get("member")): f for f in reversed(out)}.values())[::-1]
 
 
-def _all(data: bytes | containers.Mapped, mark: bytes) -> list[int]:
+def _all(data: bytes | Ranged, mark: bytes) -> list[int]:
     out, at = [], data.find(mark)
     while at >= 0:
         out.append(at)
@@ -229,7 +231,7 @@ def _all(data: bytes | containers.Mapped, mark: bytes) -> list[int]:
     return out
 
 
-def pairs_of(fmt: str, data: bytes | containers.Mapped) -> list[dict]:
+def pairs_of(fmt: str, data: bytes | Ranged) -> list[dict]:
     """kind, key and value of what expressions look at in GGUF and safetensors files: the template, the pairs, the header."""
     if fmt == "gguf":
         meta = containers.gguf(data)["metadata"]
@@ -248,35 +250,60 @@ _FOUND = pa.struct([("rule", pa.string()), ("severity", pa.string()), ("message"
 _PAIR = pa.struct([("kind", pa.string()), ("key", pa.string()), ("value", pa.string())])
 _WALKED = pa.schema([
     ("path", pa.string()), ("suffix", pa.string()), ("format", pa.string()), ("length", pa.int64()), ("sha256", pa.string()), ("read_error", pa.string()),
-    ("head", pa.binary()), ("tail", pa.binary()), ("content", pa.binary()), ("whole", pa.bool_()), ("bits", pa.float64()), ("scan_ms", pa.float64()),
+    ("head", pa.binary()), ("tail", pa.binary()), ("content", pa.binary()), ("excerpt", pa.binary()), ("windows", pa.map_(pa.int64(), pa.binary())), ("whole", pa.bool_()), ("bits", pa.float64()), ("scan_ms", pa.float64()),
     ("walked", pa.list_(_FOUND)), ("pairs", pa.list_(_PAIR)),
 ])
-_WALKED_DDL = f"path string, suffix string, format string, length bigint, sha256 string, read_error string, head binary, tail binary, content binary, whole boolean, bits double, scan_ms double, walked {_NONE}, pairs array<struct<kind:string,key:string,value:string>>"
+_WALKED_DDL = f"path string, suffix string, format string, length bigint, sha256 string, read_error string, head binary, tail binary, content binary, excerpt binary, windows map<bigint,binary>, whole boolean, bits double, scan_ms double, walked {_NONE}, pairs array<struct<kind:string,key:string,value:string>>"
+
+
+def _searched(path: str, suffix: str, fmt: str, data: Ranged) -> tuple[list[dict], bytes | None]:
+    """Findings of the rules over the whole content of a file that is no column, and the excerpt that expressions judge."""
+    if fmt == "yaml":
+        return large.yaml(path, data), None
+    if fmt == "json":
+        excerpt, found = large.workflow(data)
+        return found, excerpt.encode()
+    if fmt == "keras":
+        return large.keras(data), None
+    if fmt == "onnx":
+        excerpt = large.onnx_excerpt(data)
+        many = [{"rule": "file.unscanned", "severity": S.H, "message": "Too many external references to be looked at"}] * (excerpt is None)
+        return many, excerpt or b""
+    return large.media(suffix, data), None
 
 
 def _one(row: dict, strict: bool) -> dict:
     """An artifact after its walk, with the bytes that expressions read; one that fails gives a finding, never ends the scan."""
     fmt, content, head = row["format"], row["content"], row["head"] or b""
     began = time.perf_counter()
-    found, pairs = [], []
+    found, pairs, excerpt, around = [], [], None, []
+    media, coded = row["suffix"] in S.MEDIA_EXTENSIONS, fmt in OBFUSCATED
     ziplike = head[:4] == b"PK\x03\x04"
     left_alone = strict and fmt in ("pytorch", "7z_archive") and not ziplike
-    if row["read_error"] is None and not left_alone and (ziplike or fmt in WALKED or fmt in OBFUSCATED):
+    searched = content is None and (media or fmt in COLUMNED)
+    first = (content if content is not None else head)[:FIRST] if coded else None
+    if row["read_error"] is None and not left_alone and (ziplike or searched or fmt in WALKED or coded):
         try:
             data = containers.content_of(row["path"], row["length"] or 0, content)
-            found = walk(row["path"], fmt, data, strict)
+            if ziplike or fmt in WALKED or coded:
+                found = walk(row["path"], fmt, data, strict)
             if fmt in ("gguf", "safetensors"):
                 pairs = pairs_of(fmt, data)
+            if searched:
+                data = data if isinstance(data, Ranged) else Ranged.of(data)
+                more, excerpt = _searched(row["path"], row["suffix"], fmt, data)
+                found += more
+                around = large.windows(data, more) if media else []
         except (OSError, MemoryError) as e:
             found = [{"rule": "file.unscanned", "severity": S.H, "message": f"File not scanned: {type(e).__name__}: {e}"}]
         except Exception as e:  # noqa: BLE001 - isolation of hostile inputs
             found = [{"rule": "scan.error", "severity": S.M, "message": f"Scan error: {type(e).__name__}: {e}"}]
-    media, coded = row["suffix"] in S.MEDIA_EXTENSIONS, fmt in OBFUSCATED
-    first = (content if content is not None else head)[:FIRST] if coded else None
     return row | {
         "head": head if media else head[:64],
         "tail": row["tail"] if media else None,
-        "content": content if media or fmt in COLUMNED else first,
+        "content": content if content is not None and (media or fmt in COLUMNED) else excerpt if fmt == "json" else first,
+        "excerpt": excerpt if fmt == "onnx" else None,
+        "windows": around,
         "whole": content is not None,
         "bits": obf.entropy_of(first) if coded else None,
         "scan_ms": round((time.perf_counter() - began) * 1000, 3),
@@ -293,7 +320,7 @@ def walked(df: DataFrame, strict: bool) -> DataFrame:
             held, size = [], 0
             for k in range(b.num_rows):
                 held.append(_one({n: b.column(n)[k].as_py() for n in b.schema.names}, strict))
-                size += sum(len(held[-1][n] or b"") for n in ("head", "tail", "content"))
+                size += sum(len(held[-1][n] or b"") for n in ("head", "tail", "content", "excerpt")) + sum(len(w) for _, w in held[-1]["windows"])
                 if size > BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(held, schema=_WALKED)
                     held, size = [], 0
@@ -307,16 +334,17 @@ def judged(found: Column, options: Options) -> Column:
     """The findings with their number, confidence, level, action, adjusted severity and recommendation.
 
     Confidence is for critical and high findings of the media detectors; of a file that is no column, the bytes around
-    a finding come from its tail or head.
+    a finding come from its windows, tail or head.
     """
-    whole, tail_at = F.col("content").isNotNull(), F.col("length") - F.octet_length("tail")
+    whole, tail_at = F.col("whole"), F.col("length") - F.octet_length("tail")
     none = F.lit(None)
 
     def one(f: Column, i: Column) -> Column:
         at = F.coalesce(f["location"], F.lit(0))
         late = F.coalesce(~whole & (at >= tail_at), F.lit(False))
-        data = F.when(whole, F.col("content")).when(late, F.col("tail")).otherwise(F.col("head"))
-        at = F.least(F.when(late, at - tail_at).otherwise(at), F.octet_length(data).cast("bigint"))
+        near = F.try_element_at("windows", at)
+        data = F.when(whole, F.col("content")).when(near.isNotNull(), near).when(late, F.col("tail")).otherwise(F.col("head"))
+        at = F.least(F.when(~whole & near.isNotNull(), F.least(at, F.lit(large.AROUND[0]))).when(late, at - tail_at).otherwise(at), F.octet_length(data).cast("bigint"))
         name = F.coalesce(f["technique"], F.substring(f["message"], 1, 50))
         wanted = f["rule"].rlike("^(polyglot|svg|image_metadata|video_metadata)") & f["severity"].isin(S.C, S.H)
         bits = context.window_entropy(context.window(data, at, 512, 512))
@@ -350,7 +378,7 @@ def scan(artifacts: DataFrame, options: Options | None = None) -> ScanFrames:
         hexed=F.when((fmt == "image") | (suffix == ".pdf"), F.hex("content")),
         hexed_head=F.when(media, F.hex("head")).otherwise(F.hex(F.substring("head", 1, 32))),
         hexed_tail=F.when(suffix.isin(*S.VIDEO_EXTENSIONS), F.hex("tail")),
-        generated=F.coalesce(F.when(media, context.ai_metadata(latin1(F.substring("content", 1, 1 << 16)))), F.lit(False)),
+        generated=F.coalesce(F.when(media, context.ai_metadata(latin1(F.substring(F.coalesce("content", "head"), 1, 1 << 16)))), F.lit(False)),
     )
     ready = _fixed(ready, by_content=content_rules(options.entropy_threshold))
     ready = _fixed(ready, by_media=media_rules())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flintglass.plans.scan import Options, scan
+from flintglass.sources.artifacts import ArtifactSource
 
 
 def scan_table_stream(spark: SparkSession, source: str, schema, detect: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
@@ -17,16 +18,15 @@ def scan_table_stream(spark: SparkSession, source: str, schema, detect: Callable
     return found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_folder_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, options: Options | None = None) -> StreamingQuery:
-    """Scans the new files of a folder in micro-batches and appends their findings to sink."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(folder)
+def scan_folder_stream(spark: SparkSession, folder: str, sink: str, checkpoint: str, options: Options | None = None, **source) -> StreamingQuery:
+    """Scans the new and changed files of a folder in micro-batches and appends their findings to sink; empty and hidden files arrive like others, of any size."""
+    spark.dataSource.register(ArtifactSource)
+    files = spark.readStream.format("artifacts").options(path=folder, log=f"{checkpoint}/files", **{k: str(v) for k, v in source.items()}).load()
 
     def one(batch: DataFrame, number: int) -> None:
-        data = F.col("content")
-        artifacts = batch.select("path", "length", F.col("modificationTime").cast("double").alias("mtime"), F.substring(data, 1, 1 << 20).alias("head"), F.substring(data, -(1 << 16), 1 << 16).alias("tail"), "content", F.sha2(data, 256).alias("sha256"), F.lit(None).cast("string").alias("read_error"))
-        scan(artifacts, options).findings.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        scan(batch, options).findings.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
 
-    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start()
 
 
 def next_run(now: Column, hour: int, minute: int) -> Column:

@@ -158,13 +158,6 @@ def test_window_entropy(spark):
     assert all(abs(r.e - entropy_of(data[r.i])) < 1e-8 for r in got)
 
 
-def test_files_behind_a_scheme(spark, tmp_path):
-    (tmp_path / "call.pkl").write_bytes(CALL)
-    (tmp_path / "big.yaml").write_bytes(b"a: 1\n" * 100)
-    got = {os.path.basename(r.path): r.is_safe for r in scan_directory(spark, f"file://{tmp_path}", max_content=200).files.collect()}
-    assert got == {"call.pkl": False, "big.yaml": False}
-
-
 def test_report_order_is_exact(spark):
     rows = [(f"p{i * 7919 % 500:03d}", i % 5 > 0, "critical" if i % 10 == 0 else "high" if i % 5 == 0 else None, (i % 3) / 2) for i in range(500)]
     files = spark.createDataFrame(rows, "path string, is_safe boolean, max_severity string, max_confidence double")
@@ -248,18 +241,3 @@ def test_long_lines_of_large_streams_are_read():
         data = line + b"0cos\nsystem\n" + b"B" + (1 << 20).to_bytes(4, "little") + bytes(1 << 20) + b"."
         assert len(data) > pickles.LARGE
         assert any(f["rule"] == "pickle.known_call" and f["message"].endswith("os.system") for f in pickles.inspect(data))
-
-
-def test_files_over_max_content_get_the_same_findings(spark, tmp_path):
-    blob = b"B" + (9 << 17).to_bytes(4, "little") + bytes(9 << 17) + b"0"
-    (tmp_path / "big.pkl").write_bytes(blob + b"cos\nsystem\n(S'ls'\ntR.")
-    (tmp_path / "call.pkl").write_bytes(CALL)
-    (tmp_path / "safe.safetensors").write_bytes(safetensors({"t": {"dtype": "U8", "shape": [9 << 17], "data_offsets": [0, 9 << 17]}}, bytes(9 << 17)))
-    (tmp_path / "bad.gguf").write_bytes(gguf("tokenizer.chat_template", "{{ x.__class__.__mro__ }}"))
-    (tmp_path / "up.onnx").write_bytes(b"\x08\x07\x12\x08onnx.ai\x01../../etc/passwd\x01")
-    zipped(tmp_path / "model.pt", {"data.pkl": CALL, "weights": os.urandom(9 << 17)})
-    rows = lambda **more: {(r.path, r.rule, r.message) for r in scan_directory(spark, str(tmp_path), **more).findings.collect() if not r.path.endswith(".onnx")}
-    small = rows(max_content=10)
-    assert small == rows() and any(p.endswith("big.pkl") and rule == "pickle.known_call" for p, rule, _ in small)
-    safe = {os.path.basename(r.path): r.is_safe for r in scan_directory(spark, str(tmp_path), max_content=10).files.collect()}
-    assert safe == {"big.pkl": False, "call.pkl": False, "safe.safetensors": True, "bad.gguf": False, "up.onnx": False, "model.pt": False}
