@@ -80,14 +80,11 @@ def rank(severity: Column) -> Column:
 
 def advice(message: Column, severity: Column) -> Column:
     """The recommendation of the first fixed substring of the message, else that of the severity."""
+    table = F.from_json(F.lit(json.dumps([{"part": p, "text": t} for p, t in RECOMMENDATIONS])), "array<struct<part:string,text:string>>")
     low = F.lower(message)
-    chain = None
-    for part, text in RECOMMENDATIONS:
-        hit = F.contains(low, F.lit(part))
-        chain = F.when(hit, text) if chain is None else chain.when(hit, text)
-    for sev, text in DEFAULT_ADVICE.items():
-        chain = chain.when(severity == sev, text)
-    return chain.otherwise("Verify model source.")
+    first = F.try_element_at(F.filter(table, lambda r: F.contains(low, r["part"])), F.lit(1))["text"]
+    of_severity = F.from_json(F.lit(json.dumps(DEFAULT_ADVICE)), "map<string,string>")
+    return F.coalesce(first, F.try_element_at(of_severity, severity), F.lit("Verify model source."))
 
 
 def find(hexed: Column, magic: str, start: int = 0) -> Column:

@@ -52,12 +52,15 @@ def ai_metadata(text: Column) -> Column:
 
 def valid_archive(data: Column, at: Column) -> Column:
     """Whether an archive header stands there: a sane and complete local header of a ZIP, a RAR or 7z signature, or a whole gzip header."""
-    here = F.hex(window(data, at, 0, 30))
     left = F.octet_length(data) - at
-    number = lambda pos: F.conv(F.concat(F.substring(here, pos * 2 + 3, 2), F.substring(here, pos * 2 + 1, 2)), 16, 10).cast("int")
-    sane = (F.length(here) >= 60) & (number(4) <= 100) & (number(8) <= 99) & (number(26) <= 1024) & (left >= 30 + number(26) + number(28))
-    other = here.rlike(f"^({S.ARCHIVE_MAGIC['7z']}|{S.ARCHIVE_MAGIC['rar']}00|{S.ARCHIVE_MAGIC['rar5']})") | (here.startswith("1F8B") & (left >= 10))
-    return F.coalesce(F.when(here.startswith(S.ARCHIVE_MAGIC["zip"]), sane).otherwise(other), F.lit(False))
+
+    def of(here: Column) -> Column:
+        number = lambda pos: F.conv(F.concat(F.substring(here, pos * 2 + 3, 2), F.substring(here, pos * 2 + 1, 2)), 16, 10).cast("int")
+        sane = (F.length(here) >= 60) & (number(4) <= 100) & (number(8) <= 99) & (number(26) <= 1024) & (left >= 30 + number(26) + number(28))
+        other = here.rlike(f"^({S.ARCHIVE_MAGIC['7z']}|{S.ARCHIVE_MAGIC['rar']}00|{S.ARCHIVE_MAGIC['rar5']})") | (here.startswith("1F8B") & (left >= 10))
+        return F.when(here.startswith(S.ARCHIVE_MAGIC["zip"]), sane).otherwise(other)
+
+    return F.coalesce(let(F.hex(window(data, at, 0, 30)), of), F.lit(False))
 
 
 def window_entropy(data: Column) -> Column:
@@ -82,17 +85,18 @@ def factor(data: Column, at: Column, name: Column) -> Column:
 
 def score(data: Column, at: Column, name: Column, kind: Column, bits: Column, generated: Column) -> Column:
     """0 to 1. bits: entropy of the 1 KiB around; kind: image, video or unknown; generated: of ai_metadata()."""
-    high = bits > ENTROPY
     archive = contains_any(F.lower(name), S.ARCHIVE_WORDS)
 
-    def of(around: Column) -> Column:
-        c = F.when(high, F.lit(0.5) * 0.2).otherwise(F.lit(0.5))
-        c = let(c, lambda c: F.when(archive, F.when(valid_archive(data, at), F.greatest(c, F.lit(0.9))).otherwise(c * 0.1)).otherwise(c))
-        c = let(c, lambda c: F.when(code_structure(around), F.greatest(c, F.lit(0.9))).when(isolated_keyword(around) & high, c * 0.1).otherwise(c))
-        c = let(c, lambda c: F.when(high & (ascii_density(window(data, at, 256, 256)) < DENSITY), c * 0.5).otherwise(c))
-        return let(c, lambda c: F.when(kind.isin("image", "video") & generated, c * 0.15).otherwise(c))
+    def of(x: Column) -> Column:
+        """The steps in order; a lower bound of 0.9 is above anything before it, so it stands in for the value."""
+        high, around = x["bits"] > ENTROPY, x["around"]
+        c = F.when(high, 0.5 * 0.2).otherwise(0.5)
+        c = F.when(archive, F.when(valid_archive(data, at), 0.9).otherwise(c * 0.1)).otherwise(c)
+        c = F.when(code_structure(around), 0.9).otherwise(c * F.when(high & isolated_keyword(around), 0.1).otherwise(1.0))
+        c = c * F.when(high & (ascii_density(window(data, at, 256, 256)) < DENSITY), 0.5).otherwise(1.0)
+        return c * F.when(kind.isin("image", "video") & generated, 0.15).otherwise(1.0)
 
-    c = let(latin1(window(data, at, 1024, 1024)), of)
+    c = let(F.struct(latin1(window(data, at, 1024, 1024)).alias("around"), bits.alias("bits")), of)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c * factor(data, at, name))), 9)
 
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
-from flintglass.functions.rules import FINDING, advice, finding, latin1
+from flintglass.functions.rules import FINDING, advice, finding, latin1, let
 from flintglass.operators import containers, context, large, pickles, textrules, verdicts
 from flintglass.operators import obfuscation as obf
 from flintglass.operators.formats import detected, media_kind, suffix_of
@@ -35,7 +36,7 @@ BATCH_BYTES = 8 << 20
 _NONE = f"array<{FINDING}>"
 
 
-@dataclass
+@dataclass(frozen=True)
 class Options:
     """strict: also keep what repeats (members met twice) and leave archives of unknown extension alone."""
 
@@ -344,11 +345,12 @@ def judged(found: Column, options: Options) -> Column:
         late = F.coalesce(~whole & (at >= tail_at), F.lit(False))
         near = F.try_element_at("windows", at)
         data = F.when(whole, F.col("content")).when(near.isNotNull(), near).when(late, F.col("tail")).otherwise(F.col("head"))
-        at = F.least(F.when(~whole & near.isNotNull(), F.least(at, F.lit(large.AROUND[0]))).when(late, at - tail_at).otherwise(at), F.octet_length(data).cast("bigint"))
+        at = F.when(~whole & near.isNotNull(), F.least(at, F.lit(large.AROUND[0]))).when(late, at - tail_at).otherwise(at)
         name = F.coalesce(f["technique"], F.substring(f["message"], 1, 50))
         wanted = f["rule"].rlike("^(polyglot|svg|image_metadata|video_metadata)") & f["severity"].isin(S.C, S.H)
-        bits = context.window_entropy(context.window(data, at, 512, 512))
-        score = F.when(wanted, context.score(data, at, name, media_kind(F.col("suffix")), bits, F.col("generated"))) if options.context else none.cast("double")
+        place = F.struct(data.alias("data"), F.least(at, F.octet_length(data).cast("bigint")).alias("at"))
+        scored = lambda d: context.score(d["data"], d["at"], name, media_kind(F.col("suffix")), context.window_entropy(context.window(d["data"], d["at"], 512, 512)), F.col("generated"))
+        score = F.when(wanted, let(place, scored)) if options.context else none.cast("double")
         fields = [f[n].alias(n) for n in ("rule", "severity", "message", "location", "technique", "cve", "hits", "member", "lines")]
         return F.struct(i.alias("ordinal"), *fields, score.alias("confidence"))
 
@@ -365,6 +367,18 @@ def judged(found: Column, options: Options) -> Column:
     return F.transform(scored, more)
 
 
+@lru_cache(maxsize=8)
+def _built(application: str, options: Options) -> dict[str, Column]:
+    """The rules' expressions, which name columns only, so that any scan of an application can use them: building them takes thousands of calls."""
+    pairs = pair_rules() if options.strict else F.array_distinct(pair_rules())
+    return {
+        "by_content": content_rules(options.entropy_threshold),
+        "by_media": media_rules(),
+        "found": F.concat("by_content", "by_media", "walked", pairs),
+        "findings": judged(F.col("found"), options),
+    }
+
+
 def scan(artifacts: DataFrame, options: Options | None = None) -> ScanFrames:
     """Scan of a table with the columns of the source artifacts."""
     options = options or Options()
@@ -380,11 +394,10 @@ def scan(artifacts: DataFrame, options: Options | None = None) -> ScanFrames:
         hexed_tail=F.when(suffix.isin(*S.VIDEO_EXTENSIONS), F.hex("tail")),
         generated=F.coalesce(F.when(media, context.ai_metadata(latin1(F.substring(F.coalesce("content", "head"), 1, 1 << 16)))), F.lit(False)),
     )
-    ready = _fixed(ready, by_content=content_rules(options.entropy_threshold))
-    ready = _fixed(ready, by_media=media_rules())
-    pairs = pair_rules() if options.strict else F.array_distinct(pair_rules())
-    ready = _fixed(ready, found=F.concat("by_content", "by_media", "walked", pairs))
-    return ScanFrames(_fixed(ready, findings=judged(F.col("found"), options)).select("path", "format", "length", "sha256", "scan_ms", "findings"))
+    rules = _built(artifacts.sparkSession.sparkContext.applicationId, options)
+    for name in ("by_content", "by_media", "found", "findings"):
+        ready = _fixed(ready, **{name: rules[name]})
+    return ScanFrames(ready.select("path", "format", "length", "sha256", "scan_ms", "findings"))
 
 
 def with_external(findings: DataFrame, external: DataFrame) -> DataFrame:
