@@ -10,8 +10,12 @@
 4. Chains are cut where a gap is long, and their surroundings fetched from both texts and aligned (longest
    common subsequence, bit-parallel). Passages are all stretches of the alignment, found best first, that
    have enough words of which enough agree.
-5. A passage whose seeds have several sources, each with less of it, is in none of these chains. So every run of
-   min_words words that isn't within reported passages and whose seeds all are in other documents is looked
+5. A passage whose seeds have several sources, each with less of it, is in none of these chains. So seeds that
+   lie outside of reported passages, in any document but their first, are paired with those NEAR to FAR words behind them.
+   Such a pair has a source of its own: the least document with both seeds so far apart, which a document with some words only of a
+   passage doesn't have. Matches with these sources are chained and aligned like the others, so passages with changed words
+   are found however their seeds are spread over earlier documents.
+6. Then every run of min_words words that isn't within reported passages and whose seeds all are in other documents is looked
    for as a whole: seeds that follow each other over the length that any such run has find the places (in
    all documents, sources included), hashes of the runs themselves the least document with each. Runs next to
    each other are reported as one exact passage. So no exact run of min_words is left that an earlier document has.
@@ -46,6 +50,7 @@ PIECE = 2048
 SPANS_PER_ROW = 512
 MISMATCH = 2.0
 ROWS_OUT = 1 << 16
+NEAR, FAR = 31, 62
 
 
 def minimizers(grams: np.ndarray) -> np.ndarray:
@@ -272,6 +277,46 @@ def _single(source: DataFrame) -> DataFrame:
     return source.join(repeated, "id", "left_anti").union(chosen)
 
 
+def spanning_matches(sourced: DataFrame, reported: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, src, pos, src_pos of the seeds in pairs NEAR to FAR words apart, src being the least document with the pair; reported (id, lo, hi) are left alone."""
+
+    def outside(batches):
+        def made():
+            for ids, kind, pos, value, src in runs(batches, ["id", "kind", "pos", "value", "src"], "id"):
+                kind, pos, value, src = (np.asarray(x) for x in (kind, pos, value, src))
+                seen = kind == 1
+                free = uncovered(pos[seen], SHINGLE, pos[kind == 0], value[kind == 0]) & (src[seen] != ids[0].as_py())
+                yield np.asarray(ids)[seen], pos[seen].astype(np.int32), value[seen], free
+
+        return _batched(made(), ["id", "pos", "seed", "free"])
+
+    rows = sourced.filter(F.col("seed").bitwiseAND(F.lit(1)) == 0).select("id", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("seed").alias("value"), "src")
+    rows = rows.union(reported.select("id", F.lit(0), "lo", "hi", F.lit(0).cast("long")))
+    marked = scratch.keep(rows.repartition("id").sortWithinPartitions("id", "kind", "pos").mapInArrow(outside, "id long, pos int, seed long, free boolean"))
+    wanted = scratch.keep(marked.filter("free").select("seed").distinct())
+
+    def paired(batches):
+        def made():
+            for ids, pos, seed, free in runs(batches, ["id", "pos", "seed", "free"], "id"):
+                pos, seed, free = np.asarray(pos), np.asarray(seed).view(np.uint64), np.asarray(free)
+                for step in range(1, FAR + 1):
+                    apart = pos[step:] - pos[:-step]
+                    if not len(apart) or apart.min() > FAR:
+                        break
+                    i = np.flatnonzero((apart >= NEAR) & (apart <= FAR))
+                    yield mix(mix(seed[i]) + seed[i + step]).view(np.int64), np.full(len(i), ids[0].as_py()), pos[i], pos[i + step], free[i] & free[i + step]
+
+        return _batched(made(), ["pair", "id", "a", "b", "free"])
+
+    near = marked.join(wanted, "seed", "left_semi").repartition("id").sortWithinPartitions("id", "pos")
+    found = scratch.keep(near.mapInArrow(paired, "pair long, id long, a int, b int, free boolean"))
+    scratch.drop(marked, wanted)
+    least = scratch.keep(found.groupBy("pair").agg(F.min(F.struct("id", "a", "b")).alias("least"), F.max(F.when(F.col("free"), F.col("id"))).alias("top")).filter("least.id < top").drop("top"))
+    both = found.filter("free").join(least, "pair").filter("least.id < id")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("pos"), F.col("least.a").alias("src_pos")), F.struct(F.col("b").alias("pos"), F.col("least.b").alias("src_pos"))))
+    return both.select("id", F.col("least.id").alias("src"), ends.alias("m")).select("id", "src", "m.*").distinct()
+
+
 def split_sources(source: DataFrame, sourced: DataFrame, reported: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """id, src, lo, hi, src_lo, src_hi of the exact runs of min_words or more that an earlier document has and that aren't within reported ones (id, lo, hi)."""
     reach = max(0, min_words - SHINGLE - 2 * (WINDOW - 1))
@@ -375,51 +420,59 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
             cols = np.array(out, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), ids[0].as_py())), *(pa.array(c) for c in cols)], names=["id", "src", "lo", "hi", "src_lo", "src_hi"])
 
-    chains = matches.repartition("id").sortWithinPartitions("id", "src", "pos", "src_pos").mapInArrow(chained, "id long, src long, lo long, hi long, src_lo long, src_hi long")
-    chains = scratch.keep(chains.withColumn("chain", F.monotonically_increasing_id()))
-    scratch.drop(origin)
+    names = [key, f"src_{key}", "start_word", "end_word", "src_start_word", "src_end_word", "n_matched", "identity"]
+    schema = ", ".join(f"`{x}` {'double' if x == 'identity' else 'long'}" for x in names)
 
-    sides = chains.select("chain", F.explode(F.array(F.struct("id", "lo", "hi", F.lit(0).alias("side")), F.struct(F.col("src").alias("id"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"), F.lit(1).alias("side")))).alias("s")).select("chain", "s.*")
-    parts = scratch.keep(sides.groupBy("id").agg(F.ceil(F.count("*") / SPANS_PER_ROW).cast("int").alias("parts")))
-    listed = sides.join(parts, "id").groupBy("id", F.pmod(F.xxhash64("chain"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("spans"))
-    texts = source.join(listed.select("id", "spans"), "id")
+    def compared(matches: DataFrame) -> DataFrame:
+        """Passages of the chains of matches."""
+        chains = matches.repartition("id").sortWithinPartitions("id", "src", "pos", "src_pos").mapInArrow(chained, "id long, src long, lo long, hi long, src_lo long, src_hi long")
+        chains = scratch.keep(chains.withColumn("chain", F.monotonically_increasing_id()))
 
-    def cut(batches):
-        for b in batches:
-            spans_of = b.column("spans")
-            out = []
-            ids = np.asarray(b.column("id"))
-            for first, w in words(b.column("text")):
-                for i in range(len(w)):
-                    own = (w.hash[w.ptr[i] : w.ptr[i + 1]] >> np.uint64(32)).astype(np.uint32)
-                    weight = int(w.hash[w.ptr[i] : w.ptr[i + 1]].sum(dtype=np.uint64) >> np.uint64(1))
-                    for s in spans_of[first + i].as_py():
-                        lo, hi = max(0, s["lo"] - MARGIN), s["hi"] + MARGIN
-                        out.append((s["chain"] * 2 + s["side"], s["chain"], s["side"], int(ids[first + i]), lo, len(own), weight, own[lo:hi].tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["order", "chain", "side", "id", "at", "n", "weight", "own"])
-
-    windows = texts.mapInArrow(cut, "order long, chain long, side int, id long, at long, n long, weight long, own binary")
-
-    def judged(batches):
-        for chain, side, ids, at, n, weight, own in runs(batches, ["chain", "side", "id", "at", "n", "weight", "own"], "chain"):
-            best = {}
-            for k in range(len(side)):
-                best[side[k].as_py()] = max(best.get(side[k].as_py(), (-1,)), (n[k].as_py(), weight[k].as_py(), k))
-            rows = []
-            if len(best) == 2:
-                i, j = best[0][2], best[1][2]
-                x, y = (np.frombuffer(own[k].as_py(), np.uint32).tolist() for k in (i, j))
-                a, b = at[i].as_py(), at[j].as_py()
-                rows = [(ids[i].as_py(), ids[j].as_py(), a + p[0], a + p[1], b + p[2], b + p[3], p[4], round(p[4] / max(p[1] - p[0], p[3] - p[2]), 6)) for p in stretches(x, y, min_words, min_identity)]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.float64())], names=names)
+        sides = chains.select("chain", F.explode(F.array(F.struct("id", "lo", "hi", F.lit(0).alias("side")), F.struct(F.col("src").alias("id"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"), F.lit(1).alias("side")))).alias("s")).select("chain", "s.*")
+        parts = scratch.keep(sides.groupBy("id").agg(F.ceil(F.count("*") / SPANS_PER_ROW).cast("int").alias("parts")))
+        listed = sides.join(parts, "id").groupBy("id", F.pmod(F.xxhash64("chain"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("spans"))
+        texts = source.join(listed.select("id", "spans"), "id")
 
-    names = [key, f"src_{key}", "start_word", "end_word", "src_start_word", "src_end_word", "n_matched", "identity"]
-    schema = ", ".join(f"`{x}` {'double' if x == 'identity' else 'long'}" for x in names)
-    whole = scratch.keep(windows.repartition("chain").sortWithinPartitions("order").mapInArrow(judged, schema))
-    scratch.drop(chains, parts)
-    more = split_sources(source, sourced, whole.select(F.col(key).alias("id"), F.col("start_word").alias("lo"), F.col("end_word").alias("hi")), min_words, scratch)
+        def cut(batches):
+            for b in batches:
+                spans_of = b.column("spans")
+                out = []
+                ids = np.asarray(b.column("id"))
+                for first, w in words(b.column("text")):
+                    for i in range(len(w)):
+                        own = (w.hash[w.ptr[i] : w.ptr[i + 1]] >> np.uint64(32)).astype(np.uint32)
+                        weight = int(w.hash[w.ptr[i] : w.ptr[i + 1]].sum(dtype=np.uint64) >> np.uint64(1))
+                        for s in spans_of[first + i].as_py():
+                            lo, hi = max(0, s["lo"] - MARGIN), s["hi"] + MARGIN
+                            out.append((s["chain"] * 2 + s["side"], s["chain"], s["side"], int(ids[first + i]), lo, len(own), weight, own[lo:hi].tobytes()))
+                cols = list(zip(*out, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["order", "chain", "side", "id", "at", "n", "weight", "own"])
+
+        windows = texts.mapInArrow(cut, "order long, chain long, side int, id long, at long, n long, weight long, own binary")
+
+        def judged(batches):
+            for chain, side, ids, at, n, weight, own in runs(batches, ["chain", "side", "id", "at", "n", "weight", "own"], "chain"):
+                best = {}
+                for k in range(len(side)):
+                    best[side[k].as_py()] = max(best.get(side[k].as_py(), (-1,)), (n[k].as_py(), weight[k].as_py(), k))
+                rows = []
+                if len(best) == 2:
+                    i, j = best[0][2], best[1][2]
+                    x, y = (np.frombuffer(own[k].as_py(), np.uint32).tolist() for k in (i, j))
+                    a, b = at[i].as_py(), at[j].as_py()
+                    rows = [(ids[i].as_py(), ids[j].as_py(), a + p[0], a + p[1], b + p[2], b + p[3], p[4], round(p[4] / max(p[1] - p[0], p[3] - p[2]), 6)) for p in stretches(x, y, min_words, min_identity)]
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.float64())], names=names)
+
+        out = scratch.keep(windows.repartition("chain").sortWithinPartitions("order").mapInArrow(judged, schema))
+        scratch.drop(chains, parts)
+        return out
+
+    whole = compared(matches)
+    scratch.drop(origin)
+    intervals = [F.col(key).alias("id"), F.col("start_word").alias("lo"), F.col("end_word").alias("hi")]
+    whole = whole.union(compared(spanning_matches(sourced, whole.select(*intervals), scratch)))
+    more = split_sources(source, sourced, whole.select(*intervals), min_words, scratch)
     return whole.union(more.select("id", "src", "lo", "hi", "src_lo", "src_hi", F.col("hi") - F.col("lo"), F.lit(1.0)))
 
 

@@ -262,3 +262,28 @@ def test_pruned_search_equals_full():
                 scores[shard.docs[s]] += shard.impacts[s]
         order = np.lexsort((shard.ids, -scores))[:10]
         assert shard.search(query, 10) == [(int(scores[d]), int(d)) for d in order if scores[d] > 0]
+
+
+def test_passages_whose_seeds_lie_in_many_earlier_documents(spark):
+    """Earlier documents hold pieces of a passage, so that each seed has a source of its own: changed words don't hide it."""
+    rnd = random.Random(3)
+    some = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    passage = some(120)
+    docs = [(i, some(20) + passage[i * 10 : i * 10 + 16] + some(20)) for i in range(11)]
+    docs += [(500, some(60) + passage + some(30)), (501, some(60) + [w if (j + 1) % 25 else f"x{j}" for j, w in enumerate(passage)] + some(20))]
+    cases, n = [], 1000
+    for _ in range(60):
+        size, rate, own = rnd.choice([60, 80, 120, 200]), rnd.choice([0.0, 0.02, 0.04, 0.06]), some(200)
+        for _ in range(rnd.choice([0, 6, 12])):
+            length = rnd.choice([12, 20, 35, 45])
+            at = rnd.randrange(size - length)
+            docs.append((n, some(30) + own[:size][at : at + length] + some(30)))
+            n += 1
+        docs += [(n, some(rnd.randrange(90)) + own[:size] + some(40)), (n + 1, some(rnd.randrange(90)) + [w if rnd.random() >= rate else "y" + w for w in own[:size]] + some(40))]
+        cases.append((n + 1, n))
+        n += 2
+    rows = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4)).collect()
+    (known,) = [r for r in rows if r.doc_id == 501]
+    assert known.src_doc_id == 500 and known.start_word <= 80 and known.end_word >= 175
+    found = {(r.doc_id, r.src_doc_id) for r in rows}
+    assert found <= {(501, 500), *cases} and sum(c in found for c in cases) >= 0.9 * len(cases)

@@ -347,6 +347,24 @@ def test_toxicity_score_equals_recursion(spark):
         assert len(got[i].spans) == len(re.findall("t+", marked))
 
 
+def test_sample_takes_labels_that_have_texts(spark):
+    """Labels without a document don't use up the rows of the sample."""
+    few = spark.createDataFrame([(i * 40, f"text {i}") for i in range(50)] + [(7, ""), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    assert len(sample(few, labels, "toxic", F.lit(True), 60, 10**6)) == 50
+
+
+def test_decontamination_of_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"item{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} behind", "r"), (None, "clean words", "r"), (None, None, "r"), (3, item, "r"), (3, "other row", "r"), (4, "clean too", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id string")
+    out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {(None, "clean words", "r"), (None, None, "r"), (4, "clean too", "r")}
+
+
 def test_toxicity_query_gives_spans(spark):
     out = queries.op3_toxicity(spark, "/root/testdata/sf0.001")
     assert "spans" in out.columns and out.filter("size(spans) > 0 and spans[0].end > spans[0].start").count() > 0
