@@ -6,8 +6,8 @@ an id are one document, of which the row with the longest text stays. Rows witho
 Each stage keeps null and empty texts, whatever other columns the table has, and gives an empty table for one.
 substring_dedup: cuts passages out of documents that an earlier document has too, and drops documents
 of which nothing is left.
-decontamination: drops documents that hold a benchmark item.
-byte_bpe: adds token_ids and n_tokens, and gives the text as decoded from the ids; null texts stay null.
+decontamination: drops documents that hold a benchmark item, rows without an id too; of rows that repeat an id all go if one holds an item.
+byte_bpe: adds token_ids and n_tokens to each row, whatever its id, and gives the text as decoded from the ids; null texts stay null.
 """
 
 from __future__ import annotations
@@ -43,8 +43,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = containment.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = containment.search(docs, items).select("doc_id").distinct()
+    kept = docs.filter("doc_id is not null").join(found, "doc_id", "left_anti").select(docs.columns)
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    row = unused(docs, "row_id")  # rows without an id are searched by a number of their own
+    numbered = Scratch(spark).keep(nameless.withColumn(row, F.monotonically_increasing_id()))
+    held = containment.search(numbered, items, key=row).select(row).distinct()
+    return kept.union(numbered.join(held, row, "left_anti").select(docs.columns))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
