@@ -51,7 +51,10 @@ def ai_metadata(text: Column) -> Column:
 
 
 def valid_archive(data: Column, at: Column) -> Column:
-    """Whether an archive header stands there: a sane and complete local header of a ZIP, a RAR or 7z signature, or a whole gzip header."""
+    """Whether an archive header stands there: a sane and complete local header of a ZIP, a RAR or 7z signature, or a whole gzip header.
+
+    A ZIP's name can always be read, by UTF-8 or else by code page 437, and its end record may lie outside of what is visible, so neither is asked for.
+    """
     left = F.octet_length(data) - at
 
     def of(here: Column) -> Column:
@@ -108,18 +111,12 @@ def action(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "QUARANTINE").when(confidence >= 0.5, "INVESTIGATE").otherwise("REVIEW")
 
 
-def tool_of(name: Column) -> Column:
-    """Which external tool can confirm a finding of the name; the first whose words it has."""
-    low = F.lower(name)
-    return F.when(contains_any(low, S.METADATA_TOOL_WORDS), "exiftool").when(contains_any(low, S.ARCHIVE_TOOL_WORDS), "binwalk")
-
-
 def threatening(field: Column, value: Column) -> Column:
     """Whether a metadata field that holds text, or any of 100 characters or more, has code in it."""
     out = F.lit(False)
     for p in S.THREAT_PATTERNS:
         out = out | value.rlike(p)
-    return out & (field.isin(*S.TEXT_FIELDS) | (F.length(value) >= 100))
+    return out & (contains_any(F.lower(field), [f.lower() for f in S.TEXT_FIELDS]) | (F.length(value) >= 100))
 
 
 def with_verdict(level_now: Column, adjusted: Column, status: Column) -> Column:

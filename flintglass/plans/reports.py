@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from flintglass import __version__
 from flintglass.functions.rules import contains_any
 from flintglass.operators import verdicts
+from flintglass.plans.progress import counts, totals
+from flintglass.sources.sink import ReportSink, place, put
 
 NAME = r"^(.+)_report_(\d{8}_\d{6})\.(txt|json|html|csv)$"
+#: Findings of a file that a page shows.
+PER_FILE = 20
 # The columns of the CSV report, in order.
 CSV_COLUMNS = ["File Path", "Format", "Status", "File Size", "SHA-256", "Scan Time (ms)", "Finding Severity", "Adjusted Severity", "Confidence", "Confidence Level", "Finding Message", "Recommended Action"]
 
@@ -87,8 +91,62 @@ def check_recipe(kind: str, path: str, at: int | None) -> tuple[str, str]:
     return command.format(path=path.replace("'", "'\\''"), at=at or 0), meaning
 
 
+def sink_rows(rows: DataFrame) -> DataFrame:
+    """What ReportSink takes, from the rows of a scan."""
+    verdict = verdicts.of_findings(F.col("findings"))
+    keep = ["severity", "message", "location", "technique", "cve", "recommendation", "confidence", "level", "adjusted_severity", "override", "external"]
+    listed = F.transform("findings", lambda f: F.struct(*[f[k].alias(k) for k in keep]))
+    document = F.to_json(F.struct("path", "format", "length", "sha256", verdict["is_safe"].alias("is_safe"), verdict["max_severity"].alias("max_severity"), listed.alias("findings")))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    first = [F.col("path"), F.col("format"), status(verdict["is_safe"]), F.col("length"), F.col("sha256"), F.col("scan_ms")]
+    percent = lambda f: F.concat(F.floor(f["confidence"] * 100).cast("string"), F.lit("%"))
+    line = lambda f: F.array(*map(text, [*first, f["severity"], f["adjusted_severity"], percent(f), f["level"], f["message"], f["recommendation"]]))
+    alone = F.array(F.array(*map(text, [*first, *[F.lit("")] * 6])))
+    lines = F.when(F.size("findings") > 0, F.transform("findings", line)).otherwise(alone)
+    added = F.create_map(*[x for n, c in counts().items() for x in (F.lit(n), c)])
+    return rows.select(document.alias("json"), lines.alias("csv"), added.alias("counts"))
+
+
+def save(frames, folder: str, formats: list[str], source: str, limit: int = 10_000, now: datetime | None = None) -> tuple[list[str], dict]:
+    """Reports of a scan as documents, in a folder of any store, and the totals: one job makes the JSON document, the CSV file and the totals.
+
+    txt and html are pages of the worst limit files, from the rows that this job left.
+    """
+    spark = frames.rows.sparkSession
+    when = now or datetime.now()
+    base = f"{folder.rstrip('/')}/scan_report_{when.strftime('%Y%m%d_%H%M%S')}"
+    head = {"report_type": "security_scan", "version": __version__, "source": source, "date": when.isoformat()}
+    documents = [k for k in ("json", "csv") if k in formats]
+    pages = [k for k in formats if k not in documents]
+    rows = frames.rows.persist() if pages else frames.rows
+    try:
+        spark.dataSource.register(ReportSink)
+        sink_rows(rows).write.format("scan_report").mode("append").options(path=base, formats=",".join(documents) or "none", head=json.dumps(head), columns=json.dumps(CSV_COLUMNS)).save()
+        fs, inner = place(f"{base}.summary.json")
+        with fs.open_input_stream(inner) as f:
+            got = totals(json.loads(f.read())["summary"])
+        for kind in pages:
+            put(f"{base}.{kind}", page(type(frames)(rows), kind, source, got, limit).encode())
+    finally:
+        if pages:
+            rows.unpersist()
+    return [f"{base}.{k}" for k in formats], got
+
+
+def page(frames, kind: str, source: str, totals: dict, limit: int) -> str:
+    """The worst limit files with the first PER_FILE findings of each, by severity."""
+    worst = verdicts.report_order(frames.files).filter(F.col("position") <= limit).orderBy("position").collect()
+    by: dict[str, list] = {}
+    if worst:
+        paths = frames.rows.sparkSession.createDataFrame([(r["path"],) for r in worst], "path string")
+        shown = verdicts.ranked(frames.findings.join(F.broadcast(paths), "path")).filter(F.col("position") <= PER_FILE)
+        for r in shown.withColumn("recipe", recipe_kind(F.col("message"))).orderBy("path", "position").collect():
+            by.setdefault(r["path"], []).append(r)
+    return (page_html if kind == "html" else page_text)(source, totals, worst, by)
+
+
 def write(files: DataFrame, findings: DataFrame, folder: str, formats: list[str], source: str, limit: int = 10_000, now: datetime | None = None) -> list[str]:
-    """Reports of a scan: csv and json as distributed tables, txt and html as pages of the worst limit files."""
+    """Reports of a scan: csv and json as distributed tables, txt and html as pages of the worst limit files with the first PER_FILE findings of each."""
     stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
     base = os.path.join(folder, f"scan_report_{stamp}")
     out = []
@@ -103,7 +161,7 @@ def write(files: DataFrame, findings: DataFrame, folder: str, formats: list[str]
             worst = verdicts.report_order(files).filter(F.col("position") <= limit).orderBy("position").collect()
             shown = findings.join(F.broadcast(files.sparkSession.createDataFrame([(r["path"],) for r in worst], "path string")), "path") if worst else findings.limit(0)
             by: dict[str, list] = {}
-            for r in verdicts.ranked(shown).withColumn("recipe", recipe_kind(F.col("message"))).orderBy("path", "position").limit(10 * limit).collect():
+            for r in verdicts.ranked(shown).filter(F.col("position") <= PER_FILE).withColumn("recipe", recipe_kind(F.col("message"))).orderBy("path", "position").collect():
                 by.setdefault(r["path"], []).append(r)
             Path(path).write_text((page_html if kind == "html" else page_text)(source, summary(files, findings), worst, by))
         out.append(path)
@@ -118,6 +176,8 @@ def page_text(source: str, totals: dict, files: list, findings: dict) -> str:
         for x in findings.get(f["path"], []):
             command, meaning = check_recipe(x["recipe"], f["path"], x["location"])
             lines += [f"  {x['severity'].upper()}: {x['message']}", f"    {x['recommendation']}", f"    check: {command}", f"           {meaning}"]
+        if left := f["n_findings"] - len(findings.get(f["path"], [])):
+            lines.append(f"  and {left} more of no greater severity; the CSV and JSON reports have all")
     return "\n".join(lines) + "\n"
 
 
@@ -143,6 +203,8 @@ def page_html(source: str, totals: dict, files: list, findings: dict) -> str:
                 check = f"<details><summary>check</summary><code>{e(command)}</code><br>{e(meaning)}</details>"
             severity, level = (x["severity"], x["level"] or "UNANALYZED") if x is not None else ("", "")
             rows.append(f"<tr data-s='{e(severity)}' data-l='{e(level)}'><td>{label}<td>{e(f['path'])}<td>{e(f['format'])}<td>{what}<td>{check}</tr>")
+        if left := f["n_findings"] - len(findings.get(f["path"], [])):
+            rows.append(f"<tr data-s='' data-l=''><td>{label}<td>{e(f['path'])}<td>{e(f['format'])}<td>and {left} more of no greater severity; the CSV and JSON reports have all<td></tr>")
     choice = lambda name, values: f"<select id='{name}'><option value=''>all</option>{''.join(f'<option>{v}</option>' for v in values)}</select>"
     head = f"<!doctype html><meta charset='utf-8'><title>Scan report</title><h1>Scan of {e(source)}</h1><p>{totals['total']} files ({size_text(totals['bytes'])}), {totals['unsafe']} unsafe"
     head += f"; shown are the worst {len(files)}, the CSV and JSON reports have all</p>" if len(files) < totals["total"] else "</p>"
@@ -172,9 +234,16 @@ def expired(names: DataFrame, now: Column, days: int, mtime: str = "mtime") -> D
 
 
 def prune(folder: str, days: int, now: datetime | None = None) -> list[str]:
-    """Removes reports older than days from a folder, and nothing else."""
+    """Removes reports older than days, and parts that failed ones left, from a folder of any store, and nothing else."""
+    from pyarrow.fs import FileSelector, FileType
+
     cutoff = ((now or datetime.now()) - timedelta(days=days)).timestamp()
-    gone = [p for p in Path(folder).iterdir() if re.match(NAME, p.name) and p.is_file() and p.stat().st_mtime < cutoff]
-    for p in gone:
-        p.unlink()
-    return sorted(map(str, gone))
+    fs, inner = place(folder)
+    known = re.compile(NAME.removesuffix("(txt|json|html|csv)$") + r"(txt|summary\.json|json|html|csv)$")
+    for i in fs.get_file_info(FileSelector(inner)):
+        if re.search(r"\.parts-[0-9a-f]+$", i.base_name) and i.type == FileType.Directory and i.mtime_ns / 1e9 < cutoff:
+            fs.delete_dir(i.path)
+    gone = [i for i in fs.get_file_info(FileSelector(inner)) if known.match(i.base_name) and i.type == FileType.File and i.mtime_ns / 1e9 < cutoff]
+    for i in gone:
+        fs.delete_file(i.path)
+    return sorted(f"{folder.rstrip('/')}/{i.base_name}" for i in gone)

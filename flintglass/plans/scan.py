@@ -12,6 +12,7 @@ source once; persist rows to use both.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
 from flintglass.functions.rules import FINDING, advice, finding, latin1, let
-from flintglass.operators import containers, context, large, pickles, textrules, verdicts
+from flintglass.operators import containers, context, large, pickles, textrules, validators, verdicts
 from flintglass.operators import obfuscation as obf
+from flintglass.operators.context import score
 from flintglass.operators.formats import detected, media_kind, suffix_of
 from flintglass.sources.artifacts import from_directory
 from flintglass.sources.ranged import Ranged
@@ -38,12 +40,18 @@ _NONE = f"array<{FINDING}>"
 
 @dataclass(frozen=True)
 class Options:
-    """strict: also keep what repeats (members met twice) and leave archives of unknown extension alone."""
+    """strict: also keep what repeats (members met twice) and leave archives of unknown extension alone.
+
+    analyzer: what gives a finding its confidence, a function of Columns with the parameters of context.score. validators: external
+    tools that are asked about findings of MEDIUM or HIGH confidence, as in operators.validators.
+    """
 
     strict: bool = False
     confidence_threshold: float = 0.0
     context: bool = True
     entropy_threshold: float = obf.HIGH_ENTROPY
+    analyzer: Callable[..., Column] = score
+    validators: tuple[validators.Validator, ...] = ()
 
 
 @dataclass
@@ -349,7 +357,7 @@ def judged(found: Column, options: Options) -> Column:
         name = F.coalesce(f["technique"], F.substring(f["message"], 1, 50))
         wanted = f["rule"].rlike("^(polyglot|svg|image_metadata|video_metadata)") & f["severity"].isin(S.C, S.H)
         place = F.struct(data.alias("data"), F.least(at, F.octet_length(data).cast("bigint")).alias("at"))
-        scored = lambda d: context.score(d["data"], d["at"], name, media_kind(F.col("suffix")), context.window_entropy(context.window(d["data"], d["at"], 512, 512)), F.col("generated"))
+        scored = lambda d: options.analyzer(d["data"], d["at"], name, media_kind(F.col("suffix")), context.window_entropy(context.window(d["data"], d["at"], 512, 512)), F.col("generated"))
         score = F.when(wanted, let(place, scored)) if options.context else none.cast("double")
         fields = [f[n].alias(n) for n in ("rule", "severity", "message", "location", "technique", "cve", "hits", "member", "lines")]
         return F.struct(i.alias("ordinal"), *fields, score.alias("confidence"))
@@ -359,7 +367,8 @@ def judged(found: Column, options: Options) -> Column:
         if_scored = lambda x: F.when(c.isNotNull(), x)
         level = context.level(c)
         out = f.withField("level", if_scored(level)).withField("action", if_scored(context.action(c))).withField("adjusted_severity", if_scored(F.concat(f["severity"], F.lit("-"), level)))
-        return out.withField("recommendation", advice(f["message"], f["severity"]))
+        none_yet = F.lit(None).cast("struct<tool:string,status:string,details:string>")
+        return out.withField("recommendation", advice(f["message"], f["severity"])).withField("override", F.lit(False)).withField("external", none_yet)
 
     scored = F.transform(found, one)
     if options.confidence_threshold > 0:
@@ -397,7 +406,8 @@ def scan(artifacts: DataFrame, options: Options | None = None) -> ScanFrames:
     rules = _built(artifacts.sparkSession.sparkContext.applicationId, options)
     for name in ("by_content", "by_media", "found", "findings"):
         ready = _fixed(ready, **{name: rules[name]})
-    return ScanFrames(ready.select("path", "format", "length", "sha256", "scan_ms", "findings"))
+    rows = ready.select("path", "format", "length", "sha256", "scan_ms", "findings")
+    return ScanFrames(validators.validated(rows, options.validators) if options.validators else rows)
 
 
 def with_external(findings: DataFrame, external: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scans of files written byte by byte; nothing is ever loaded or run."""
 
 import base64
+import csv
 import json
 import os
 import zipfile
@@ -186,13 +187,17 @@ def test_reports_and_cli(spark, folder, tmp_path, capsys):
     assert cli.main(["scan", str(folder / "sub"), "--json", "--report-dir", str(tmp_path), "--report-formats", "txt,html,csv,json"], spark) == 1
     made = sorted(p.name.split(".", 1)[1] for p in tmp_path.iterdir())
     assert made == ["csv", "html", "json", "summary.json", "txt"]
+    whole = json.loads(next(tmp_path.glob("*[0-9].json")).read_text())
+    assert whole["summary"]["total"] == whole["summary"]["unsafe"] == 1 and [r["is_safe"] for r in whole["results"]] == [False] and whole["results"][0]["findings"]
     text = next(tmp_path.glob("*.txt")).read_text()
     assert "THREATS DETECTED" in text and "os.system" in text and "strings -t d" in text
     page = next(tmp_path.glob("*.html")).read_text()
     assert "<details>" in page and "data-s='critical'" in page
     kept = reports.read_summaries(spark, str(tmp_path)).collect()
     assert [(r.total, r.unsafe) for r in kept] == [(1, 1)] and cli.main(["version"]) == 0
-    assert "Scan Time (ms)" in next(next(tmp_path.glob("*.csv")).glob("*.csv")).read_text()
+    with open(next(tmp_path.glob("*.csv"))) as f:
+        lines = list(csv.reader(f))
+    assert lines[0] == reports.CSV_COLUMNS and len(lines) == 1 + len(whole["results"][0]["findings"]) and {x[2] for x in lines[1:]} == {"THREATS DETECTED"}
     old = tmp_path / "scan_report_20200101_000000.txt"
     old.write_text("x")
     os.utime(old, (0, 0))
