@@ -1,21 +1,22 @@
-"""Serialized-object streams: their opcodes, what they import, and the findings; nothing is ever loaded."""
+"""Serialized-object streams: their opcodes and what they import, by a walk; and the rules over these facts. Nothing is ever loaded."""
 
 from __future__ import annotations
 
 import io
+import json
 import pickletools
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
+from flintglass.functions.rules import FINDING, collected, finding
 from flintglass.sources.ranged import Forward, Ranged
 
 LARGE = 1 << 20
 STRINGS = {"SHORT_BINUNICODE", "BINUNICODE", "BINUNICODE8", "SHORT_BINSTRING", "BINSTRING", "UNICODE", "STRING"}
 CREATORS = {"INST", "OBJ", "NEWOBJ", "NEWOBJ_EX"}
-DANGEROUS = CREATORS | {"REDUCE", "BUILD"}
 _CODES = {ord(o.code): o for o in pickletools.opcodes}
 _SIZED = {
     "SHORT_BINBYTES": 1, "SHORT_BINUNICODE": 1, "SHORT_BINSTRING": 1, "BINBYTES": 4, "BINUNICODE": 4, "BINSTRING": 4, "LONG1": 1, "LONG4": 4,
@@ -158,100 +159,74 @@ def defect(data: bytes) -> str | None:
     return None if last == "STOP" else "Missing STOP opcode"
 
 
-def import_severity(module: str) -> str | None:
-    """By the dotted prefixes of a module; null if none is dangerous."""
-    parts = module.split(".")
-    if any(".".join(parts[:n]) in S.DANGEROUS_MODULES for n in range(1, len(parts) + 1)):
-        return S.C if parts[0] in S.CRITICAL_MODULES else S.H
-    return None
-
-
-_KNOWN = frozenset(S.KNOWN_CALLS)
-
-
-def inspect(data: bytes | Ranged | Forward) -> list[dict]:
-    """Findings of one stream, in the order: format, imports, opcodes, nesting.
+def facts(data: bytes | Ranged | Forward) -> dict:
+    """What the rules look at in one stream: why it is none, its imports, what creates or changes objects, and how often and where first it calls.
 
     A Forward, and what is longer than LARGE, is read once from front to back at constant memory.
     """
-    out: list[dict] = []
     if not isinstance(data, Forward):
         data = Forward.over(data) if len(data) > LARGE else data[:]
     elif len(head := data.peek(LARGE + 1)) <= LARGE:
         data = head
-
-    def add(rule: str, severity: str, message: str, location: int | None = None, **more) -> None:
-        out.append({"rule": f"pickle.{rule}", "severity": severity, "message": message, "location": location, **more})
-
     forward = isinstance(data, Forward)
-    if (why := _opening(data.peek(2)) if forward else defect(data)) is not None:
-        add("invalid", S.M, f"Invalid pickle format: {why}", 0)
-    machine, nested, opened, reduces, escalate = Imports(), None, [], [0, None], False
+    why = _opening(data.peek(2)) if forward else defect(data)
+    machine, imports, ops, calls, first = Imports(), [], [], 0, None
     for name, arg, pos in opcodes(data):
         found = machine.feed(name, arg)
         if found:
-            module, attr = found
-            if module == "<stack>":
-                add("stack_global", S.M, "STACK_GLOBAL opcode found (dynamic import)", pos)
-            elif (module, attr) in _KNOWN:
-                add("known_call", S.C, f"Known malicious call: {module}.{attr}", pos)
-                escalate = True
-            else:
-                severity = import_severity(module)
-                if severity:
-                    add("module", severity, f"Dangerous import: {module}.{attr}" if attr else f"Dangerous import: {module}", pos)
-                    escalate = True
-                if attr in S.DANGEROUS_FUNCTIONS:
-                    add("function", S.H, f"Dangerous function: {module}.{attr}", pos)
-                    escalate = True
-            if module in ("pickle", "_pickle") and nested is None:
-                nested = pos
-        if name in CREATORS:
-            opened.append(("object", S.M, f"Object creation opcode: {name}", pos))
-        elif name == "BUILD":
-            opened.append(("build", S.M, "BUILD opcode found (may trigger __setstate__)", pos))
+            imports.append({"module": found[0], "name": found[1], "pos": pos})
+        if name in CREATORS or name == "BUILD":
+            ops.append({"op": name, "pos": pos})
         elif name == "REDUCE":
-            reduces = [reduces[0] + 1, pos if reduces[1] is None else reduces[1]]
-    for o in opened:
-        add(*o)
-    if reduces[0]:
-        add("reduce", S.H if escalate else S.M, f"REDUCE opcode found {reduces[0]} time(s) (function calls)", reduces[1], hits=reduces[0])
-    if nested is not None:
-        add("nested", S.H, "Nested pickle import detected (potential multi-stage attack)", nested)
-    if forward and why is None and (why := _closing(data.rest())) is not None:
-        add("invalid", S.M, f"Invalid pickle format: {why}", 0)
-        out.insert(0, out.pop())
-    return out
-
-
-def import_findings(imports: DataFrame, keys: list[str]) -> DataFrame:
-    """The import rules as joins, for a table of imports (keys, module, name, pos): rule, severity and message of each.
-
-    Known calls are looked up by pair, in a fixed and small table that is broadcast; other modules by any of their
-    dotted prefixes, and names of functions on their own, in fixed lists.
-    """
-    spark = imports.sparkSession
-    known = F.broadcast(spark.createDataFrame(S.KNOWN_CALLS, "module string, name string").withColumn("known", F.lit(True)))
-    marked = imports.join(known, ["module", "name"], "left")
-    parts = F.split("module", r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws(".", F.slice(parts, 1, n)))
-    dotted = marked.filter("known is null").filter(F.exists(prefixes, lambda p: p.isin(*S.DANGEROUS_MODULES)))
-    base = F.element_at(parts, 1)
-    row = lambda rule, severity, message: [F.lit(rule).alias("rule"), severity.alias("severity"), message.alias("message"), F.col("pos")]
-    full = F.concat_ws(".", "module", F.nullif("name", F.lit("")))
-    out = marked.filter("known").select(*keys, *row("known_call", F.lit(S.C), F.concat(F.lit("Known malicious call: "), full)))
-    out = out.union(dotted.select(*keys, *row("module", F.when(base.isin(*S.CRITICAL_MODULES), S.C).otherwise(S.H), F.concat(F.lit("Dangerous import: "), full))))
-    functions = marked.filter("known is null").filter(F.col("name").isin(*S.DANGEROUS_FUNCTIONS))
-    out = out.union(functions.select(*keys, *row("function", F.lit(S.H), F.concat(F.lit("Dangerous function: "), full))))
-    return out
-
-
-def stream_findings(ops: DataFrame, imports: DataFrame, keys: list[str]) -> DataFrame:
-    """The rules of whole streams as aggregates: object creation, BUILD, REDUCE (raised by a dangerous import) and nesting; ops: keys, op, pos."""
-    bad = import_findings(imports, keys).groupBy(*keys).agg(F.lit(True).alias("escalate"))
-    counted = ops.groupBy(*keys).agg(F.count_if(F.col("op") == "REDUCE").alias("reduces"), F.min(F.when(F.col("op") == "REDUCE", F.col("pos"))).alias("pos"))
-    reduced = counted.filter("reduces > 0").join(bad, keys, "left").select(*keys, F.lit("reduce").alias("rule"), F.when(F.col("escalate"), S.H).otherwise(S.M).alias("severity"), F.concat(F.lit("REDUCE opcode found "), "reduces", F.lit(" time(s) (function calls)")).alias("message"), "pos")
-    made = ops.filter(F.col("op").isin(*CREATORS)).select(*keys, F.lit("object").alias("rule"), F.lit(S.M).alias("severity"), F.concat(F.lit("Object creation opcode: "), "op").alias("message"), "pos")
-    built = ops.filter("op = 'BUILD'").select(*keys, F.lit("build").alias("rule"), F.lit(S.M).alias("severity"), F.lit("BUILD opcode found (may trigger __setstate__)").alias("message"), "pos")
-    nested = imports.filter(F.col("module").isin("pickle", "_pickle")).groupBy(*keys).agg(F.min("pos").alias("pos")).select(*keys, F.lit("nested").alias("rule"), F.lit(S.H).alias("severity"), F.lit("Nested pickle import detected (potential multi-stage attack)").alias("message"), "pos")
-    return reduced.union(made).union(built).union(nested)
+            calls, first = calls + 1, pos if first is None else first
+    if forward and why is None:
+        why = _closing(data.rest())
+    return {"defect": why, "imports": imports, "ops": ops, "calls": calls, "first_call": first}
+
+
+STREAM = "defect string, imports array<struct<module:string,name:string,pos:bigint>>, ops array<struct<op:string,pos:bigint>>, calls bigint, first_call bigint"
+_KNOWN = [f"{module} {name}" for module, name in S.KNOWN_CALLS]
+
+
+def _listed(values: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
+def _top(module: Column, names: list[str]) -> Column:
+    """Whether a module is one of the names or below one."""
+    return module.rlike(rf"^(?:{'|'.join(names)})(?:\.|$)")
+
+
+def is_known(i: Column) -> Column:
+    return F.array_contains(_listed(_KNOWN), F.concat(i["module"], F.lit(" "), i["name"]))
+
+
+def is_dangerous(i: Column) -> Column:
+    """Whether an import raises the calls of its stream."""
+    return (i["module"] != "<stack>") & (is_known(i) | _top(i["module"], S.DANGEROUS_MODULES) | i["name"].isin(*S.DANGEROUS_FUNCTIONS))
+
+
+def import_rules(i: Column) -> Column:
+    """The findings of one import: a known call, or else what its module and its name say."""
+    module, at = i["module"], i["pos"]
+    full = F.concat_ws(".", module, F.nullif(i["name"], F.lit("")))
+    top = F.when(_top(module, S.DANGEROUS_MODULES), finding("pickle.module", F.when(_top(module, S.CRITICAL_MODULES), S.C).otherwise(S.H), F.concat(F.lit("Dangerous import: "), full), at))
+    function = F.when(i["name"].isin(*S.DANGEROUS_FUNCTIONS), finding("pickle.function", S.H, F.concat(F.lit("Dangerous function: "), full), at))
+    by_value = F.array(finding("pickle.stack_global", S.M, "STACK_GLOBAL opcode found (dynamic import)", at))
+    return F.when(module == "<stack>", by_value).when(is_known(i), F.array(finding("pickle.known_call", S.C, F.concat(F.lit("Known malicious call: "), full), at))).otherwise(collected(top, function))
+
+
+def stream_rules(s: Column) -> Column:
+    """The findings of one stream, in the order: format, imports, opcodes, calls, nesting."""
+    none = F.array().cast(f"array<{FINDING}>")
+    broken = collected(F.when(s["defect"].isNotNull(), finding("pickle.invalid", S.M, F.concat(F.lit("Invalid pickle format: "), s["defect"]), F.lit(0))))
+    imports = F.flatten(F.transform(s["imports"], import_rules))
+    build = lambda o: finding("pickle.build", S.M, "BUILD opcode found (may trigger __setstate__)", o["pos"])
+    made = lambda o: finding("pickle.object", S.M, F.concat(F.lit("Object creation opcode: "), o["op"]), o["pos"])
+    opened = F.transform(s["ops"], lambda o: F.when(o["op"] == "BUILD", build(o)).otherwise(made(o)))
+    severity = F.when(F.exists(s["imports"], is_dangerous), S.H).otherwise(S.M)
+    calls = F.concat(F.lit("REDUCE opcode found "), s["calls"].cast("string"), F.lit(" time(s) (function calls)"))
+    called = F.when(s["calls"] > 0, F.array(finding("pickle.reduce", severity, calls, s["first_call"], hits=s["calls"]))).otherwise(none)
+    inner = F.try_element_at(F.filter(s["imports"], lambda i: i["module"].isin("pickle", "_pickle")), F.lit(1))
+    nested = collected(F.when(inner.isNotNull(), finding("pickle.nested", S.H, "Nested pickle import detected (potential multi-stage attack)", inner["pos"])))
+    return F.concat(broken, imports, opened, called, nested)

@@ -144,18 +144,6 @@ def tensor_metadata(key: Column, value: Column) -> Column:
     return collected(raw, coded, *words, large)
 
 
-def tensor_offsets(start: Column, end: Column, size: Column) -> Column:
-    """What is wrong with a tensor's offsets into size bytes of data."""
-    return F.array_compact(
-        F.array(
-            F.when(start.isNull() | end.isNull(), F.lit("missing offsets")),
-            F.when(start > size, F.lit("start exceeds data")),
-            F.when(end > size, F.lit("end exceeds data")),
-            F.when(start > end, F.lit("start after end")),
-        )
-    )
-
-
 def very_large(length: Column) -> Column:
     """Of a model configuration: files over 10 GiB."""
     return collected(F.when(length > 10 << 30, finding("keras.large", S.M, "Very large file - scanning may be incomplete")))

@@ -139,12 +139,19 @@ def pair_rules() -> Column:
     return F.flatten(F.transform("pairs", rules))
 
 
-def walk(path: str, fmt: str, data: bytes | Ranged, strict: bool = False) -> list[dict]:
-    """Findings of the byte walks for one artifact. Locations count from the start of the artifact or, in a member that is packed, of the member.
+def streams_found() -> Column:
+    """The findings of an artifact's streams, at their places in it."""
+    placed = lambda s: F.transform(pickles.stream_rules(s), lambda f: f.withField("member", s["member"]).withField("location", f["location"] + s["base"]))
+    return F.flatten(F.transform("streams", placed))
+
+
+def walk(path: str, fmt: str, data: bytes | Ranged, strict: bool = False) -> tuple[list[dict], list[dict]]:
+    """Findings of the byte walks for one artifact, and the facts of its streams, which pickles.stream_rules judges. Locations count from the start of the artifact or, in a member that is packed, of the member.
 
     Unless strict, a member met twice is inspected once, and findings that agree in all but their number are one.
     """
     out: list[dict] = []
+    streams: list[dict] = []
 
     def add(rule: str, severity: str, message: str, location: int | None = None, **more) -> None:
         out.append({"rule": rule, "severity": severity, "message": message, "location": location, **more})
@@ -155,10 +162,7 @@ def walk(path: str, fmt: str, data: bytes | Ranged, strict: bool = False) -> lis
         if (member, base) in seen and not strict:
             return
         seen.add((member, base))
-        out.extend(placed(pickles.inspect(containers.part(data, base, size)), base, member))
-
-    def placed(found: list[dict], base: int, member: str | None) -> list[dict]:
-        return [f | {"member": member, "location": None if f["location"] is None else base + f["location"]} for f in found]
+        streams.append(pickles.facts(containers.part(data, base, size)) | {"base": base, "member": member})
 
     if data.startswith(containers.SEVEN_ZIP):
         add("archive.7z", S.H, "7z archive detected - potential nullifAI bypass (CVE-2025-1716)", 0, cve=["CVE-2025-1716"])
@@ -189,11 +193,11 @@ def walk(path: str, fmt: str, data: bytes | Ranged, strict: bool = False) -> lis
             n = sum(containers.holds_pickle(name) for name, _ in listed)
             add("archive.summary", S.I, f"PyTorch ZIP archive with {n} pickle file(s)", hits=n)
             again = (lambda name, start: False) if strict else lambda name, start: (name, start) in seen
-            for name, found in containers.members(data, pickles.inspect, again):
+            for name, found in containers.members(data, pickles.facts, again):
                 if found is None:
                     add("archive.unscanned", S.H, f"Archive member too large to be scanned: {name}", member=name)
                 else:
-                    out.extend(placed(found, 0, name))
+                    streams.append(found | {"base": 0, "member": name})
     elif fmt == "pickle":
         stream(None, 0, None)
     elif fmt == "gguf":
@@ -229,7 +233,7 @@ def walk(path: str, fmt: str, data: bytes | Ranged, strict: bool = False) -> lis
                 stream(end + 1 - p if end >= 0 else 65536, p, f"offset {p}")
     if fmt in OBFUSCATED and (regions := containers.compressed_regions(data[:FIRST])):
         add("obfuscation.compressed", S.M, f"Embedded compressed data detected ({len(regions)} region(s))", regions[0][1], hits=len(regions))
-    return out if strict else list({(f["rule"], f["location"], f["message"], f.get("member")): f for f in reversed(out)}.values())[::-1]
+    return (out if strict else list({(f["rule"], f["location"], f["message"], f.get("member")): f for f in reversed(out)}.values())[::-1]), streams
 
 
 def _all(data: bytes | Ranged, mark: bytes) -> list[int]:
@@ -257,12 +261,16 @@ def pairs_of(fmt: str, data: bytes | Ranged) -> list[dict]:
 
 _FOUND = pa.struct([("rule", pa.string()), ("severity", pa.string()), ("message", pa.string()), ("location", pa.int64()), ("technique", pa.string()), ("cve", pa.list_(pa.string())), ("hits", pa.int64()), ("member", pa.string()), ("lines", pa.list_(pa.int32()))])
 _PAIR = pa.struct([("kind", pa.string()), ("key", pa.string()), ("value", pa.string())])
+_STREAM = pa.struct([
+    ("defect", pa.string()), ("imports", pa.list_(pa.struct([("module", pa.string()), ("name", pa.string()), ("pos", pa.int64())]))), ("ops", pa.list_(pa.struct([("op", pa.string()), ("pos", pa.int64())]))),
+    ("calls", pa.int64()), ("first_call", pa.int64()), ("base", pa.int64()), ("member", pa.string()),
+])
 _WALKED = pa.schema([
     ("path", pa.string()), ("suffix", pa.string()), ("format", pa.string()), ("length", pa.int64()), ("sha256", pa.string()), ("read_error", pa.string()),
     ("head", pa.binary()), ("tail", pa.binary()), ("content", pa.binary()), ("excerpt", pa.binary()), ("windows", pa.map_(pa.int64(), pa.binary())), ("whole", pa.bool_()), ("bits", pa.float64()), ("scan_ms", pa.float64()),
-    ("walked", pa.list_(_FOUND)), ("pairs", pa.list_(_PAIR)),
+    ("walked", pa.list_(_FOUND)), ("streams", pa.list_(_STREAM)), ("pairs", pa.list_(_PAIR)),
 ])
-_WALKED_DDL = f"path string, suffix string, format string, length bigint, sha256 string, read_error string, head binary, tail binary, content binary, excerpt binary, windows map<bigint,binary>, whole boolean, bits double, scan_ms double, walked {_NONE}, pairs array<struct<kind:string,key:string,value:string>>"
+_WALKED_DDL = f"path string, suffix string, format string, length bigint, sha256 string, read_error string, head binary, tail binary, content binary, excerpt binary, windows map<bigint,binary>, whole boolean, bits double, scan_ms double, walked {_NONE}, streams array<struct<{pickles.STREAM.replace(' ', ':').replace(',:', ',')},base:bigint,member:string>>, pairs array<struct<kind:string,key:string,value:string>>"
 
 
 def _searched(path: str, suffix: str, fmt: str, data: Ranged) -> tuple[list[dict], bytes | None]:
@@ -285,7 +293,7 @@ def _one(row: dict, strict: bool) -> dict:
     """An artifact after its walk, with the bytes that expressions read; one that fails gives a finding, never ends the scan."""
     fmt, content, head = row["format"], row["content"], row["head"] or b""
     began = time.perf_counter()
-    found, pairs, excerpt, around = [], [], None, []
+    found, streams, pairs, excerpt, around = [], [], [], None, []
     media, coded = row["suffix"] in S.MEDIA_EXTENSIONS, fmt in OBFUSCATED
     ziplike = head[:4] == b"PK\x03\x04"
     left_alone = strict and fmt in ("pytorch", "7z_archive") and not ziplike
@@ -295,7 +303,7 @@ def _one(row: dict, strict: bool) -> dict:
         try:
             data = containers.content_of(row["path"], row["length"] or 0, content)
             if ziplike or fmt in WALKED or coded:
-                found = walk(row["path"], fmt, data, strict)
+                found, streams = walk(row["path"], fmt, data, strict)
             if fmt in ("gguf", "safetensors"):
                 pairs = pairs_of(fmt, data)
             if searched:
@@ -317,6 +325,7 @@ def _one(row: dict, strict: bool) -> dict:
         "bits": obf.entropy_of(first) if coded else None,
         "scan_ms": round((time.perf_counter() - began) * 1000, 3),
         "walked": found,
+        "streams": streams,
         "pairs": pairs,
     }
 
@@ -379,11 +388,12 @@ def judged(found: Column, options: Options) -> Column:
 @lru_cache(maxsize=8)
 def _built(application: str, options: Options) -> dict[str, Column]:
     """The rules' expressions, which name columns only, so that any scan of an application can use them: building them takes thousands of calls."""
-    pairs = pair_rules() if options.strict else F.array_distinct(pair_rules())
+    once = (lambda found: found) if options.strict else F.array_distinct
     return {
         "by_content": content_rules(options.entropy_threshold),
         "by_media": media_rules(),
-        "found": F.concat("by_content", "by_media", "walked", pairs),
+        "by_streams": once(streams_found()),
+        "found": F.concat("by_content", "by_media", "walked", "by_streams", once(pair_rules())),
         "findings": judged(F.col("found"), options),
     }
 
@@ -404,7 +414,7 @@ def scan(artifacts: DataFrame, options: Options | None = None) -> ScanFrames:
         generated=F.coalesce(F.when(media, context.ai_metadata(latin1(F.substring(F.coalesce("content", "head"), 1, 1 << 16)))), F.lit(False)),
     )
     rules = _built(artifacts.sparkSession.sparkContext.applicationId, options)
-    for name in ("by_content", "by_media", "found", "findings"):
+    for name in ("by_content", "by_media", "by_streams", "found", "findings"):
         ready = _fixed(ready, **{name: rules[name]})
     rows = ready.select("path", "format", "length", "sha256", "scan_ms", "findings")
     return ScanFrames(validators.validated(rows, options.validators) if options.validators else rows)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
 from flintglass.functions.rules import advice
+from flintglass.functions.udtfs import register
 from flintglass.operators import containers, context, pickles, verdicts
 from flintglass.operators import obfuscation as obf
 from flintglass.operators import textrules as T
@@ -327,14 +328,28 @@ def metadata_base64_pickle(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN s > n THEN 'start exceeds data' END, CASE WHEN e > n THEN 'end exceeds data' END, CASE WHEN s > e THEN 'start after end' END) AS errors
-FROM (SELECT l_orderkey, l_linenumber, l_partkey AS s, l_partkey + l_quantity::BIGINT - 10 AS e, l_suppkey * 20 AS n FROM lineitem)
-WHERE s > n OR e > n OR s > e
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+o AS (SELECT doc_id, concat('t', i) AS tensor, n, CASE WHEN length(word) = 7 THEN NULL ELSE i + length(word) * 3 END AS s, CASE WHEN length(word) = 7 THEN NULL ELSE i + length(word) * 4 - 9 END AS e FROM t)
+SELECT doc_id, tensor, unnest(list_filter([CASE WHEN s IS NULL THEN 'missing data_offsets' END, CASE WHEN s > n THEN concat('start offset ', s, ' exceeds data size ', n) END, CASE WHEN e > n THEN concat('end offset ', e, ' exceeds data size ', n) END, CASE WHEN s > e THEN concat('start offset ', s, ' after end offset ', e) END], lambda x: x IS NOT NULL)) AS error
+FROM o
 """)
 def tensor_offset_checks(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    s, e, n = F.col("l_partkey"), F.col("l_partkey") + F.col("l_quantity").cast("bigint") - 10, F.col("l_suppkey") * 20
-    return li.select("l_orderkey", "l_linenumber", T.tensor_offsets(s, e, n).alias("x")).filter(F.size("x") > 0).select("l_orderkey", "l_linenumber", F.array_join("x", ",").alias("errors"))
+    """A tensor for each word of a text, with offsets by its place and length into as many bytes as there are words."""
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    place = lambda w, i: F.concat(F.lit('{"data_offsets":['), i + 1 + F.length(w) * 3, F.lit(","), i + 1 + F.length(w) * 4 - 9, F.lit("]}"))
+    tensor = lambda w, i: F.concat(F.lit('"t'), i + 1, F.lit('":'), F.when(F.length(w) == 7, "{}").otherwise(place(w, i)))
+    header = F.concat(F.lit("{"), F.array_join(F.transform(words, tensor), ","), F.lit("}"))
+    made = d.select("doc_id", header.alias("header"), F.size(words).alias("n")).select("doc_id", F.concat(_reversed(F.hex(F.length("header").cast("long"))), F.encode("header", "UTF-8"), F.encode(F.repeat(F.lit("x"), F.col("n")), "UTF-8")).alias("content"))
+    register(spark)
+    return spark.sql("SELECT t.doc_id, e.tensor, e.error FROM {t} t, LATERAL tensor_errors(t.content) e", t=made)
+
+
+def _reversed(hexed: Column) -> Column:
+    """Eight bytes, the lowest first, of a number in hexadecimal."""
+    padded = F.lpad(hexed, 16, "0")
+    return F.unhex(F.concat(*[F.substring(padded, 15 - 2 * k, 2) for k in range(8)]))
 
 
 STRINGS_SQL = f"{ART}, strs AS (SELECT doc_id, unnest(regexp_extract_all(body, '[\\x20-\\x7e]{{4,}}')) AS s FROM art)"
@@ -435,22 +450,34 @@ def workflow_deepscan(spark, sf_dir):
 
 MODULES = ["os", "posix", "subprocess", "builtins", "collections", "urllib.request", "numpy.core.multiarray", "torch._utils", "pickle", "sys", "asyncio.subprocess", "os.path", "json", "_pickle"]
 NAMES = ["system", "popen", "run", "eval", "OrderedDict", "urlopen", "getattr", "join", "loads", "exec", "create_subprocess_exec", "dumps"]
-OPS = ["REDUCE", "BUILD", "NEWOBJ", "GLOBAL", "BININT", "INST", "REDUCE", "MARK"]
+#: Opcodes behind the imports: POP, REDUCE, BUILD, OBJ and NONE.
+OPS = ["0", "R", "b", "o", "N"]
 
 
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports of streams, one for each event: user_id stands for the stream."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("user_id"), pick(MODULES, F.col("event_id")).alias("module"), pick(NAMES, F.floor(F.col("event_id") / 3) + F.col("user_id")).alias("name"), F.col("event_id").alias("pos"))
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the facts of a stream that imports something for each word of a text, by the word's length and letters."""
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    module = lambda w: pick(MODULES, F.length(w) * 7 + F.ascii(w))
+    name = lambda w: pick(NAMES, F.length(w) + F.ascii(F.right(w, F.lit(1))))
+    piece = lambda w: F.concat(F.lit("c"), module(w), F.lit("\n"), name(w), F.lit("\n"), pick(OPS, F.length(w)))
+    made = d.select("doc_id", F.encode(F.concat(F.array_join(F.transform(words, piece), ""), F.lit(".")), "ISO-8859-1").alias("content"))
+    register(spark)
+    return spark.sql("SELECT t.doc_id, s.* FROM {t} t, LATERAL pickle_stream(t.content) s", t=made)
 
 
-def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("user_id", pick(OPS, F.floor(F.col("value"))).alias("op"), F.col("event_id").alias("pos"))
+def stream_findings(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
+    """Findings of the streams by the rules, those of a document that agree being one row with their number and first place."""
+    s = streams(spark, sf_dir)
+    found = s.select("doc_id", F.inline(pickles.stream_rules(F.struct(*s.columns[1:])))).filter(F.col("rule").isin(*[f"pickle.{r}" for r in rules]))
+    return found.groupBy("doc_id", "rule", "severity", "message").agg(F.count("*").alias("n"), F.min("location").alias("pos"))
 
 
 IMP = f"""
-imp AS (SELECT user_id, {sql_pick(MODULES, 'event_id')} AS module, {sql_pick(NAMES, 'event_id // 3 + user_id')} AS name, event_id AS pos FROM events),
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+picked AS (SELECT doc_id, i, {sql_pick(MODULES, 'length(word) * 7 + ascii(word)')} AS module, {sql_pick(NAMES, 'length(word) + ascii(right(word, 1))')} AS name, {sql_pick(OPS, 'length(word)')} AS op FROM words),
+imp AS (SELECT *, (sum(length(module) + length(name) + 4) OVER (PARTITION BY doc_id ORDER BY i) - length(module) - length(name) - 4)::BIGINT AS pos, pos + length(module) + length(name) + 3 AS op_pos FROM picked),
 known AS (SELECT * FROM (VALUES {', '.join(f'({q(m)}, {q(n)})' for m, n in S.KNOWN_CALLS)}) AS t(module, name)),
 judged AS (
     SELECT imp.*, (module, name) IN (SELECT (module, name) FROM known) AS is_known,
@@ -458,35 +485,36 @@ judged AS (
         list_contains({sql_list(S.DANGEROUS_FUNCTIONS)}, name) AS is_function
     FROM imp
 )"""
+_GROUPED = "count(*) AS n, min(pos) AS pos FROM judged WHERE {} GROUP BY ALL"
 
 
-@query(f"WITH {IMP} SELECT user_id, pos, 'critical' AS severity, concat('Known malicious call: ', module, '.', name) AS message FROM judged WHERE is_known")
+@query(f"WITH {IMP} SELECT doc_id, 'pickle.known_call' AS rule, 'critical' AS severity, concat('Known malicious call: ', module, '.', name) AS message, {_GROUPED.format('is_known')}")
 def pickle_known_calls(spark, sf_dir):
-    return pickles.import_findings(imports(spark, sf_dir), ["user_id"]).filter("rule = 'known_call'").select("user_id", "pos", "severity", "message")
+    return stream_findings(spark, sf_dir, "known_call")
 
 
-@query(f"WITH {IMP} SELECT user_id, pos, CASE WHEN split_part(module, '.', 1) IN {in_list(S.CRITICAL_MODULES)} THEN 'critical' ELSE 'high' END AS severity, concat('Dangerous import: ', module, '.', name) AS message FROM judged WHERE is_module AND NOT is_known")
+@query(f"WITH {IMP} SELECT doc_id, 'pickle.module' AS rule, CASE WHEN split_part(module, '.', 1) IN {in_list(S.CRITICAL_MODULES)} THEN 'critical' ELSE 'high' END AS severity, concat('Dangerous import: ', module, '.', name) AS message, {_GROUPED.format('is_module AND NOT is_known')}")
 def pickle_module_prefix(spark, sf_dir):
-    return pickles.import_findings(imports(spark, sf_dir), ["user_id"]).filter("rule = 'module'").select("user_id", "pos", "severity", "message")
+    return stream_findings(spark, sf_dir, "module")
 
 
-@query(f"WITH {IMP} SELECT user_id, pos, concat('Dangerous function: ', module, '.', name) AS message FROM judged WHERE is_function AND NOT is_known")
+@query(f"WITH {IMP} SELECT doc_id, 'pickle.function' AS rule, 'high' AS severity, concat('Dangerous function: ', module, '.', name) AS message, {_GROUPED.format('is_function AND NOT is_known')}")
 def pickle_functions(spark, sf_dir):
-    return pickles.import_findings(imports(spark, sf_dir), ["user_id"]).filter("rule = 'function'").select("user_id", "pos", "message")
+    return stream_findings(spark, sf_dir, "function")
 
 
-@query(f"""WITH {IMP}, ops AS (SELECT user_id, {sql_pick(OPS, 'floor(value)::BIGINT')} AS op, event_id AS pos FROM events),
-n AS (SELECT user_id, count(*) AS c, min(pos) AS pos FROM ops WHERE op = 'REDUCE' GROUP BY user_id)
-SELECT n.user_id, pos, concat('REDUCE opcode found ', c, ' time(s) (function calls)') AS message, CASE WHEN n.user_id IN (SELECT user_id FROM judged WHERE is_known OR is_module OR is_function) THEN 'high' ELSE 'medium' END AS severity FROM n""")
+@query(f"""WITH {IMP}, calls AS (SELECT doc_id, count(*) AS c, min(op_pos) AS pos FROM imp WHERE op = 'R' GROUP BY doc_id)
+SELECT doc_id, 'pickle.reduce' AS rule, CASE WHEN doc_id IN (SELECT doc_id FROM judged WHERE is_known OR is_module OR is_function) THEN 'high' ELSE 'medium' END AS severity, concat('REDUCE opcode found ', c, ' time(s) (function calls)') AS message, 1 AS n, pos FROM calls""")
 def pickle_reduce_escalation(spark, sf_dir):
-    return pickles.stream_findings(operations(spark, sf_dir), imports(spark, sf_dir), ["user_id"]).filter("rule = 'reduce'").select("user_id", "pos", "message", "severity")
+    return stream_findings(spark, sf_dir, "reduce")
 
 
-@query(f"""WITH {IMP}, ops AS (SELECT user_id, {sql_pick(OPS, 'floor(value)::BIGINT')} AS op, event_id AS pos FROM events)
-SELECT user_id, 'nested' AS rule, 'high' AS severity, min(pos) AS pos FROM imp WHERE module IN ('pickle', '_pickle') GROUP BY user_id
-UNION ALL SELECT user_id, 'object', 'medium', pos FROM ops WHERE op IN ('INST', 'OBJ', 'NEWOBJ', 'NEWOBJ_EX') UNION ALL SELECT user_id, 'build', 'medium', pos FROM ops WHERE op = 'BUILD'""")
+@query(f"""WITH {IMP}
+SELECT doc_id, 'pickle.nested' AS rule, 'high' AS severity, 'Nested pickle import detected (potential multi-stage attack)' AS message, 1 AS n, min(pos) AS pos FROM imp WHERE module IN ('pickle', '_pickle') GROUP BY doc_id
+UNION ALL SELECT doc_id, 'pickle.object', 'medium', 'Object creation opcode: OBJ', count(*), min(op_pos) FROM imp WHERE op = 'o' GROUP BY doc_id
+UNION ALL SELECT doc_id, 'pickle.build', 'medium', 'BUILD opcode found (may trigger __setstate__)', count(*), min(op_pos) FROM imp WHERE op = 'b' GROUP BY doc_id""")
 def pickle_opcode_rules(spark, sf_dir):
-    return pickles.stream_findings(operations(spark, sf_dir), imports(spark, sf_dir), ["user_id"]).filter("rule <> 'reduce'").select("user_id", "rule", "severity", "pos")
+    return stream_findings(spark, sf_dir, "nested", "object", "build")
 
 
 def byte_walks(spark: SparkSession, sf_dir: str, make: Callable[[str, int], bytes], walk: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
