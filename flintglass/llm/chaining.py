@@ -11,8 +11,8 @@
    common subsequence, bit-parallel). Passages are all stretches of the alignment, found best first, that
    have enough words of which enough agree.
 5. A passage whose seeds have several sources, each with less of it, is in none of these chains. So seeds that
-   lie outside of reported passages, in any document but their first, are paired with those NEAR to FAR words behind them.
-   Such a pair has a source of its own: the least document with both seeds so far apart, which a document with some words only of a
+   lie outside of reported passages, in any document but their first, are paired with those so far behind them as any run of min_words has seeds, and up to twice that.
+   Such a pair has a source of its own: the least document with both seeds so far apart, which a document with fewer words of a
    passage doesn't have. Matches with these sources are chained and aligned like the others, so passages with changed words
    are found however their seeds are spread over earlier documents.
 6. Then every run of min_words words that isn't within reported passages and whose seeds all are in other documents is looked
@@ -50,7 +50,6 @@ PIECE = 2048
 SPANS_PER_ROW = 512
 MISMATCH = 2.0
 ROWS_OUT = 1 << 16
-NEAR, FAR = 31, 62
 
 
 def minimizers(grams: np.ndarray) -> np.ndarray:
@@ -277,8 +276,10 @@ def _single(source: DataFrame) -> DataFrame:
     return source.join(repeated, "id", "left_anti").union(chosen)
 
 
-def spanning_matches(sourced: DataFrame, reported: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, src, pos, src_pos of the seeds in pairs NEAR to FAR words apart, src being the least document with the pair; reported (id, lo, hi) are left alone."""
+def spanning_matches(sourced: DataFrame, reported: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """id, src, pos, src_pos of the seeds in pairs so far apart as any run of min_words has, or twice that, src being the least document with the pair; reported (id, lo, hi) are left alone."""
+    nearest = max(1, min_words - SHINGLE - 2 * (WINDOW - 1))
+    farthest = 2 * nearest
 
     def outside(batches):
         def made():
@@ -293,26 +294,28 @@ def spanning_matches(sourced: DataFrame, reported: DataFrame, scratch: Scratch)
     rows = sourced.filter(F.col("seed").bitwiseAND(F.lit(1)) == 0).select("id", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("seed").alias("value"), "src")
     rows = rows.union(reported.select("id", F.lit(0), "lo", "hi", F.lit(0).cast("long")))
     marked = scratch.keep(rows.repartition("id").sortWithinPartitions("id", "kind", "pos").mapInArrow(outside, "id long, pos int, seed long, free boolean"))
-    wanted = scratch.keep(marked.filter("free").select("seed").distinct())
 
     def paired(batches):
         def made():
-            for ids, pos, seed, free in runs(batches, ["id", "pos", "seed", "free"], "id"):
-                pos, seed, free = np.asarray(pos), np.asarray(seed).view(np.uint64), np.asarray(free)
-                for step in range(1, FAR + 1):
+            for ids, pos, seed in runs(batches, ["id", "pos", "seed"], "id"):
+                pos, seed = np.asarray(pos), np.asarray(seed).view(np.uint64)
+                for step in range(1, farthest + 1):
                     apart = pos[step:] - pos[:-step]
-                    if not len(apart) or apart.min() > FAR:
+                    if not len(apart) or apart.min() > farthest:
                         break
-                    i = np.flatnonzero((apart >= NEAR) & (apart <= FAR))
-                    yield mix(mix(seed[i]) + seed[i + step]).view(np.int64), np.full(len(i), ids[0].as_py()), pos[i], pos[i + step], free[i] & free[i + step]
-
-        return _batched(made(), ["pair", "id", "a", "b", "free"])
-
-    near = marked.join(wanted, "seed", "left_semi").repartition("id").sortWithinPartitions("id", "pos")
-    found = scratch.keep(near.mapInArrow(paired, "pair long, id long, a int, b int, free boolean"))
-    scratch.drop(marked, wanted)
-    least = scratch.keep(found.groupBy("pair").agg(F.min(F.struct("id", "a", "b")).alias("least"), F.max(F.when(F.col("free"), F.col("id"))).alias("top")).filter("least.id < top").drop("top"))
-    both = found.filter("free").join(least, "pair").filter("least.id < id")
+                    i = np.flatnonzero((apart >= nearest) & (apart <= farthest))
+                    yield mix(mix(seed[i]) + seed[i + step]).view(np.int64), np.full(len(i), ids[0].as_py()), pos[i], pos[i + step], seed[i].view(np.int64), seed[i + step].view(np.int64)
+
+        return _batched(made(), ["pair", "id", "a", "b", "seed", "later"])
+
+    pairs = lambda df: df.select("id", "pos", "seed").repartition("id").sortWithinPartitions("id", "pos").mapInArrow(paired, "pair long, id long, a int, b int, seed long, later long")
+    own = scratch.keep(pairs(marked.filter("free")))
+    wanted = scratch.keep(own.select(F.explode(F.array("seed", "later")).alias("seed")).distinct())
+    asked = scratch.keep(own.select("pair").distinct())
+    every = pairs(marked.join(wanted, "seed", "left_semi")).select("pair", "id", "a", "b").join(asked, "pair", "left_semi")
+    least = scratch.keep(every.groupBy("pair").agg(F.min(F.struct("id", "a", "b")).alias("least")))
+    scratch.drop(marked, wanted, asked)
+    both = own.join(least, "pair").filter("least.id < id")
     ends = F.explode(F.array(F.struct(F.col("a").alias("pos"), F.col("least.a").alias("src_pos")), F.struct(F.col("b").alias("pos"), F.col("least.b").alias("src_pos"))))
     return both.select("id", F.col("least.id").alias("src"), ends.alias("m")).select("id", "src", "m.*").distinct()
 
@@ -471,7 +474,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     whole = compared(matches)
     scratch.drop(origin)
     intervals = [F.col(key).alias("id"), F.col("start_word").alias("lo"), F.col("end_word").alias("hi")]
-    whole = whole.union(compared(spanning_matches(sourced, whole.select(*intervals), scratch)))
+    whole = whole.union(compared(spanning_matches(sourced, whole.select(*intervals), min_words, scratch)))
     more = split_sources(source, sourced, whole.select(*intervals), min_words, scratch)
     return whole.union(more.select("id", "src", "lo", "hi", "src_lo", "src_hi", F.col("hi") - F.col("lo"), F.lit(1.0)))
 
