@@ -16,7 +16,7 @@ def crc_mod(key: str, n: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """Texts and 0/1 labels of at most rows keys, of at most chars characters together.
 
-    Of the labelled keys for which learn holds and that have a text, the first rows by hash are taken in
+    Of the labelled keys for which learn holds and that docs has, the first rows by hash are taken in
     this order, and one whose text doesn't fit beside those taken is passed over. Of rows that repeat a key the
     longest text counts, of labels for one key the greatest; null and empty texts are passed over.
     Only these columns are read, whatever else the tables have. What reaches the driver is bounded
@@ -24,7 +24,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     """
     chosen = labels.filter(learn & F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0)
-    chosen = chosen.join(texts.select("k"), "k", "left_semi").withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(rows)
+    chosen = chosen.join(docs.select(F.col(key).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(rows)
     found = texts.join(F.broadcast(chosen), "k")
     single = found.groupBy("h", "k", "y").agg(F.max(F.struct(F.length("t").alias("n"), F.col("t").alias("t"))).alias("s"))
     scratch = Scratch(docs.sparkSession)
