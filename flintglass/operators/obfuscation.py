@@ -15,6 +15,7 @@ from flintglass.operators.textrules import strict_base64
 
 #: Bits a byte from which content counts as encrypted.
 HIGH_ENTROPY = 7.5
+BLOCK = 1 << 20
 
 
 def entropy_of(data: bytes) -> float:
@@ -28,7 +29,20 @@ def entropy_of(data: bytes) -> float:
 
 @F.pandas_udf(DoubleType())
 def entropy(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: entropy_of(bytes(x) if x is not None else b""))
+    """Bits a byte of each binary: those of many rows are counted at once, a row's values being numbers of their own."""
+    sizes = data.map(lambda x: 0 if x is None else len(x)).to_numpy(np.int64)
+    out, lo = np.zeros(len(data)), 0
+    while lo < len(data):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), BLOCK)) + lo)
+        if hi == lo + 1:
+            out[lo] = entropy_of(bytes(data.iloc[lo] or b""))
+        else:
+            own = np.frombuffer(b"".join(x or b"" for x in data.iloc[lo:hi]), np.uint8)
+            counts = np.bincount(np.repeat(np.arange(hi - lo) * 256, sizes[lo:hi]) + own, minlength=(hi - lo) * 256).reshape(-1, 256)
+            p = counts / np.maximum(1, sizes[lo:hi])[:, None]
+            out[lo:hi] = np.round(-(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1) + 0.0, 9)
+        lo = hi
+    return pd.Series(out)
 
 
 def base64_regions(text: Column) -> Column:

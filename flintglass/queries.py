@@ -312,19 +312,22 @@ def metadata_strings(spark, sf_dir):
     return rows.select("doc_id", "f.rule", F.substring_index("f.message", ": ", -1).alias("description"))
 
 
-CODED = ["gASVEAAAAAAAAACMAm9zAAAAAAAAAA==", "gAJjb3MKc3lzdGVtCnEALgAAAAAA", "aGVsbG8gd29ybGQgdGhpcyBpcyBmaW5l", "gAN9cQAu", "gAJjb3MKc3lzdGVtCnEALgAAAAA", "not base64 at all !!", "gAZ9cQAuAAAAAAAAAAAAAAAAAAAA"]
+#: What stands before a text whose base64 is looked at: streams of protocol 2 to 5 and others; the last is not encoded.
+STARTS = ["8002", "", "8004", "8006", "8005", "80", None]
 
 
 @query(f"""
-WITH v AS (SELECT doc_id, {sql_pick(CODED, 'doc_id')} AS value FROM documents), d AS (
-    SELECT doc_id, value, CASE WHEN length(value) > 20 AND length(value) % 4 = 0 AND regexp_full_match(value, '[A-Za-z0-9+/]*={{0,2}}') THEN hex(from_base64(CASE WHEN length(value) % 4 = 0 AND regexp_full_match(value, '[A-Za-z0-9+/]*={{0,2}}') THEN value ELSE '' END)) END AS h FROM v
-)
-SELECT doc_id, value, coalesce(substr(h, 1, 4) IN ('8002', '8003', '8004', '8005'), false) AS is_pickle FROM d
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, {sql_pick([x or '' for x in STARTS], 'n')} IN ('8002', '8004', '8005') AND n % {len(STARTS)} <> {len(STARTS) - 1} AND strlen(text) >= 14 AS is_pickle
+FROM t
 """)
 def metadata_base64_pickle(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", pick(CODED, F.col("doc_id")).alias("value"))
-    hit = F.exists(T.tensor_metadata(F.lit("k"), F.col("value")), lambda f: f["rule"] == "metadata.base64")
-    return d.select("doc_id", "value", hit.alias("is_pickle"))
+    """Whole texts in base64, behind the first bytes of a stream or others by their length, as metadata values."""
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    coded = F.regexp_replace(F.base64(F.concat(F.unhex(pick([x or "" for x in STARTS], F.length("text"))), F.encode("text", "UTF-8"))), r"\s", "")  # may come in lines
+    value = F.when(F.pmod(F.length("text"), F.lit(len(STARTS))) == len(STARTS) - 1, F.concat(F.col("text"), F.lit(" !"))).otherwise(coded)
+    hit = F.exists(T.tensor_metadata(F.lit("k"), value), lambda f: f["rule"] == "metadata.base64")
+    return d.select("doc_id", hit.alias("is_pickle"))
 
 
 @query("""
@@ -394,21 +397,24 @@ def keras_config_rules(spark, sf_dir):
 NODES = [t for t, _, _ in S.NODE_TYPES] + ["KSampler", "LoadImage"]
 
 
+INPUTS = ["", "eval (x)", " plain", "__import__", "open (f)", " é", "os.system", "requests.post (u)", "\\\\x41", "exec(c) eval(c)", "base64.encode", "socket.bind", "urllib.parse"]
+
+
 def workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and a workflow of two nodes as JSON; some lack keys or are no JSON."""
-    a = artifacts(spark, sf_dir)
-    node = lambda i, k, text: F.struct(i.alias("id"), pick(NODES, k).alias("type"), F.array(text, F.lit("plain")).alias("widgets_values"))
-    i = F.col("doc_id")
-    payload = pick(PAYLOADS, F.floor(i / 3))
-    full = F.to_json(F.struct(i.alias("last_node_id"), F.array().cast("array<int>").alias("links"), F.array(node(i, i, payload), node(i + 1, F.floor(i / 2), F.lit("x"))).alias("nodes")))
-    some = F.to_json(F.struct(F.array(node(i, i, payload)).alias("nodes"), F.lit(1).alias("other")))
-    return a.select("doc_id", F.when(i % 5 == 3, some).when(i % 5 == 4, F.concat(F.lit("{broken "), payload)).otherwise(full).alias("body"))
+    """doc_id and a workflow with a node for each word of a text as JSON; by the text's length some lack keys or are no JSON."""
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    node = lambda w, i: F.struct(i.alias("id"), pick(NODES, F.length(w) * 3 + F.ascii(w)).alias("type"), F.array(F.concat(w, pick(INPUTS, F.length(w) + F.ascii(F.right(w, F.lit(1))))), F.lit("fine")).alias("widgets_values"))
+    nodes, n = F.transform(words, node).alias("nodes"), F.length("text")
+    full = F.to_json(F.struct(n.alias("last_node_id"), F.array().cast("array<int>").alias("links"), nodes))
+    return d.select("doc_id", F.when(n % 5 == 3, F.to_json(F.struct(nodes, F.lit(1).alias("other")))).when(n % 5 == 4, F.concat(F.lit("{broken "), "text")).otherwise(full).alias("body"))
 
 
 FLOW = f"""
-flow AS (
-    SELECT doc_id, doc_id % 5 <> 4 AS valid, doc_id % 5 NOT IN (3, 4) AS graph, {sql_pick(NODES, 'doc_id')} AS t1, {sql_pick(NODES, 'doc_id // 2')} AS t2, {sql_pick(PAYLOADS, 'doc_id // 3')} AS payload
-    FROM documents
+flow AS (SELECT doc_id, n % 5 <> 4 AS valid, n % 5 NOT IN (3, 4) AS graph, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents)),
+nodes AS (
+    SELECT doc_id, i - 1 AS node_id, {sql_pick(NODES, 'length(w) * 3 + ascii(w)')} AS type, concat(w, {sql_pick(INPUTS, 'length(w) + ascii(right(w, 1))')}) AS payload
+    FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM flow WHERE graph)
 )"""
 
 
@@ -418,25 +424,25 @@ def workflow_gate(spark, sf_dir):
     return workflows(spark, sf_dir).select("doc_id", T.is_workflow(body).alias("is_workflow"), F.coalesce(T.workflow_parts(body)["is_object"], F.lit(False)).alias("is_object"))
 
 
-@query(f"""WITH {FLOW}, nodes AS (SELECT doc_id, doc_id AS node_id, t1 AS type FROM flow WHERE graph UNION ALL SELECT doc_id, doc_id + 1, t2 FROM flow WHERE graph)
-SELECT doc_id, node_id, type, CASE {' '.join(f"WHEN type = {q(t)} THEN {q(c)}" for t, c, _ in S.NODE_TYPES if c)} END AS cve FROM nodes WHERE type IN {in_list([t for t, _, _ in S.NODE_TYPES])}""")
+@query(f"""WITH {FLOW}
+SELECT doc_id, type, CASE {' '.join(f"WHEN type = {q(t)} THEN {q(c)}" for t, c, _ in S.NODE_TYPES if c)} END AS cve, count(*) AS n, min(node_id) AS node_id FROM nodes WHERE type IN {in_list([t for t, _, _ in S.NODE_TYPES])} GROUP BY ALL""")
 def workflow_nodes(spark, sf_dir):
     w = workflows(spark, sf_dir).filter(T.is_workflow(F.col("body")))
     nodes = w.select("doc_id", F.explode(T.workflow_parts(F.col("body"))["nodes"]).alias("node"))
     hit = nodes.withColumn("f", T.node_advisory(F.col("node"))).filter("f is not null")
-    return hit.select("doc_id", F.col("f.location").alias("node_id"), T.node_type(F.col("node")).alias("type"), F.try_element_at("f.cve", F.lit(1)).alias("cve"))
+    return hit.groupBy("doc_id", T.node_type(F.col("node")).alias("type"), F.try_element_at("f.cve", F.lit(1)).alias("cve")).agg(F.count("*").alias("n"), F.min("f.location").alias("node_id"))
 
 
 _WIDGET = "CASE " + " ".join(f"WHEN regexp_matches(payload, {q(p)}) THEN {q('workflow.input.' + n)}" for n, _, p in S.INPUT_PATTERNS) + " END"
 _WIDGET_SEV = "CASE " + " ".join(f"WHEN regexp_matches(payload, {q(p)}) THEN {q(s)}" for _, s, p in S.INPUT_PATTERNS) + " END"
 
 
-@query(f"WITH {FLOW} SELECT doc_id, {_WIDGET} AS rule, {_WIDGET_SEV} AS severity FROM flow WHERE graph AND {_WIDGET} IS NOT NULL")
+@query(f"WITH {FLOW} SELECT doc_id, {_WIDGET} AS rule, {_WIDGET_SEV} AS severity, count(*) AS n FROM nodes WHERE {_WIDGET} IS NOT NULL GROUP BY ALL")
 def workflow_widgets(spark, sf_dir):
     w = workflows(spark, sf_dir).filter(T.is_workflow(F.col("body")))
     nodes = w.select("doc_id", F.explode(T.workflow_parts(F.col("body"))["nodes"]).alias("node"))
     hits = nodes.select("doc_id", F.explode(F.array_compact(F.transform(T.widget_texts(F.col("node")), T.widget_finding))).alias("f"))
-    return hits.select("doc_id", "f.rule", "f.severity")
+    return hits.groupBy("doc_id", "f.rule", "f.severity").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ART}" + regex_sql(S.INPUT_PATTERNS, "workflow.deep"))
@@ -602,6 +608,21 @@ def compressed_regions(spark, sf_dir):
 SCANNED = [".pkl", ".pickle", ".pt", ".zip", ".safetensors", ".safetensors", ".gguf", ".gguf", ".h5", ".png", ".dat", ".pkl", ".7z"]
 
 
+def _coded_sql(table: str) -> str:
+    """coded: rule and severity of the findings on encoded content of a table of doc_id and body."""
+    bad_text = " OR ".join(f"contains(hex(d), hex(encode({q(w)})))" for w in S.BASE64_WORDS)
+    bad_hex = " OR ".join(f"regexp_matches(lower(r), '^(..)*{w.encode().hex()}')" for w in S.HEX_WORDS)
+    escapes = " + ".join(f"len(regexp_extract_all(body, {q(p)}))" for _, p in S.ESCAPES)
+    return f"""
+coded_64 AS (SELECT doc_id, concat(r, repeat('=', ((4 - length(r) % 4) % 4)::INTEGER)) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[A-Za-z0-9+/]{{20,}}={{0,2}}')) AS r FROM {table})),
+decoded_64 AS (SELECT doc_id, from_base64(r) AS d FROM coded_64 WHERE regexp_full_match(r, '[A-Za-z0-9+/]*={{0,2}}')),
+coded AS (
+    SELECT DISTINCT doc_id, 'obfuscation.base64' AS rule, 'high' AS severity FROM decoded_64 WHERE octet_length(d) >= 10 AND ({bad_text})
+    UNION ALL SELECT DISTINCT doc_id, 'obfuscation.hex', 'high' FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[0-9a-fA-F]{{40,}}')) AS r FROM {table}) WHERE length(r) % 2 = 0 AND ({bad_hex})
+    UNION ALL SELECT doc_id, 'obfuscation.escapes', 'medium' FROM {table} WHERE {escapes} > 0
+)"""
+
+
 def make_scanned(text: str, i: int) -> bytes:
     """An artifact of kind i % 13 around a text; what a scan must find in it is stated in SCANNED_SQL."""
     t = text.encode()
@@ -733,6 +754,25 @@ def scan_verdicts(spark, sf_dir):
     return _scanned(spark, sf_dir).select("doc_id", "format", *[of[n].alias(n) for n in ("is_safe", "max_severity", "n_findings")])
 
 
+_OBFUSCATED = """
+shown AS (
+    SELECT doc_id, CASE k WHEN 0 THEN concat(t, '0cos', chr(10), 'system', chr(10)) WHEN 1 THEN concat(t, '0ccollections', chr(10), 'OrderedDict', chr(10)) ELSE t END AS body
+    FROM (SELECT doc_id, doc_id % 13 AS k, coalesce(text, '') AS t FROM documents) WHERE k IN (0, 1, 8, 10, 11)
+)"""
+
+
+@query(f"""
+WITH {SCANNED_SQL}, {_OBFUSCATED}, {{coded}},
+all_of AS (SELECT doc_id, f.severity AS severity FROM expected UNION ALL SELECT doc_id, severity FROM coded),
+worst AS (SELECT doc_id, min(list_position(['critical', 'high', 'medium', 'low', 'info'], severity)) AS w, count(*) AS c FROM all_of GROUP BY doc_id)
+SELECT concat(doc_id, {{suffix}}[k + 1]) AS path, ['pickle', 'pickle', 'pickle', 'archive', 'safetensors', 'safetensors', 'gguf', 'gguf', 'keras', 'image', 'unknown', 'pickle', 'archive'][k + 1] AS format, coalesce(w > 2, true) AS is_safe, ['critical', 'high', 'medium', 'low', 'info'][w] AS max_severity, coalesce(c, 0) AS n_findings
+FROM d LEFT JOIN worst USING (doc_id)
+""".replace("{coded}", _coded_sql("shown")).replace("{suffix}", sql_list(SCANNED)))
+def scan_files(spark, sf_dir):
+    """The verdicts of the whole scan, encoded content included."""
+    return scan(scan_artifacts(spark, sf_dir)).files.select("path", "format", "is_safe", "max_severity", "n_findings")
+
+
 # ---- media
 
 
@@ -801,7 +841,7 @@ WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS
 SELECT doc_id, coalesce(entropy, 0) AS entropy FROM documents LEFT JOIN (SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id) USING (doc_id)
 """)
 def entropy_by_document(spark, sf_dir):
-    """Null and empty texts have none."""
+    """Of null and empty texts it is 0."""
     d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", F.round(obf.entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
 
@@ -860,15 +900,29 @@ def ai_metadata(spark, sf_dir):
 RULE_NAMES = ["eval_call", "asp_code", "archive_in_image", "script_tag", "metadata_exec", "polyglot zip"]
 
 
+_BYTE = "chr(((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1)::INTEGER)"
+
+
 @query(f"""
-WITH {ART}, base AS (
-    SELECT doc_id, suffix, {sql_pick(RULE_NAMES, 'doc_id')} AS name, doc_id % 11 = 0 AS high, substr(body, 1, 65536) AS head, lower(substr(body, 1, 200)) AS near, substr(body, 1, 100) AS call, substr(body, 1, 1024) AS around, substr(body, 1, 256) AS dense
-    FROM art WHERE strlen(body) = length(body)
+WITH {ART}, hexed AS (
+    SELECT doc_id, suffix, body, {sql_pick(RULE_NAMES, 'length(body)')} AS name, length(body) % 5 = 0 AS seven,
+        concat(CASE WHEN seven THEN '377ABCAF271C' ELSE '' END, CASE WHEN length(body) % 7 = 0 THEN upper(list_aggregate(list_transform(range(16), lambda i: sha256(concat(body, i))), 'string_agg', '')) ELSE '' END, hex(encode(body))) AS hx
+    FROM art
+),
+bytes AS (SELECT *, regexp_extract_all(hx[1:2048], '..') AS bs FROM hexed),
+bits AS (
+    SELECT doc_id, round(-sum(n / t * log2(n / t)), 9) AS bits
+    FROM (SELECT doc_id, x, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(bs[1:512]) AS x FROM bytes) GROUP BY doc_id, x) GROUP BY doc_id
+),
+shown AS (SELECT *, list_aggregate(list_transform(bs, lambda x: {_BYTE}), 'string_agg', '') AS around FROM bytes),
+base AS (
+    SELECT doc_id, suffix, name, seven, coalesce(bits, 0) > 7.0 AS high, substr(body, 1, 65536) AS head, lower(substr(around, 1, 200)) AS near, substr(around, 1, 100) AS call, around, substr(around, 1, 256) AS dense
+    FROM shown LEFT JOIN bits USING (doc_id)
 ),
 s1 AS (SELECT *, CASE WHEN high THEN 0.5::DOUBLE * 0.2 ELSE 0.5::DOUBLE END AS c FROM base),
-s2 AS (SELECT * REPLACE (CASE WHEN {any_of('lower(name)', S.ARCHIVE_WORDS)} THEN c * 0.1 ELSE c END AS c) FROM s1),
+s2 AS (SELECT * REPLACE (CASE WHEN {any_of('lower(name)', S.ARCHIVE_WORDS)} THEN CASE WHEN seven THEN greatest(c, 0.9) ELSE c * 0.1 END ELSE c END AS c) FROM s1),
 s3 AS (SELECT * REPLACE (CASE WHEN {' OR '.join(f'regexp_matches(around, {q(p)})' for p in S.CODE_PATTERNS)} THEN greatest(c, 0.9) WHEN high AND ({' OR '.join(f'regexp_matches(around, {q("(?i)" + p)})' for p in S.TRIGGERS)}) THEN c * 0.1 ELSE c END AS c) FROM s2),
-s4 AS (SELECT * REPLACE (CASE WHEN high AND (length(dense) - length(regexp_replace(dense, '[\\x20-\\x7e\\t\\n\\r]', '', 'g'))) / length(dense) < 0.65 THEN c * 0.5 ELSE c END AS c) FROM s3),
+s4 AS (SELECT * REPLACE (CASE WHEN high AND (length(dense) - length(regexp_replace(dense, '[\x20-\x7e\t\n\r]', '', 'g'))) / length(dense) < 0.65 THEN c * 0.5 ELSE c END AS c) FROM s3),
 s5 AS (SELECT * REPLACE (CASE WHEN suffix IN {in_list([*S.IMAGE_EXTENSIONS, *S.VIDEO_EXTENSIONS])} AND ({any_of('head', S.AI_TOOLS)} OR {' OR '.join(f'regexp_matches(head, {q(p)})' for p in S.AI_FIELDS)}) THEN c * 0.15 ELSE c END AS c) FROM s4),
 s6 AS (
     SELECT *, {' + '.join(f'contains(near, {q(w)})::INTEGER' for w in S.ASP_WORDS)} AS asp, CASE WHEN {any_of('lower(name)', S.CALL_WORDS)} THEN CASE WHEN regexp_matches(call, {q(S.REAL_CALL)}) THEN 2.5 ELSE 0.2 END ELSE 1.0 END AS by_call FROM s5
@@ -877,12 +931,16 @@ s7 AS (SELECT doc_id, name, round(least(1.0, greatest(0.0, c * CASE WHEN contain
 SELECT doc_id, name, score, CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN score >= 0.9 THEN 'QUARANTINE' WHEN score >= 0.5 THEN 'INVESTIGATE' ELSE 'REVIEW' END AS action FROM s7
 """)
 def confidence_score(spark, sf_dir):
-    """Scores of a finding at the start of each one-byte text; every eleventh counts as high-entropy."""
-    a = artifacts(spark, sf_dir).filter(F.octet_length("body") == F.length("body"))
-    data, name = F.encode("body", "UTF-8"), pick(RULE_NAMES, F.col("doc_id"))
-    bits = F.when(F.col("doc_id") % 11 == 0, 7.9).otherwise(4.0)
-    c = F.round(context.score(data, F.lit(0), name, media_kind(F.col("suffix")), bits, context.ai_metadata(F.col("body"))), 6)
-    return a.select("doc_id", name.alias("name"), c.alias("score")).withColumns({"level": context.level(F.col("score")), "action": context.action(F.col("score"))})
+    """Scores of a finding at the start of each text; by their length some texts stand behind an archive's signature, some behind bytes without order."""
+    a = artifacts(spark, sf_dir)
+    n = F.length("body")
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sha2(F.encode(F.concat(F.col("body"), i.cast("string")), "UTF-8"), 256)), ""))
+    none = F.lit(b"")
+    a = a.select("doc_id", "suffix", "body", pick(RULE_NAMES, n).alias("name"), F.concat(F.when(n % 5 == 0, F.unhex(F.lit("377ABCAF271C"))).otherwise(none), F.when(n % 7 == 0, noise).otherwise(none), F.encode("body", "UTF-8")).alias("data"))
+    data = F.col("data")
+    bits = context.window_entropy(context.window(data, F.lit(0), 512, 512))
+    c = F.round(context.score(data, F.lit(0), F.col("name"), media_kind(F.col("suffix")), bits, context.ai_metadata(F.col("body"))), 6)
+    return a.select("doc_id", "name", c.alias("score")).withColumns({"level": context.level(F.col("score")), "action": context.action(F.col("score"))})
 
 
 @query(f"""
@@ -900,9 +958,9 @@ def external_override(spark, sf_dir):
 FIELDS = ["Comment", "Software", "Make", "XPTitle", "ColorSpace"]
 
 
-@query(f"WITH {ART}, f AS (SELECT doc_id, {sql_pick(FIELDS, 'doc_id')} AS field, {sql_pick(PAYLOADS, 'doc_id // 3')} AS value FROM art) SELECT doc_id, field, (field IN {in_list(S.TEXT_FIELDS)} OR length(value) >= 100) AND ({' OR '.join(f'regexp_matches(value, {q(p)})' for p in S.THREAT_PATTERNS)}) AS threat FROM f")
+@query(f"WITH {ART}, f AS (SELECT doc_id, {sql_pick(FIELDS, 'length(body)')} AS field, body AS value FROM art) SELECT doc_id, field, (({any_of('lower(field)', [f.lower() for f in S.TEXT_FIELDS])}) OR length(value) >= 100) AND ({' OR '.join(f'regexp_matches(value, {q(p)})' for p in S.THREAT_PATTERNS)}) AS threat FROM f")
 def metadata_tool_threats(spark, sf_dir):
-    a = artifacts(spark, sf_dir).select("doc_id", pick(FIELDS, F.col("doc_id")).alias("field"), pick(PAYLOADS, F.floor(F.col("doc_id") / 3)).alias("value"))
+    a = artifacts(spark, sf_dir).select("doc_id", pick(FIELDS, F.length("body")).alias("field"), F.col("body").alias("value"))
     return a.select("doc_id", "field", context.threatening(F.col("field"), F.col("value")).alias("threat"))
 
 
@@ -1033,16 +1091,14 @@ def report_catalog_summaries(spark, sf_dir):
     return reports.catalogue(report_names(spark, sf_dir), summaries=summaries).select("stamp", "formats", "total", "unsafe")
 
 
-@query("""
-WITH m AS (SELECT doc_id, ['eval() call', 'system() call', 'ASP code', 'PHP code', 'RAR archive embedded', 'Dangerous import: sys', 'Pickle data embedded', 'Very high entropy', 'exec of PHP'][doc_id % 9 + 1] AS message FROM documents)
-SELECT doc_id, CASE WHEN contains(lower(message), 'eval') THEN 'eval' WHEN regexp_matches(lower(message), 'exec|system|passthru') THEN 'exec' WHEN contains(lower(message), 'asp') THEN 'asp' WHEN contains(lower(message), 'php') THEN 'php'
-    WHEN regexp_matches(lower(message), 'archive|zip|rar') THEN 'archive' WHEN regexp_matches(lower(message), 'pickle|dangerous import') THEN 'pickle' ELSE 'default' END AS recipe FROM m
+@query(f"""
+WITH {ART}, m AS (SELECT doc_id, lower(body) AS message FROM art)
+SELECT doc_id, CASE WHEN contains(message, 'eval') THEN 'eval' WHEN regexp_matches(message, 'exec|system|passthru') THEN 'exec' WHEN contains(message, 'asp') THEN 'asp' WHEN contains(message, 'php') THEN 'php'
+    WHEN regexp_matches(message, 'archive|zip|rar') THEN 'archive' WHEN regexp_matches(message, 'pickle|dangerous import') THEN 'pickle' ELSE 'default' END AS recipe FROM m
 """)
 def report_recipes(spark, sf_dir):
-    """Which check a report suggests for a finding."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    message = pick(["eval() call", "system() call", "ASP code", "PHP code", "RAR archive embedded", "Dangerous import: sys", "Pickle data embedded", "Very high entropy", "exec of PHP"], F.col("doc_id"))
-    return d.select("doc_id", reports.recipe_kind(message).alias("recipe"))
+    """Which check a report would suggest for a finding whose message is the text."""
+    return artifacts(spark, sf_dir).select("doc_id", reports.recipe_kind(F.col("body")).alias("recipe"))
 
 
 @query(f"WITH {NAMES_SQL} SELECT name, mtime FROM names WHERE mtime < (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
