@@ -57,11 +57,11 @@ def local_headers(data: bytes):
     """(name, crc, stored size, content offset, first two bytes) of each local file header; stops at one that runs past the end."""
     at = data.find(b"PK\x03\x04")
     while at >= 0 and at + 30 <= len(data):
-        crc, stored, _, n, extra = struct.unpack("<IIIHH", data[at + 14 : at + 30])
+        flags, crc, stored, _, n, extra = struct.unpack("<6xH6xIIIHH", data[at : at + 30])
         start = at + 30 + n + extra
         if start > len(data) or start + stored > len(data):
             return
-        yield data[at + 30 : at + 30 + n].decode("utf-8", "replace").rstrip("\0"), crc, stored, start, data[start : start + min(2, stored)]
+        yield data[at + 30 : at + 30 + n].decode("utf-8" if flags & 0x800 else "cp437", "replace").rstrip("\0"), crc, stored, start, data[start : start + min(2, stored)]
         at = data.find(b"PK\x03\x04", start + stored)
 
 

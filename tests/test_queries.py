@@ -1,7 +1,10 @@
 """Every inspection query against its SQL."""
 
+import io
 import os
 import sys
+import zipfile
+import zlib
 
 import pytest
 
@@ -18,13 +21,28 @@ def test_query_equals_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(queries.ORACLE[name], SF)
 
 
-def test_compressed_regions(spark):
-    """A level-n stream of a text over 20 bytes is found where it starts, with its size."""
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = {(r.doc_id, r.at): r["size"] for r in queries.QUERIES["compressed_regions"](spark, SF).collect()}
-    for i, t in texts.items():
-        if 20 < len(t.encode()) < 60_000:
-            assert got[i, 3] == len(t.encode())
+def test_walks_in_sql(spark):
+    """The table functions, for bytes whose rows are known, null and broken ones."""
+    from flintglass.functions.udtfs import FUNCTIONS, register
+    from tests.test_scan import CALL, gguf, safetensors
+
+    register(spark)
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a/data.pkl", CALL)
+    wrong = safetensors({"t": {"data_offsets": [3, 1]}, "__metadata__": {"k": "v"}})
+    rows = [("call", CALL), ("zip", zipped.getvalue()), ("gguf", gguf("key", "value")), ("tensors", wrong), ("broken", b"\x80\x04\x95"), ("empty", b""), ("null", None)]
+    spark.createDataFrame([(n, None if d is None else bytearray(d)) for n, d in rows], "name string, content binary").createOrReplaceTempView("walked_bytes")
+    got = {f: {} for f in FUNCTIONS}
+    for f in FUNCTIONS:
+        for r in spark.sql(f"SELECT w.name AS of, r.* FROM walked_bytes w, LATERAL {f}(w.content) r").collect():
+            got[f].setdefault(r.of, []).append(tuple(r)[1:])
+    assert got["pickle_imports"]["call"] == [("os", "system", 25)] and "zip" not in {n for n, r in got["pickle_imports"].items() if r == [("os", "system", 25)]}
+    assert ("STACK_GLOBAL", None) in {x[1:] for x in got["pickle_opcodes"]["call"]}
+    assert got["archive_members"]["zip"] == [("a/data.pkl", zlib.crc32(CALL), len(CALL), 40)]
+    assert got["tensor_errors"] == {"tensors": [("t", "start offset 3 exceeds data size 0"), ("t", "end offset 1 exceeds data size 0"), ("t", "start offset 3 after end offset 1")]}
+    assert ("gguf", "key", "value") in got["tensor_pairs"]["gguf"] and ("safetensors", "k", "v") in got["tensor_pairs"]["tensors"]
+    assert got["pickle_stream"]["empty"][0][0] == "Empty file" and all("null" not in of for of in got.values())
 
 
 def test_every_rule_hits_and_misses(spark):
