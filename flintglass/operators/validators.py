@@ -26,6 +26,7 @@ from flintglass.functions import signatures as S
 from flintglass.functions.rules import contains_any
 from flintglass.operators import context
 
+# The status of an answer.
 CONFIRMED, NOT_CONFIRMED, UNAVAILABLE, FAILED, SKIPPED = "confirmed", "not_confirmed", "tool_unavailable", "validation_error", "skipped"
 POOL = 4
 Answer = tuple[str, str]
@@ -60,7 +61,7 @@ class MetadataFields:
         fields = (json.loads(output) or [{}])[0]
         known = tuple(f.lower() for f in S.TEXT_FIELDS)
         bad = [n for n, v in fields.items() if isinstance(v, str) and (len(v) >= 100 or any(k in n.lower() for k in known)) and any(re.search(p, v) for p in S.THREAT_PATTERNS)]
-        return (CONFIRMED, f"Executable patterns in metadata: {', '.join(bad)}") if bad else (NOT_CONFIRMED, "No executable patterns found in metadata fields")
+        return (CONFIRMED, f"code in fields: {', '.join(bad)}") if bad else (NOT_CONFIRMED, "no field holds code")
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ class ArchiveSignatures:
         parts = [line.split(None, 2) for line in output.splitlines() if line.strip() and not line.startswith(("DECIMAL", "-"))]
         found = [p[2] for p in parts if len(p) == 3 and p[0].isdigit()]
         real = [d for d in found if any(a in d.lower() for a in S.ARCHIVE_KINDS) and not any(f in d.lower() for f in S.ARCHIVE_CHANCES)]
-        return (SKIPPED, f"Archive not unpacked: {real[0][:100]}") if real else (NOT_CONFIRMED, "No extractable archives found")
+        return (SKIPPED, f"a signature, not unpacked: {real[0][:100]}") if real else (NOT_CONFIRMED, "no signature of an archive")
 
 
 STANDARD: tuple[Validator, ...] = (MetadataFields(), ArchiveSignatures())
@@ -94,15 +95,15 @@ def router(name: Column, validators: tuple[Validator, ...] = STANDARD) -> Column
 def asked(path: str, validator: Validator) -> Answer:
     """A validator's answer on a file, whatever happens."""
     if shutil.which(validator.tool) is None:
-        return UNAVAILABLE, f"Required tool '{validator.tool}' not installed"
+        return UNAVAILABLE, f"{validator.tool} is not installed"
     path = path.removeprefix("file://").removeprefix("file:")
     if not os.path.exists(path):
-        return FAILED, f"File not found: {path}"
+        return FAILED, f"no such file: {path}"
     try:
         done = subprocess.run(validator.command(path), capture_output=True, text=True, errors="replace", timeout=validator.timeout, stdin=subprocess.DEVNULL)
-        return (FAILED, f"{validator.name} error: {done.stderr[:200]}") if done.returncode else validator.verdict(done.stdout)
+        return (FAILED, f"{validator.name} ended with {done.returncode}: {done.stderr[:200]}") if done.returncode else validator.verdict(done.stdout)
     except subprocess.TimeoutExpired:
-        return FAILED, f"{validator.name} timeout"
+        return FAILED, f"{validator.name} took over {validator.timeout:g} s"
     except Exception as e:  # noqa: BLE001 - a tool or what it prints never ends a scan
         return FAILED, f"{validator.name}: {type(e).__name__}: {e}"
 

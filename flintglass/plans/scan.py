@@ -289,6 +289,14 @@ def _searched(path: str, suffix: str, fmt: str, data: Ranged) -> tuple[list[dict
     return large.media(suffix, data), None
 
 
+def _opened(path: str, length: int, content: bytes | None) -> bytes | Ranged:
+    """The artifact's bytes; an OSError where they can't be reached, as in a store that only Spark reads."""
+    try:
+        return containers.content_of(path, length, content)
+    except (ValueError, ImportError) as e:
+        raise OSError(str(e)) from e
+
+
 def _one(row: dict, strict: bool) -> dict:
     """An artifact after its walk, with the bytes that expressions read; one that fails gives a finding, never ends the scan."""
     fmt, content, head = row["format"], row["content"], row["head"] or b""
@@ -301,7 +309,7 @@ def _one(row: dict, strict: bool) -> dict:
     first = (content if content is not None else head)[:FIRST] if coded else None
     if row["read_error"] is None and not left_alone and (ziplike or searched or fmt in WALKED or coded):
         try:
-            data = containers.content_of(row["path"], row["length"] or 0, content)
+            data = _opened(row["path"], row["length"] or 0, content)
             if ziplike or fmt in WALKED or coded:
                 found, streams = walk(row["path"], fmt, data, strict)
             if fmt in ("gguf", "safetensors"):

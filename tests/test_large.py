@@ -76,6 +76,14 @@ def test_a_store_that_only_spark_reaches(spark, tmp_path, monkeypatch):
     assert {os.path.basename(r.path): r.is_safe for r in scan_directory(spark, f"file://{tmp_path}").files.collect()} == {"call.pkl": False}
 
 
+def test_what_cannot_be_reached_is_never_safe():
+    from flintglass.plans.scan import _one
+
+    for path, fmt in (("nosuch://host/a.pkl", "pickle"), ("/no/such/file.pkl", "pickle"), ("nosuch://host/a.png", "image"), ("nosuch://host/a.yaml", "yaml")):
+        row = {"path": path, "suffix": os.path.splitext(path)[1], "format": fmt, "length": 10, "sha256": None, "read_error": None, "head": None, "tail": None, "content": None}
+        assert [(f["rule"], f["severity"]) for f in _one(row, False)["walked"]] == [("file.unscanned", "high")]
+
+
 def test_a_tree_listed_by_executors(spark, tmp_path, monkeypatch):
     for i in range(40):
         d = tmp_path / f"d{i % 4}" / f"e{i % 3}"
