@@ -50,6 +50,8 @@ PIECE = 2048
 SPANS_PER_ROW = 512
 MISMATCH = 2.0
 ROWS_OUT = 1 << 16
+#: Seeds and pairs of the search for spread passages are broadcast up to so many (of 8 to 24 bytes), and joined by a shuffle beyond.
+KNOWN = 1_000_000
 
 
 def minimizers(grams: np.ndarray) -> np.ndarray:
@@ -281,41 +283,44 @@ def spanning_matches(sourced: DataFrame, reported: DataFrame, min_words: int, sc
     nearest = max(1, min_words - SHINGLE - 2 * (WINDOW - 1))
     farthest = 2 * nearest
 
+    def pairs(ident: int, pos: np.ndarray, seed: np.ndarray):
+        for step in range(1, farthest + 1):
+            apart = pos[step:] - pos[:-step]
+            if not len(apart) or apart.min() > farthest:
+                return
+            i = np.flatnonzero((apart >= nearest) & (apart <= farthest))
+            if len(i):
+                j = i + step
+                yield mix(mix(seed[i]) + seed[j]).view(np.int64), np.full(len(i), ident), pos[i].astype(np.int32), pos[j].astype(np.int32), seed[i].view(np.int64), seed[j].view(np.int64)
+
+    names = ["pair", "id", "a", "b", "seed", "later"]
+    schema = "pair long, id long, a int, b int, seed long, later long"
+
     def outside(batches):
         def made():
             for ids, kind, pos, value, src in runs(batches, ["id", "kind", "pos", "value", "src"], "id"):
                 kind, pos, value, src = (np.asarray(x) for x in (kind, pos, value, src))
-                seen = kind == 1
-                free = uncovered(pos[seen], SHINGLE, pos[kind == 0], value[kind == 0]) & (src[seen] != ids[0].as_py())
-                yield np.asarray(ids)[seen], pos[seen].astype(np.int32), value[seen], free
+                ident, seen = ids[0].as_py(), kind == 1
+                free = np.flatnonzero(seen)[uncovered(pos[seen], SHINGLE, pos[~seen], value[~seen]) & (src[seen] != ident)]
+                yield from pairs(ident, pos[free], value[free].view(np.uint64))
 
-        return _batched(made(), ["id", "pos", "seed", "free"])
+        return _batched(made(), names)
 
-    rows = sourced.filter(F.col("seed").bitwiseAND(F.lit(1)) == 0).select("id", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("seed").alias("value"), "src")
-    rows = rows.union(reported.select("id", F.lit(0), "lo", "hi", F.lit(0).cast("long")))
-    marked = scratch.keep(rows.repartition("id").sortWithinPartitions("id", "kind", "pos").mapInArrow(outside, "id long, pos int, seed long, free boolean"))
+    def everywhere(batches):
+        return _batched((p for ids, pos, seed in runs(batches, ["id", "pos", "seed"], "id") for p in pairs(ids[0].as_py(), np.asarray(pos), np.asarray(seed).view(np.uint64))), names)
 
-    def paired(batches):
-        def made():
-            for ids, pos, seed in runs(batches, ["id", "pos", "seed"], "id"):
-                pos, seed = np.asarray(pos), np.asarray(seed).view(np.uint64)
-                for step in range(1, farthest + 1):
-                    apart = pos[step:] - pos[:-step]
-                    if not len(apart) or apart.min() > farthest:
-                        break
-                    i = np.flatnonzero((apart >= nearest) & (apart <= farthest))
-                    yield mix(mix(seed[i]) + seed[i + step]).view(np.int64), np.full(len(i), ids[0].as_py()), pos[i], pos[i + step], seed[i].view(np.int64), seed[i + step].view(np.int64)
-
-        return _batched(made(), ["pair", "id", "a", "b", "seed", "later"])
-
-    pairs = lambda df: df.select("id", "pos", "seed").repartition("id").sortWithinPartitions("id", "pos").mapInArrow(paired, "pair long, id long, a int, b int, seed long, later long")
-    own = scratch.keep(pairs(marked.filter("free")))
+    small = lambda df: F.broadcast(df) if df.limit(KNOWN + 1).count() <= KNOWN else df
+    even = sourced.filter(F.col("seed").bitwiseAND(F.lit(1)) == 0)
+    rows = even.select("id", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("seed").alias("value"), "src")
+    rows = rows.union(reported.select("id", F.lit(0), "lo", "hi", F.lit(0).cast("long")))
+    own = scratch.keep(rows.repartition("id").sortWithinPartitions("id", "kind", "pos").mapInArrow(outside, schema))
     wanted = scratch.keep(own.select(F.explode(F.array("seed", "later")).alias("seed")).distinct())
     asked = scratch.keep(own.select("pair").distinct())
-    every = pairs(marked.join(wanted, "seed", "left_semi")).select("pair", "id", "a", "b").join(asked, "pair", "left_semi")
+    near = even.select("id", "pos", "seed").join(small(wanted), "seed", "left_semi").repartition("id").sortWithinPartitions("id", "pos")
+    every = near.mapInArrow(everywhere, schema).select("pair", "id", "a", "b").join(small(asked), "pair", "left_semi")
     least = scratch.keep(every.groupBy("pair").agg(F.min(F.struct("id", "a", "b")).alias("least")))
-    scratch.drop(marked, wanted, asked)
-    both = own.join(least, "pair").filter("least.id < id")
+    scratch.drop(wanted, asked)
+    both = own.join(small(least), "pair").filter("least.id < id")
     ends = F.explode(F.array(F.struct(F.col("a").alias("pos"), F.col("least.a").alias("src_pos")), F.struct(F.col("b").alias("pos"), F.col("least.b").alias("src_pos"))))
     return both.select("id", F.col("least.id").alias("src"), ends.alias("m")).select("id", "src", "m.*").distinct()
 
