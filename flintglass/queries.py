@@ -620,7 +620,7 @@ def _coded_sql(table: str) -> str:
     escapes = " + ".join(f"len(regexp_extract_all(body, {q(p)}))" for _, p in S.ESCAPES)
     return f"""
 coded_64 AS (SELECT doc_id, concat(r, repeat('=', ((4 - length(r) % 4) % 4)::INTEGER)) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[A-Za-z0-9+/]{{20,}}={{0,2}}')) AS r FROM {table})),
-decoded_64 AS (SELECT doc_id, from_base64(r) AS d FROM coded_64 WHERE regexp_full_match(r, '[A-Za-z0-9+/]*={{0,2}}')),
+decoded_64 AS (SELECT doc_id, CASE WHEN regexp_full_match(r, '[A-Za-z0-9+/]*={{0,2}}') THEN from_base64(r) END AS d FROM coded_64),
 coded AS (
     SELECT DISTINCT doc_id, 'obfuscation.base64' AS rule, 'high' AS severity FROM decoded_64 WHERE octet_length(d) >= 10 AND ({bad_text})
     UNION ALL SELECT DISTINCT doc_id, 'obfuscation.hex', 'high' FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[0-9a-fA-F]{{40,}}')) AS r FROM {table}) WHERE length(r) % 2 = 0 AND ({bad_hex})
