@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -25,7 +24,7 @@ from flintglass.operators import textrules as T
 from flintglass.operators.formats import by_extension, by_magic, media_kind, suffix_of
 from flintglass.plans import reports
 from flintglass.plans.scan import scan
-from flintglass.sources.shared import shared_dir
+from flintglass.sources.shared import passing
 from flintglass.sources.tables import spread
 from flintglass.streaming.incremental import next_run, scan_table_stream
 
@@ -1145,7 +1144,7 @@ def next_scheduled_run(spark, sf_dir):
 @query(regex_sql(S.SVG_PATTERNS, "svg", table="pages", body="html", key="page_id"))
 def incremental_scan(spark, sf_dir):
     """The markup rules as a stream over the table's files, each read once; the sink is read back."""
-    base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    base = passing(spark, "incremental")
     source = f"{sf_dir}/pages.parquet"
     scan_table_stream(spark, f"{sf_dir}/pages[.]parquet", spark.read.parquet(source).schema, lambda df: found(df, T.svg(F.col("html")), "page_id"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -20,11 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A folder for one call in the shared one; it goes when the session's JVM ends."""
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as written to the shared folder and read again, for what reads it more than once; deleted when the session's JVM ends."""
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    where = passing(spark, "kept")
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
