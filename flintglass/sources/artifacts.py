@@ -51,10 +51,12 @@ class Folder:
         self.root, self.fs = root, None
         if "://" in root or root.startswith("file:"):
             self.fs, inner = store(root)
-            self.before, _, self.after = root.rpartition(inner.strip("/"))
+            self.before, _, after = root.rpartition(inner.strip("/"))
+            self.after = after if after.startswith("?") else ""  # what a URL says of its store
             if inner.startswith("/"):
                 self.before = self.before.removesuffix("/")
-            self.before = "file://" if root.startswith("file:") else self.before
+            if root.startswith("file:"):
+                self.before, self.root = "file://", f"file://{inner}"
         self.is_store = self.fs is not None
 
     def url(self, inner: str) -> str:

@@ -66,6 +66,16 @@ def test_files_behind_a_scheme(spark, more, by_path):
     assert scan_directory(spark, "file:///no/such/folder").files.first().path == "file:///no/such/folder"
 
 
+def test_forms_of_a_url(tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / ".a.pkl").write_bytes(b"N.")
+    for root in (f"file://{tmp_path}", f"file:{tmp_path}", f"file://{tmp_path}/"):
+        found = artifacts.Folder(root)
+        assert found.kind() == "folder" and [f.path for f in found.walk()] == [f"file://{tmp_path}/d/.a.pkl"]
+        one = artifacts.Folder(f"file://{tmp_path}/d/.a.pkl")
+        assert one.kind() == "file" and [f.length for f in one.walk()] == [2]
+
+
 def test_a_store_that_only_spark_reaches(spark, tmp_path, monkeypatch):
     (tmp_path / "call.pkl").write_bytes(CALL)
 
