@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flintglass.llm.store import Scratch, unused
-from flintglass.llm.streams import runs
+from flintglass.llm.streams import apart, runs, whole
 from flintglass.llm.words import SHINGLE, mix, rolled, shingles, words
 
 WINDOW = 8
@@ -283,31 +283,33 @@ def spanning_matches(sourced: DataFrame, reported: DataFrame, min_words: int, sc
     nearest = max(1, min_words - SHINGLE - 2 * (WINDOW - 1))
     farthest = 2 * nearest
 
-    def pairs(ident: int, pos: np.ndarray, seed: np.ndarray):
+    def pairs(ids: np.ndarray, pos: np.ndarray, seed: np.ndarray):
+        """Of many documents at once: their positions lie far apart."""
+        (line,) = apart(ids, pos)
         for step in range(1, farthest + 1):
-            apart = pos[step:] - pos[:-step]
-            if not len(apart) or apart.min() > farthest:
+            gap = line[step:] - line[:-step]
+            if not len(gap) or gap.min() > farthest:
                 return
-            i = np.flatnonzero((apart >= nearest) & (apart <= farthest))
+            i = np.flatnonzero((gap >= nearest) & (gap <= farthest))
             if len(i):
                 j = i + step
-                yield mix(mix(seed[i]) + seed[j]).view(np.int64), np.full(len(i), ident), pos[i].astype(np.int32), pos[j].astype(np.int32), seed[i].view(np.int64), seed[j].view(np.int64)
+                yield mix(mix(seed[i]) + seed[j]).view(np.int64), ids[i], pos[i].astype(np.int32), pos[j].astype(np.int32), seed[i].view(np.int64), seed[j].view(np.int64)
 
     names = ["pair", "id", "a", "b", "seed", "later"]
     schema = "pair long, id long, a int, b int, seed long, later long"
 
     def outside(batches):
         def made():
-            for ids, kind, pos, value, src in runs(batches, ["id", "kind", "pos", "value", "src"], "id"):
-                kind, pos, value, src = (np.asarray(x) for x in (kind, pos, value, src))
-                ident, seen = ids[0].as_py(), kind == 1
-                free = np.flatnonzero(seen)[uncovered(pos[seen], SHINGLE, pos[~seen], value[~seen]) & (src[seen] != ident)]
-                yield from pairs(ident, pos[free], value[free].view(np.uint64))
+            for ids, kind, pos, value, src in whole(batches, ["id", "kind", "pos", "value", "src"], "id"):
+                line, end = apart(ids, pos, value)
+                seen = kind == 1
+                free = np.flatnonzero(seen)[uncovered(line[seen], SHINGLE, line[~seen], end[~seen]) & (src[seen] != ids[seen])]
+                yield from pairs(ids[free], pos[free], value[free].view(np.uint64))
 
         return _batched(made(), names)
 
     def everywhere(batches):
-        return _batched((p for ids, pos, seed in runs(batches, ["id", "pos", "seed"], "id") for p in pairs(ids[0].as_py(), np.asarray(pos), np.asarray(seed).view(np.uint64))), names)
+        return _batched((p for ids, pos, seed in whole(batches, ["id", "pos", "seed"], "id") for p in pairs(ids, pos, seed.view(np.uint64))), names)
 
     small = lambda df: F.broadcast(df) if df.limit(KNOWN + 1).count() <= KNOWN else df
     even = sourced.filter(F.col("seed").bitwiseAND(F.lit(1)) == 0)
@@ -332,19 +334,19 @@ def split_sources(source: DataFrame, sourced: DataFrame, reported: DataFrame, mi
 
     def places(batches):
         def made():
-            for ids, kind, pos, value in runs(batches, ["id", "kind", "pos", "value"], "id"):
-                kind, pos, value = (np.asarray(x) for x in (kind, pos, value))
-                lo, hi = pos[kind == 0], value[kind == 0]
-                pos, seed = pos[kind == 1], value[kind == 1].view(np.uint64)
+            for ids, kind, at, value in whole(batches, ["id", "kind", "pos", "value"], "id"):
+                line, end = apart(ids, at, value)
+                seen = kind == 1
+                lo, hi = line[~seen], end[~seen]
+                ids, at, pos, seed = ids[seen], at[seen], line[seen], value[seen].view(np.uint64)
                 if not len(pos):
                     continue
                 part = np.append(0, np.cumsum(np.diff(pos) > WINDOW))
                 to = np.searchsorted(pos, pos + reach)
                 a = np.flatnonzero(to < len(pos))
                 a = a[part[a] == part[to[a]]]
-                starts = pos[a, None] - ahead
-                mask = ((uncovered(starts, min_words, lo, hi) & (starts >= 0)) << ahead).sum(axis=1)
-                yield rolled(seed, a, to[a] + 1).view(np.int64), np.full(len(a), ids[0].as_py(), np.int64), pos[a].astype(np.int32), mask.astype(np.int32)
+                mask = ((uncovered(pos[a, None] - ahead, min_words, lo, hi) & (at[a, None] >= ahead)) << ahead).sum(axis=1)
+                yield rolled(seed, a, to[a] + 1).view(np.int64), ids[a], at[a].astype(np.int32), mask.astype(np.int32)
 
         return _batched(made(), ["line", "id", "pos", "mask"])
 

@@ -23,3 +23,27 @@ def runs(batches, columns: list[str], key: str = "key"):
             held.append([b.column(c).slice(lo, hi - lo) for c in columns])
     if held:
         yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+
+
+def whole(batches, columns: list[str], key: str):
+    """Numpy arrays of the columns, batch by batch, each key's rows together in one; the last key's rows wait for the next batch."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [np.asarray(b.column(c)) for c in columns]
+        if held is not None:
+            rows = [np.append(h, r) for h, r in zip(held, rows, strict=True)]
+        keys = rows[columns.index(key)]
+        cut = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])
+        if cut:
+            yield [r[:cut] for r in rows]
+        held = [r[cut:] for r in rows]
+    if held is not None:
+        yield held
+
+
+def apart(keys: np.ndarray, *positions: np.ndarray) -> list[np.ndarray]:
+    """Positions, below 2^31, of runs of keys on one line, far from those of other keys."""
+    run = np.cumsum(np.append(0, keys[1:] != keys[:-1])).astype(np.int64) << 32
+    return [p + run for p in positions]
