@@ -4,6 +4,7 @@ import base64
 import csv
 import json
 import os
+import pickle
 import zipfile
 import zlib
 
@@ -246,3 +247,27 @@ def test_long_lines_of_large_streams_are_read():
         data = line + b"0cos\nsystem\n" + b"B" + (1 << 20).to_bytes(4, "little") + bytes(1 << 20) + b"."
         assert len(data) > pickles.LARGE
         assert pickles.facts(data)["imports"] == [{"module": "os", "name": "system", "pos": len(line) + 1}]
+
+
+def test_streams_are_walked_once_as_genops_reads_them(monkeypatch):
+    """The facts and errors of genops, by one walk; a number of thousands of digits hides nothing behind it."""
+    import pickletools
+
+    long = b"\x8b" + (4000).to_bytes(4, "little") + b"\x11" * 4000
+    streams = [b"cos\nsystem\n(S'ls'\ntR.", b"cos\\x41\nsystem\nR.", b"cos\xff\nsystem\nR.", b"cos\nsystem", b"(ios\nsystem\n.", b"NN\xff.", b"N", b"0c\n\nR.", b"I1\nI01\nFx\n."]
+    streams += [pickle.dumps(x, p) for x in ([1, "x", (2.5, None)], {"a": os.path.join}, 10**50) for p in range(6)]
+    for data in streams:
+        want, why = [], None
+        try:
+            for op, arg, pos in pickletools.genops(data):
+                want.append((op.name, None if arg is None else str(arg), pos))
+        except Exception as e:  # noqa: BLE001
+            why = f"Parse error: {e}"
+        assert list(pickles.opcodes(data)) == want
+        machine = pickles.Imports()
+        imports = [{"module": f[0], "name": f[1], "pos": pos} for name, arg, pos in want if (f := machine.feed(name, arg))]
+        made = pickles.facts(data)
+        assert (made["defect"], made["imports"], made["calls"]) == (why, imports, sum(name == "REDUCE" for name, _, _ in want))
+    assert pickles.facts(long + b"0cos\nsystem\nR.")["imports"] == [{"module": "os", "name": "system", "pos": 4006}]
+    monkeypatch.setattr(pickletools, "genops", None)
+    assert pickles.facts(b"cos\nsystem\nRcos\nsystem\nR.", once=True) == {"defect": None, "imports": [{"module": "os", "name": "system", "pos": 0, "n": 2}], "ops": [], "calls": 2, "first_call": 11}
