@@ -56,3 +56,36 @@ def test_every_rule_hits_and_misses(spark):
     for found, rules in ((T.header(body), 10), (T.svg(body), 8), (T.image_metadata(body), 14), (T.keras_config(body), 10)):
         hits = {r.rule: r.n for r in a.select("doc_id", F.explode(found).alias("f")).groupBy("f.rule").agg(F.countDistinct("doc_id").alias("n")).collect()}
         assert len(hits) == rules and all(0 < k < n for k in hits.values()), hits
+
+
+def test_compressed_regions_of_long_texts(spark, tmp_path):
+    """Streams of over 64 KiB count; a gzip header only where a stream follows it."""
+    import gzip
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from flintglass.operators import containers
+
+    packed = gzip.compress(b"a" * 100)
+    assert containers.compressed_regions(b"_" + packed) == [("gzip", 1, 100)] and containers.compressed_regions(b"_" + packed[:5]) == [("gzip", 1, None)]
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", k=300_000))
+    pq.write_table(pa.table({"doc_id": [0, 1, 2, 3, 4], "text": [text, text[:-1], text[:-2], text[:30], None]}), tmp_path / "documents.parquet")
+    sql = queries.ORACLE["compressed_regions"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet'")
+    import duckdb
+
+    want = sorted(duckdb.connect().execute(sql).fetchall())
+    assert sorted(tuple(r) for r in queries.compressed_regions(spark, str(tmp_path)).collect()) == want and len(want) == 2
+
+
+def test_rows_are_judged_once(spark):
+    """No plan computes an array once more in a filter before its generator, parses a body twice or sends rows through a row-wise table function."""
+    plan = lambda name: queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for name in ("workflow_nodes", "workflow_widgets", "pickle_functions", "pickle_opcode_rules"):
+        found = plan(name)
+        assert not any(line.lstrip(" +-:*()0123456789").startswith("Filter") and ("transform(" in line or "get_json_object" in line) for line in found.splitlines()), name
+        assert found.count("from_json(") <= 1 + (name == "workflow_widgets"), name
+    assert plan("workflow_nodes").count("$.type") == 1
+    for name in ("tensor_offset_checks", "pickle_functions"):
+        assert "MapInArrow" in plan(name) and "UDTF" not in plan(name)
