@@ -271,3 +271,11 @@ def test_streams_are_walked_once_as_genops_reads_them(monkeypatch):
     assert pickles.facts(long + b"0cos\nsystem\nR.")["imports"] == [{"module": "os", "name": "system", "pos": 4006}]
     monkeypatch.setattr(pickletools, "genops", None)
     assert pickles.facts(b"cos\nsystem\nRcos\nsystem\nR.", once=True) == {"defect": None, "imports": [{"module": "os", "name": "system", "pos": 0, "n": 2}], "ops": [], "calls": 2, "first_call": 11}
+
+
+def test_batches_count_what_walks_found():
+    """A small stream can have far more findings than bytes: they count towards the size at which a batch ends."""
+    from flintglass.plans.scan import _bytes_of, _one
+
+    row = {"path": "a.pkl", "suffix": ".pkl", "format": "pickle", "length": 0, "sha256": None, "read_error": None, "head": b"c", "tail": None}
+    assert _bytes_of(_one(row | {"content": b"cos\nsystem\n" * 1000 + b"."}, False)) > 200_000 > _bytes_of(_one(row | {"content": b"."}, False))
