@@ -1,5 +1,7 @@
 """Large files, stores, listings and streams: the same findings by every way, at constant memory."""
 
+import base64
+import gzip
 import json
 import os
 import random
@@ -8,11 +10,14 @@ import struct
 import subprocess
 import sys
 import zipfile
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from flintglass.functions import signatures as S
-from flintglass.operators import large
+from flintglass.functions.rules import latin1
+from flintglass.operators import containers, large, obfuscation
 from flintglass.plans.scan import scan, scan_directory
 from flintglass.sources import artifacts
 from flintglass.sources.ranged import Forward, Ranged
@@ -201,6 +206,45 @@ def test_block_search_equals_a_search_of_the_whole(monkeypatch):
                 assert r.lines == [text.count("\n", 0, m.start()) + 1 for m in found[:10]]
 
 
+def test_encoded_content_is_found_in_whole_files(spark, tmp_path):
+    """Behind the first MiB, in a run over many blocks, and of a file that is no column."""
+    code = base64.b64encode(b"import os; os.system('ls')")
+    escape, packed, hexed = rb"\x41" * 12, zlib.compress(b"z" * 40_000 + random.Random(1).randbytes(100_000)), b"exec".hex().encode() * 12
+    plain = b"words of a text, and " * 60_000
+    for name, rest in (("a.dat", code), ("c.dat", escape), ("d.dat", packed), ("e.dat", base64.b64encode(b"x" * 200_001 + b"subprocess")), ("f.dat", random.Random(2).randbytes(8 << 20)), ("g.dat", b"")):
+        (tmp_path / name).write_bytes(plain + rest)
+    (tmp_path / "b.pkl").write_bytes(b"\x80\x02X" + (len(plain) + 98).to_bytes(4, "little") + plain + b"'" + hexed + b"'.")
+    want = {"/a.dat": "base64", "/b.pkl": "hex", "/c.dat": "escapes", "/d.dat": "compressed", "/e.dat": "base64", "/f.dat": "entropy"}
+    for more in ({}, {"max_content": 1000}):
+        found = rows(scan_directory(spark, str(tmp_path), extensions="*", **more), tmp_path)
+        kinds = {(p, r.split(".")[1]) for p, r, *_ in found if r.startswith("obfuscation.")}
+        assert kinds - {("/f.dat", "compressed")} == set(want.items())
+
+
+def test_runs_over_blocks_are_like_those_of_the_whole(spark, monkeypatch):
+    made = random.Random(5)
+    parts = [lambda: base64.b64encode(made.randbytes(made.randrange(60)) + made.choice([b"", b"import ", b"__"]) + made.randbytes(made.randrange(9))).rstrip(b"=") + b"=" * made.randrange(4), lambda: made.choice([b"exec", b"os.", b"no"]).hex().encode() * made.randrange(3, 30) + b"a" * made.randrange(2), lambda: rb"\x4f" * made.randrange(30), lambda: rb"\u004f" * made.randrange(12), lambda: rb"\101" * made.randrange(30), lambda: made.choice([b" ", b"\\", b"\n=", b"", b"\xe9"])]
+    texts = [b"".join(made.choice(parts)() for _ in range(made.randrange(1, 60))) for _ in range(150)]
+    shown = spark.createDataFrame(list(enumerate(texts)), "i int, data binary")
+    want = {r.i: [(f["rule"], f["severity"], f["message"], f["hits"]) for f in r.f] for r in shown.select("i", obfuscation.rollup(latin1(F.col("data"))).alias("f")).collect()}
+    for step in (1, 7, 64, 1000):
+        monkeypatch.setattr(large, "STEP", step)
+        for i, t in enumerate(texts):
+            assert [(f["rule"], f["severity"], f["message"], f["hits"]) for f in large.coded(Ranged.of(t))] == want[i], (i, step)
+    assert {f[0] for w in want.values() for f in w} == {"obfuscation.base64", "obfuscation.hex", "obfuscation.escapes"}
+
+
+def test_streams_of_any_length_are_found_by_blocks(monkeypatch):
+    long = zlib.compress(random.Random(3).randbytes(300_000), 9)
+    data = b"_" * 9 + long + b"x\x9c" + zlib.compress(b"a" * 50) + gzip.compress(b"b" * (9 << 20), mtime=0)
+    want = containers.compressed_regions(data)
+    assert [(k, n) for k, _, n in want] == [("zlib_default2", 50), ("zlib_best", 300_000), ("gzip", 9 << 20)]
+    for size in (1, 2, 3, 1000):
+        monkeypatch.setattr(Ranged.blocks, "__defaults__", (0, size))
+        assert containers.compressed_regions(Ranged.of(data if size > 3 else data[-500:])) == (want if size > 3 else containers.compressed_regions(data[-500:]))
+    assert containers.compressed_regions(long[:-1]) == []
+
+
 def test_every_literal_is_in_every_match():
     for table in (S.KERAS_PATTERNS, S.YAML_TAGS, S.YAML_BLOCKS, S.YAML_SHELL, S.INPUT_PATTERNS, S.IMAGE_PATTERNS, S.SVG_PATTERNS):
         assert all(large.literal(p) for _, _, p in table)
