@@ -3,9 +3,10 @@
 Texts are indexed in shards of up to SHARD_DOCS documents; within a shard, documents are ordered by
 their commonest word and length, so that blocks of BLOCK neighbours are alike. A posting's impact is
 its BM25 contribution from global statistics, in whole millionths: sums don't depend on their order,
-so results of shards merge exactly. For a query, the sum of its terms' greatest impacts in a block
-bounds every score there. Blocks are evaluated from the highest bound down, and as soon as k scores
-are known, blocks whose bound is below the k-th are skipped. An eighth of the
+so results of shards merge exactly. Queries with the same commonest words are searched together, QUERIES
+at a time. Postings of their rarer terms are added up exactly; these sums and the greatest impacts of the common terms in a block
+bound every score there. Blocks whose bound is below the k-th score of all of the queries are skipped; in the others,
+the common terms are added by one matrix product, which chooses documents that are then scored exactly. An eighth of the
 shards is searched first; the k-th score found there for a query is where the other shards start from.
 Tasks merge their shards and give their top k to the final merge.
 
@@ -32,9 +33,13 @@ K1, B = 1.2, 0.75
 UNIT = 1_000_000
 SHARD_DOCS, SHARD_WORDS = 8192, 6_000_000
 BLOCK = 64
-GROUP_TERMS = 1_000_000
+GROUP_TERMS = 2_000_000
 FIRST_SHARDS = 8
-FIRST_BLOCKS = (4, 16)
+#: Queries searched at once, and postings of theirs added up at once.
+QUERIES, POSTINGS = 128, 1 << 18
+#: Terms are common if they are at least so many of the pairs of a document and a query, at most so many terms.
+DENSE, COMMON = 0.004, 1024
+SLACK = 1 + 1e-4
 _PARTS = (("ids", np.int64), ("sizes", np.int64), ("terms", np.uint64), ("counts", np.int32), ("docs", np.uint16), ("freqs", np.int32))
 
 
@@ -94,9 +99,13 @@ def _index(batches, key: str, text: str):
 
 
 class Shard:
-    """A shard with the impacts of the postings of the given terms."""
+    """A shard with the impacts of the postings of the given terms.
 
-    def __init__(self, parts: dict[str, bytes], terms: np.ndarray, idf: np.ndarray, mean: float):
+    common: the terms that many of its documents and many of the queries have (asked: how many of so many queries have each term), whose impacts are
+    a matrix of documents by terms too; float32 holds each of them exactly. most: their greatest impacts in each block. A term's postings are one entry.
+    """
+
+    def __init__(self, parts: dict[str, bytes], terms: np.ndarray, idf: np.ndarray, mean: float, asked: np.ndarray | None = None, queries: int = 1):
         p = {n: np.frombuffer(parts[n], t) for n, t in _PARTS}
         self.ids = p["ids"]
         n = len(self.ids)
@@ -108,42 +117,76 @@ class Shard:
         self.docs = p["docs"][post].astype(np.int64)
         tf = p["freqs"][post].astype(float)
         norm = K1 * (1 - B + B * p["sizes"] / mean) if mean else np.full(n, K1)
-        term = np.repeat(at[mine], counts)
-        self.impacts = np.floor(idf[term] * (tf * (K1 + 1)) / (tf + norm[self.docs]) * UNIT + 0.5)
-        block = self.docs // BLOCK
+        self.impacts = np.floor(np.repeat(idf[at[mine]], counts) * (tf * (K1 + 1)) / (tf + norm[self.docs]) * UNIT + 0.5)
+        self.entry_start, self.entry_size = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        self.entry_start[at[mine]], self.entry_size[at[mine]] = np.cumsum(counts) - counts, counts
+        self.lo = np.arange(len(terms))
+        self.hi = self.lo + 1
         self.blocks = -(-n // BLOCK)
-        edge = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
-        self.entry_block, self.entry_start = block[edge], edge
-        self.entry_size = np.diff(np.append(edge, len(term)))
-        self.entry_max = np.maximum.reduceat(self.impacts, edge) if len(edge) else np.zeros(0)
-        owner = term[edge]
-        self.lo, self.hi = (np.searchsorted(owner, np.arange(len(terms)), side=s) for s in ("left", "right"))
+        gain = self.entry_size * (1 if asked is None else asked)
+        often = np.flatnonzero((gain > DENSE * n * queries) & (idf * (K1 + 1) * UNIT + 1 < 1 << 24))
+        self.common = np.sort(often[np.argsort(-gain[often], kind="stable")[:COMMON]])
+        self.place = np.full(len(terms), -1, np.int64)
+        self.place[self.common] = np.arange(len(self.common))
+        own = _expand(self.entry_start[self.common], self.entry_size[self.common])
+        self.matrix = np.zeros((self.blocks * BLOCK, len(self.common)), np.float32)
+        self.matrix[self.docs[own], np.repeat(np.arange(len(self.common)), self.entry_size[self.common])] = self.impacts[own]
+        self.most = self.matrix.reshape(self.blocks, BLOCK, len(self.common)).max(axis=1) if self.blocks else self.matrix
+
+    def rare(self, ptr: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Exact sums, by query and document, over the postings of the terms that aren't common; postings are added up by bounded parts."""
+        width = self.blocks * BLOCK
+        out = np.zeros((len(ptr) - 1, width))
+        owner = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+        mine = np.flatnonzero((self.place[use] < 0) & (self.entry_size[use] > 0))
+        owner, use = owner[mine], use[mine]
+        size = self.entry_size[use]
+        edge = np.append(0, np.cumsum(size))[np.searchsorted(owner, np.arange(len(ptr)))]  # postings before each query
+        lo = 0
+        while lo < len(out):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + POSTINGS, side="right")) - 1)
+            part = slice(*np.searchsorted(owner, (lo, hi)))
+            post = _expand(self.entry_start[use[part]], size[part])
+            cell = self.docs[post] + np.repeat((owner[part] - lo) * width, size[part])
+            out[lo:hi] = np.bincount(cell, weights=self.impacts[post], minlength=(hi - lo) * width).reshape(hi - lo, width)
+            lo = hi
+        return out
+
+    def top(self, ptr: np.ndarray, use: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, score and document number of each query's top k, of those that reach its least; a query has the terms use[ptr[q] : ptr[q + 1]], by number.
+
+        Blocks in which no query's bound reaches its least aren't evaluated. Products in float32 only choose documents (they are raised by more than their error, SLACK);
+        scores are added up in whole numbers.
+        """
+        n = len(ptr) - 1
+        scores, floor = self.rare(ptr, use), np.maximum(1.0, least)
+        has = np.zeros((n, len(self.common)), np.float32)
+        place = self.place[use]
+        has[np.repeat(np.arange(n), np.diff(ptr))[place >= 0], place[place >= 0]] = 1
+        bound = scores.reshape(n, self.blocks, BLOCK).max(axis=2) + (has @ self.most.T) * SLACK
+        live = np.flatnonzero(np.diff(np.concatenate([[0], (bound >= floor[:, None]).any(axis=0), [0]]))) * BLOCK
+        upper = np.zeros(scores.shape)
+        for lo, hi in live.reshape(-1, 2):
+            upper[:, lo:hi] = scores[:, lo:hi] + (has @ self.matrix[lo:hi].T) * SLACK
+        many = np.flatnonzero((upper >= floor[:, None]).sum(axis=1) > 4 * k)
+        if len(many) and upper.shape[1] >= k:
+            kth = np.partition(upper[many], -k, axis=1)[:, -k]
+            floor[many] = np.maximum(floor[many], np.floor(kth * (2 - SLACK) / SLACK))
+        q, d = np.nonzero(upper >= floor[:, None])
+        exact = scores[q, d]
+        for lo in range(0, len(q), 1024):
+            part = slice(lo, lo + 1024)
+            exact[part] += (has[q[part]].astype(float) * self.matrix[d[part]]).sum(axis=1)
+        order = np.flatnonzero(exact >= floor[q])
+        order = order[np.lexsort((self.ids[d[order]], -exact[order], q[order]))]
+        q, d, exact = q[order], d[order], exact[order]
+        order = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[order], exact[order].astype(np.int64), d[order]
 
     def search(self, terms: np.ndarray, k: int, least: float = 1.0) -> list[tuple[int, int]]:
-        """Scores and document numbers of the top k, of those that reach least, for the query's terms (by number)."""
-        entries = _expand(self.lo[terms], self.hi[terms] - self.lo[terms])
-        if not len(entries):
-            return []
-        block = self.entry_block[entries]
-        bound = np.bincount(block, weights=self.entry_max[entries], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(len(self.ids))
-        done, floor = 0, max(1.0, least)
-        for stop in (*FIRST_BLOCKS, self.blocks):
-            stop = min(stop, int(np.searchsorted(-bound[order], -floor, side="right")))
-            if stop <= done:
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done:stop]] = True
-            own = entries[chosen[block]]
-            post = _expand(self.entry_start[own], self.entry_size[own])
-            scores += np.bincount(self.docs[post], weights=self.impacts[post], minlength=len(scores))
-            done = stop
-            if len(scores) > k:
-                floor = max(floor, float(np.partition(scores, -k)[-k]))
-        found = np.flatnonzero(scores >= floor)
-        found = found[np.lexsort((self.ids[found], -scores[found]))[:k]]
-        return [(int(scores[d]), int(d)) for d in found]
+        """Scores and document numbers of the top k, of those that reach least, for one query's terms (by number)."""
+        _, scores, docs = self.top(np.array([0, len(terms)]), np.asarray(terms), k, np.array([least]))
+        return list(zip(scores.tolist(), docs.tolist(), strict=True))
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -191,24 +234,31 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
         often = np.zeros(len(terms))
         often[at] = cols[2]
         idf = np.log(1 + (n - often + 0.5) / (often + 0.5))
-        order = np.lexsort((at, cols[0]))
+        asked = np.bincount(at, minlength=len(terms))
+        order = np.lexsort((at, -often[at], cols[0]))
         ids, start = np.unique(cols[0][order], return_index=True)
-        ptr, use = np.append(start, len(order)), at[order]
+        use, ends = at[order], np.append(start, len(order))[1:]
+        alike = np.lexsort([use[np.minimum(start + i, ends - 1)] for i in (2, 1, 0)])  # queries that share their commonest terms are searched together
+        use, ptr = use[_expand(start[alike], (ends - start)[alike])], np.append(0, np.cumsum((ends - start)[alike]))
 
         def over(shards: DataFrame, least: np.ndarray) -> DataFrame:
-            shared = spark.sparkContext.broadcast((terms, idf, ids, ptr, use, least))
+            shared = spark.sparkContext.broadcast((terms, idf, asked, ids[alike], ptr, use, least[alike]))
 
             def run(batches):
-                terms, idf, ids, ptr, use, least = shared.value
+                terms, idf, asked, ids, ptr, use, least = shared.value
                 best: list[list[tuple[int, int]]] = [[] for _ in ids]
                 floor = least.copy()
                 for b in batches:
                     for r in range(b.num_rows):
-                        shard = Shard({name: b.column(name)[r].as_py() for name, _ in _PARTS}, terms, idf, mean)
-                        for q in range(len(ids)):
-                            got = shard.search(use[ptr[q] : ptr[q + 1]], k, floor[q])
-                            if got:
-                                best[q] = sorted(best[q] + [(-s, int(shard.ids[d])) for s, d in got])[:k]
+                        shard = Shard({name: b.column(name)[r].as_py() for name, _ in _PARTS}, terms, idf, mean, asked, len(ids))
+                        for lo in range(0, len(ids), QUERIES):
+                            hi = min(lo + QUERIES, len(ids))
+                            own, scores, docs = shard.top(ptr[lo : hi + 1] - ptr[lo], use[ptr[lo] : ptr[hi]], k, floor[lo:hi])
+                            got: dict[int, list[tuple[int, int]]] = {}
+                            for q, s, d in zip((own + lo).tolist(), scores.tolist(), shard.ids[docs].tolist(), strict=True):
+                                got.setdefault(q, []).append((-s, d))
+                            for q, more in got.items():
+                                best[q] = sorted(best[q] + more)[:k]
                                 if len(best[q]) == k:
                                     floor[q] = max(floor[q], -best[q][-1][0])
                 out = [(ids[q], d, -s) for q, rows in enumerate(best) for s, d in rows]

@@ -264,6 +264,37 @@ def test_pruned_search_equals_full():
         assert shard.search(query, 10) == [(int(scores[d]), int(d)) for d in order if scores[d] > 0]
 
 
+def test_queries_searched_together_equal_full(monkeypatch):
+    """Common terms as a matrix and rarer ones by postings, whatever the floors; equal scores by id."""
+    rng = np.random.default_rng(8)
+    hashes = (rng.zipf(1.2, 60_000) % 5000).astype(np.uint64)
+    ptr = np.sort(np.concatenate([[0, 60_000], rng.integers(0, 60_000, 998), [60_000]]))
+    hashes[ptr[500] : ptr[500] + 2000] = np.tile(hashes[ptr[500] : ptr[500] + 50], 40)
+    ids = rng.permutation(5000)[:1000]
+    parts = bm25.build(ids, hashes, ptr)
+    raw = {n: parts[n].astype(t).tobytes() for n, t in bm25._PARTS}
+    terms = np.unique(hashes)
+    queries = [rng.choice(len(terms), rng.integers(0, 300), replace=False) for _ in range(40)] + [np.arange(60), np.arange(len(terms))]
+    asked, ends = np.bincount(np.concatenate(queries), minlength=len(terms)), np.append(0, np.cumsum([len(q) for q in queries]))
+    for dense, common, postings in ((0.0, 50, 1000), (0.004, 1024, 1 << 20), (0.05, 1024, 1), (9.0, 9, 500)):
+        for name, value in (("DENSE", dense), ("COMMON", common), ("POSTINGS", postings)):
+            monkeypatch.setattr(bm25, name, value)
+        shard = bm25.Shard(raw, terms, np.linspace(7.4, 0.01, len(terms)), 60.0, asked, len(queries))
+        assert (len(shard.common) > 0) == (dense < 1)
+        want = []
+        for q, use in enumerate(queries):
+            full = np.zeros(len(shard.ids))
+            for t in use:
+                at = slice(shard.entry_start[t], shard.entry_start[t] + shard.entry_size[t])
+                full[shard.docs[at]] += shard.impacts[at]
+            order = np.lexsort((shard.ids, -full))[:10]
+            want.append([(q, int(full[d]), int(d)) for d in order if full[d] > 0])
+        for least in (0, 4, 9):
+            floors = np.array([w[least][1] if len(w) > least else 1.0 for w in want])
+            got = list(zip(*(x.tolist() for x in shard.top(ends, np.concatenate(queries), 10, floors)), strict=True))
+            assert got == [x for w, f in zip(want, floors, strict=True) for x in w if x[1] >= f]
+
+
 def test_passages_whose_seeds_lie_in_many_earlier_documents(spark):
     """Earlier documents hold pieces of a passage, so that each seed has a source of its own: changed words don't hide it."""
     rnd = random.Random(3)
