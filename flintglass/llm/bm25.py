@@ -5,8 +5,8 @@ their commonest word and length, so that blocks of BLOCK neighbours are alike. A
 its BM25 contribution from global statistics, in whole millionths: sums don't depend on their order,
 so results of shards merge exactly. Queries with the same commonest words are searched together, QUERIES
 at a time. Postings of their rarer terms are added up exactly; these sums and the greatest impacts of the common terms in a block
-bound every score there. Blocks whose bound is below the k-th score of all of the queries are skipped; in the others,
-the common terms are added by one matrix product, which chooses documents that are then scored exactly. An eighth of the
+bound every score there. Blocks whose bound is below the k-th score of a query are skipped; in the others,
+the common terms are added by products of matrices, which choose documents that are then scored exactly. An eighth of the
 shards is searched first; the k-th score found there for a query is where the other shards start from.
 Tasks merge their shards and give their top k to the final merge.
 
@@ -35,10 +35,10 @@ SHARD_DOCS, SHARD_WORDS = 8192, 6_000_000
 BLOCK = 64
 GROUP_TERMS = 2_000_000
 FIRST_SHARDS = 8
-#: Queries searched at once, and postings of theirs added up at once.
-QUERIES, POSTINGS = 128, 1 << 18
+#: Queries searched at once, postings of theirs added up at once, and blocks evaluated at once.
+QUERIES, POSTINGS, BLOCKS = 64, 1 << 16, 8
 #: Terms are common if they are at least so many of the pairs of a document and a query, at most so many terms.
-DENSE, COMMON = 0.004, 1024
+DENSE, COMMON = 0.002, 1024
 SLACK = 1 + 1e-4
 _PARTS = (("ids", np.int64), ("sizes", np.int64), ("terms", np.uint64), ("counts", np.int32), ("docs", np.uint16), ("freqs", np.int32))
 
@@ -155,7 +155,7 @@ class Shard:
     def top(self, ptr: np.ndarray, use: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, score and document number of each query's top k, of those that reach its least; a query has the terms use[ptr[q] : ptr[q + 1]], by number.
 
-        Blocks in which no query's bound reaches its least aren't evaluated. Products in float32 only choose documents (they are raised by more than their error, SLACK);
+        Blocks are evaluated only for queries whose bound in them, or in one of the BLOCKS taken together, reaches the least. Products in float32 only choose documents (they are raised by more than their error, SLACK);
         scores are added up in whole numbers.
         """
         n = len(ptr) - 1
@@ -163,16 +163,21 @@ class Shard:
         has = np.zeros((n, len(self.common)), np.float32)
         place = self.place[use]
         has[np.repeat(np.arange(n), np.diff(ptr))[place >= 0], place[place >= 0]] = 1
-        bound = scores.reshape(n, self.blocks, BLOCK).max(axis=2) + (has @ self.most.T) * SLACK
-        live = np.flatnonzero(np.diff(np.concatenate([[0], (bound >= floor[:, None]).any(axis=0), [0]]))) * BLOCK
-        upper = np.zeros(scores.shape)
-        for lo, hi in live.reshape(-1, 2):
-            upper[:, lo:hi] = scores[:, lo:hi] + (has @ self.matrix[lo:hi].T) * SLACK
-        many = np.flatnonzero((upper >= floor[:, None]).sum(axis=1) > 4 * k)
-        if len(many) and upper.shape[1] >= k:
-            kth = np.partition(upper[many], -k, axis=1)[:, -k]
-            floor[many] = np.maximum(floor[many], np.floor(kth * (2 - SLACK) / SLACK))
-        q, d = np.nonzero(upper >= floor[:, None])
+        free = np.flatnonzero(floor <= 1)  # whose k-th score isn't known yet
+        if len(free) and scores.shape[1] >= k:
+            kth = np.partition(scores[free] + (has[free] @ self.matrix.T) * SLACK, -k, axis=1)[:, -k]
+            floor[free] = np.maximum(floor[free], np.floor(kth * (2 - SLACK) / SLACK))
+        can = scores.reshape(n, self.blocks, BLOCK).max(axis=2) + (has @ self.most.T) * SLACK >= floor[:, None]
+        live = np.flatnonzero(can.any(axis=0))
+        chosen = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(live), BLOCKS):
+            part = live[at : at + BLOCKS]
+            mine, docs = np.flatnonzero(can[:, part].any(axis=1)), (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            if part[-1] - part[0] == len(part) - 1:
+                docs = slice(docs[0], docs[-1] + 1)  # neighbours aren't copied
+            q, d = np.nonzero((has[mine] @ self.matrix[docs].T) * SLACK >= floor[mine, None] - scores[mine][:, docs])
+            chosen.append((mine[q], part[d // BLOCK] * BLOCK + d % BLOCK))
+        q, d = (np.concatenate(x) for x in zip(*chosen, strict=True))
         exact = scores[q, d]
         for lo in range(0, len(q), 1024):
             part = slice(lo, lo + 1024)
